@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,16 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs)
 
 
+def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_sources(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_quality": op8_compression_quality,
+    "op10_systematic_mix": op10_systematic_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_systematic_mix": sql.OP10,
+}
