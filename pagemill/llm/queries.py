@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, sql
+from . import mixing, quality, secrets, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +24,31 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = secrets.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
+    rows = rows.withColumn("found", found)
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
+
+    return rows.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.span_digest(F.col("found"), True).cast("binary"), 256).alias("base_sha256"),
+        secrets.span_digest(F.col("found"), False).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
     "op8_compression_quality": op8_compression_quality,
     "op10_systematic_mix": op10_systematic_mix,
 }
 
 SQL: dict[str, str] = {
+    "op4_blob_ledger_secrets": sql.OP4,
     "op10_systematic_mix": sql.OP10,
 }

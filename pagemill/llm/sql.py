@@ -24,3 +24,34 @@ SELECT doc_id, source, size, source_size, target,
        CAST(floor(off + k * rate) - floor(off + (k - 1) * rate) AS BIGINT) AS copies,
        CAST((floor(off + k * rate) - floor(off + (k - 1) * rate)) * size AS BIGINT) AS taken FROM c
 """
+
+OP4 = r"""
+WITH k(rank, kind, pattern) AS (VALUES
+  (0, 'assign', '((?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))'),
+  (1, 'access', '(AKIA[A-Z0-9]{12,})'),
+  (2, 'hex', '([0-9a-f]{32,})'),
+  (3, 'github', '(gh[opsu]_[A-Za-z0-9]{36,})'),
+  (4, 'jwt', '(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)'),
+  (5, 'pem', '(-----BEGIN [A-Z ]*PRIVATE KEY-----)')),
+d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(65533) || chr(65533)) AS text FROM documents),
+p AS (SELECT row, rank, kind, pattern, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS nth
+      FROM (SELECT row, rank, kind, pattern, string_split(CASE rank
+              WHEN 0 THEN regexp_replace(text, '((?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', chr(1) || '\1' || chr(2), 'g')
+              WHEN 1 THEN regexp_replace(text, '(AKIA[A-Z0-9]{12,})', chr(1) || '\1' || chr(2), 'g')
+              WHEN 2 THEN regexp_replace(text, '([0-9a-f]{32,})', chr(1) || '\1' || chr(2), 'g')
+              WHEN 3 THEN regexp_replace(text, '(gh[opsu]_[A-Za-z0-9]{36,})', chr(1) || '\1' || chr(2), 'g')
+              WHEN 4 THEN regexp_replace(text, '(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)', chr(1) || '\1' || chr(2), 'g')
+              ELSE regexp_replace(text, '(-----BEGIN [A-Z ]*PRIVATE KEY-----)', chr(1) || '\1' || chr(2), 'g') END, chr(1)) AS parts
+            FROM d CROSS JOIN k)),
+m AS (SELECT row, rank, kind, nth, split_part(part, chr(2), 1) AS match,
+             CAST(coalesce(sum(length(part) - CASE WHEN nth > 0 THEN 1 ELSE 0 END)
+               OVER (PARTITION BY row, rank ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM p),
+s AS (SELECT row, rank, kind, start, start + length(match) AS stop FROM m
+      WHERE nth > 0 AND (rank <> 0 OR length(regexp_extract(match, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 8)),
+g AS (SELECT row, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
