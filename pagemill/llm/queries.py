@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sql
+from . import mixing, quality, secrets, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("at").alias("captured_at"))
+
+
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = secrets.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
@@ -43,12 +48,14 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index_merge": op1_warc_index_merge,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
     "op8_compression_quality": op8_compression_quality,
     "op10_systematic_mix": op10_systematic_mix,
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_index_merge": sql.OP1,
     "op4_blob_ledger_secrets": sql.OP4,
     "op10_systematic_mix": sql.OP10,
 }

@@ -55,3 +55,17 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (row)
 """
+
+OP1 = r"""
+WITH d AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+                  row_number() OVER (PARTITION BY page_id, html ORDER BY url) AS nth FROM pages),
+e AS (SELECT *, list_reduce(list_transform(list_transform(range(1, 41, 5), lambda i: CAST('0x' || substr(hex, CAST(i AS INT), 5) AS BIGINT)), lambda v:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 15) % 32 + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 10) % 32 + 1 AS INT), 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> 5) % 32 + 1 AS INT), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v % 32 + 1 AS INT), 1)),
+        lambda a, b: a || b) AS payload_digest, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first AND nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first AND nth = 1 THEN NULL ELSE first END AS refers_to,
+       strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+FROM e
+"""
