@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, sql, warc
+from . import decontaminate, mixing, quality, secrets, sql, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs)
 
 
+def op9_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
     "op8_compression_quality": op8_compression_quality,
+    "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_systematic_mix": op10_systematic_mix,
 }
 
