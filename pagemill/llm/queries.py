@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, sql, warc
+from . import decontaminate, mixing, quality, secrets, sql, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs)
@@ -54,6 +58,7 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
+    "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_compression_quality": op8_compression_quality,
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_systematic_mix": op10_systematic_mix,
