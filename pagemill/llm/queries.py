@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets, sql, toxicity, warc
+from . import decontaminate, jaccard, mixing, quality, secrets, sql, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("at").alias("captured_at"))
 
 
+def op2_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = secrets.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
@@ -57,6 +61,7 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
+    "op2_heavy_light_jaccard": op2_heavy_light_jaccard,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_compression_quality": op8_compression_quality,
