@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, secrets, sql, toxicity, warc
+from . import decontaminate, jaccard, licenses, mixing, quality, secrets, sql, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,10 @@ def op2_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = secrets.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.coalesce(F.col("found"), F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
@@ -62,7 +70,9 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op2_heavy_light_jaccard": op2_heavy_light_jaccard,
+    "op3_minhash_licenses": op3_minhash_licenses,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
+    "op6_trie_token_counts": op6_trie_token_counts,
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_compression_quality": op8_compression_quality,
     "op9_qgram_decontamination": op9_qgram_decontamination,
