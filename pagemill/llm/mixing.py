@@ -75,8 +75,8 @@ def source_targets(sizes: DataFrame, plan: MixPlan) -> DataFrame:
     return w.select("source", "source_size", F.least(F.col("cap"), share).alias("target"))
 
 
-def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Per document: key, source, size, source_size, target, copies, taken."""
+def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text", source: str = "source", key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """Per document: key, source, size, source_size, target, copies, taken; with carry also row, a struct of all its columns."""
     plan = plan or MixPlan()
     size = word_count(F.col(text))
     octave = F.length(F.bin("size"))
@@ -86,7 +86,14 @@ def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text"
         .withColumn("band", band)
         .withColumn("salt", (_hex_digits(F.col("key"), plan.seed, 4) % plan.salts).cast("long"))
     )
-    sizes = stored(sizes, "mix-sizes")
+    full = None
+    if carry:
+        full = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row")).select(
+            F.col(f"row.{key}").alias("key"), F.col(f"row.{source}").alias("source"), word_count(F.col(f"row.{text}")).alias("size"), "row"
+        )
+        full = full.withColumn("band", band).withColumn("salt", (_hex_digits(F.col("key"), plan.seed, 4) % plan.salts).cast("long"))
+    else:
+        sizes = stored(sizes, "mix-sizes")
     cells = sizes.groupBy("source", "band", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     cells = stored(cells, "mix-cells")
     targets = source_targets(cells.select("source", "size"), plan).withColumn("offset", _hex_digits(F.col("source"), plan.seed, 12) / F.lit(float(16**12)))
@@ -98,9 +105,9 @@ def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text"
         .select("c.source", "c.band", "c.salt", "c.start", "t.source_size", "t.target", "t.offset")
     )
     own = Window.partitionBy("source", "band", "salt").orderBy("size", "key")
-    ranked = sizes.withColumn("nth", F.row_number().over(own))
+    ranked = (full if carry else sizes).withColumn("nth", F.row_number().over(own))
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.band") == F.col("c.band")) & (F.col("d.salt") == F.col("c.salt"))
-    placed = ranked.alias("d").join(cells.alias("c"), same).select("d.key", "d.source", "d.size", "d.nth", "c.start", "c.source_size", "c.target", "c.offset")
+    placed = ranked.alias("d").join(cells.alias("c"), same).select("d.key", "d.source", "d.size", "d.nth", *(["d.row"] if carry else []), "c.start", "c.source_size", "c.target", "c.offset")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = F.col("start") + F.col("nth")
     copies = F.floor(F.col("offset") + upto * rate) - F.floor(F.col("offset") + (upto - 1) * rate)
@@ -112,4 +119,11 @@ def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text"
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *(["row"] if carry else []),
     )
+
+
+def mixed(docs: DataFrame, plan: MixPlan | None = None, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken, with copy counting from 1."""
+    rows = mix_sources(docs, plan, text, source, key, carry=True).filter("copies > 0")
+    return rows.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))

@@ -140,3 +140,22 @@ def span_digest(found: Column, base_only: bool) -> Column:
     """kind:start:end of the spans, comma-joined in their order."""
     kept = F.filter(found, lambda s: s["rank"] < BASE_KINDS) if base_only else found
     return F.array_join(F.transform(kept, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
+
+
+def redacted(docs: DataFrame, findings: DataFrame, text: str = "text", most_broadcast: int = 50_000) -> DataFrame:
+    """docs with every found span (spans that overlap as one) replaced by its kind in brackets; findings: (blob, found)."""
+    few = findings.count() <= most_broadcast
+    named = docs.withColumn("_blob", blob_id(F.col(text)))
+    found = findings.select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    joined = named.join(F.broadcast(found) if few else found, "_blob", "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        free = F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], free).otherwise(acc["out"]).alias("out"))
+
+    def finish(acc: Column) -> Column:
+        return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+
+    clean = F.when(F.col("_found").isNotNull(), F.aggregate("_found", start, step, finish)).otherwise(F.col(text))
+    return joined.withColumn(text, clean).select(*docs.columns)
