@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, mixing, quality, secrets, sql, tokencount, toxicity, warc
+from . import decontaminate, jaccard, licenses, lmscore, mixing, quality, secrets, sql, tokencount, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_heavy_light_jaccard": op2_heavy_light_jaccard,
     "op3_minhash_licenses": op3_minhash_licenses,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
+    "op5_attention_scores": op5_attention_scores,
     "op6_trie_token_counts": op6_trie_token_counts,
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_compression_quality": op8_compression_quality,
