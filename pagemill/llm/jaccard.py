@@ -15,10 +15,12 @@ elements last; which are frequent is counted over all texts.  That order is a
 cost matter only: any order gives the same links.
 
 A list of up to `small_list` classes yields its pairs at once.  From a longer
-one, each class is first paired with two neighbours by size; verified pairs
-are joined to components, and only pairs of classes in different components
-are compared further, in blocks, after a bitmap bound on their difference.  So
-a group of thousands of near copies costs a few links a member.  Every pair
+one, each class is first paired with two neighbours by size.  In a few rounds
+each class is verified against its likeliest partner outside its component;
+after that only pairs across components remain, those of long lists compared
+in blocks.  Parity sketches, of at least two bits an element, bound the
+difference of two sets from below and rule out most pairs that do not link.
+So a group of thousands of near copies costs a few links a member.  Every pair
 that passes is verified on the exact sets.  No candidate is dropped otherwise.
 
 Defined results: null, empty and word-less texts have no shingles and link
@@ -36,7 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -62,6 +64,7 @@ class JaccardPlan:
     block: int = 1024
     most_enumerated: int = 24
     broadcast_rows: int = 200_000
+    rounds: int = 3
 
     def overlap(self, a: int, b: int) -> int:
         """Least intersection of linked sets with a and b elements."""
@@ -152,12 +155,38 @@ def fingerprints(s: Sets) -> np.ndarray:
     return tb.mix(_wrapped_sums(tb.mix(s.codes), s.offsets) + n * U64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def sketches(s: Sets) -> np.ndarray:
-    """256 parity bits per set: sets with d unequal elements differ in d bits at most."""
-    n = len(s.offsets) - 1
-    rows = tb.row_numbers(s.offsets)
-    odd = np.bincount(rows * 256 + (s.codes & U64(255)).astype(np.int64), minlength=n * 256) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set of n elements: a power of two, at least 2 * n."""
+    return np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+
+
+def sketches(s: Sets) -> list[bytes]:
+    """Parity bits of each set: sets with d unequal elements differ in d bits at most.
+
+    Bit i is the parity of the elements that are i modulo the number of bits, so a sketch folds to half its bits by
+    XOR of its halves, and sets of unlike sizes stay comparable.
+    """
+    n = np.diff(s.offsets)
+    bits = sketch_bits(n)
+    out = [b""] * len(n)
+    for size in np.unique(bits):
+        g = np.flatnonzero(bits == size)
+        for part in np.array_split(g, max(1, len(g) * int(size) >> 22)):
+            if len(part):
+                at = np.repeat(s.offsets[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                spot = np.repeat(np.arange(len(part)), n[part]) * size + (s.codes[at] & U64(size - 1)).astype(np.int64)
+                odd = (np.bincount(spot, minlength=len(part) * size) & 1).astype(np.uint8).reshape(len(part), size)
+                for i, row in zip(part.tolist(), np.packbits(odd, axis=1, bitorder="little"), strict=True):
+                    out[i] = row.tobytes()
+    return out
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of uint64 words) folded to so many words."""
+    while sketch.shape[1] > words:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
 
 
 def subset_sizes(n: int, boundary: int, plan: JaccardPlan) -> list[int]:
@@ -234,7 +263,7 @@ def count_frequent(texts: DataFrame, plan: JaccardPlan) -> tuple[Frequent, float
 
 
 def describe(docs: DataFrame, plan: JaccardPlan, frequent: Frequent, boundary: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, fp, s0..s3, keys) of every row; of equal sets in a batch, one has the keys."""
+    """(doc_id, n, fp, sketch, keys) of every row; of equal sets in a batch, one has keys and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,14 +281,14 @@ def describe(docs: DataFrame, plan: JaccardPlan, frequent: Frequent, boundary: i
                 rows, keys = keys_of(s, plan, boundary, frequent, skip | (n == 0))
                 order = np.argsort(rows, kind="stable")
                 edge = np.searchsorted(rows[order], np.arange(len(n) + 1))
-                sk = sketches(s)
+                sketch = [x if f else None for x, f in zip(sketches(s), ~skip, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fp), *[pa.array(sk[:, i]) for i in range(4)], pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys[order]))],
-                    names=["doc_id", "n", "fp", "s0", "s1", "s2", "s3", "keys"],
+                    [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fp), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys[order]))],
+                    names=["doc_id", "n", "fp", "sketch", "keys"],
                 )
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp long, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, fp long, sketch binary, keys array<long>")
 
 
 def _close(key: np.ndarray, n: np.ndarray, fp: np.ndarray, plan: JaccardPlan, cut: bool) -> list[tuple[np.ndarray, ...]]:
@@ -327,7 +356,7 @@ def meet(described: DataFrame, plan: JaccardPlan) -> DataFrame:
 def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
     """Pairs (x, y) of different components within one list that pass the size and bitmap bounds.
 
-    members: (key, x, n, component, s0..s3).  A list is cut into blocks of about plan.block members and every two
+    members: (key, x, n, component, sketch).  A list is cut into blocks of about plan.block members and every two
     blocks of a list are compared in a task's memory.
     """
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -339,24 +368,63 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         x, n, c = (table.column(k).to_numpy() for k in ("x", "n", "component"))
         mine, a, b = (table.column(k).to_numpy() for k in ("mine", "a", "b"))
-        s = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], axis=1).view(np.uint64)
-        left = np.flatnonzero(mine == a)
-        right = np.flatnonzero(mine == b)
-        xs, ys = [], []
-        for part in np.array_split(left, max(1, len(left) * len(right) // 1_000_000)):
-            p, q = n[part][:, None], n[right][None, :]
-            need = -(-plan.percent * (p + q) // (100 + plan.percent))
-            ok = (c[part][:, None] != c[right][None, :]) & (100 * np.minimum(p, q) >= plan.percent * np.maximum(p, q))
-            ok &= x[part][:, None] < x[right][None, :] if a[0] == b[0] else True
-            i, j = np.nonzero(ok)
-            unlike = np.bitwise_count(s[part[i]] ^ s[right[j]]).sum(axis=1)
-            near = unlike <= (p[i, 0] + q[0, j] - 2 * need[i, j])
-            xs.append(x[part[i[near]]])
-            ys.append(x[right[j[near]]])
-        return pa.table({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-
-    got = cell.select("key", "a", "b", "mine", "x", "n", "component", "s0", "s1", "s2", "s3").groupBy("key", "a", "b").applyInArrow(run, "x long, y long")
-    return got.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        sketch = [v.as_py() for v in table.column("sketch")]
+        words = np.array([len(v) // 8 for v in sketch])
+        left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
+        xs, ys = [x[:0]], [x[:0]]
+        # Sketches by width; a set and one similar to it differ by one width at most.
+        by_width = {w: np.stack([np.frombuffer(sketch[i], np.uint64) for i in np.flatnonzero(words == w)]) for w in np.unique(words)}
+        place = np.zeros(len(x), np.int64)
+        for w in by_width:
+            place[words == w] = np.arange((words == w).sum())
+        for u in by_width:
+            for v in (u // 2, u, 2 * u):
+                if v not in by_width:
+                    continue
+                low = min(u, v)
+                p_sketch, q_sketch = folded(by_width[u], low), folded(by_width[v], low)
+                lu, rv = left[words[left] == u], right[words[right] == v]
+                for part in np.array_split(lu, max(1, len(lu) * len(rv) // 1_000_000)):
+                    p, q = n[part][:, None], n[rv][None, :]
+                    ok = (c[part][:, None] != c[rv][None, :]) & (100 * np.minimum(p, q) >= plan.percent * np.maximum(p, q))
+                    if a[0] == b[0]:
+                        ok &= x[part][:, None] < x[rv][None, :]
+                    i, j = np.nonzero(ok)
+                    for at in np.array_split(np.arange(len(i)), max(1, len(i) * low // 4_000_000)):
+                        s, t = part[i[at]], rv[j[at]]
+                        need = -(-plan.percent * (n[s] + n[t]) // (100 + plan.percent))
+                        unlike = np.bitwise_count(p_sketch[place[s]] ^ q_sketch[place[t]]).sum(axis=1)
+                        near = unlike <= n[s] + n[t] - 2 * need
+                        xs.append(x[s[near]])
+                        ys.append(x[t[near]])
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+    got = cell.select("key", "a", "b", "mine", "x", "n", "component", "sketch").groupBy("key", "a", "b").applyInArrow(run, "x long, y long")
+    return got.distinct()
+
+
+def _bounded(pairs: DataFrame, classes: DataFrame, plan: JaccardPlan) -> DataFrame:
+    """pairs (x, y, keys) of class ids whose sketches do not rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            nx, ny = b.column(3).to_numpy(), b.column(4).to_numpy()
+            room = nx + ny - 2 * -(-plan.percent * (nx + ny) // (100 + plan.percent))
+            for i, (p, q, most) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), room.tolist(), strict=True)):
+                p, q = (p, q) if len(p) >= len(q) else (q, p)
+                long, bits = int.from_bytes(p, "little"), 8 * len(q)
+                if len(p) > len(q):
+                    for k in range(len(p) // len(q) - 1, 0, -1):
+                        long ^= (long >> (k * bits)) & ((1 << bits) - 1)
+                    long &= (1 << bits) - 1
+                keep[i] = (long ^ int.from_bytes(q, "little")).bit_count() <= most
+            yield b.select([0, 1, 2]).filter(pa.array(keep))
+
+    c = classes.select("rep", "n", "sketch")
+    both = pairs.join(c.toDF("x", "nx", "sx"), "x").join(c.toDF("y", "ny", "sy"), "y")
+    return both.select("x", "y", "keys", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long, keys long")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, plan: JaccardPlan, key: str, text: str) -> DataFrame:
@@ -387,58 +455,65 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Jacca
     return pairs.join(a, "x").join(b, "y").filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
-def _bits(columns: list[str]) -> Column:
-    return sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in columns), F.lit(0))
+def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """pairs whose ends are in different components, with these as cx and cy."""
+    gx, gy = group.toDF("x", "cx"), group.toDF("y", "cy")
+    joined = pairs.join(gx, "x", "left").join(gy, "y", "left").withColumns({"cx": F.coalesce("cx", "x"), "cy": F.coalesce("cy", "y")})
+    return joined.filter("cx <> cy")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each class its pair with the most shared keys."""
+    ends = pairs.select("x", "y", "keys", F.col("x").alias("of")).unionByName(pairs.select("x", "y", "keys", F.col("y").alias("of")))
+    return ends.groupBy("of").agg(F.max(F.struct("keys", "x", "y")).alias("b")).select("b.x", "b.y").distinct()
 
 
 def similar_components(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row of docs; component_id is the smallest id reachable by links."""
     plan = plan or JaccardPlan()
+    spark = docs.sparkSession
     frequent, mean_list = count_frequent(docs.select(F.col(text).alias("text")), plan)
     boundary = choose_boundary(mean_list, plan)
     described = stored(describe(docs, plan, frequent, boundary, key, text), "jaccard-described")
     alive = described.filter("n > 0 AND doc_id IS NOT NULL")
-    sketch = ["s0", "s1", "s2", "s3"]
-    classes = stored(alive.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in sketch]), "jaccard-classes")
+    classes = alive.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
+    classes = stored(classes, "jaccard-classes")
     met = stored(meet(alive, plan), "jaccard-met")
 
-    # Pairs by class id, with the number of keys they share; most shared keys first.
-    px, py = (classes.select(F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in sketch]) for s in ("x", "y"))
+    # Pairs by class id, with the number of keys they share.
+    px, py = (classes.select(F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in ("x", "y"))
     found = met.filter("pair").groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("keys"))
-    found = found.join(px, ["x", "nx"]).join(py, ["y", "ny"])
-    need = F.ceil(F.lit(plan.percent) * (F.col("nx") + F.col("ny")) / F.lit(100.0 + plan.percent))
-    found = found.filter(_bits(sketch) <= F.col("nx") + F.col("ny") - 2 * (need - F.lit(0)))
-    pairs = stored(found.select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y"), "keys").filter("x <> y"), "jaccard-pairs")
-    best = F.max(F.struct("keys", "y"))
-    first = pairs.groupBy("x").agg(best.alias("b")).select("x", F.col("b.y").alias("y"))
-    back = pairs.groupBy("y").agg(F.max(F.struct("keys", "x")).alias("b")).select(F.col("b.x").alias("x"), "y")
-    tried = stored(first.unionByName(back).distinct(), "jaccard-tried")
-    links = stored(_verified(tried, docs, classes, plan, key, text), "jaccard-links")
-
-    # What is left: pairs whose ends are still apart.
-    group = stored(components(links), "jaccard-groups")
-    rest = pairs.select("x", "y").join(tried, ["x", "y"], "left_anti")
-    rest = _apart(rest, group)
+    found = found.join(px, ["x", "nx"]).join(py, ["y", "ny"]).filter("rep_x <> rep_y")
+    found = found.groupBy(F.least("rep_x", "rep_y").alias("x"), F.greatest("rep_x", "rep_y").alias("y")).agg(F.sum("keys").alias("keys"))
+    pairs = stored(_bounded(found, classes, plan), "jaccard-pairs")
+
+    # Each class is tried with its likeliest partner outside its component, a few times over.
+    group = spark.createDataFrame([], "node long, component long")
+    for _ in range(plan.rounds):
+        tried = stored(_likeliest(pairs), "jaccard-tried")
+        if tried.isEmpty():
+            break
+        links = _verified(tried, docs, classes, plan, key, text)
+        group = _joined(group, links)
+        pairs = stored(_across(pairs.join(tried, ["x", "y"], "left_anti"), group).select("x", "y", "keys"), "jaccard-pairs")
+
+    # What is left: all pairs whose ends are still apart, and the members of long lists.
     members = met.filter("NOT pair").select(F.col("key").bitwiseAND(F.lit(_BARE)).alias("key"), F.col("x").alias("fp"), F.col("nx").alias("n")).distinct()
     members = members.join(classes, ["fp", "n"]).join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("key", F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("component"), *sketch)
+    members = members.select("key", F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("component"), "sketch")
     more = _compare_blocks(members, plan)
-    more = more.join(tried, ["x", "y"], "left_anti").join(tried.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
-    open_pairs = stored(rest.unionByName(more).distinct(), "jaccard-open")
-    if not open_pairs.isEmpty():
-        late = _verified(open_pairs, docs, classes, plan, key, text)
-        group = stored(components(group.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "jaccard-groups")
+    rest = stored(pairs.select("x", "y").unionByName(more).distinct(), "jaccard-open")
+    if not rest.isEmpty():
+        group = _joined(group, _verified(rest, docs, classes, plan, key, text))
     named = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
     out = described.select("doc_id", "n", "fp").join(named, ["fp", "n"], "left")
     mine = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
-def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
-    gx = group.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    gy = group.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    joined = pairs.join(gx, "x", "left").join(gy, "y", "left")
-    return joined.filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+def _joined(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more links."""
+    return stored(components(group.toDF("u", "v").unionByName(links)), "jaccard-groups")
 
 
 def one_of_each(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
