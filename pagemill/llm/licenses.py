@@ -89,7 +89,11 @@ def shingles_of(words: Column, n: int) -> Column:
 
 def _bands(window: Column, plan: LicensePlan) -> Column:
     """Array of band values."""
-    return F.array(*[F.array_min(F.transform(window, lambda h, m=m: h.bitwiseXOR(F.lit(m)))) for m in plan.masks()])
+
+    def band(mask: int) -> Column:
+        return F.array_min(F.transform(window, lambda h: h.bitwiseXOR(F.lit(mask))))
+
+    return F.array(*[band(m) for m in plan.masks()])
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], plan: LicensePlan) -> list:
