@@ -65,6 +65,7 @@ class JaccardPlan:
     most_enumerated: int = 24
     broadcast_rows: int = 200_000
     rounds: int = 3
+    carried_keys: int = 64
 
     def overlap(self, a: int, b: int) -> int:
         """Least intersection of linked sets with a and b elements."""
@@ -357,8 +358,11 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
     """Pairs (x, y) of different components within one list that pass the size and bitmap bounds.
 
     members: (key, x, n, component, sketch).  A list is cut into blocks of about plan.block members and every two
-    blocks of a list are compared in a task's memory.
+    blocks of a list are compared in a task's memory.  Two sets often share many lists: each carries its smallest keys,
+    and a pair is given by the list of the smallest key that both carry, or by any list where they carry none alike.
     """
+    carried = members.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("key")), 1, plan.carried_keys).alias("carried"))
+    members = members.join(carried, "x")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     blocks = F.ceil(F.col("m") / plan.block).cast("int")
     m = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("x", F.lit(5)), F.col("blocks")).cast("int"))
@@ -369,6 +373,7 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
         x, n, c = (table.column(k).to_numpy() for k in ("x", "n", "component"))
         mine, a, b = (table.column(k).to_numpy() for k in ("mine", "a", "b"))
         sketch = [v.as_py() for v in table.column("sketch")]
+        here, carried = table.column("key")[0].as_py(), [frozenset(v) for v in table.column("carried").to_pylist()]
         words = np.array([len(v) // 8 for v in sketch])
         left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
         xs, ys = [x[:0]], [x[:0]]
@@ -394,13 +399,15 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
                         s, t = part[i[at]], rv[j[at]]
                         need = -(-plan.percent * (n[s] + n[t]) // (100 + plan.percent))
                         unlike = np.bitwise_count(p_sketch[place[s]] ^ q_sketch[place[t]]).sum(axis=1)
-                        near = unlike <= n[s] + n[t] - 2 * need
+                        near = np.flatnonzero(unlike <= n[s] + n[t] - 2 * need)
+                        own = [min(carried[i] & carried[j], default=here) == here for i, j in zip(s[near].tolist(), t[near].tolist(), strict=True)]
+                        near = near[np.array(own, bool)]
                         xs.append(x[s[near]])
                         ys.append(x[t[near]])
         x, y = np.concatenate(xs), np.concatenate(ys)
         return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
-    got = cell.select("key", "a", "b", "mine", "x", "n", "component", "sketch").groupBy("key", "a", "b").applyInArrow(run, "x long, y long")
+    got = cell.select("key", "a", "b", "mine", "x", "n", "component", "sketch", "carried").groupBy("key", "a", "b").applyInArrow(run, "x long, y long")
     return got.distinct()
 
 
