@@ -7,6 +7,8 @@ character, so words are found on the bytes.  Nothing here loops over rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,14 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+def reuse_memory() -> None:
+    """Let the C library keep freed blocks of up to 256 MB, so that temporary arrays of a loop do not fault in new pages each time."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     h = h ^ (h >> U64(32))
