@@ -148,7 +148,8 @@ def article_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def zip_export(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).filter("doc_id < 200").select((F.col("doc_id") % 10).alias("batch"), "doc_id", F.concat(F.col("source"), F.lit(".txt")).alias("name"), export.text_bytes(F.col("text")).alias("content"))
+    """Archives of all documents, 25 neighbouring ids each."""
+    docs = _docs(spark, d).select(F.floor(F.col("doc_id") / 25).alias("batch"), "doc_id", F.concat(F.col("source"), F.lit(".txt")).alias("name"), export.text_bytes(F.col("text")).alias("content"))
     return export.zipped(docs, "batch", "doc_id").select("batch", "entries", F.octet_length("zip").cast("long").alias("bytes"), F.crc32("zip").alias("crc"))
 
 

@@ -51,3 +51,10 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
+
+
+def test_zip_export_archives_large_ids(spark, tmp_path):
+    docs = spark.range(190, 260).selectExpr("id AS doc_id", "'s' AS source", "concat('text ', id) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["zip_export"](spark, str(tmp_path)).collect()
+    assert sum(r.entries for r in got) == 70 and max(r.entries for r in got) == 25
