@@ -105,23 +105,46 @@ def gradients(w: Weights, s: Shape, x: np.ndarray, target: np.ndarray) -> tuple[
     return loss, g
 
 
-def train(s: Shape, bias: np.ndarray, x: np.ndarray, target: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 6e-3, seed: int = 5) -> tuple[Weights, list[float]]:
-    """Adam over random batches of windows."""
-    w = new_weights(s, bias, seed)
-    r = np.random.default_rng(seed + 1)
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    losses = []
-    for step in range(1, steps + 1 if len(x) else 1):
-        pick = r.integers(0, len(x), min(batch, len(x)))
-        loss, g = gradients(w, s, x[pick], target[pick])
-        losses.append(loss)
+class Adam:
+    """Weights and their moments, moved one batch of windows at a time."""
+
+    def __init__(self, weights: Weights):
+        self.weights, self.step = dict(weights), 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+
+    def __call__(self, s: Shape, x: np.ndarray, target: np.ndarray, rate: float) -> float:
+        """Loss before the move."""
+        loss, g = gradients(self.weights, s, x, target)
+        self.step += 1
         size = float(np.sqrt(sum(float((v**2).sum()) for v in g.values())))
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-        now = np.float32(rate * min(1, step / 40) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps))))
+        now = np.float32(rate * min(1, self.step / 40))
+        w, first, second = self.weights, self.first, self.second
         for k, v in g.items():
             v = v * scale
             first[k] = np.float32(0.9) * first[k] + np.float32(0.1) * v
             second[k] = np.float32(0.98) * second[k] + np.float32(0.02) * v * v
-            up = first[k] / np.float32(1 - 0.9**step)
-            w[k] = w[k] - now * up / (np.sqrt(second[k] / np.float32(1 - 0.98**step)) + np.float32(1e-8))
-    return w, losses
+            up = first[k] / np.float32(1 - 0.9**self.step)
+            w[k] = w[k] - now * up / (np.sqrt(second[k] / np.float32(1 - 0.98**self.step)) + np.float32(1e-8))
+        return loss
+
+
+def train(s: Shape, bias: np.ndarray, x: np.ndarray, target: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 6e-3, seed: int = 5) -> tuple[Weights, list[float]]:
+    """Adam over random batches of windows."""
+    adam = Adam(new_weights(s, bias, seed))
+    r = np.random.default_rng(seed + 1)
+    losses = []
+    for step in range(1, steps + 1 if len(x) else 1):
+        pick = r.integers(0, len(x), min(batch, len(x)))
+        losses.append(adam(s, x[pick], target[pick], rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))))
+    return adam.weights, losses
+
+
+def flat(w: Weights) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
+
+
+def shaped(values: np.ndarray, like: Weights) -> Weights:
+    """Weights of the shapes of like from flat()."""
+    edge = np.cumsum([0] + [like[k].size for k in sorted(like)])
+    return {k: values[a:z].reshape(like[k].shape).astype(np.float32) for k, a, z in zip(sorted(like), edge, edge[1:], strict=False)}

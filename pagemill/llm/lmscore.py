@@ -8,8 +8,10 @@ As ids that begin a word never share a class with others, the network also
 gives the chance that a word ends, and so a distribution over whole words.
 A word's probability is the even mixture of that one and of the smoothed word
 counts of the corpus.
-The network is fitted on the driver, on a sample of training texts of bounded
-size; everything that is counted covers all training texts.
+The network learns from every window of every training text: each partition
+goes on from the same start by Adam over all of its windows, and the weights
+that come out are averaged, by the number of ids learned from.  Only the start
+is fitted on the driver, on a sample of training texts of bounded size.
 
 Base counts of the most frequent words are broadcast (a table of bounded
 size); the other words of each text are joined with the full counts.
@@ -28,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ _SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 @dataclass(frozen=True)
 class LmPlan:
-    """sample_docs, sample_ids: texts and ids of each that the network is fitted on; head_words: size of the broadcast count table."""
+    """sample_docs, sample_ids, steps: texts, ids of each and batches that the start of the network is fitted on; batch, rate: of the pass over all training texts; head_words: size of the broadcast count table."""
 
     vocabulary: str = VOCABULARY
     own_inputs: int = 4096
@@ -54,6 +57,8 @@ class LmPlan:
     head_words: int = 1 << 18
     max_word: int = 512
     steps: int = 600
+    batch: int = 128
+    rate: float = 2e-3
     kept_words: int = 500_000
     count_share: float = 0.5
 
@@ -203,6 +208,45 @@ def build(counts: np.ndarray, begins: np.ndarray, plan: LmPlan) -> tuple[attenti
     return shape, input_of, class_of, within, np.maximum(bias, -30), begin_classes
 
 
+def goals(e: Encoded, input_of: np.ndarray, class_of: np.ndarray, s: attention.Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and target classes of the windows over all ids."""
+    x, target, _ = windows(input_of[e.ids], e.offsets, s)
+    return x, np.where(target >= 0, class_of[e.ids[np.maximum(target, 0)]] if len(e.ids) else 0, -1)
+
+
+def learned_from_all(texts: DataFrame, start: attention.Weights, shape: attention.Shape, input_of: np.ndarray, class_of: np.ndarray, plan: LmPlan) -> tuple[attention.Weights, int]:
+    """Weights after a pass over every window of all texts, and the number of ids learned from."""
+    shared = texts.sparkSession.sparkContext.broadcast((start, input_of, class_of))
+    pieces = 64
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.reuse_memory()
+        start, input_of, class_of = shared.value
+        encoder, adam, seen = Encoder(plan), attention.Adam(start), 0
+        r = np.random.default_rng(7)
+        for b in batches:
+            for lo, hi in tb.row_chunks(b.column(0), 1 << 21):
+                x, goal = goals(encoded(b.column(0).slice(lo, hi - lo), encoder), input_of, class_of, shape)
+                for pick in np.array_split(r.permutation(len(x)), -(-len(x) // plan.batch)):
+                    adam(shape, x[pick], goal[pick], plan.rate / np.sqrt(1 + adam.step / 200))
+                seen += int((goal >= 0).sum())
+        if seen:
+            parts = np.array_split(attention.flat(adam.weights) * seen, pieces)
+            at, n = (pa.array(np.full(pieces, v, np.int64)) for v in (TaskContext.get().partitionId(), seen))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), at, n, pa.array(list(parts), pa.list_(pa.float64()))], names=["piece", "at", "n", "w"])
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        total = t.column("w").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(axis=0)
+        return pa.table({"piece": t.column("piece")[:1], "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total], pa.list_(pa.float64()))})
+
+    got = texts.mapInArrow(learn, "piece int, at long, n long, w array<double>").groupBy("piece").applyInArrow(add, "piece int, n long, w array<double>").collect()
+    if not got:
+        return start, 0
+    total = np.concatenate([np.array(r["w"]) for r in sorted(got, key=lambda r: r["piece"])])
+    return attention.shaped(total / got[0]["n"], start), got[0]["n"]
+
+
 def lm_scores(docs: DataFrame, plan: LmPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     plan = plan or LmPlan()
@@ -258,7 +302,8 @@ def lm_scores(docs: DataFrame, plan: LmPlan | None = None, key: str = "doc_id",
     flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
     x, target, _ = windows(input_of[flat], np.concatenate([[0], np.cumsum([len(i) for i in lists])]).astype(np.int64), shape)
     goal = np.where(target >= 0, class_of[flat[np.maximum(target, 0)]] if len(flat) else 0, -1)
-    weights, _ = attention.train(shape, bias, x, goal, plan.steps if len(x) else 0)
+    start, _ = attention.train(shape, bias, x, goal, plan.steps if len(x) else 0)
+    weights, _ = learned_from_all(learned.select("text"), start, shape, input_of, class_of, plan)
     model = Model(shape, weights, input_of, class_of, within, begin_classes)
     shared = spark.sparkContext.broadcast((model, head_code, head_n))
     size_log = float(np.log10(n_all + v_all + 1)) if ends else 0.0

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import attention, boosting, lmscore, toxicity
@@ -116,3 +117,20 @@ def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.toxicity(docs, none).collect()} == {0.0}
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_lm_learns_from_all_training_texts(spark):
+    # The order of words shows only after the first ids and in texts beyond the sample.
+    docs = spark.createDataFrame([(i, "ka lo mi té ru ban " * 300) for i in range(240)], "doc_id long, text string")
+    rows = lmscore.lm_scores(docs, lmscore.LmPlan(steps=1, sample_docs=1, sample_ids=1)).filter("held_out").collect()
+    assert rows and all(r.score > r.base_score + 0.05 * r.n_tokens for r in rows)
+
+
+def test_lm_pass_counts_every_id(spark, docs, texts):
+    plan = lmscore.LmPlan()
+    encoder, shape = lmscore.Encoder(plan), attention.Shape(inputs=20, classes=7)
+    start, zero = attention.new_weights(shape, np.zeros(7)), np.zeros(encoder.size + 1, np.int64)
+    weights, n = lmscore.learned_from_all(docs.select("text"), start, shape, zero, zero, plan)
+    assert n == len(lmscore.encoded(pa.array([t for _, t in texts] + ["no id here"]), encoder).ids)
+    assert {k: v.shape for k, v in weights.items()} == {k: v.shape for k, v in start.items()}
+    assert all((v == attention.shaped(attention.flat(start), start)[k]).all() for k, v in start.items())
