@@ -116,7 +116,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE_CODE[data[lo:hi]] * _powers("up", _BASE, n)[:n], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * _powers("down", _BASE_INV, n)[s] + (e - s).astype(np.uint64)
+        out[i:j] = (total[e] - total[s]) * _powers("down", _BASE_INV, n + 1)[s] + (e - s).astype(np.uint64)
         i = j
     return mix(out)
 

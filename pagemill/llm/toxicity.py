@@ -1,7 +1,8 @@
 """Toxicity: boosted trees over dense text features, with isotonic calibration.
 
-The labelled training rows (at most train_rows, the first by a hash of their
-id) are dealt into folds by another hash.  A lexicon of words and word
+The labelled training rows (at most train_rows, those of the rarer class first
+and then the first by a hash of their id) are dealt into folds class by class,
+in the order of another hash, so that each fold has its share of both.  A lexicon of words and word
 beginnings with high log-odds is counted; the features of a fold's texts come
 from the lexicon of the other folds, so words are weighed on texts that did
 not suggest them.  The trees are grown on all folds but the last, on which
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
@@ -218,10 +219,6 @@ class Model:
         return np.clip(self.calibrate(self.trees.margin(batch_features(texts, self.learned, self.plan))), 0, 1)
 
 
-def _part(key: Column, of: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(of))
-
-
 def held_out(key: Column, of: int = 4, remainder: int = 2) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % of) == remainder
 
@@ -229,9 +226,18 @@ def held_out(key: Column, of: int = 4, remainder: int = 2) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan, key: str, text: str, label: str) -> Model:
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).filter("key IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out(F.col("key"))).groupBy("key").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(plan.train_rows)
-    # train_rows bounds what is broadcast here.
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").withColumn("fold", _part(F.col("key"), plan.folds, 2).cast("int"))
+    known = known.select("key", (F.col("label") == 1).cast("int").alias("label")).join(docs.select(F.col(key).alias("key")), "key", "left_semi")
+    sides = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rare = int(sides.get(1, 0) <= sides.get(0, 0))
+    # At least half of the rows go to the commoner class, or all it has.
+    fewer = min(sides.get(rare, 0), max(plan.train_rows // 2, plan.train_rows - sides.get(1 - rare, 0)))
+    bound = {rare: fewer, 1 - rare: plan.train_rows - fewer}
+    parts = [known.filter(F.col("label") == side).orderBy(F.xxhash64("key", F.lit(1)), "key").limit(n) for side, n in bound.items()]
+    chosen = parts[0].unionByName(parts[1])
+    # train_rows bounds what is broadcast and numbered here.
+    dealt = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key", F.lit(2)), "key"))
+    chosen = chosen.withColumn("fold", ((dealt - 1) % plan.folds).cast("int"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label", "fold")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,10 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan, key: str, text:
 
     spark = docs.sparkSession
     size = {r["label"]: r["n"] for r in rows.groupBy((F.col("label") == 1).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(size.values())
-    rate = size.get(1, 0) / total if total else 0.0
+    # Of all labelled training rows, not only of those that are learned from.
+    rate = sides.get(1, 0) / sum(sides.values()) if sides else 0.0
     empty = Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    if min(size.get(1, 0), size.get(0, 0)) < 30:
+    if not (size.get(1, 0) and size.get(0, 0)):
         return Model(plan, empty, None, None, rate)
     cells = rows.select("text", "label", "fold").mapInArrow(count, "h long, kind int, n long").groupBy("h")
     counts = cells.agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * plan.folds)])
@@ -285,10 +291,14 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan, key: str, text:
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y, fold = (got.column("label").to_numpy() == 1).astype(float), got.column("fold").to_numpy()
     grow, check = fold < plan.folds - 1, fold == plan.folds - 1
-    if not (0 < y[grow].mean() < 1) or not check.any():
-        return Model(plan, empty, None, None, rate)
+    if len(np.unique(y[check])) < 2:  # under one row a fold of a class
+        check[:] = True
     trees = boosting.boost(x[grow], y[grow], plan.trees, plan.depth)
-    return Model(plan, lexicon_without(None), trees, boosting.isotonic(trees.margin(x[check]), y[check]), rate)
+    calibrate = boosting.isotonic(trees.margin(x[check]), y[check])
+    # Back from the shares of the classes among the chosen rows to those among all.
+    up, down = (sides[side] / min(sides[side], bound[side]) for side in (1, 0))
+    calibrate.value = calibrate.value * up / (calibrate.value * up + (1 - calibrate.value) * down)
+    return Model(plan, lexicon_without(None), trees, calibrate, rate)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

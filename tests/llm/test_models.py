@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from pagemill.llm import attention, boosting, lmscore, toxicity
+from pagemill.llm import textbytes as tb
 
 
 def test_attention_gradients():
@@ -134,3 +135,24 @@ def test_lm_pass_counts_every_id(spark, docs, texts):
     assert n == len(lmscore.encoded(pa.array([t for _, t in texts] + ["no id here"]), encoder).ids)
     assert {k: v.shape for k, v in weights.items()} == {k: v.shape for k, v in start.items()}
     assert all((v == attention.shaped(attention.flat(start), start)[k]).all() for k, v in start.items())
+
+
+def test_toxicity_with_ten_toxic_labels(spark, labelled):
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    toxic = [i for i, _, y in labelled if y and not held(i)][:10]
+    labels = [(i, 1) for i in toxic] + [(i, 0) for i, _, y in labelled if not y and not held(i)][:80]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in labelled], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = {i: y for i, _, y in labelled}
+    for plan in (toxicity.ToxicityPlan(), toxicity.ToxicityPlan(train_rows=40)):
+        rows = [r for r in toxicity.toxicity(docs, labels, plan).collect() if r.held_out]
+        mean = [np.mean([r.score for r in rows if truth[r.doc_id] == side]) for side in (0, 1)]
+        assert mean[1] > mean[0] + 0.1
+        assert sum(r.predicted for r in rows if truth[r.doc_id]) > 0.4 * sum(truth[r.doc_id] for r in rows)
+
+
+def test_an_empty_span_at_the_end(monkeypatch):
+    # A word of signs only has an empty core, which may stand last in a batch.
+    monkeypatch.setattr(tb, "_CACHE", {})
+    data = np.full(100_000, 97, np.uint8)
+    h = tb.span_hashes(data, np.array([0, 100_000]), np.array([3, 100_000]))
+    assert h[0] == tb.hash_word(b"aaa") and h[1] == tb.hash_word(b"")
