@@ -69,7 +69,7 @@ class LicensePlan:
 
     def masks(self) -> list[int]:
         draw = random.Random(self.seed)
-        return [draw.getrandbits(63) for _ in range(self.bands)]
+        return [draw.getrandbits(64) - 2**63 for _ in range(self.bands)]
 
 
 def words_of(text: Column) -> Column:

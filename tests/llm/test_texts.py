@@ -168,3 +168,20 @@ def test_hash_arithmetic_wraps_quietly():
 
     with np.errstate(all="raise"):
         assert tb.hash_word(b"abc") != tb.hash_word(b"acb")
+
+
+def test_licenses_with_one_word_changed(spark):
+    plan, r = licenses.LicensePlan(), random.Random(6)
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        words = re.findall(r"[^\W_]+", text.lower())
+        whole = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        for k in range(len(words)):
+            changed = [*words[:k], "qqq", *words[k + 1 :]]
+            share = len(whole & {tuple(changed[i : i + 5]) for i in range(len(changed) - 4)}) / len(whole) if whole else 0
+            for _ in range(12 if share >= plan.containment else 0):
+                around = [[f"w{r.randrange(10**6)}" for _ in range(r.randrange(0, 40))] for _ in range(2)]
+                want[len(rows), name] = share
+                rows.append((len(rows), " ".join([*around[0], *changed, *around[1]])))
+    got = {(x.doc_id, x.template): x.containment for x in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want and all(got.get(k, 0) == pytest.approx(v) for k, v in want.items()), len([k for k in want if k not in got])
