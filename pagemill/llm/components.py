@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import discard, stored
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -27,19 +27,19 @@ def _small_star(e: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; edges has long columns u and v, component is the smallest node.
 
-    A hub's edges are never grouped in one task: minima are pre-aggregated and joined back.
+    Minima are pre-aggregated, and a hub's edges meet its minimum in a join that adaptive execution splits.  The rounds
+    go on until nothing moves; their number is of the order of the square of the logarithm of the number of nodes.
     """
     e = stored(edges.select("u", "v").filter("u <> v").distinct(), "cc")
     mark = None
-    for _ in range(rounds):
-        e = stored(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+    while True:
+        before, e = e, stored(_small_star(_large_star(e)).filter("u <> v").distinct(), "cc")
+        discard(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -26,7 +26,9 @@ that passes is verified on the exact sets.  No candidate is dropped otherwise.
 Defined results: null, empty and word-less texts have no shingles and link
 with nothing (their component is their own id); texts with fewer words than n
 have their whole sequence as one shingle; a row without id gets its set size
-and no component; repeated rows are copies.  Elements are 52-bit hashes.
+and no component, and links nothing; repeated rows are copies; rows that share
+an id but not their text are separate nodes; ids are of any type that has an
+order.  Elements are 52-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .storage import stored
+from .names import free_name
+from .storage import discard, stored
 
 U64 = np.uint64
 _MASK = U64((1 << 52) - 1)
@@ -62,6 +65,7 @@ class JaccardPlan:
     frequent_kept: int = 1 << 20
     salt_from: int = 2048
     block: int = 1024
+    counted_at_once: int = 1 << 21
     most_enumerated: int = 24
     broadcast_rows: int = 200_000
     rounds: int = 3
@@ -161,18 +165,18 @@ def sketch_bits(n: np.ndarray) -> np.ndarray:
     return np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
 
 
-def sketches(s: Sets) -> list[bytes]:
-    """Parity bits of each set: sets with d unequal elements differ in d bits at most.
+def sketches(s: Sets, wanted: np.ndarray) -> list[bytes | None]:
+    """Parity bits of each wanted set: sets with d unequal elements differ in d bits at most.
 
     Bit i is the parity of the elements that are i modulo the number of bits, so a sketch folds to half its bits by
     XOR of its halves, and sets of unlike sizes stay comparable.
     """
     n = np.diff(s.offsets)
     bits = sketch_bits(n)
-    out = [b""] * len(n)
-    for size in np.unique(bits):
-        g = np.flatnonzero(bits == size)
-        for part in np.array_split(g, max(1, len(g) * int(size) >> 22)):
+    out: list[bytes | None] = [None] * len(n)
+    for size in np.unique(bits[wanted]):
+        g = np.flatnonzero((bits == size) & wanted)
+        for part in np.array_split(g, max(1, len(g) * int(size) >> 20)):
             if len(part):
                 at = np.repeat(s.offsets[part], n[part]) + np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
                 spot = np.repeat(np.arange(len(part)), n[part]) * size + (s.codes[at] & U64(size - 1)).astype(np.int64)
@@ -241,32 +245,51 @@ def keys_of(s: Sets, plan: JaccardPlan, boundary: int, frequent: Frequent, skip:
 def count_frequent(texts: DataFrame, plan: JaccardPlan) -> tuple[Frequent, float]:
     """The most frequent shingles (a table of bounded size) and the mean length of a list, over all texts."""
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            every, total = [], 0
-            for lo, hi in chunks(b.column(0)):
-                every.append(shingle_sets(b.column(0).slice(lo, hi - lo), plan, NONE).codes)
-            codes = np.sort(np.concatenate(every)) if every else np.zeros(0, np.uint64)
+        def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+            codes = np.concatenate(parts)
+            codes.sort()
             edge = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
             n = np.diff(np.append(edge, len(codes)))
             keep = n > 1
-            total = len(codes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(codes[edge[keep]].view(np.int64), -1)), pa.array(np.append(n[keep], total))], names=["code", "n"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(np.append(codes[edge[keep]].view(np.int64), -1)), pa.array(np.append(n[keep], len(codes)))], names=["code", "n"])
+
+        held, size = [], 0
+        for b in batches:
+            for lo, hi in chunks(b.column(0)):
+                held.append(shingle_sets(b.column(0).slice(lo, hi - lo), plan, NONE).codes)
+                size += len(held[-1])
+                if size >= plan.counted_at_once:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     counts = stored(texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "jaccard-frequent")
     total = counts.filter("code = -1").agg(F.sum("n")).first()[0] or 0
     known = counts.filter(f"code <> -1 AND n >= {plan.frequent}")
     squares = known.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    top = known.orderBy(F.desc("n"), "code").limit(plan.frequent_kept).toArrow()
+    # The least count that stays, from a histogram: exact up to 4096, in steps of 1/64 octave from there.
+    step = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64) + 4096.0 - 768.0)
+    least, kept = None, 0
+    for r in known.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("codes"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        kept += r["codes"]
+        if kept > plan.frequent_kept:
+            break
+        least = r["n"]
+    top = known.filter(F.col("n") >= least).toArrow() if least else None
+    discard(counts)
+    if top is None:
+        return NONE, 1 + squares / max(1, total)
     return Frequent(top.column("code").to_numpy().view(np.uint64), top.column("n").to_numpy()), 1 + squares / max(1, total)
 
 
 def describe(docs: DataFrame, plan: JaccardPlan, frequent: Frequent, boundary: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, fp, sketch, keys) of every row; of equal sets in a batch, one has keys and sketch."""
+    """(doc_id, copy, n, fp, sketch, keys) of every row, stored; copy is a hash of the text; of equal sets in a batch, one that has an id has keys and sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for b in batches:
@@ -275,21 +298,23 @@ def describe(docs: DataFrame, plan: JaccardPlan, frequent: Frequent, boundary: i
                 s = shingle_sets(b.column(1).slice(lo, hi - lo), plan, frequent)
                 n, fp = np.diff(s.offsets), fingerprints(s)
                 skip = np.ones(len(n), bool)
-                _, first = np.unique(fp, return_index=True)
-                fresh = [i for i in first.tolist() if int(fp[i]) not in done]
+                named = np.flatnonzero(b.column(0).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False) & (n > 0))
+                _, first = np.unique(fp[named], return_index=True)
+                fresh = [i for i in named[first].tolist() if int(fp[i]) not in done]
                 skip[fresh] = False
                 done.update(fp[fresh].tolist())
-                rows, keys = keys_of(s, plan, boundary, frequent, skip | (n == 0))
+                rows, keys = keys_of(s, plan, boundary, frequent, skip)
                 order = np.argsort(rows, kind="stable")
                 edge = np.searchsorted(rows[order], np.arange(len(n) + 1))
-                sketch = [x if f else None for x, f in zip(sketches(s), ~skip, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(fp), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys[order]))],
-                    names=["doc_id", "n", "fp", "sketch", "keys"],
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(n), pa.array(fp), pa.array(sketches(s, ~skip), pa.binary()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys[order]))],
+                    names=["doc_id", "copy", "n", "fp", "sketch", "keys"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, fp long, sketch binary, keys array<long>")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
+    out = stored(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, copy long, n long, fp long, sketch binary, keys array<long>"), "jaccard-described")
+    shared.destroy()
+    return out
 
 
 def _close(key: np.ndarray, n: np.ndarray, fp: np.ndarray, plan: JaccardPlan, cut: bool) -> list[tuple[np.ndarray, ...]]:
@@ -324,6 +349,7 @@ def _close(key: np.ndarray, n: np.ndarray, fp: np.ndarray, plan: JaccardPlan, cu
 def meet(described: DataFrame, plan: JaccardPlan) -> DataFrame:
     """(key, x, nx, y, ny, pair): candidate pairs (pair true) and members of long lists (pair false)."""
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         cut = False
@@ -336,7 +362,7 @@ def meet(described: DataFrame, plan: JaccardPlan) -> DataFrame:
             if not len(held[0]):
                 continue
             stop = int(np.searchsorted(held[0], held[0][-1]))
-            overfull = stop == 0 and len(held[0]) > 1 << 20
+            overfull = stop == 0 and len(held[0]) > 1 << 19
             if overfull:  # one list beyond a task's share: its parts are compared by blocks later on
                 stop = len(held[0])
             if stop:
@@ -357,23 +383,32 @@ def meet(described: DataFrame, plan: JaccardPlan) -> DataFrame:
 def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
     """Pairs (x, y) of different components within one list that pass the size and bitmap bounds.
 
-    members: (key, x, n, component, sketch).  A list is cut into blocks of about plan.block members and every two
-    blocks of a list are compared in a task's memory.  Two sets often share many lists: each carries its smallest keys,
-    and a pair is given by the list of the smallest key that both carry, or by any list where they carry none alike.
+    members: (key, x, n, component, sketch).  A list's largest component is not compared with itself: its members are
+    cut into blocks of about plan.block, the others too, and every block of others is compared in a task's memory with
+    every block.  So a list of m near copies and few others costs some copies of m rows, not of m * m / plan.block.  Two
+    sets often share many lists: each carries its smallest keys, and a pair is given by the list of the smallest key that
+    both carry, or by any list where they carry none alike.
     """
     carried = members.groupBy("x").agg(F.slice(F.sort_array(F.collect_set("key")), 1, plan.carried_keys).alias("carried"))
     members = members.join(carried, "x")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    blocks = F.ceil(F.col("m") / plan.block).cast("int")
-    m = members.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("x", F.lit(5)), F.col("blocks")).cast("int"))
-    other = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    sizes = by_component.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top")).filter("all > top.m")
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(of / plan.block).cast("int")
+
+    sizes = sizes.select("key", F.col("top.component").alias("top"), blocks(F.col("top.m")).alias("top_blocks"), blocks(F.col("all") - F.col("top.m")).alias("blocks"))
+    in_top, spot = F.col("component") == F.col("top"), F.xxhash64("x", F.lit(5))
+    m = members.join(sizes, "key").withColumn("mine", F.when(in_top, F.col("blocks") + F.pmod(spot, F.col("top_blocks"))).otherwise(F.pmod(spot, F.col("blocks"))).cast("int"))
+    last = F.when(in_top, F.col("blocks")).otherwise(F.col("blocks") + F.col("top_blocks")) - 1
+    other = m.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     cell = other.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
 
     def run(table: pa.Table) -> pa.Table:
         x, n, c = (table.column(k).to_numpy() for k in ("x", "n", "component"))
         mine, a, b = (table.column(k).to_numpy() for k in ("mine", "a", "b"))
         sketch = [v.as_py() for v in table.column("sketch")]
-        here, carried = table.column("key")[0].as_py(), [frozenset(v) for v in table.column("carried").to_pylist()]
+        here, carried = table.column("key")[0].as_py(), table.column("carried").combine_chunks()
         words = np.array([len(v) // 8 for v in sketch])
         left, right = np.flatnonzero(mine == a), np.flatnonzero(mine == b)
         xs, ys = [x[:0]], [x[:0]]
@@ -389,22 +424,23 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
                 low = min(u, v)
                 p_sketch, q_sketch = folded(by_width[u], low), folded(by_width[v], low)
                 lu, rv = left[words[left] == u], right[words[right] == v]
-                for part in np.array_split(lu, max(1, len(lu) * len(rv) // 1_000_000)):
+                for part in np.array_split(lu, max(1, len(lu) * len(rv) // 200_000)):
                     p, q = n[part][:, None], n[rv][None, :]
                     ok = (c[part][:, None] != c[rv][None, :]) & (100 * np.minimum(p, q) >= plan.percent * np.maximum(p, q))
                     if a[0] == b[0]:
                         ok &= x[part][:, None] < x[rv][None, :]
                     i, j = np.nonzero(ok)
-                    for at in np.array_split(np.arange(len(i)), max(1, len(i) * low // 4_000_000)):
+                    for at in np.array_split(np.arange(len(i)), max(1, len(i) * low // 500_000)):
                         s, t = part[i[at]], rv[j[at]]
                         need = -(-plan.percent * (n[s] + n[t]) // (100 + plan.percent))
                         unlike = np.bitwise_count(p_sketch[place[s]] ^ q_sketch[place[t]]).sum(axis=1)
                         near = np.flatnonzero(unlike <= n[s] + n[t] - 2 * need)
-                        own = [min(carried[i] & carried[j], default=here) == here for i, j in zip(s[near].tolist(), t[near].tolist(), strict=True)]
+                        own = [min(set(carried[i].as_py()).intersection(carried[j].as_py()), default=here) == here for i, j in zip(s[near].tolist(), t[near].tolist(), strict=True)]
                         near = near[np.array(own, bool)]
                         xs.append(x[s[near]])
                         ys.append(x[t[near]])
         x, y = np.concatenate(xs), np.concatenate(ys)
+        tb.release()
         return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
 
     got = cell.select("key", "a", "b", "mine", "x", "n", "component", "sketch", "carried").groupBy("key", "a", "b").applyInArrow(run, "x long, y long")
@@ -412,14 +448,16 @@ def _compare_blocks(members: DataFrame, plan: JaccardPlan) -> DataFrame:
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, plan: JaccardPlan) -> DataFrame:
-    """pairs (x, y, keys) of class ids whose sketches do not rule out a link."""
+    """pairs (x, nx, y, ny, keys) of classes whose sketches do not rule out a link, as (x, y, keys)."""
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
             nx, ny = b.column(3).to_numpy(), b.column(4).to_numpy()
             room = nx + ny - 2 * -(-plan.percent * (nx + ny) // (100 + plan.percent))
-            for i, (p, q, most) in enumerate(zip(b.column(5).to_pylist(), b.column(6).to_pylist(), room.tolist(), strict=True)):
+            for i, (p, q, most) in enumerate(zip(b.column(5), b.column(6), room.tolist(), strict=True)):
+                p, q = p.as_py(), q.as_py()
                 p, q = (p, q) if len(p) >= len(q) else (q, p)
                 long, bits = int.from_bytes(p, "little"), 8 * len(q)
                 if len(p) > len(q):
@@ -429,37 +467,42 @@ def _bounded(pairs: DataFrame, classes: DataFrame, plan: JaccardPlan) -> DataFra
                 keep[i] = (long ^ int.from_bytes(q, "little")).bit_count() <= most
             yield b.select([0, 1, 2]).filter(pa.array(keep))
 
-    c = classes.select("rep", "n", "sketch")
-    both = pairs.join(c.toDF("x", "nx", "sx"), "x").join(c.toDF("y", "ny", "sy"), "y")
+    c = classes.select("fp", "sketch")
+    both = pairs.join(c.toDF("x", "sx"), "x").join(c.toDF("y", "sy"), "y")
     return both.select("x", "y", "keys", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long, keys long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, plan: JaccardPlan, key: str, text: str) -> DataFrame:
-    """(rep, set) of the wanted (rep, fp)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, few: bool, plan: JaccardPlan, key: str, text: str) -> DataFrame:
+    """(fp, set) of the wanted (rep, fp)."""
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in chunks(b.column(2)):
-                s = shingle_sets(b.column(2).slice(lo, hi - lo), plan, NONE)
+            for lo, hi in chunks(b.column(1)):
+                s = shingle_sets(b.column(1).slice(lo, hi - lo), plan, NONE)
                 sets = pa.ListArray.from_arrays(pa.array(s.offsets.astype(np.int32)), pa.array(s.codes.view(np.int64)))
-                same = pa.array(fingerprints(s) == b.column(1).slice(lo, hi - lo).to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), sets], names=["rep", "set"]).filter(same)
+                same = pa.array(fingerprints(s) == b.column(0).slice(lo, hi - lo).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), sets], names=["fp", "set"]).filter(same)
 
-    few = wanted.count() <= plan.broadcast_rows
-    rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "rep")
-    return rows.select("rep", "fp", "text").mapInArrow(run, "rep long, set array<long>")
+    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(F.broadcast(wanted) if few else wanted, "rep")
+    return rows.select("fp", "text").mapInArrow(run, "fp long, set array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: JaccardPlan, key: str, text: str) -> DataFrame:
-    """(u, v) of the pairs (x, y of class ids) that are linked."""
-    ids = pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("y").alias("rep"))).distinct()
-    wanted = stored(classes.join(ids, "rep", "left_semi").select("rep", "fp"), "jaccard-wanted")
-    sets = stored(_sets_of(docs, wanted, plan, key, text), "jaccard-sets")
-    a = sets.select(F.col("rep").alias("x"), F.col("set").alias("p"))
-    b = sets.select(F.col("rep").alias("y"), F.col("set").alias("q"))
+    """(u, v) of the pairs (x, y of classes) that are linked, stored."""
+    ids = pairs.select(F.col("x").alias("fp")).unionByName(pairs.select(F.col("y").alias("fp"))).distinct()
+    wanted = stored(classes.join(ids, "fp", "left_semi").select("rep", "fp"), "jaccard-wanted")
+    n = wanted.count()
+    sets = stored(_sets_of(docs, wanted, n <= plan.broadcast_rows, plan, key, text), "jaccard-sets")
+    # Rows repeated with id and text would verify a pair once for each.
+    once = sets if sets.count() == n else sets.dropDuplicates(["fp"])
+    a = once.select(F.col("fp").alias("x"), F.col("set").alias("p"))
+    b = once.select(F.col("fp").alias("y"), F.col("set").alias("q"))
     both = F.size(F.array_intersect("p", "q"))
     linked = 100 * both >= plan.percent * (F.size("p") + F.size("q") - both)
-    return pairs.join(a, "x").join(b, "y").filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    out = stored(pairs.join(a, "x").join(b, "y").filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v")), "jaccard-links")
+    discard(wanted, sets)
+    return out
 
 
 def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
@@ -475,23 +518,21 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("of").agg(F.max(F.struct("keys", "x", "y")).alias("b")).select("b.x", "b.y").distinct()
 
 
-def similar_components(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) per row of docs; component_id is the smallest id reachable by links."""
-    plan = plan or JaccardPlan()
+def _components(docs: DataFrame, plan: JaccardPlan, key: str, text: str) -> DataFrame:
+    """(key, copy, n, fp, label, component) per row of docs; a set is a node of the link graph, label names its component, whose smallest id is component."""
     spark = docs.sparkSession
     frequent, mean_list = count_frequent(docs.select(F.col(text).alias("text")), plan)
     boundary = choose_boundary(mean_list, plan)
-    described = stored(describe(docs, plan, frequent, boundary, key, text), "jaccard-described")
+    described = describe(docs, plan, frequent, boundary, key, text)
     alive = described.filter("n > 0 AND doc_id IS NOT NULL")
     classes = alive.groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"))
     classes = stored(classes, "jaccard-classes")
     met = stored(meet(alive, plan), "jaccard-met")
 
-    # Pairs by class id, with the number of keys they share.
-    px, py = (classes.select(F.col("fp").alias(s), F.col("n").alias(f"n{s}"), F.col("rep").alias(f"rep_{s}")) for s in ("x", "y"))
-    found = met.filter("pair").groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("keys"))
-    found = found.join(px, ["x", "nx"]).join(py, ["y", "ny"]).filter("rep_x <> rep_y")
-    found = found.groupBy(F.least("rep_x", "rep_y").alias("x"), F.greatest("rep_x", "rep_y").alias("y")).agg(F.sum("keys").alias("keys"))
+    # Pairs of classes, with the number of keys they share.
+    low, high = (f(*(F.struct(F.col(v).alias("fp"), F.col(f"n{v}").alias("n")) for v in "xy")) for f in (F.least, F.greatest))
+    found = met.filter("pair").select(low.alias("p"), high.alias("q"))
+    found = found.groupBy("p", "q").agg(F.count(F.lit(1)).alias("keys")).select(F.col("p.fp").alias("x"), F.col("p.n").alias("nx"), F.col("q.fp").alias("y"), F.col("q.n").alias("ny"), "keys")
     pairs = stored(_bounded(found, classes, plan), "jaccard-pairs")
 
     # Each class is tried with its likeliest partner outside its component, a few times over.
@@ -500,32 +541,56 @@ def similar_components(docs: DataFrame, plan: JaccardPlan | None = None, key: st
         tried = stored(_likeliest(pairs), "jaccard-tried")
         if tried.isEmpty():
             break
-        links = _verified(tried, docs, classes, plan, key, text)
-        group = _joined(group, links)
-        pairs = stored(_across(pairs.join(tried, ["x", "y"], "left_anti"), group).select("x", "y", "keys"), "jaccard-pairs")
+        old, group = group, _joined(group, _verified(tried, docs, classes, plan, key, text))
+        left, pairs = pairs, stored(_across(pairs.join(tried, ["x", "y"], "left_anti"), group).select("x", "y", "keys"), "jaccard-pairs")
+        discard(old, left, tried)
 
     # What is left: all pairs whose ends are still apart, and the members of long lists.
     members = met.filter("NOT pair").select(F.col("key").bitwiseAND(F.lit(_BARE)).alias("key"), F.col("x").alias("fp"), F.col("nx").alias("n")).distinct()
-    members = members.join(classes, ["fp", "n"]).join(group.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("key", F.col("rep").alias("x"), "n", F.coalesce("component", "rep").alias("component"), "sketch")
+    members = members.join(classes.drop("n"), "fp").join(group.withColumnRenamed("node", "fp"), "fp", "left")
+    members = members.select("key", F.col("fp").alias("x"), "n", F.coalesce("component", "fp").alias("component"), "sketch")
     more = _compare_blocks(members, plan)
     rest = stored(pairs.select("x", "y").unionByName(more).distinct(), "jaccard-open")
+    discard(met, pairs)
     if not rest.isEmpty():
-        group = _joined(group, _verified(rest, docs, classes, plan, key, text))
-    named = classes.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component"))
-    out = described.select("doc_id", "n", "fp").join(named, ["fp", "n"], "left")
-    mine = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component")))
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), mine.alias("component_id"))
+        old, group = group, _joined(group, _verified(rest, docs, classes, plan, key, text))
+        discard(old)
+    discard(rest)
+    labelled = classes.join(group.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    named = stored(labelled.join(least, "label").select("fp", "label", "component"), "jaccard-named")
+    discard(group, classes)
+    return described.select("doc_id", "copy", "n", "fp").join(named, "fp", "left").select(F.col("doc_id").alias(key), "copy", "n", "fp", "label", "component")
+
+
+def similar_components(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id) per row of docs; component_id is the smallest id reachable by links."""
+    rows = _components(docs, plan or JaccardPlan(), key, text)
+    mine = F.when(F.col("n") == 0, F.col(key)).otherwise(F.when(F.col(key).isNotNull(), F.col("component")))
+    return rows.select(key, F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
 def _joined(group: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) after more links."""
-    return stored(components(group.toDF("u", "v").unionByName(links)), "jaccard-groups")
+    out = stored(components(group.toDF("u", "v").unionByName(links)), "jaccard-groups")
+    discard(links)
+    return out
 
 
 def one_of_each(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id; rows without id or shingles stay."""
-    groups = similar_components(docs, plan, key, text)
-    stay = groups.filter(F.col("component_id").isNull() | (F.col("component_id") == F.col(key)))
-    rows = docs.join(stay.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_semi").dropDuplicates([key])
-    return rows.unionByName(docs.filter(F.col(key).isNull()))
+    """docs with one row of each component: one with the smallest id, and of those one with the smallest text hash.
+
+    Rows without id or shingles all stay.  Rows that share an id but are not linked are of different components.
+    """
+    copy = free_name(docs, "_copy")
+    rows = _components(docs, plan or JaccardPlan(), key, text).select(F.col(key).alias("id"), F.col("copy"), "n", "label").filter(F.col("id").isNotNull())
+    first = rows.filter("n > 0").groupBy("label").agg(F.min(F.struct("id", "copy")).alias("b")).select("b.id", "b.copy")
+    bare = rows.filter("n = 0").select("id", "copy").distinct()
+    again = stored(rows.filter("n > 0").groupBy("id", "copy").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").join(first, ["id", "copy"], "left_semi").select("id", "copy"), "jaccard-again")
+    named = docs.withColumn(copy, F.xxhash64(text))
+
+    kept = named.join(first.unionByName(bare).toDF(key, copy), [key, copy], "left_semi")
+    if not again.isEmpty():  # rows repeated with id and text
+        repeated = again.toDF(key, copy)
+        kept = kept.join(repeated, [key, copy], "left_anti").unionByName(kept.join(repeated, [key, copy], "left_semi").dropDuplicates([key, copy]))
+    return kept.unionByName(named.filter(F.col(key).isNull())).select(*docs.columns)

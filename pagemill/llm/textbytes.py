@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 _BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 2**64))
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 _CACHE: dict[str, np.ndarray] = {}
 
 
@@ -44,6 +44,26 @@ def reuse_memory() -> None:
         libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    _CACHE.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker, that goes on to other tasks, gives freed memory back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     h = h ^ (h >> U64(32))
@@ -67,7 +87,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(texts: pa.Array, max_bytes: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def row_chunks(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about max_bytes of text; a longer row stands alone."""
     n = len(texts)
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -60,6 +60,44 @@ def test_one_of_each(docs, texts):
     assert jaccard.similar_components(docs.limit(0)).count() == 0
 
 
+def _near(r, text, k):
+    w = text.split(" ")
+    w[k] = "new" + str(r.randrange(10**6))
+    return " ".join(w)
+
+
+def test_copies_of_a_row_without_id_are_linked(spark):
+    r = random.Random(5)
+    text = " ".join(str(r.randrange(1000)) for _ in range(120))
+    rows = [(None, text), (7, text), (3, _near(r, text, 60)), (9, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x.component_id for x in jaccard.similar_components(docs).collect()}
+    assert got == {None: None, 7: 3, 3: 3, 9: 3}
+
+
+def test_one_of_each_by_text(spark):
+    r = random.Random(6)
+    a, b, c = (" ".join(str(r.randrange(1000)) for _ in range(120)) for _ in range(3))
+    rows = [("5", a), ("5", b), ("5", b), ("4", _near(r, b, 50)), ("8", c), ("9", c + " "), ("1", ""), ("1", None), ("2", ""), (None, a), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id string, text string, _copy int")
+    got = jaccard.one_of_each(docs, jaccard.JaccardPlan(words=5, percent=80))
+    assert got.columns == docs.columns
+    want = [("5", a), ("4", rows[3][1]), ("8", c), ("1", ""), ("1", None), ("2", ""), (None, a), (None, None)]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_list_with_one_large_component(spark):
+    # Near copies that share a passage with a few texts of their own: blocks compare the few with all, not all with all.
+    r = random.Random(8)
+    passage = " ".join(str(r.randrange(10**6)) for _ in range(20))
+    base = passage + " " + " ".join(str(r.randrange(10**6)) for _ in range(100))
+    rows = [(i, _near(r, base, 40 + i % 70)) for i in range(60)]
+    rows += [(100 + i, passage + " " + " ".join(str(r.randrange(10**6)) for _ in range(2 + i))) for i in range(25)]
+    plan = jaccard.JaccardPlan(small_list=2, salt_from=8, block=4, rounds=1)
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), plan).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == _components(rows, 4, 85)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
