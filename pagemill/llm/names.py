@@ -1,8 +1,9 @@
-"""Column names that do not clash with those a table has."""
+"""Names and hashes over all columns of a table, whatever they are called."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -11,3 +12,9 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def row_hash(df: DataFrame, prefix: str = "") -> Column:
+    """A hash of all columns of df; columns that may hold maps count by their JSON."""
+    each = [(F.col(f"{prefix}`{f.name}`"), f.dataType.simpleString()) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else c for c, kind in each])

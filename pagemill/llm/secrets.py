@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free_name
 from .storage import stored
 
 
@@ -64,7 +65,7 @@ def unseen_blobs(docs: DataFrame, ledger: DataFrame | None, text: str, key: str,
     """(blob, text) of one copy of each blob that the ledger lacks for this rule version."""
     rows = docs.select(F.col(key).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", blob_id(F.col("text")))
     chosen = rows.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
+    if ledger is not None:  # of (blob, rule_version)
         chosen = chosen.join(ledger.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
     c, r = chosen.hint("shuffle_hash").alias("c"), rows.alias("r")
     return r.join(c, (F.col("r.blob") == F.col("c.blob")) & F.col("r.path").eqNullSafe(F.col("c.path")), "left_semi").select("blob", "text")
@@ -120,18 +121,19 @@ def secret_scan(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, new_ledger, new_findings).
 
-    rows: key, blob and found (null if nothing) for every row of docs.
-    new_ledger: (blob, rule_version) of what is scanned after this call; new_findings: (blob, found).
-    A caller stores the last two and passes them to the next call, which then scans new blobs only.
+    rows: key, blob and found (null if nothing) for every row of docs, by the present rules only.
+    new_ledger: (blob, rule_version) of what is scanned after this call; new_findings: (blob, rule_version, found).
+    A caller stores the last two and passes them to the next call, which then scans new pairs of blob and version only.
     """
     version = rule_version(rules)
-    new = stored(scan_blobs(unseen_blobs(docs, ledger, text, key, version), rules), "secret-findings")
+    found = scan_blobs(unseen_blobs(docs, ledger, text, key, version), rules).select("blob", F.lit(version).alias("rule_version"), "found")
+    new = stored(found, "secret-findings")
     every = new if findings is None else findings.unionByName(new)
     paths = docs.select(F.col(key).alias(key), blob_id(F.col(text)).alias("blob"))
     scanned = paths.select("blob").distinct().withColumn("rule_version", F.lit(version))
     new_ledger = scanned if ledger is None else ledger.unionByName(scanned).distinct()
     # A blob may have most of the rows: its finding is repeated once per salt, its rows are dealt over the salts.
-    spread = every.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = every.filter(F.col("rule_version") == version).select("blob", "found").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = paths.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(spread, ["blob", "salt"], "left")
     return rows.select(key, "blob", "found"), new_ledger, every
 
@@ -142,12 +144,20 @@ def span_digest(found: Column, base_only: bool) -> Column:
     return F.array_join(F.transform(kept, lambda s: F.concat(s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, findings: DataFrame, text: str = "text", most_broadcast: int = 50_000) -> DataFrame:
-    """docs with every found span (spans that overlap as one) replaced by its kind in brackets; findings: (blob, found)."""
-    few = findings.count() <= most_broadcast
-    named = docs.withColumn("_blob", blob_id(F.col(text)))
-    found = findings.select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    joined = named.join(F.broadcast(found) if few else found, "_blob", "left")
+def redacted(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", key: str = "doc_id", most_broadcast: int = 200_000, salts: int = 16) -> DataFrame:
+    """docs with every found span (spans that overlap as one) replaced by its kind in brackets; findings: (blob, rule_version, found).
+
+    Findings of other rules are not looked at.  All columns of docs stay as they are but text, which stays null where it is.
+    Findings are broadcast where they have at most most_broadcast spans, else each is dealt over salts.
+    """
+    blob, found, salt = (free_name(docs, c) for c in ("_blob", "_found", "_salt"))
+    mine = findings.filter(F.col("rule_version") == rule_version(rules)).select(F.col("blob").alias(blob), F.col("found").alias(found))
+    named = docs.withColumn(blob, blob_id(F.col(text)))
+    if (mine.agg(F.sum(F.size(found))).first()[0] or 0) <= most_broadcast:
+        joined = named.join(F.broadcast(mine), blob, "left")
+    else:
+        spread = mine.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = named.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(spread, [blob, salt], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -157,5 +167,5 @@ def redacted(docs: DataFrame, findings: DataFrame, text: str = "text", most_broa
     def finish(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    clean = F.when(F.col("_found").isNotNull(), F.aggregate("_found", start, step, finish)).otherwise(F.col(text))
+    clean = F.when(F.col(found).isNotNull(), F.aggregate(found, start, step, finish)).otherwise(F.col(text))
     return joined.withColumn(text, clean).select(*docs.columns)
