@@ -7,7 +7,7 @@ by URL key and time and writes them with Spark's text writer, whose line
 separator is the record terminator (two CRLF); so the archives are ordinary
 uncompressed WARC files on any file system that Spark writes to.
 
-Reading: archives are read whole (their size is bounded by records_per_file)
+Reading: archives are read whole (their size is bounded)
 and cut by Content-Length, never by searching for a separator, so a payload
 may hold anything.  Digests of stored payloads are recomputed and compared.
 
@@ -119,9 +119,13 @@ def revisits(digests: DataFrame, least_bytes: int) -> DataFrame:
     return joined.filter(~is_first | (F.col("copies") > 1)).select("payload_digest", "page_id", F.nullif(F.col("first"), big).alias("refers_to"), is_first.alias("is_first"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_per_file: int = 4000, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Write one WARC record per row of pages under path."""
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = 1 << 26, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
+    """Write one WARC record per row of pages under path, in files of about file_bytes at most or of one record.
+
+    Records are written by classes of size, each class with so many records a file.  Line breaks in a URL are left out,
+    before its key is made.
+    """
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.regexp_replace(url, r"[\r\n]", "").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", payload_digest(F.col("payload")))
     again = stored(revisits(rows.select("page_id", "payload_digest", F.octet_length("payload").alias("payload_bytes")), least_bytes), "warc-revisits")
     few = again.count() <= BROADCAST_ROWS
@@ -139,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
         rows = rows.filter(~tie).withColumn("revisit", F.col("repeats")).unionByName(tied)
     when = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ident = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    line = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
+    line = F.coalesce("url", F.lit(""))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("payload")))
     head = F.concat(
@@ -157,8 +161,15 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
         ).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    runs = rows.select(url_key(F.col("url")).alias("url_key"), when.alias("at"), "page_id", F.concat(head, block).alias("value"))
-    runs.sortWithinPartitions("url_key", "at", F.col("page_id").asc_nulls_last()).select("value").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    runs = rows.select(url_key(F.col("url")).alias("url_key"), when.alias("at"), "page_id", F.octet_length("payload").alias("bytes"), F.concat(head, block).alias("value"))
+    most = pages.agg(F.max(F.octet_length(F.col(payload).cast("string")))).first()[0] or 0
+    low = -1
+    while low < most or low < 0:
+        high = max(1 << 16, 16 * low)
+        some = runs if low < 0 and most <= high else runs.filter((F.col("bytes") > low) & (F.col("bytes") <= high))
+        sorted_runs = some.sortWithinPartitions("url_key", "at", F.col("page_id").asc_nulls_last()).select("value")
+        sorted_runs.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, file_bytes // high)).text(path)
+        low = high
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
@@ -233,10 +244,13 @@ def read_index(spark, path: str, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(run, _INDEX_SCHEMA + (", payload binary" if payloads else ""))
 
 
-def merge_runs(index: DataFrame, ranges: int | None = None) -> DataFrame:
-    """index in global order of (url_key, at, page_id): with columns url_key, merge_range and merge_pos."""
+def merge_runs(index: DataFrame, ranges: int | None = None, rows_per_range: int = 100_000) -> DataFrame:
+    """index in global order of (url_key, at, page_id): with columns url_key, merge_range and merge_pos.
+
+    index is read twice and counted, so it should be stored.  There are as many ranges as its rows ask for.
+    """
     spark = index.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // rows_per_range))
     rows = index.withColumn("url_key", url_key(F.col("url")))
     names = rows.columns
     spots = [names.index(c) for c in ("url_key", "at", "page_id", "run")]
@@ -274,4 +288,4 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0, path: str | None = Non
     """Write pages as WARC archives, read them back, and return the merged index."""
     path = path or fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path, least_bytes)
-    return merge_runs(read_index(pages.sparkSession, path))
+    return merge_runs(stored(read_index(pages.sparkSession, path), "warc-index"))
