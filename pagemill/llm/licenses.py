@@ -135,8 +135,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, plan:
             )
         )
     )
-    windows = cells.select(key, "shingles", "w", F.explode(starts).alias("start"))
-    windows = windows.select(key, "w", "start", F.expr("slice(shingles, start + 1, w.width)").alias("window")).withColumn("bands", _bands(F.col("window"), plan))
+    # Each window row carries its own slice, never the shingles of its whole text.
+    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("shingles"), i + 1, F.col("w.width")).alias("window")))
+    windows = cells.select(key, "w", F.explode(cut).alias("c")).select(key, "w", "c.start", "c.window").withColumn("bands", _bands(F.col("window"), plan))
     table = F.array(
         *[
             F.struct(F.lit(t["template"]).alias("template"), F.lit(t["m"]).alias("m"), F.array(*[F.lit(h) for h in t["shingles"]]).alias("shingles"), F.array(*[F.lit(b) for b in t["bands"]]).alias("bands"))
