@@ -1,18 +1,18 @@
 """Token counts by a unigram segmentation over a trie of distinct pre-tokens.
 
-A pre-token is a word with one blank before it, as bytes; a word of over
-max_word bytes is cut into pre-tokens of that size.  Its segmentation is
+A pre-token is a word with one blank before it, as bytes.  Its segmentation is
 the one with the highest sum of piece scores; ties go to the longer last
 piece.  The forward score of a position depends on the prefix up to there
 only, so distinct pre-tokens are sorted, which makes them a trie (a node is a
 prefix that the row before does not share), and each node is computed once,
 all nodes of one depth together.  Terminal counts are kept by word hash, so a
-word met again costs a lookup.
+word met again costs a lookup.  A word of over wide_word bytes is a path of its
+own, computed from end to end with only the scores of the last positions kept.
 
 The vocabulary is a public byte-level one (a parameter, never copied); its
 file has ranks, from which scores follow by Zipf's law: -ln((rank + 1) * H).
-Pieces of over max_piece bytes are not used.  All single bytes are pieces, so
-every text has a segmentation.
+All pieces are used.  All single bytes are pieces, so every text has a
+segmentation.
 
 Defined results: null and empty texts have no tokens; repeated rows count
 each; words of any length are segmented whole; an empty table gives no rows.
@@ -34,6 +34,7 @@ from . import textbytes as tb
 
 U64 = np.uint64
 _B = U64(0xC6A4A7935BD1E995)
+_B_INV = U64(pow(int(_B), -1, 2**64))
 _M = U64(0x9E3779B97F4A7C15)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -41,8 +42,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 @dataclass(frozen=True)
 class TokenPlan:
     vocabulary: str = VOCABULARY
-    max_piece: int = 24
-    max_word: int = 512
+    wide_word: int = 512
     kept_words: int = 2_000_000
 
 
@@ -50,7 +50,7 @@ def read_pieces(plan: TokenPlan) -> dict[bytes, float]:
     with open(plan.vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     norm = math.log(len(ranks)) + 0.5772156649015329
-    return {p: -math.log((r + 1) * norm) for p, r in ranks.items() if len(p) <= plan.max_piece}
+    return {p: -math.log((r + 1) * norm) for p, r in ranks.items()}
 
 
 def _hash_bytes(piece: bytes) -> int:
@@ -65,28 +65,65 @@ class Pieces:
 
     def __init__(self, scores: dict[bytes, float]):
         self.longest = max(map(len, scores))
-        self.by_length = []
-        for k in range(self.longest + 1):
+        self.lengths = sorted({len(p) for p in scores}, reverse=True)
+        self.by_length = {}
+        for k in self.lengths:
             some = sorted((_hash_bytes(p), s) for p, s in scores.items() if len(p) == k)
             h = np.array([x for x, _ in some], np.uint64)
-            seen = np.zeros(1 << 18, bool)
-            seen[((h * _M) >> U64(46)).astype(np.int64)] = True
-            self.by_length.append((h, np.array([x for _, x in some]), seen))
+            shift = U64(64 - min(18, max(8, (16 * len(some)).bit_length())))
+            seen = np.zeros(1 << (64 - int(shift)), bool)
+            seen[((h * _M) >> shift).astype(np.int64)] = True
+            self.by_length[k] = (h, np.array([x for _, x in some]), seen, shift)
         self.power = np.full(self.longest + 1, _B, np.uint64)
         self.power[0] = 1
         self.power = np.multiply.accumulate(self.power)
 
     def find(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in h that are pieces of k bytes, and their scores."""
-        hashes, scores, seen = self.by_length[k]
-        at = np.flatnonzero(seen[((h * _M) >> U64(46)).astype(np.int64)])
-        if not len(at) or not len(hashes):
-            return at[:0], scores[:0]
+        hashes, scores, seen, shift = self.by_length[k]
+        at = np.flatnonzero(seen[((h * _M) >> shift).astype(np.int64)])
+        if not len(at):
+            return at, scores[:0]
         j = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
         true = hashes[j] == h[at]
         return at[true], scores[j[true]]
 
 
+def segment_path(word: np.ndarray, pieces: Pieces, tile: int = 1 << 16) -> tuple[int, float]:
+    """Pieces and score of the best segmentation of one word of any length."""
+    n, first = len(word), 0
+    best, count = [0.0], [0]  # of the positions from first on
+    for t in range(0, n, tile):
+        lo, hi = max(0, t - pieces.longest), min(n, t + tile)
+        up, down = (np.multiply.accumulate(np.append(U64(1), np.full(hi - lo, base, np.uint64))) for base in (_B, _B_INV))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((word[lo:hi].astype(np.uint64) + U64(1)) * down[:-1], dtype=np.uint64)])
+        ends, sizes, scores = [], [], []
+        for k in pieces.lengths:
+            begin = max(0, t + 1 - k - lo)  # of the first piece that ends behind t
+            if begin + k <= hi - lo:
+                at, score = pieces.find((total[begin + k :] - total[begin : len(total) - k]) * up[begin + k - 1 : -1], k)
+                ends.append(at + begin + k + lo)
+                sizes.append(np.full(len(at), k))
+                scores.append(score)
+        end, size, score = (np.concatenate(x) for x in (ends, sizes, scores))
+        order = np.lexsort((-size, end))
+        here, top, pick = t, 0.0, 0
+        for e, k, s in zip(end[order].tolist(), size[order].tolist(), score[order].tolist(), strict=True):
+            if e != here:
+                if here > t:
+                    best.append(top)
+                    count.append(pick)
+                here, top, pick = e, -math.inf, 0
+            value = best[e - k - first] + s
+            if value > top:
+                top, pick = value, count[e - k - first] + 1
+        best.append(top)
+        count.append(pick)
+        gone = max(0, len(best) - pieces.longest)
+        best, count, first = best[gone:], count[gone:], first + gone
+    return count[-1], best[-1]
+
+
 def segment(matrix: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Pieces and score of the best segmentation of each row's first size bytes."""
     n, width = matrix.shape
@@ -106,7 +143,7 @@ def segment(matrix: np.ndarray, size: np.ndarray, pieces: Pieces) -> tuple[np.nd
         prefix[d] = prefix[d - 1] * _B + m[:, d - 1].astype(np.uint64) + U64(1)
         rows = np.flatnonzero((common < d) & (d <= length))
         top, pick = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int32)
-        for k in range(min(d, pieces.longest), 0, -1):
+        for k in (k for k in pieces.lengths if k <= d):
             at, score = pieces.find(prefix[d][rows] - prefix[d - k][rows] * pieces.power[k], k)
             if len(at):
                 value = best[d - k][rows[at]] + score
@@ -152,8 +189,10 @@ class Counter:
     def _segment(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts
         n, score = np.zeros(len(size), np.int64), np.zeros(len(size))
+        for i in np.flatnonzero(size > self.plan.wide_word).tolist():
+            n[i], score[i] = segment_path(np.append(np.uint8(32), data[starts[i] : ends[i]]), self.pieces)
         low, width = 0, 8
-        while low < (size.max() if len(size) else 0):
+        while low < min(size.max() if len(size) else 0, self.plan.wide_word):
             group = np.flatnonzero((size > low) & (size <= width))
             for part in np.array_split(group, max(1, len(group) * width // 4_000_000)):
                 if len(part):
@@ -188,9 +227,9 @@ def token_counts(docs: DataFrame, plan: TokenPlan | None = None, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(plan, shared.value)
         for b in batches:
-            for lo, hi in tb.row_chunks(b.column(1)):
+            for lo, hi in tb.row_chunks(b.column(1), 1 << 22):
                 data, offsets = tb.buffers(b.column(1).slice(lo, hi - lo))
-                starts, ends, wo = cut_long(*tb.words(data, offsets), plan.max_word)
+                starts, ends, wo = tb.words(data, offsets)
                 n, score = counter(data, starts, ends)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(np.diff(wo).astype(np.int64)), pa.array(tb.sums_by_row(n, wo)), pa.array(np.add.reduceat(np.append(score, 0.0), wo[:-1]) * (np.diff(wo) > 0))],
