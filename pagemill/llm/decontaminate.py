@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, row_chunks
+from .textbytes import U64, frugal, row_chunks
 
 _MULT = U64(0x9E3779B97F4A7C15)
 _PAD = np.uint32(0xFFFFFFFF)
@@ -42,7 +42,7 @@ class EditBudget:
     q: int = 8
     rate: float = 0.08
     block_chars: int = 2_000_000
-    part_chars: int = 1 << 21
+    part_chars: int = 1 << 19
 
     def edits(self, m: int) -> int:
         """k for an item of m characters: rate * m, lowered until the lemma still asks for two q-grams."""
@@ -68,13 +68,13 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     if len(codes) < q:
         return np.zeros(0, np.uint64)
     h, have = codes.astype(np.uint64), 1
-    power = _MULT
+    power = int(_MULT)
     for bit in bin(q)[3:]:
-        h = h[: len(h) - have] * power + h[have:]
-        have, power = have * 2, power * power
+        h = h[: len(h) - have] * U64(power) + h[have:]
+        have, power = have * 2, power * power % 2**64
         if bit == "1":
             h = h[:-1] * _MULT + codes[have:].astype(np.uint64)[: len(h) - 1]
-            have, power = have + 1, power * _MULT
+            have, power = have + 1, power * int(_MULT) % 2**64
     return h * _MULT
 
 
@@ -148,30 +148,32 @@ def _dense(at: np.ndarray, reach: int, least: int) -> np.ndarray:
     return at[_dense_mask(at, reach, least)]
 
 
-def _align(codes: np.ndarray, lo: np.ndarray, items: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edits, start and end of the best region of each (band, item); band i has the diagonals lo[i] .. lo[i]+width-1."""
+def _align(codes: np.ndarray, lo: np.ndarray, begin: np.ndarray, stop: np.ndarray, items: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edits, start and end of the best region of each (band, item); band i has the diagonals lo[i] .. lo[i]+width-1, its region lies in begin[i] .. stop[i]."""
     n = len(lo)
     size = np.array([len(x) for x in items])
     m = int(size.max())
     pattern = np.full((n, m), _PAD - 1, np.uint32)
     for i, x in enumerate(items):
         pattern[i, : len(x)] = x
-    one = np.int64(1) << 32
+    one, never = np.int64(1) << 32, np.int64(1) << 60
     step = np.arange(width, dtype=np.int64)
-    cost = np.broadcast_to(step, (n, width)).copy()  # low part: the diagonal where the region starts
-    best, where = np.full(n, 1 << 60, np.int64), np.zeros(n, np.int64)
     spot = lo[:, None] + step[None, :]
+    first, last = begin[:, None], stop[:, None]
+    cost = np.where(spot >= first, step, never)  # low part: the diagonal where the region starts
+    best, where = np.full(n, never, np.int64), np.zeros(n, np.int64)
     for i in range(m + 1):
         done = np.flatnonzero(size == i)
         if len(done):
-            where[done] = cost[done].argmin(axis=1)
-            best[done] = cost[done, where[done]]
+            ends = np.where(spot[done] + i <= last[done], cost[done], never)
+            where[done] = ends.argmin(axis=1)
+            best[done] = ends[np.arange(len(done)), where[done]]
         if i == m:
             break
         text = spot + i
-        inside = (text >= 0) & (text < len(codes))
+        inside = (text >= first) & (text < last)
         same = inside & (codes[np.where(inside, text, 0)] == pattern[:, i : i + 1])
-        new = cost + np.where(same, 0, one)
+        new = np.where(inside, cost + np.where(same, 0, one), never)
         np.minimum(new[:, :-1], cost[:, 1:] + one, out=new[:, :-1])
         new -= step * one
         np.minimum.accumulate(new, axis=1, out=new)
@@ -179,36 +181,36 @@ def _align(codes: np.ndarray, lo: np.ndarray, items: list[np.ndarray], width: in
     return best >> 32, lo + (best & (one - 1)), lo + where + size
 
 
-def find_items(codes: np.ndarray, row_of: np.ndarray, offsets: np.ndarray, index: GramIndex) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, start, end) of every item found; positions are within the row."""
+def find_items(codes: np.ndarray, begin: np.ndarray, stop: np.ndarray, index: GramIndex) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, edits, start, end) of every item found; row i is codes[begin[i]:stop[i]], positions are within the row."""
     at, item, spot = index.hits(codes)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     if len(at):
         half = index.edits[item] + 1
+        row = np.searchsorted(begin, at, "right") - 1
         diagonal = at - spot
-        keys = []
-        for shift in (0, 1):  # each q-gram counts in the two bands over its diagonal
-            keys.append(np.stack([item, diagonal // half - shift]))
-        pair = np.concatenate(keys, axis=1)
-        order = np.lexsort((pair[1], pair[0]))
-        pair = pair[:, order]
-        edge = np.flatnonzero(np.append(True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)))
-        count = np.diff(np.append(edge, pair.shape[1]))
-        keep = count >= index.bound[pair[0, edge]]
-        which, band = pair[0, edge[keep]], pair[1, edge[keep]]
+        # Each q-gram counts in the two bands over its diagonal, with those of its row only.
+        keys = np.concatenate([np.stack([row, item, diagonal // half - shift]) for shift in (0, 1)], axis=1)
+        keys = keys[:, np.lexsort(keys[::-1])]
+        edge = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        count = np.diff(np.append(edge, keys.shape[1]))
+        keep = count >= index.bound[keys[1, edge]]
+        rows, which, band = keys[:, edge[keep]]
         half = index.edits[which] + 1
         for k in np.unique(index.edits[which]):  # bands of equal width are aligned together
-            for part in np.array_split(g := np.flatnonzero(index.edits[which] == k), max(1, len(g) // 256)):
-                edits, start, end = _align(codes, band[part] * half[part], [index.items[i] for i in which[part]], int(2 * (k + 1)))
-                for i, e, s, z in zip(which[part], edits, start, end, strict=True):
-                    if e <= k and 0 <= s < z <= len(codes):
-                        row = int(np.searchsorted(offsets, s, "right")) - 1
-                        if z <= offsets[row + 1]:
-                            key, value = (row, int(i)), (int(e), int(s - offsets[row]), int(z - offsets[row]))
-                            found[key] = min(found.get(key, value), value)
+            g = np.flatnonzero(index.edits[which] == k)
+            cells = max(int(index.size[which[g]].max()), 16 * (int(k) + 1))
+            for part in np.array_split(g, max(1, len(g) * cells // 500_000)):
+                if not len(part):
+                    continue
+                edits, start, end = _align(codes, band[part] * half[part], begin[rows[part]], stop[rows[part]], [index.items[i] for i in which[part]], int(2 * (k + 1)))
+                for r, i, e, s, z in zip(rows[part].tolist(), which[part].tolist(), edits.tolist(), start.tolist(), end.tolist(), strict=True):
+                    if e <= k and s < z:
+                        value = (e, int(s - begin[r]), int(z - begin[r]))
+                        found[r, i] = min(found.get((r, i), value), value)
     if index.short:
-        for row in range(len(offsets) - 1):
-            text = codes[offsets[row] : offsets[row + 1]].astype("<u4").tobytes()
+        for row in range(len(begin)):
+            text = codes[begin[row] : stop[row]].astype("<u4").tobytes()
             for i in index.short:
                 want, p = index.items[i].astype("<u4").tobytes(), -1
                 while (p := text.find(want, p + 1)) >= 0 and p % 4:
@@ -228,15 +230,15 @@ def match_batch(texts: pa.Array, index: GramIndex) -> list[tuple[int, int, int,
             best: dict[int, tuple] = {}
             for p in range(0, len(rows[0]), part):
                 codes = folded(rows[0][p : p + part + lap])
-                for _, i, e, s, z in find_items(codes, None, np.array([0, len(codes)]), index):
+                for _, i, e, s, z in find_items(codes, np.array([0]), np.array([len(codes)]), index):
                     best[i] = min(best.get(i, (e, s + p, z + p)), (e, s + p, z + p))
             out += [(lo, i, *v) for i, v in sorted(best.items())]
             continue
         # A pad apart, so no q-gram of an item spans two rows.
-        offsets = np.zeros(len(rows) + 1, np.int64)
-        np.cumsum([len(t) + 1 for t in rows], out=offsets[1:])
-        codes = folded("￿".join(rows) + "￿")
-        out += [(r + lo, i, e, s, z) for r, i, e, s, z in find_items(codes, None, offsets, index)]
+        ends = np.cumsum([len(t) + 1 for t in rows])
+        codes = folded("\uffff".join(rows) + "\uffff")
+        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        out += [(r + lo, i, e, s, z) for r, i, e, s, z in find_items(codes, begin, ends - 1, index)]
     return out
 
 
@@ -261,6 +263,7 @@ def contamination(docs: DataFrame, bench: DataFrame, budget: EditBudget | None =
     for index in item_blocks(bench, budget, item_key, item_text):
         shared = spark.sparkContext.broadcast(index)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in batches:
@@ -284,6 +287,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, budget: EditBudget | None
     for index in item_blocks(bench, budget, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
