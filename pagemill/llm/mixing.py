@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free_name, row_hash
 from .storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,7 +105,7 @@ def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text"
         .join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
         .select("c.source", "c.band", "c.salt", "c.start", "t.source_size", "t.target", "t.offset")
     )
-    own = Window.partitionBy("source", "band", "salt").orderBy("size", "key")
+    own = Window.partitionBy("source", "band", "salt").orderBy("size", "key", *([row_hash(docs, "row.")] if carry else []))
     ranked = (full if carry else sizes).withColumn("nth", F.row_number().over(own))
     same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.band") == F.col("c.band")) & (F.col("d.salt") == F.col("c.salt"))
     placed = ranked.alias("d").join(cells.alias("c"), same).select("d.key", "d.source", "d.size", "d.nth", *(["d.row"] if carry else []), "c.start", "c.source_size", "c.target", "c.offset")
@@ -124,6 +125,6 @@ def mix_sources(docs: DataFrame, plan: MixPlan | None = None, text: str = "text"
 
 
 def mixed(docs: DataFrame, plan: MixPlan | None = None, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with copy counting from 1."""
+    """The mix itself: every row of docs as often as it is taken, with its number from 1 in copy (copy_ where docs has that, and so on)."""
     rows = mix_sources(docs, plan, text, source, key, carry=True).filter("copies > 0")
-    return rows.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return rows.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(free_name(docs, "copy")))
