@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .components import components
-from .names import free_name
+from .names import free_name, row_hash
 from .storage import discard, stored
 
 U64 = np.uint64
@@ -578,7 +578,7 @@ def _joined(group: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: one with the smallest id, and of those one with the smallest text hash.
+    """docs with one row of each component: one with the smallest id, of those one with the smallest hash of its text and then of its row.
 
     Rows without id or shingles all stay.  Rows that share an id but are not linked are of different components.
     """
@@ -592,5 +592,6 @@ def one_of_each(docs: DataFrame, plan: JaccardPlan | None = None, key: str = "do
     kept = named.join(first.unionByName(bare).toDF(key, copy), [key, copy], "left_semi")
     if not again.isEmpty():  # rows repeated with id and text
         repeated = again.toDF(key, copy)
-        kept = kept.join(repeated, [key, copy], "left_anti").unionByName(kept.join(repeated, [key, copy], "left_semi").dropDuplicates([key, copy]))
-    return kept.unionByName(named.filter(F.col(key).isNull())).select(*docs.columns)
+        once = kept.join(repeated, [key, copy], "left_semi").groupBy(F.col(key), F.col(copy)).agg(F.min_by(F.struct(*docs.columns), row_hash(docs)).alias("r"))
+        kept = kept.join(repeated, [key, copy], "left_anti").select(*docs.columns).unionByName(once.select("r.*"))
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))

@@ -164,25 +164,36 @@ def score_batch(texts: pa.Array, cfg: CompressionBands) -> dict[str, np.ndarray]
     return {k: np.concatenate([p[k] for p in parts]) for k, _ in VERDICT_FIELDS} if parts else {}
 
 
-def quality_rules(docs: DataFrame, cfg: CompressionBands | None = None, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with the verdict columns; the text itself is left out unless keep_text.
+def quality_rules(docs: DataFrame, cfg: CompressionBands | None = None, text: str = "text") -> DataFrame:
+    """docs with the verdict columns and without the text.
 
     Columns of docs that bear a verdict column's name are replaced.
     """
     cfg = cfg or CompressionBands()
     named = {k for k, _ in VERDICT_FIELDS}
-    rest = [f for f in docs.schema.fields if f.name not in named and (keep_text or f.name != text)]
+    rest = [f for f in docs.schema.fields if f.name not in named and f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"{k} {t}" for k, t in VERDICT_FIELDS])
     names = [f.name for f in rest]
-    given = list(dict.fromkeys([*names, text]))
 
+    @tb.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = score_batch(b.column(given.index(text)), cfg)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(given.index(c)) for c in names] + [pa.array(v[k]) for k, _ in VERDICT_FIELDS],
-                    names=names + [k for k, _ in VERDICT_FIELDS],
-                )
+                v = score_batch(b.column(len(names)), cfg)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v[k]) for k, _ in VERDICT_FIELDS)], names=names + [k for k, _ in VERDICT_FIELDS])
 
-    return docs.select(*[docs[c] for c in given]).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in [*names, text]]).mapInArrow(run, schema)
+
+
+def kept_documents(docs: DataFrame, cfg: CompressionBands | None = None, text: str = "text") -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns as they are."""
+    cfg = cfg or CompressionBands()
+    at = docs.columns.index(text)
+
+    @tb.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(score_batch(b.column(at), cfg)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -148,6 +148,20 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs, b.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), b).count() == 0
 
 
+def test_an_item_cut_at_the_start_or_end_of_a_text(spark):
+    r = random.Random(13)
+    item = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(50))
+    budget = decontaminate.EditBudget()
+    k = budget.edits(len(item))
+    rows = [(i, item[i:]) for i in range(1, k + 4)] + [(100 + i, item[: len(item) - i]) for i in range(1, k + 4)] + [(200 + i, "zz " + item[i:]) for i in range(1, k + 1)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: (x.edits, x.start, x.end) for x in decontaminate.contamination(docs, bench, budget).collect()}
+    want = {i: _distance(item, t) for i, t in rows}
+    assert {i: e for i, (e, _, _) in got.items()} == {i: e for i, e in want.items() if e <= k}
+    assert all(0 <= s < z <= len(dict(rows)[i]) for i, (_, s, z) in got.items())
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a.b/x", "hi\r\n\r\nWARC/1.1"), (1, "https://www.A.b:80/X#f", None), (2, None, ""), (5, "u", "hi\r\n\r\nWARC/1.1"), (3, "http://a.b/x", "hi\r\n\r\nWARC/1.1"), (None, "q", "solo"), (7, "é", "solo"), (9, "é", "é日" * 9000)]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, record_type string")
@@ -166,11 +180,21 @@ def test_warc_round_trip(spark):
     assert (2, "response") in least and (7, "response") in least and (5, "revisit") in least
 
 
+def test_archives_of_odd_urls_and_sizes(spark, tmp_path):
+    r = random.Random(12)
+    pages = [(i, f"http://h{r.randrange(9)}.org/" + r.choice(["", "\n", "a\r\nb", "\nz"]) + str(r.randrange(50)), "é" * r.choice([5, 40_000, 600_000]) + str(i)) for i in range(50)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(warc.archive_pages(df, path=f"file://{tmp_path}/odd").collect(), key=lambda x: (x.merge_range, x.merge_pos))
+    order = [(x.url_key, x["at"], x.page_id) for x in got]
+    assert order == sorted(order) and {x.page_id: x.payload_bytes for x in got} == {i: len(h.encode()) for i, _, h in pages}
+    assert all(x.stat().st_size < 80 << 20 for x in (tmp_path / "odd").glob("part-*"))
+
+
 def test_payloads_come_back_whole(spark, tmp_path):
     r = random.Random(4)
     pages = [(i, f"http://h{i % 3}.org/{i}", "".join(chr(r.choice([13, 10, 65, 233, 0x1F389])) for _ in range(r.randrange(0, 400)))) for i in range(60)]
     where = f"file://{tmp_path}/warc"
-    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), where, records_per_file=7)
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), where, file_bytes=7 << 16)
     got = {x.page_id: bytes(x.payload).decode() for x in warc.read_index(spark, where, payloads=True).filter("record_type = 'response'").collect()}
     assert got == {i: h for i, _, h in pages if i in got} and len(got) == len({h for _, _, h in pages})
 

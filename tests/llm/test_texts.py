@@ -51,7 +51,7 @@ def test_token_counts(docs, texts):
     def best(w: bytes):
         score, n = [0.0] + [-1e300] * len(w), [0] * (len(w) + 1)
         for d in range(1, len(w) + 1):
-            for k in range(min(d, 24), 0, -1):
+            for k in range(min(d, 128), 0, -1):
                 s = pieces.get(w[d - k : d])
                 if s is not None and score[d - k] + s > score[d]:
                     score[d], n[d] = score[d - k] + s, n[d - k] + 1
@@ -60,12 +60,22 @@ def test_token_counts(docs, texts):
     got = {r.doc_id: r for r in tokencount.token_counts(docs).collect()}
     memo: dict = {}
     for i, t in texts:
-        parts = [w[k : k + 512] for w in re.findall(WORD.encode(), (t or "").encode()) for k in range(0, len(w), 512)]
+        parts = re.findall(WORD.encode(), (t or "").encode())
         each = [memo[p] if p in memo else memo.setdefault(p, best(b" " + p)) for p in parts]
         assert (got[i].n_pretokens, got[i].n_tokens) == (len(parts), sum(n for n, _ in each))
         assert got[i].log_score == pytest.approx(sum(s for _, s in each))
 
 
+@pytest.mark.parametrize("tile", [7, 130, 1 << 16])
+def test_a_long_word_is_one_pre_token(tile):
+    pieces = tokencount.Pieces(tokencount.read_pieces(tokencount.TokenPlan()))
+    r = random.Random(4)
+    for word in ("-" * 700, "=" * 64 + "thethe" * 100, "".join(r.choice("abct é") for _ in range(600)).replace(" ", ""), "https://" + "x/" * 300):
+        b = np.frombuffer(b" " + word.encode(), np.uint8)
+        n, score = tokencount.segment(b[None, :], np.array([len(b)]), pieces)
+        assert tokencount.segment_path(b, pieces, tile) == (n[0], pytest.approx(score[0]))
+
+
 def test_mix(docs):
     rows = mixing.mix_sources(docs, mixing.MixPlan()).collect()
     assert len(rows) == docs.count()
@@ -125,6 +135,59 @@ def test_secrets(spark):
     assert ledger2.count() == ledger.count() == len({hashlib.sha256((t or "").encode()).hexdigest() for t in texts})
     clean = {x.doc_id: x.text for x in secrets.redacted(docs, findings).filter("doc_id = 13").collect()}
     assert all(not _spans(t or "") for t in clean.values())
+    # Other rules: each row once, by those rules only, and the blobs are scanned for them.
+    more = (*secrets.RULES, secrets.Rule("emoji", "\U0001f389+"))
+    assert secrets.unseen_blobs(docs, ledger, "text", "doc_id", secrets.rule_version(more)).count() == ledger.count()
+    other, ledger3, findings3 = secrets.secret_scan(docs, ledger, findings, more)
+    plain, _, _ = secrets.secret_scan(docs, rules=more)
+    assert sorted(map(str, other.collect())) == sorted(map(str, plain.collect())) and other.count() == docs.count()
+    assert ledger3.count() == 2 * ledger.count()
+    back, _, _ = secrets.secret_scan(docs, ledger3, findings3)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_redaction_keeps_other_columns(spark, most):
+    rows = [(1, "a password=12345678 b", 5, "x", 1.5), (2, None, 6, "y", None), (3, "", None, None, 2.0), (1, "a password=12345678 b", 5, "x", 1.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _found int, _blob string, _Salt double")
+    _, _, findings = secrets.secret_scan(docs)
+    got = secrets.redacted(docs, findings, most_broadcast=most)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(i, t and t.replace("password=12345678", "[assign]"), *x) for i, t, *x in rows], key=str)
+
+
+def test_kept_documents_keep_their_columns(spark):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n)) for n in (30, 60, 90, 400)] + [None, "same " * 200]
+    docs = spark.createDataFrame([(i, t, 1, "own", {"a": i}) for i, t in enumerate(texts)], "doc_id long, text string, n_words int, kept string, m map<string,int>")
+    verdict = quality.quality_rules(docs.select("doc_id", "text"))
+    got = quality.kept_documents(docs)
+    assert got.schema == docs.schema
+    want = sorted(r.doc_id for r in verdict.filter("kept").collect())
+    assert sorted(r.doc_id for r in got.collect()) == want != [] and {r["n_words"] for r in got.collect()} == {1}
+
+
+def test_verdict_of_compression(docs, texts):
+    import zstandard
+
+    cfg = quality.CompressionBands()
+    size = lambda b: len(zstandard.ZstdCompressor(level=cfg.level, write_content_size=False).compress(b))
+    for r in quality.quality_rules(docs.filter("doc_id IS NOT NULL")).collect():
+        b = (dict(texts)[r.doc_id] or "").encode()
+        ratio = len(b) / size(b) if b else 1.0
+        low, high = next((lo, hi) for least, lo, hi in reversed(cfg.bands) if len(b) >= least)
+        parts = [b[k : k + cfg.chunk_bytes] for k in range(0, len(b), cfg.chunk_bytes)]
+        parts = [p for k, p in enumerate(parts) if k * cfg.chunk_bytes < len(b) - cfg.chunk_bytes // 2] if len(b) >= 2 * cfg.chunk_bytes else []
+        bad = sum(not cfg.chunk_low <= len(p) / size(p) <= cfg.chunk_high for p in parts) / len(parts) if parts else 0.0
+        assert (r.ratio, r.bad_chunk_share) == (pytest.approx(ratio), pytest.approx(bad))
+        assert r.kept == (not r.base_failed and low <= ratio <= high and bad <= cfg.bad_chunks)
+
+
+def test_mix_of_rows_with_one_size_and_key(spark):
+    rows = [(1, f"{w} b c", "s", 9) for w in ("x", "y", "z", "u")] + [(2, "k l", "t", 1), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    got = [sorted(map(str, mixing.mixed(docs.repartition(n)).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and mixing.mixed(docs).columns == ["doc_id", "text", "source", "copy", "copy_"]
 
 
 def test_licenses(spark, docs):
