@@ -13,7 +13,7 @@ from pagemill.llm.storage import stored
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the word rules and the compression bands keep."""
-    return quality.quality_rules(docs, keep_text=True).filter("kept").select(*docs.columns)
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind; n_chars follows the text."""
     _, _, findings = secrets.secret_scan(docs)
-    return secrets.redacted(docs, findings).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = secrets.redacted(docs, findings)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mix", mixed),
 ]
 
-#: Alignment, compression and set joins have no SQL form here; tests compare run() with a brute-force version.
+#: Alignment, compression and set joins have no SQL form here; tests/llm/test_pipeline.py has a brute-force version of each stage.
 ORACLE_SQL = None
 
 
