@@ -79,6 +79,36 @@ def robots_ttl_seconds(verdict: Column) -> Column:
     return F.when(verdict == "disallow-all", 60).otherwise(3600)
 
 
+def origin(url: Column) -> Column:
+    """scheme://host:port of a URL, as its robots.txt is kept under it."""
+    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
+
+
+def robots_table(responses: DataFrame, token: str) -> DataFrame:
+    """(origin, verdict, rules, expires_ms) from robots.txt responses (origin, status, body, fetched_ms); the latest of an origin counts.
+
+    Each distinct text is parsed once.
+    """
+    last = responses.groupBy("origin").agg(F.max_by(F.struct("status", "body", "fetched_ms"), "fetched_ms").alias("r")).select("origin", "r.*")
+    last = last.withColumn("verdict", robots_verdict(F.col("status")))
+    parsed = last.filter("verdict = 'rules'").select("body").distinct().withColumn("rules", parse_robots(F.col("body"), F.lit(token)))
+    joined = last.alias("l").join(parsed.alias("p"), F.col("l.body").eqNullSafe(F.col("p.body")) & (F.col("verdict") == "rules"), "left")
+    return joined.select("origin", "verdict", "rules", (F.col("fetched_ms") + 1000 * robots_ttl_seconds(F.col("verdict"))).alias("expires_ms"))
+
+
+def robots_checked(urls: DataFrame, table: DataFrame, now_ms: Column, url: str = "url") -> DataFrame:
+    """urls with robots: allowed, disallowed, or fetch where the origin's robots.txt is missing or out of date."""
+    rows = urls.withColumn("_origin", origin(F.col(url)))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
+    path = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+    t = table.select(F.col("origin").alias("_origin"), F.col("verdict").alias("_verdict"), F.col("rules").alias("_rules"), F.col("expires_ms").alias("_expires"))
+    said = (
+        F.when(F.col("_verdict").isNull() | (F.col("_expires") <= now_ms), "fetch").when(F.col("_verdict") == "allow-all", "allowed")
+        .when((F.col("_verdict") == "rules") & path_allowed(F.col("_rules"), path), "allowed").otherwise("disallowed")
+    )
+    return rows.join(t, "_origin", "left").withColumn("robots", said).select(*urls.columns, "robots")
+
+
 def ipv4_blocked(ip: Column) -> Column:
     """Whether an IPv4 address is malformed or not public."""
     parts = F.split(ip, r"\.", -1)
@@ -145,22 +175,32 @@ def listed_hosts(rows: DataFrame, host: str, domains: DataFrame) -> DataFrame:
     return rows.join(hit.withColumn("listed", F.lit(True)), host, "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
+# What a sentence on a failure has to say.
+BLOCKS = "blocking automated tools"
+PASSING = "temporary server-side issue"
+REJECTS = "deliberate rejection"
+UNREACHED = "couldn't be reached"
+SLOW = "took too long"
+ALLOWED_ONLY = "only fetches pages a site's robots.txt allows"
+TOO_LARGE = "size limit"
+
+
 def failure_text(kind: Column, error: Column, timed_out: Column) -> Column:
-    """A sentence on why an extraction failed; null if it did not."""
+    """A sentence on why an extraction failed; null if it did not.  What went wrong with the fetch goes before a time-out."""
     status = F.nullif(F.regexp_extract(error, r"^HTTP (\d+)", 1), F.lit("")).try_cast("int")
-    code = F.concat(F.lit("HTTP "), status.cast("string"))
+    code = F.concat(F.lit(" (HTTP "), status.cast("string"), F.lit(")."))
     reason = (
-        F.when(status.isin(*BLOCKING), F.concat(F.lit("The site refuses automated requests: it answered "), code, F.lit(".")))
-        .when(status >= 500, F.concat(F.lit("The site answered "), code, F.lit(", most likely a passing fault of its server.")))
-        .when(status.isNotNull(), F.concat(F.lit("The site declined this request with "), code, F.lit(".")))
-        .otherwise(F.concat(F.lit("The site could not be reached ("), error, F.lit(").")))
+        F.when(status.isin(*BLOCKING), F.concat(F.lit(f"The site is {BLOCKS}"), code))
+        .when(status >= 500, F.concat(F.lit(f"The site has a {PASSING}"), code))
+        .when(status.isNotNull(), F.concat(F.lit(f"The site's answer is a {REJECTS}"), code))
+        .otherwise(F.concat(F.lit(f"The site {UNREACHED} ("), error, F.lit(").")))
     )
     return (
-        F.when(kind == "robots", F.concat(F.lit("Extraction declined. "), error))
+        F.when(kind == "robots", F.concat(F.lit("Extraction declined. "), error, F.lit(f" This engine {ALLOWED_ONLY}.")))
         .when(kind == "blocked-url", F.concat(F.lit("Extraction refused. "), error))
-        .when(kind == "too-large", F.lit("Extraction refused. The page is larger than the size limit."))
+        .when(kind == "too-large", F.lit(f"Extraction refused. The page is over the {TOO_LARGE}."))
         .when(error.isNotNull() & (error != ""), F.concat(F.lit("Extraction failed. "), reason))
-        .when(timed_out, F.lit("Extraction failed. The page took too long to process."))
+        .when(timed_out, F.lit(f"Extraction failed. The page {SLOW} to process."))
     )
 
 

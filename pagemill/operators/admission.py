@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +20,17 @@ DAY_MS = 86_400_000
 def rate_limited(requests: DataFrame, key: str, at_ms: str, order: str, most: int | Column, window_ms: int) -> DataFrame:
     """requests with hits (of the key in the window up to this request, refused ones included) and allowed.
 
-    The frame is by time, so hits at the same millisecond that come later in `order` are taken off again.
+    A key's time is cut into slots of one window, and each slot also gets the rows of the slot before, so a busy key is
+    spread over its slots.  The frame is by time; hits at the same millisecond that come later in `order` are taken off.
     """
-    span = Window.partitionBy(key).orderBy(at_ms).rangeBetween(1 - window_ms, Window.currentRow)
-    peers = Window.partitionBy(key, at_ms)
+    slot = F.floor(F.col(at_ms) / window_ms)
+    both = requests.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_slot", F.when(F.col("_own"), slot).otherwise(slot + 1))
+    span = Window.partitionBy(key, "_slot").orderBy(at_ms).rangeBetween(1 - window_ms, Window.currentRow)
+    peers = Window.partitionBy(key, "_slot", at_ms)
     later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy(order))
-    hits = F.count(F.lit(1)).over(span) - later
     limit = F.lit(most) if isinstance(most, int) else most
-    return requests.withColumn("hits", hits).withColumn("allowed", F.col("hits") <= limit)
+    hits = both.withColumn("hits", F.count(F.lit(1)).over(span) - later).filter("_own").drop("_own", "_slot")
+    return hits.withColumn("allowed", F.col("hits") <= limit)
 
 
 def tier_limits(requests: DataFrame, tier: str = "tier") -> DataFrame:
@@ -35,7 +42,7 @@ def tier_limits(requests: DataFrame, tier: str = "tier") -> DataFrame:
 def daily_capped(requests: DataFrame, at_ms: str, order: str, cap: int | Column, tier: str = "tier") -> DataFrame:
     """requests with used (place within day and tier) and within_cap; no cap where it is null.
 
-    Places come from counts per (day, tier, hour) and a rank inside the hour, so a busy tier is spread over tasks.
+    Places come from counts per (day, tier, minute) and a rank inside the minute, so a busy tier is spread over tasks.
     """
     rows = requests.withColumn("_day", F.floor(F.col(at_ms) / DAY_MS)).withColumn("_slot", F.floor(F.col(at_ms) / 60_000))
     slots = rows.groupBy(tier, "_day", "_slot").count()
@@ -47,13 +54,17 @@ def daily_capped(requests: DataFrame, at_ms: str, order: str, cap: int | Column,
     return out.withColumn("within_cap", F.coalesce(F.col("used") <= limit, F.lit(True))).drop("_day", "_slot", "_before", "_nth")
 
 
-def admitted(requests: DataFrame, key: str, at_ms: str, order: str, most: int, window_ms: int, valid: Column, cap: int, tier: str = "tier") -> DataFrame:
-    """requests with decision: limited, invalid, capped or run; every stage counts only what the one before let pass."""
-    limited = rate_limited(requests, key, at_ms, order, most, window_ms).withColumn("_valid", valid)
-    passed = daily_capped(limited.filter("allowed AND _valid"), at_ms, order, cap, tier).withColumn("decision", F.when(F.col("within_cap"), "run").otherwise("capped"))
-    refused = limited.filter("NOT (allowed AND _valid)").withColumn("decision", F.when(~F.col("allowed"), "limited").otherwise("invalid"))
+def admitted(requests: DataFrame, key: str, at_ms: str, order: str, most: int, window_ms: int, valid: Column, cap: int, tier: str = "tier", busy: Column | None = None) -> DataFrame:
+    """requests with decision: limited, invalid, busy, capped or run; every stage counts only what the one before let pass.
+
+    busy tells whether all places were taken when the request came; such a request uses nothing of the cap.
+    """
+    limited = rate_limited(requests, key, at_ms, order, most, window_ms)
+    stage = F.when(~F.col("allowed"), "limited").when(~valid, "invalid").when(F.lit(False) if busy is None else busy, "busy")
+    limited = limited.withColumn("decision", stage)
+    passed = daily_capped(limited.filter("decision IS NULL"), at_ms, order, cap, tier).withColumn("decision", F.when(F.col("within_cap"), "run").otherwise("capped"))
     keep = [*requests.columns, "decision"]
-    return passed.select(keep).unionByName(refused.select(keep))
+    return passed.select(keep).unionByName(limited.filter("decision IS NOT NULL").select(keep))
 
 
 def too_many_at_once(runs: DataFrame, start_ms: str, end_ms: str, most: int = 2) -> DataFrame:
@@ -101,43 +112,56 @@ def current_invites(invites: DataFrame) -> DataFrame:
     return invites.groupBy("email").agg(best).select("email", "b.*")
 
 
+def _told(rows: DataFrame, by: str, order: list[str], name: str, kind: str, step: Callable[[Any, dict], tuple[Any, Any]]) -> DataFrame:
+    """rows with column name: step(state, row) gives the next state and the value, over each key's rows in order, from None.
+
+    A key's rows pass by one after the other and are never held together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), None
+        for b in batches:
+            values = []
+            for row in b.to_pylist():
+                if row[by] != at:
+                    at, state = row[by], None
+                state, value = step(state, row)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, {"string": pa.string(), "boolean": pa.bool_()}[kind])], names=[*b.schema.names, name])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{name}` {kind}"])
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
 def redeemed(attempts: DataFrame, invites: DataFrame, now: str = "at_ms", most_failures: int = 5, lock_ms: int = 900_000) -> DataFrame:
     """attempts (email, code_hash, at_ms) with result: ok, wrong, expired, unknown or locked.
 
-    Attempts of an address are folded in order: after most_failures wrong ones it is locked for lock_ms.
+    After most_failures attempts in a row that were not ok an address is locked for lock_ms.
     """
     joined = attempts.join(current_invites(invites), "email", "left")
-    state = (
+    said = (
         F.when(F.col("invite_hash").isNull(), "unknown").when(F.col("used"), "expired").when(F.col(now) > F.col("expires_ms"), "expired")
         .when(F.col("code_hash") == F.col("invite_hash"), "ok").otherwise("wrong")
     )
-    # A person's attempts are few: one row per address holds them.
-    series = joined.withColumn("_s", state).groupBy("email").agg(F.array_sort(F.collect_list(F.struct(F.col(now).cast("long").alias("at"), F.col("_s").alias("said")))).alias("all"))
-    start = F.struct(F.lit(0).alias("bad"), F.lit(-1).cast("long").alias("until"), F.array().cast("array<struct<at:bigint,result:string>>").alias("out"))
 
-    def step(acc: Column, a: Column) -> Column:
-        locked = a["at"] < acc["until"]
-        result = F.when(locked, "locked").otherwise(a["said"])
-        bad = F.when(locked, acc["bad"]).when(a["said"] == "ok", 0).otherwise(acc["bad"] + 1)
-        return F.struct(
-            F.when(bad >= most_failures, 0).otherwise(bad).alias("bad"),
-            F.when(~locked & (bad >= most_failures), a["at"] + lock_ms).otherwise(acc["until"]).alias("until"),
-            F.concat(acc["out"], F.array(F.struct(a["at"].alias("at"), result.alias("result")))).alias("out"),
-        )
+    def step(state: Any, row: dict) -> tuple[Any, str]:
+        bad, until = state or (0, -1)
+        if row[now] < until:
+            return (bad, until), "locked"
+        bad = 0 if row["said"] == "ok" else bad + 1
+        return ((0, row[now] + lock_ms) if bad >= most_failures else (bad, until)), row["said"]
 
-    return series.select("email", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r")).select("email", F.col("r.at").alias(now), F.col("r.result").alias("result"))
+    return _told(joined.select("email", F.col(now).cast("long").alias(now), said.alias("said")), "email", [now, "said"], "result", "string", step).drop("said")
 
 
 def stored_requests(requests: DataFrame, at_ms: str = "at_ms", quiet_ms: int = 7 * DAY_MS) -> DataFrame:
     """requests (email, at_ms) with kept: one is dropped while the last kept one of its address is under quiet_ms old."""
-    series = requests.groupBy("email").agg(F.array_sort(F.collect_list(F.col(at_ms).cast("long"))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<at:bigint,kept:boolean>>").alias("out"))
 
-    def step(acc: Column, at: Column) -> Column:
-        kept = acc["last"].isNull() | (at - acc["last"] >= quiet_ms)
-        return F.struct(F.when(kept, at).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), kept.alias("kept")))).alias("out"))
+    def step(last: Any, row: dict) -> tuple[Any, bool]:
+        kept = last is None or row[at_ms] - last >= quiet_ms
+        return (row[at_ms] if kept else last), kept
 
-    return series.select("email", F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("r")).select("email", F.col("r.at").alias(at_ms), F.col("r.kept").alias("kept"))
+    return _told(requests.select("email", F.col(at_ms).cast("long").alias(at_ms)), "email", [at_ms], "kept", "boolean", step)
 
 
 def purged(rows: DataFrame, now_ms: int, at_ms: Column, keep_days: Column) -> DataFrame:

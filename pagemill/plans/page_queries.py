@@ -102,8 +102,10 @@ ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/4\n\nUser-agent: pagemill\nU
 
 def robots_match(spark: SparkSession, d: str) -> DataFrame:
     path = F.regexp_replace(F.coalesce(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^#]*)", 1), F.lit("/")), "^$", "/")
-    rules = policy.parse_robots(F.lit(ROBOTS), policy.product_token(F.when(F.col("page_id") % 2 == 0, "PageMill/1.0 (+x)").otherwise("someone")))
-    return _pages(spark, d).select("page_id", policy.path_allowed(rules, path).alias("allowed"))
+    agent = F.when(F.col("page_id") % 2 == 0, "PageMill/1.0 (+x)").otherwise("someone")
+    rows = _pages(spark, d).select("page_id", path.alias("path"), policy.product_token(agent).alias("token"))
+    rules = rows.select("token").distinct().withColumn("rules", policy.parse_robots(F.lit(ROBOTS), F.col("token")))  # parsed once a token
+    return rows.join(rules, "token").select("page_id", policy.path_allowed(F.col("rules"), F.col("path")).alias("allowed"))
 
 
 def host_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +138,7 @@ def doc_top_stopwords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    title = F.substring(F.regexp_replace("text", r"[ ]+", F.lit(" / ")), 1, 150)
+    title = F.regexp_replace("text", r"[ ]+", F.lit(" / "))
     return _docs(spark, d).select("doc_id", export.file_name(title).alias("name"))
 
 
@@ -155,18 +157,17 @@ def zip_export(spark: SparkSession, d: str) -> DataFrame:
 
 # -- structured data, made from the documents
 
-_FIRST = "split_part(text, ' ', 1)"
-
-
 def _json_pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).filter("doc_id % 4 = 0").select("doc_id", "source", "lang", F.split_part(F.regexp_replace("text", r"[^A-Za-z ]", ""), F.lit(" "), F.lit(1)).alias("w"))
+    """A page with events and an article for each document, whose whole text is the article's body."""
+    body = F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " "))
+    docs = _docs(spark, d).select("doc_id", "source", body.alias("body")).withColumn("w", F.split_part("body", F.lit(" "), F.lit(1)))
     place = F.struct(F.concat(F.lit("Hall "), F.col("w")).alias("name"), F.struct(F.col("source").alias("streetAddress"), F.lit("Town").alias("addressLocality")).alias("address"))
     event = F.struct(
         F.lit("MusicEvent").alias("@type"), F.col("w").alias("name"), F.lit("2024-05-01").alias("startDate"), F.lit("https://schema.org/EventScheduled").alias("eventStatus"), place.alias("location"),
         F.array(F.struct((F.col("doc_id") % 50).alias("price"), F.lit("EUR").alias("priceCurrency"))).alias("offers"),
     )
     listing = F.struct(F.lit("ItemList").alias("@type"), F.array(F.struct(F.lit("ListItem").alias("@type"), event.alias("item")), F.struct(F.lit("ListItem").alias("@type"), event.alias("item"))).alias("itemListElement"))
-    article = F.struct(F.lit("NewsArticle").alias("@type"), F.concat(F.lit(" "), F.col("w")).alias("headline"), F.repeat(F.col("w"), 3).alias("articleBody"), F.lit("a, b,, c").alias("keywords"), F.array(F.struct(F.col("source").alias("name"))).alias("author"))
+    article = F.struct(F.lit("NewsArticle").alias("@type"), F.concat(F.lit(" "), F.col("w")).alias("headline"), F.col("body").alias("articleBody"), F.lit("a, b,, c").alias("keywords"), F.array(F.struct(F.col("source").alias("name"))).alias("author"))
     graph = F.struct(F.array(article, article).alias("@graph"))
 
     def script(value: Column) -> Column:
@@ -186,7 +187,7 @@ def jsonld_articles(spark: SparkSession, d: str) -> DataFrame:
     return a.select("page_id", "title", "cleanedText", F.array_join("tags", "|").alias("tags"), F.array_join("authors", "|").alias("authors"), "fromJsonLd")
 
 
-_JSON_DOCS = "(SELECT doc_id, source, split_part(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ', 1) AS w FROM documents WHERE doc_id % 4 = 0)"
+_JSON_DOCS = "(SELECT *, split_part(body, ' ', 1) AS w FROM (SELECT doc_id, source, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS body FROM documents))"
 
 
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -207,20 +208,40 @@ def page_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fetched(spark: SparkSession, d: str) -> DataFrame:
-    """Pages over a table of responses with redirects, failures, large and broken bodies."""
+    """Pages over a table of responses: failures, and redirects of every form, some to where nothing may be fetched."""
     p = _pages(spark, d).select("page_id", "html")
-    i = F.col("page_id") % 5
-    url = F.concat(F.lit("https://s.example.org/"), F.col("page_id").cast("string"))
+    i, n = F.col("page_id") % 9, F.col("page_id").cast("string")
+    url = F.concat(F.lit("https://s.example.org/"), n)
+    to = (
+        F.when(i == 0, F.concat(url, F.lit("/b"))).when(i == 3, F.concat(F.lit("/"), n, F.lit("/b"))).when(i == 4, F.concat(F.lit("//s.example.org/"), n, F.lit("/b")))
+        .when(i == 5, "ftp://s.example.org/x").when(i == 6, "http://127.0.0.1/x").when(i == 7, url)
+    )
     first = p.select(
-        url.alias("url"), F.when(i == 0, 301).when(i == 1, 404).when(i == 2, F.lit(None).cast("int")).otherwise(200).alias("status"), F.when(i == 0, F.concat(url, F.lit("/b"))).alias("location"),
+        url.alias("url"), F.when(to.isNotNull(), 301).when(i == 1, 404).when(i == 2, F.lit(None).cast("int")).otherwise(200).alias("status"), to.alias("location"),
         F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), F.when(i == 2, "TimeoutError").alias("error_class"), F.when(i == 2, "timed out").alias("error_message"),
     )
     none = F.lit(None).cast("string")
-    second = p.filter(i == 0).select(F.concat(url, F.lit("/b")).alias("url"), F.lit(200).alias("status"), none.alias("location"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("error_class"), none.alias("error_message"))
-    got = web.fetched_pages(p.select(url.alias("url")), first.unionByName(second), most_bytes=4000)
+    second = p.filter(i.isin(0, 3, 4)).select(F.concat(url, F.lit("/b")).alias("url"), F.lit(200).alias("status"), none.alias("location"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("error_class"), none.alias("error_message"))
+    got = web.fetched_pages(p.select(url.alias("url")), first.unionByName(second))
     return got.select("url", "final_url", F.length("html").cast("long").alias("chars"), "fetch_error", "fetch_error_kind")
 
 
+_FETCHED = (
+    "WITH q AS (SELECT page_id % 9 AS i, 'https://s.example.org/' || page_id AS url, html, octet_length(encode(html)) > 5000000 AND page_id % 9 NOT IN (5, 6, 7) AS big FROM pages), "
+    "p AS (SELECT *, CASE WHEN i = 5 THEN 'address not allowed: scheme' WHEN i = 6 THEN 'address not allowed: address' WHEN i = 7 THEN 'too many redirects' WHEN i = 1 THEN 'HTTP 404' WHEN big THEN 'page too large' WHEN i = 2 THEN 'timed out' END AS fetch_error FROM q)"
+)
+
+
+def page_robots(spark: SparkSession, d: str) -> DataFrame:
+    """Pages against a table of robots.txt answers by origin: rules, none, a failing site, an old answer, no answer yet."""
+    p = _pages(spark, d)
+    now, n = 10_000_000, F.length(links.host(F.col("origin"))) % 5
+    said = p.select(policy.origin(F.col("url")).alias("origin")).distinct().filter(n != 3)
+    answers = said.select("origin", F.when(n == 0, 404).when(n == 1, 503).otherwise(200).alias("status"), F.lit(ROBOTS).alias("body"), F.when(n == 2, now - 3_600_000).otherwise(now - 59_000).cast("long").alias("fetched_ms"))
+    older = answers.filter(n == 4).withColumns({"status": F.lit(500), "fetched_ms": F.col("fetched_ms") - 1})
+    return policy.robots_checked(p.select("page_id", "url"), policy.robots_table(answers.unionByName(older), "someone"), F.lit(now)).select("page_id", "robots")
+
+
 def failure_texts(spark: SparkSession, d: str) -> DataFrame:
     return fetched(spark, d).select("url", policy.failure_text(F.col("fetch_error_kind"), F.col("fetch_error"), F.lit(False)).alias("text"))
 
@@ -246,7 +267,7 @@ def picture_catalog(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_host_tally": page_host_tally, "page_title": page_title, "page_meta_lang": page_meta_lang, "page_nav_links": page_nav_links, "page_node_tally": page_node_tally, "page_article": page_article,
     "page_article_titles": page_article_titles, "page_referrer": page_referrer, "page_url_problems": page_url_problems, "page_metadata": page_metadata, "page_images": page_images, "picture_catalog": picture_catalog,
-    "page_fetch": fetched, "page_failure_texts": failure_texts, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
+    "page_fetch": fetched, "page_failure_texts": failure_texts, "page_robots": page_robots, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
     "doc_top_stopwords": doc_top_stopwords, "file_names": file_names, "article_texts": article_texts, "zip_export": zip_export, "jsonld_events": jsonld_events, "jsonld_articles": jsonld_articles,
 }
 
@@ -276,10 +297,12 @@ SQL: dict[str, str] = {
     "page_metadata": "SELECT page_id, 'T' || page_id AS title, 'www.example.org' AS domain, '2024-02-03' AS \"publishDate\", 'en' AS lang, 'about' AS description, 'k,l' AS keywords, '/i.ico' AS favicon, 'https://www.example.org/c/' || page_id AS canonical, 'x,y' AS tags, 'Ann' AS authors, '300' AS og_image FROM pages",
     "page_images": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example.org/big.jpg' ELSE 'https://s.example.org/og.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'bigimage' ELSE 'opengraph' END AS type, CASE WHEN page_id % 2 = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS confidence, CASE WHEN page_id % 2 = 0 THEN 800 ELSE 0 END::BIGINT AS width FROM pages",
     "picture_catalog": "SELECT CAST(page_id AS VARCHAR) AS src, 24::BIGINT AS bytes, page_id % 1000 + 1 AS width, 2 * (page_id % 1000 + 1) AS height, '.png' AS ext FROM pages WHERE page_id % 3 <> 0",
-    "page_fetch": "WITH p AS (SELECT page_id % 5 AS i, 'https://s.example.org/' || page_id AS url, html, octet_length(encode(html)) > 4000 AS big FROM pages) SELECT url, CASE WHEN i = 0 THEN url || '/b' ELSE url END AS final_url, "
-    "CASE WHEN i IN (1, 2) OR big THEN NULL ELSE length(html) END AS chars, CASE WHEN i = 1 THEN 'HTTP 404' WHEN i = 2 AND NOT big THEN 'timed out' WHEN big THEN 'page too large' END AS fetch_error, CASE WHEN big THEN 'too-large' END AS fetch_error_kind FROM p",
-    "page_failure_texts": "WITH p AS (SELECT page_id % 5 AS i, 'https://s.example.org/' || page_id AS url, octet_length(encode(html)) > 4000 AS big FROM pages) SELECT url, CASE WHEN big THEN 'Extraction refused. The page is larger than the size limit.' "
-    "WHEN i = 1 THEN 'Extraction failed. The site declined this request with HTTP 404.' WHEN i = 2 THEN 'Extraction failed. The site could not be reached (timed out).' END AS text FROM p",
+    "page_fetch": _FETCHED + " SELECT url, CASE WHEN i IN (0, 3, 4) THEN url || '/b' WHEN i = 5 THEN 'ftp://s.example.org/x' WHEN i = 6 THEN 'http://127.0.0.1/x' ELSE url END AS final_url, CASE WHEN i IN (0, 3, 4, 8) AND NOT big THEN length(html) END AS chars, fetch_error, "
+    "CASE WHEN i IN (5, 6) THEN 'blocked-url' WHEN big THEN 'too-large' END AS fetch_error_kind FROM p",
+    "page_failure_texts": _FETCHED + " SELECT url, CASE WHEN i IN (5, 6) THEN 'Extraction refused. ' || fetch_error WHEN big THEN 'Extraction refused. The page is over the size limit.' "
+    "WHEN i = 1 THEN 'Extraction failed. The site''s answer is a deliberate rejection (HTTP 404).' WHEN i IN (2, 7) THEN 'Extraction failed. The site couldn''t be reached (' || fetch_error || ').' END AS text FROM p",
+    "page_robots": f"WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS path FROM pages) SELECT page_id, CASE length(host) % 5 WHEN 0 THEN 'allowed' WHEN 1 THEN 'disallowed' WHEN 2 THEN 'fetch' WHEN 3 THEN 'fetch' "
+    "ELSE CASE WHEN regexp_matches(path, '^/en/4') THEN 'allowed' WHEN regexp_matches(path, '^/en/') THEN 'disallowed' ELSE 'allowed' END END AS robots FROM p",
     "ip_blocks": f"SELECT event_id, a IN (0, 10, 127) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 168) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 224 AS blocked FROM ({_OCTETS})",
     "robots_match": "WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 THEN "
     "CASE WHEN regexp_matches(path, '^/de/.*\\.html$') THEN true WHEN regexp_matches(path, '^/fr/.*9') THEN false WHEN regexp_matches(path, '^/de/') THEN false ELSE true END "
@@ -289,10 +312,10 @@ SQL: dict[str, str] = {
     "stopwords_by_lang": f"SELECT lang, count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words, CAST(sum({_STOPS}) AS BIGINT) AS stop_words FROM ({_DOC_WORDS}) GROUP BY lang",
     "doc_top_stopwords": "WITH l(lang, word) AS (VALUES " + ", ".join(f"('{k}', '{w}')" for k, ws in LISTS.items() for w in sorted(ws)) + f"), w AS (SELECT lang, lower(unnest(ws)) AS word FROM ({_DOC_WORDS})), c AS (SELECT lang, word, count(*) AS n FROM w JOIN l USING (lang, word) GROUP BY ALL), "
     "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS INT) AS place FROM c) SELECT * FROM r WHERE place <= 5",
-    "file_names": r"""WITH t AS (SELECT doc_id, substr(regexp_replace(text, '[ ]+', ' / ', 'g'), 1, 150) AS t FROM documents),
+    "file_names": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[ ]+', ' / ', 'g') AS t FROM documents),
 c AS (SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(t, '[\x00-\x1f<>:"/\\|?*\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]', '-', 'g'), '\s+', ' ', 'g')), '[. ]+$', '') AS n FROM t)
 SELECT doc_id, substr(CASE WHEN n = '' THEN 'article' ELSE n END, 1, 120) AS name FROM c""",
     "article_texts": "SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 5 <> 0 THEN source ELSE '(no title found)' END, nullif(concat_ws(' — ', CASE WHEN doc_id % 3 = 0 THEN 'By A B, ' || source END, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END), ''), 'doc ' || doc_id, '', CASE WHEN text = '' THEN '(no article text extracted)' ELSE text END) AS text FROM documents",
     "jsonld_events": f"SELECT doc_id AS page_id, nullif(trim(w), '') AS title, '2024-05-01' AS \"startDate\", 'scheduled' AS \"eventStatus\", trim('Hall ' || w) AS place, source || ', Town' AS address, CAST(doc_id % 50 AS VARCHAR) AS price, 'https://' || source || '.example.org/' AS \"sourceUrl\" FROM {_JSON_DOCS}, range(2)",
-    "jsonld_articles": f"SELECT doc_id AS page_id, CASE WHEN w = '' THEN 'Loading' ELSE w END AS title, repeat(w, 3) AS \"cleanedText\", CASE WHEN w = '' THEN '' ELSE 'a|b|c' END AS tags, CASE WHEN w = '' THEN '' ELSE source END AS authors, w <> '' AS \"fromJsonLd\" FROM {_JSON_DOCS}",
+    "jsonld_articles": f"SELECT doc_id AS page_id, CASE WHEN w = '' THEN 'Loading' ELSE w END AS title, body AS \"cleanedText\", CASE WHEN w = '' THEN '' ELSE 'a|b|c' END AS tags, CASE WHEN w = '' THEN '' ELSE source END AS authors, w <> '' AS \"fromJsonLd\" FROM {_JSON_DOCS}",
 }

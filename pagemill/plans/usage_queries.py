@@ -23,7 +23,11 @@ WITH log AS (
          '/' || CAST(user_id % 13 AS VARCHAR) AS path,
          CASE event_id % 5 WHEN 0 THEN 'robots' WHEN 1 THEN 'blocking' WHEN 2 THEN 'demo-only' ELSE 'ok' END AS outcome,
          'h' || CAST(event_id % 23 AS VARCHAR) || '.org' AS host,
-         CASE WHEN user_id % 7 = 0 THEN 'member' ELSE 'anon' END AS tier
+         CASE WHEN user_id % 7 = 0 THEN 'member' ELSE 'anon' END AS tier,
+         CASE WHEN event_id % 3 <> 0 THEN 'r' || CAST(event_id % 17 AS VARCHAR) || '.example.org' END AS ref,
+         'b' || CAST(user_id % 5 AS VARCHAR) AS br, 'o' || CAST(user_id % 4 AS VARCHAR) AS os, 'l' || CAST(event_id % 12 AS VARCHAR) AS lang,
+         CASE event_id % 8 WHEN 0 THEN '' ELSE 'w' || CAST(event_id % 8 AS VARCHAR) END AS vw,
+         CASE user_id % 3 WHEN 0 THEN 'dark' WHEN 1 THEN 'light' END AS cs, CASE WHEN event_id % 6 = 0 THEN 'paste' ELSE 'url' END AS mode
   FROM events),
 spanned AS (SELECT * FROM log WHERE day > DATE '2024-01-30' - 14 AND day <= DATE '2024-01-30' AND dev IS DISTINCT FROM 'bot')
 """
@@ -44,6 +48,13 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, "robots").when(i % 5 == 1, "blocking").when(i % 5 == 2, "demo-only").otherwise("ok").alias("outcome"),
         F.concat(F.lit("h"), (i % 23).cast("string"), F.lit(".org")).alias("host"),
         F.when(u % 7 == 0, "member").otherwise("anon").alias("tier"),
+        F.when(i % 3 != 0, F.concat(F.lit("r"), (i % 17).cast("string"), F.lit(".example.org"))).alias("ref"),
+        F.concat(F.lit("b"), (u % 5).cast("string")).alias("br"),
+        F.concat(F.lit("o"), (u % 4).cast("string")).alias("os"),
+        F.concat(F.lit("l"), (i % 12).cast("string")).alias("lang"),
+        F.when(i % 8 == 0, "").otherwise(F.concat(F.lit("w"), (i % 8).cast("string"))).alias("vw"),
+        F.when(u % 3 == 0, "dark").when(u % 3 == 1, "light").alias("cs"),
+        F.when(i % 6 == 0, "paste").otherwise("url").alias("mode"),
     )
     return usage.complete(rows)
 
@@ -58,17 +69,16 @@ _V = "count(DISTINCT CASE WHEN type IN ('pageview', 'extract', 'export') THEN v
 
 
 def _breakdown_sql() -> str:
-    have = {"path", "dev", "tier", "outcome", "host"}
     parts = []
     for name, (column, cond, most) in usage.BREAKDOWNS.items():
-        if column in have:
-            parts.append(f"SELECT '{name}' AS dimension, {column} AS key, {most} AS most, count(*) AS n FROM spanned WHERE {cond} AND {column} <> '' GROUP BY 2")
+        parts.append(f"SELECT '{name}' AS dimension, {column} AS key, {most} AS most, count(*) AS n FROM spanned WHERE {cond} AND {column} <> '' GROUP BY 2")
     return LOG + ", c AS (" + " UNION ALL ".join(parts) + "), p AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS place FROM c) SELECT dimension, key, n, CAST(place AS INT) AS place FROM p WHERE place <= most"
 
 
 def events_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = requests(spark, sf_dir)
-    done = admission.admitted(r, "user_id", "at_ms", "event_id", 2, 6 * 3_600_000, F.col("event_id") % 4 != 0, 25)
+    r = requests(spark, sf_dir).withColumn("end_ms", F.col("at_ms") + 60_000 * (1 + F.col("user_id") % 9))
+    r = admission.too_many_at_once(r, "at_ms", "end_ms", 3)
+    done = admission.admitted(r, "user_id", "at_ms", "event_id", 2, 6 * 3_600_000, F.col("event_id") % 4 != 0, 25, busy=F.col("busy"))
     return done.select("event_id", "decision")
 
 
@@ -185,9 +195,11 @@ SQL: dict[str, str] = {
     "events_tier_limits": _REQ + " SELECT tier, CASE tier WHEN 'anon' THEN 10 ELSE 30 END AS max_hits, CASE tier WHEN 'anon' THEN 300 ELSE 1000 END AS daily_cap, count(*) AS n FROM r GROUP BY tier",
     "events_daily_cap": _REQ + ", n AS (SELECT event_id, row_number() OVER (PARTITION BY tier, at_ms // 86400000 ORDER BY at_ms, event_id) AS used FROM r) SELECT event_id, used, used <= 40 AS within_cap FROM n",
     "events_admission": _REQ + ", h AS (SELECT a.event_id, count(*) AS hits FROM r a JOIN r b ON a.user_id = b.user_id AND b.at_ms > a.at_ms - 21600000 AND (b.at_ms < a.at_ms OR (b.at_ms = a.at_ms AND b.event_id <= a.event_id)) GROUP BY a.event_id), "
-    "j AS (SELECT r.*, hits <= 2 AS ok, event_id % 4 <> 0 AS valid FROM r JOIN h USING (event_id)), "
-    "k AS (SELECT event_id, row_number() OVER (PARTITION BY tier, at_ms // 86400000 ORDER BY at_ms, event_id) AS used FROM j WHERE ok AND valid) "
-    "SELECT event_id, CASE WHEN NOT ok THEN 'limited' WHEN NOT valid THEN 'invalid' WHEN used > 25 THEN 'capped' ELSE 'run' END AS decision FROM j LEFT JOIN k USING (event_id)",
+    "x AS (SELECT *, at_ms + 60000 * (1 + user_id % 9) AS end_ms FROM r), "
+    "b AS (SELECT a.event_id, count(*) > 3 AS busy FROM x a JOIN x b ON b.at_ms <= a.at_ms AND b.end_ms > a.at_ms GROUP BY a.event_id), "
+    "j AS (SELECT r.*, hits <= 2 AS ok, event_id % 4 <> 0 AS valid, busy FROM r JOIN h USING (event_id) JOIN b USING (event_id)), "
+    "k AS (SELECT event_id, row_number() OVER (PARTITION BY tier, at_ms // 86400000 ORDER BY at_ms, event_id) AS used FROM j WHERE ok AND valid AND NOT busy) "
+    "SELECT event_id, CASE WHEN NOT ok THEN 'limited' WHEN NOT valid THEN 'invalid' WHEN busy THEN 'busy' WHEN used > 25 THEN 'capped' ELSE 'run' END AS decision FROM j LEFT JOIN k USING (event_id)",
     "events_busy": _REQ + ", x AS (SELECT *, at_ms + 60000 * (1 + user_id % 9) AS end_ms FROM r) SELECT event_id, (SELECT count(*) FROM x y WHERE y.at_ms <= x.at_ms AND y.end_ms > x.at_ms) AS running, (SELECT count(*) FROM x y WHERE y.at_ms <= x.at_ms AND y.end_ms > x.at_ms) > 2 AS busy FROM x",
     "events_member_removed": _REQ + " SELECT CAST(user_id AS VARCHAR) AS email, event_id FROM r WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0)",
     "events_purged": _REQ + " SELECT tier, count(*) AS n FROM r WHERE at_ms >= 1706659200000 - CASE WHEN tier = 'member' THEN 20 ELSE 5 END * 86400000::BIGINT GROUP BY tier",

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.policy import fetch_error, fetch_error_kind
+from ..functions.links import resolved
+from ..functions.policy import fetch_error, fetch_error_kind, url_problem
 
 REDIRECTS = (301, 302, 303, 307, 308)
 
@@ -29,25 +30,40 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
+def next_url(at: Column, location: Column) -> Column:
+    """Where a redirect leads: location as it is, or taken from the present URL where it is relative; null where neither gives a URL."""
+
+    @F.pandas_udf("string")
+    def resolve(bases: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else resolved(p, b) for b, p in zip(bases, places, strict=True)], dtype=object)
+
+    return F.when(F.rlike(location, F.lit(r"^(?i)https?://")), location).when(F.rlike(location, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), location).otherwise(resolve(at, location))
+
+
 def followed(urls: DataFrame, responses: DataFrame, most: int = 5) -> DataFrame:
     """(url, final_url, status, body, content_type, error_class, error_message) after at most `most` redirects.
 
-    Each round joins only the URLs that are still under way; a redirect to another scheme than http(s) or beyond `most`
-    is an error.
+    Each round joins only the URLs that are still under way.  A URL that may not be fetched, the first or any that a
+    redirect leads to, is a blocked one; more than `most` redirects are a plain error.
     """
     r = responses.select(F.col("url").alias("at"), "status", "location", "content_type", "body", "error_class", "error_message")
     now = urls.select("url", F.col("url").alias("at"))
     done: DataFrame | None = None
+
+    def failed(rows: DataFrame, kind: str, why: Column) -> DataFrame:
+        none = {c: F.lit(None).cast(t) for c, t in (("status", "int"), ("content_type", "string"), ("body", "binary"))}
+        return rows.withColumns({**none, "error_class": F.lit(kind), "error_message": why}).select("url", "at", "status", "content_type", "body", "error_class", "error_message")
+
     for hop in range(most + 1):
-        got = now.join(r, "at", "left")
-        moves = F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull()
-        rest = got.filter(~F.coalesce(moves, F.lit(False)))
-        bad = got.filter(moves) if hop == most else got.filter(moves & ~F.rlike("location", F.lit("^https?://")))
-        why = "too many redirects" if hop == most else "redirect to another scheme"
-        bad = bad.withColumns({"error_class": F.lit("BlockedUrlError"), "error_message": F.lit(why), "body": F.lit(None).cast("binary")})
-        part = rest.unionByName(bad).drop("location")
+        now = now.withColumn("problem", url_problem(F.col("at")))
+        blocked = failed(now.filter("problem IS NOT NULL"), "BlockedUrlError", F.concat(F.lit("address not allowed: "), F.col("problem")))
+        got = now.filter("problem IS NULL").drop("problem").join(r, "at", "left")
+        moves = F.coalesce(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.lit(False))
+        part = got.filter(~moves).drop("location").unionByName(blocked)
+        if hop == most:
+            part = part.unionByName(failed(got.filter(moves), "TooManyRedirectsError", F.lit("too many redirects")))
         done = part if done is None else done.unionByName(part)
-        now = got.filter(moves & F.rlike("location", F.lit("^https?://"))).select("url", F.col("location").alias("at"))
+        now = got.filter(moves).select("url", F.coalesce(next_url(F.col("at"), F.col("location")), F.lit("")).alias("at"))
     return done.withColumnRenamed("at", "final_url")
 
 
@@ -63,7 +79,6 @@ def within_size(rows: DataFrame, most_bytes: int = 5_000_000) -> DataFrame:
     )
 
 
-_CODECS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16be": "UTF-16BE", "utf-16le": "UTF-16LE"}
 _META = re.compile(rb"<meta[^>]+charset=[\"']?\s*([\w-]+)", re.I)
 
 
