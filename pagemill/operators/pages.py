@@ -78,8 +78,11 @@ def extract_events(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     return _per_page(checked, lambda source, address: structured.events(parse(source), address or ""), EVENT, key, url, body)
 
 
-def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """One row per node of each page's tree, with the counts that scoring needs."""
+def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key: str = "page_id", url: str = "url", body: str = "html", counts: bool = True) -> DataFrame:
+    """One row per node of each page's tree, with the counts that scoring needs; without counts the text and counts of elements are null.
+
+    An element's text is that of all below it, so its cost grows with the depth of the tree.
+    """
 
     def make(source: str, _: str | None) -> list[dict[str, Any]]:
         numbers: dict[int, int] = {}
@@ -89,14 +92,16 @@ def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key:
             i = numbers[id(n)] = len(numbers)
             up = n.up
             depth[id(n)] = 0 if up is None else depth[id(up)] + 1
-            text = text_of(n) if n.is_element else n.text
-            stats = count_words(text, stop_words)
-            links = n.elements("a") if n.is_element else []
+            full = counts or not n.is_element
+            text = (text_of(n) if full else None) if n.is_element else n.text
+            stats = count_words(text, stop_words) if full else None
+            links = n.elements("a") if n.is_element and counts else []
             out.append(
                 {
                     "node_id": i, "parent_id": None if up is None else numbers[id(up)], "depth": depth[id(n)], "sib_ord": 0 if up is None else n.place(),
                     "kind": "element" if n.is_element else "text" if n.tag == TEXT else "comment", "tag": n.tag, "attrs": list(n.attrs.items()), "text": text,
-                    "stop_count": stats.stop_words, "word_count": stats.words, "link_count": len(links), "link_words": len("".join(map(text_of, links)).split(" ")) if links else 0,
+                    "stop_count": stats.stop_words if full else None, "word_count": stats.words if full else None, "link_count": len(links) if full else None,
+                    "link_words": (len("".join(map(text_of, links)).split(" ")) if links else 0) if full else None,
                 }
             )
         return out

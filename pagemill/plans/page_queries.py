@@ -57,18 +57,46 @@ def page_meta_lang(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_nav_links(spark: SparkSession, d: str) -> DataFrame:
-    nodes = pages.html_nodes(_pages(spark, d))
+    nodes = pages.html_nodes(_pages(spark, d), counts=False)
     return nodes.filter("tag = 'a' AND attrs['href'] IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col("attrs")["href"])).cast("long").alias("chars"))
 
 
 def page_node_tally(spark: SparkSession, d: str) -> DataFrame:
-    return pages.html_nodes(_pages(spark, d)).groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return pages.html_nodes(_pages(spark, d), counts=False).groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_article(spark: SparkSession, d: str) -> DataFrame:
     return pages.extract_articles(_pages(spark, d))
 
 
+_SAID = "this is what we all have been in and of the which they will not be with"
+
+
+def page_article_text(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of three kinds of pages made from the documents' whole texts, among parts that are no content.
+
+    Paragraphs beside poor ones, scripts, comments and boxes of links; text in a box with line breaks; a box whose
+    neighbour before it reads like its own paragraphs, while the one after it does not count.
+    """
+    body = F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " "))
+    docs = _docs(spark, d).select("doc_id", F.concat_ws(" ", F.lit(_SAID), F.nullif(body, F.lit(""))).alias("s"))
+    kind = F.col("doc_id") % 3
+
+    def page(*parts: str) -> Column:
+        return F.concat(*[F.col("s") if x == "s" else F.lit(x.replace("@", _SAID)) for x in parts])
+
+    story = page(
+        '<html><head><title>T</title><script>var x="<p>@ no</p>";</script><style>p{}</style></head><body><div id="navbar"><p>@ nav</p></div><ul class="menu"><li><a href="/x">x</a></li></ul><div id="story"><p>',
+        "s", " <em>in</em> <b>one</b></p><!-- @ --><p>@ two <a href='/l'>and more</a></p><script>@</script><div class='socialtools'><p>@ tools</p></div><p>Short</p><ul><li><a href='/r'>@ linked</a></li></ul><p>",
+        "s", " three</p></div><div class='comments'><p>@ comment</p></div><div id='footer'><p>@ foot</p></div></body></html>",
+    )
+    broken = page("<html><body><div id='story'>", "s", " one<br><br>@ two<br><br>", "s", " three</div></body></html>")
+    beside = page("<html><body><div id='a'><p>", "s", " zero</p><p>too few words</p></div><div id='b'><p>", "s", " one</p><p>@ two</p><p>", "s", " three</p></div><div id='c'><p>", "s", " four</p></div></body></html>")
+    made = docs.select(F.col("doc_id").alias("page_id"), F.lit("https://e.example.org/a").alias("url"), F.when(kind == 0, story).when(kind == 1, broken).otherwise(beside).alias("html"))
+    a = pages.extract_articles(made)
+    return a.select("page_id", F.col("cleanedText").alias("text"), F.array_join("links", "|").alias("links"))
+
+
 def page_article_titles(spark: SparkSession, d: str) -> DataFrame:
     """Titles and languages as the whole extraction gives them; the same as by built-in functions."""
     return page_article(spark, d).select("page_id", "title", "meta.lang", "domain", F.col("meta.canonical").alias("canonical"))
@@ -152,7 +180,7 @@ def article_texts(spark: SparkSession, d: str) -> DataFrame:
 def zip_export(spark: SparkSession, d: str) -> DataFrame:
     """Archives of all documents, 25 neighbouring ids each."""
     docs = _docs(spark, d).select(F.floor(F.col("doc_id") / 25).alias("batch"), "doc_id", F.concat(F.col("source"), F.lit(".txt")).alias("name"), export.text_bytes(F.col("text")).alias("content"))
-    return export.zipped(docs, "batch", "doc_id").select("batch", "entries", F.octet_length("zip").cast("long").alias("bytes"), F.crc32("zip").alias("crc"))
+    return export.zipped(docs, "batch", "doc_id").select("batch", F.col("entries").cast("long").alias("entries"), F.octet_length("zip").cast("long").alias("bytes"))
 
 
 # -- structured data, made from the documents
@@ -266,7 +294,7 @@ def picture_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_host_tally": page_host_tally, "page_title": page_title, "page_meta_lang": page_meta_lang, "page_nav_links": page_nav_links, "page_node_tally": page_node_tally, "page_article": page_article,
-    "page_article_titles": page_article_titles, "page_referrer": page_referrer, "page_url_problems": page_url_problems, "page_metadata": page_metadata, "page_images": page_images, "picture_catalog": picture_catalog,
+    "page_article_titles": page_article_titles, "page_article_text": page_article_text, "page_referrer": page_referrer, "page_url_problems": page_url_problems, "page_metadata": page_metadata, "page_images": page_images, "picture_catalog": picture_catalog,
     "page_fetch": fetched, "page_failure_texts": failure_texts, "page_robots": page_robots, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
     "doc_top_stopwords": doc_top_stopwords, "file_names": file_names, "article_texts": article_texts, "zip_export": zip_export, "jsonld_events": jsonld_events, "jsonld_articles": jsonld_articles,
 }
@@ -292,6 +320,11 @@ SQL: dict[str, str] = {
     "page_meta_lang": "SELECT page_id, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z]{2})', 1), '')) AS lang FROM pages",
     "page_nav_links": "WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages) SELECT page_id, count(*) AS n, CAST(sum(length(" + _UNESCAPE.format("href") + ")) AS BIGINT) AS chars FROM h GROUP BY page_id",
     "page_article_titles": _SQL_TITLE.replace("SELECT page_id, regexp_replace(t, '(^| )[|»:-]$', '') AS title FROM a", f"SELECT a.page_id, regexp_replace(t, '(^| )[|»:-]$', '') AS title, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z]{{2}})', 1), '')) AS lang, {_HOST} AS domain, url AS canonical FROM a JOIN pages USING (page_id)"),
+    "page_article_text": f"WITH d AS (SELECT doc_id, concat_ws(' ', '{_SAID}', nullif(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), '')) AS s FROM documents) SELECT doc_id AS page_id, "
+    f"CASE doc_id % 3 WHEN 0 THEN s || ' in one' || repeat(chr(10), 2) || '{_SAID} two and more' || repeat(chr(10), 2) || s || ' three' WHEN 1 THEN s || ' one' || repeat(chr(10), 4) || '{_SAID} two' || repeat(chr(10), 4) || s || ' three' "
+    f"ELSE s || ' zero' || repeat(chr(10), 2) || s || ' one' || repeat(chr(10), 2) || '{_SAID} two' || repeat(chr(10), 2) || s || ' three' END AS text, CASE doc_id % 3 WHEN 0 THEN '/l|/r' ELSE '' END AS links FROM d",
+    "zip_export": "WITH d AS (SELECT CAST(floor(doc_id / 25) AS BIGINT) AS batch, doc_id, source, row_number() OVER (PARTITION BY CAST(floor(doc_id / 25) AS BIGINT), lower(source) ORDER BY doc_id) AS k, octet_length(encode(text)) + 3 AS size FROM documents), "
+    "n AS (SELECT *, octet_length(encode(source)) + 4 + CASE WHEN k > 1 THEN 3 + length(CAST(k AS VARCHAR)) ELSE 0 END AS name FROM d) SELECT batch, count(*) AS entries, CAST(sum(30 + 46 + 2 * name + size) + 22 AS BIGINT) AS bytes FROM n GROUP BY batch",
     "page_referrer": f"SELECT page_id, CASE WHEN {_HOST} <> 'thther.example.org' THEN regexp_replace({_HOST}, '^www\\.', '') END AS ref FROM pages",
     "page_url_problems": "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'address' WHEN 1 THEN 'scheme' WHEN 2 THEN 'credentials' WHEN 3 THEN 'port' WHEN 4 THEN 'host' WHEN 5 THEN 'host' END AS problem FROM pages",
     "page_metadata": "SELECT page_id, 'T' || page_id AS title, 'www.example.org' AS domain, '2024-02-03' AS \"publishDate\", 'en' AS lang, 'about' AS description, 'k,l' AS keywords, '/i.ico' AS favicon, 'https://www.example.org/c/' || page_id AS canonical, 'x,y' AS tags, 'Ann' AS authors, '300' AS og_image FROM pages",

@@ -212,4 +212,9 @@ SQL: dict[str, str] = {
     "CASE WHEN user_id % 5 = 0 THEN 'robots' WHEN user_id % 3 = 0 THEN 'blocking' WHEN user_id % 3 = 1 THEN 'http-error' WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'ok' END AS outcome "
     "FROM (SELECT *, value * 20 - 100 AS w FROM events)",
     "events_user_agents": _agents_sql(),
+    # HMAC by its definition: hash(outer key + hash(inner key + message)), the salt's bytes padded to 64 and combined with 0x36 and 0x5c.
+    "events_visitor_hash": LOG + ", k AS (SELECT v, dev, strftime(day, '%Y%m%d') AS d FROM log), p AS (SELECT v, concat_ws('|', v, dev) AS m, "
+    "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 54))), '') || repeat('36', 56) AS a, "
+    "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 92))), '') || repeat('5c', 56) AS b FROM k) "
+    "SELECT DISTINCT v, substr(sha256(unhex(b) || unhex(sha256(unhex(a) || encode(m)))), 1, 16) AS hash FROM p",
 }
