@@ -1,4 +1,4 @@
-"""A small causal self-attention model in numpy: one layer, trained with Adam on windows of subword ids."""
+"""A small causal self-attention model in numpy: one layer over the vectors of words, trained with Adam."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Shape:
-    """inputs: embedded ids (the last two are begin and padding); classes: outputs; window: context; scored: last positions of a window that count."""
+    """inputs: embedded ids, the last of which stands for the begin of a text; classes: outputs; window: context; scored: last positions of a window that count."""
 
     inputs: int
     classes: int
@@ -21,9 +21,12 @@ class Shape:
 
 
 Weights = dict[str, np.ndarray]
+#: Logits stay within this of 0, so that softmax needs no pass for the largest.
+LARGEST = 60.0
 
 
 def new_weights(s: Shape, bias: np.ndarray, seed: int = 5) -> Weights:
+    """Drawn weights; the classes come out as bias says until something is learned."""
     r = np.random.default_rng(seed)
     d, f = s.width, s.hidden
 
@@ -34,112 +37,169 @@ def new_weights(s: Shape, bias: np.ndarray, seed: int = 5) -> Weights:
         "embed": draw(s.inputs, d, scale=0.3), "place": draw(s.window, d, scale=0.1),
         "wq": draw(d, d, scale=d**-0.5), "wk": draw(d, d, scale=d**-0.5), "wv": draw(d, d, scale=d**-0.5), "wo": draw(d, d, scale=0.5 * d**-0.5),
         "w1": draw(d, f, scale=d**-0.5), "b1": np.zeros(f, np.float32), "w2": draw(f, d, scale=0.5 * f**-0.5), "b2": np.zeros(d, np.float32),
-        "out": draw(d, s.classes, scale=0.1), "bias": bias.astype(np.float32),
+        "out": np.zeros((d, s.classes), np.float32), "bias": bias.astype(np.float32),
     }
 
 
+class Words:
+    """Subword ids of some words: word i has ids[offsets[i]:offsets[i+1]], at least one."""
+
+    def __init__(self, ids: np.ndarray, offsets: np.ndarray):
+        self.ids, self.offsets = ids, offsets
+        self.scale = (1 / np.sqrt(np.maximum(np.diff(offsets), 1))).astype(np.float32)[:, None]
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    def take(self, which: np.ndarray) -> Words:
+        size = np.diff(self.offsets)[which]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        return Words(self.ids[np.repeat(self.offsets[which] - offsets[:-1], size) + np.arange(offsets[-1])], offsets)
+
+    def vectors(self, w: Weights) -> np.ndarray:
+        """Vectors of the words, then that of the begin and that of padding (zeros)."""
+        embed = w["embed"]
+        out = np.zeros((len(self) + 2, embed.shape[1]), embed.dtype)
+        if len(self):
+            np.multiply(np.add.reduceat(embed[self.ids], self.offsets[:-1], axis=0), self.scale, out=out[:-2])
+        out[-2] = embed[-1]
+        return out
+
+    def spread(self, dv: np.ndarray, rows: int) -> np.ndarray:
+        """Gradient of the embedding from that of the vectors."""
+        each = np.repeat(dv[:-2] * self.scale, np.diff(self.offsets), axis=0)
+        out = np.stack([np.bincount(self.ids, each[:, k], rows) for k in range(dv.shape[1])], axis=1).astype(dv.dtype)
+        out[-1] += dv[-2]
+        return out
+
+
 def _mask(s: Shape) -> np.ndarray:
     """Position i of the scored ones sees positions up to window - scored + i."""
     return np.arange(s.window)[None, :] > np.arange(s.window - s.scored, s.window)[:, None]
 
 
-def forward(w: Weights, s: Shape, x: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Log-probabilities of the classes at the scored positions of each window x (windows, window)."""
-    b, t, d, n, dh = len(x), s.window, s.width, s.heads, s.width // s.heads
-    h = w["embed"][x] + w["place"]
-    hq = h[:, t - s.scored :]
-    q = (hq.reshape(-1, d) @ w["wq"]).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
+def forward(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray) -> dict[str, np.ndarray]:
+    """Logits y of the classes, with e and total of their softmax, at the scored positions of each window; v: (windows, window, width), blank marks padding."""
+    b, t, d, n, dh = len(v), s.window, s.width, s.heads, s.width // s.heads
+    h = v + w["place"]
+    hq = np.ascontiguousarray(h[:, t - s.scored :])
+    q = (hq.reshape(-1, d) @ (w["wq"] * w["wq"].dtype.type(dh**-0.5))).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
     k = (h.reshape(-1, d) @ w["wk"]).reshape(b, t, n, dh).transpose(0, 2, 3, 1)
-    v = (h.reshape(-1, d) @ w["wv"]).reshape(b, t, n, dh).transpose(0, 2, 1, 3)
+    u = (h.reshape(-1, d) @ w["wv"]).reshape(b, t, n, dh).transpose(0, 2, 1, 3)
     a = np.matmul(q, k)
-    a *= np.float32(dh**-0.5)
+    np.clip(a, -LARGEST, LARGEST, out=a)
     a += np.where(_mask(s), np.float32(-1e9), np.float32(0))
-    a += np.where(x == s.inputs - 1, np.float32(-1e9), np.float32(0))[:, None, None, :]
-    a -= a.max(axis=-1, keepdims=True)
+    if blank.any():
+        a += np.where(blank, np.float32(-1e9), np.float32(0))[:, None, None, :]
     np.exp(a, out=a)
     a /= a.sum(axis=-1, keepdims=True)
-    o = np.matmul(a, v).transpose(0, 2, 1, 3).reshape(-1, d)
-    r = hq.reshape(-1, d) + o @ w["wo"]
-    u = r @ w["w1"] + w["b1"]
-    f = np.maximum(u, 0)
-    z = r + f @ w["w2"] + w["b2"]
-    y = z @ w["out"] + w["bias"]
-    y -= y.max(axis=1, keepdims=True)
+    o = np.matmul(a, u).transpose(0, 2, 1, 3).reshape(-1, d)
+    r = o @ w["wo"]
+    r += hq.reshape(-1, d)
+    f = r @ w["w1"]
+    f += w["b1"]
+    np.maximum(f, 0, out=f)
+    z = f @ w["w2"]
+    z += r
+    z += w["b2"]
+    y = z @ w["out"]
+    y += w["bias"]
+    np.clip(y, -LARGEST, LARGEST, out=y)
     e = np.exp(y)
-    total = e.sum(axis=1, keepdims=True)
-    y -= np.log(total)
-    return y, {"e": e, "total": total, "h": h, "hq": hq, "q": q, "k": k, "v": v, "a": a, "o": o, "r": r, "f": f, "z": z}
+    return {"y": y, "e": e, "total": e.sum(axis=1), "h": h, "hq": hq, "q": q, "k": k, "u": u, "a": a, "o": o, "r": r, "f": f, "z": z}
+
+
+def logs(c: dict[str, np.ndarray], goal: np.ndarray) -> np.ndarray:
+    """Log probability of the goal class of each scored position."""
+    return c["y"][np.arange(len(goal)), goal] - np.log(c["total"])
 
 
-def gradients(w: Weights, s: Shape, x: np.ndarray, target: np.ndarray) -> tuple[float, Weights]:
-    """Mean loss over the scored positions with a target (others have -1), and its gradients."""
-    y, c = forward(w, s, x)
-    b, t, d, n, dh = len(x), s.window, s.width, s.heads, s.width // s.heads
+def gradients(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray, target: np.ndarray) -> tuple[float, Weights, np.ndarray]:
+    """Mean loss over the scored positions with a target (others have -1), its gradients, and that of v."""
+    c = forward(w, s, v, blank)
+    b, t, d, n, dh = len(v), s.window, s.width, s.heads, s.width // s.heads
     goal = target.reshape(-1)
-    real = np.flatnonzero(goal >= 0)
-    loss = -float(y[real, goal[real]].mean())
-    dy = np.zeros_like(y)
-    dy[real] = np.exp(y[real]) / len(real)
-    dy[real, goal[real]] -= np.float32(1 / len(real))
+    real = goal >= 0
+    count = max(1, int(real.sum()))
+    loss = -float(logs(c, np.maximum(goal, 0))[real].sum()) / count
+    dy = c["e"]
+    dy *= (real / (c["total"] * count)).astype(dy.dtype)[:, None]
+    dy[np.arange(len(goal))[real], goal[real]] -= dy.dtype.type(1 / count)
     g: Weights = {"out": c["z"].T @ dy, "bias": dy.sum(axis=0)}
     dz = dy @ w["out"].T
     g["w2"], g["b2"] = c["f"].T @ dz, dz.sum(axis=0)
-    du = (dz @ w["w2"].T) * (c["f"] > 0)
+    du = dz @ w["w2"].T
+    du *= c["f"] > 0
     g["w1"], g["b1"] = c["r"].T @ du, du.sum(axis=0)
-    dr = dz + du @ w["w1"].T
+    dr = du @ w["w1"].T
+    dr += dz
     g["wo"] = c["o"].T @ dr
     do = (dr @ w["wo"].T).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
-    da = np.matmul(do, c["v"].transpose(0, 1, 3, 2))
+    da = np.matmul(do, c["u"].transpose(0, 1, 3, 2))
     dv = np.matmul(c["a"].transpose(0, 1, 3, 2), do)
-    ds = c["a"] * (da - (da * c["a"]).sum(axis=-1, keepdims=True)) * np.float32(dh**-0.5)
-    dq = np.matmul(ds, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, d)
-    dk = np.matmul(ds.transpose(0, 1, 3, 2), c["q"]).transpose(0, 2, 1, 3).reshape(-1, d)
+    da -= (da * c["a"]).sum(axis=-1, keepdims=True)
+    da *= c["a"]
+    scale = w["wq"].dtype.type(dh**-0.5)
+    dq = np.matmul(da, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, d) * scale
+    dk = np.matmul(da.transpose(0, 1, 3, 2), c["q"]).transpose(0, 2, 1, 3).reshape(-1, d)
     dv = dv.transpose(0, 2, 1, 3).reshape(-1, d)
     h = c["h"].reshape(-1, d)
     g["wq"], g["wk"], g["wv"] = c["hq"].reshape(-1, d).T @ dq, h.T @ dk, h.T @ dv
     dh_all = (dk @ w["wk"].T + dv @ w["wv"].T).reshape(b, t, d)
     dh_all[:, t - s.scored :] += (dq @ w["wq"].T + dr).reshape(b, s.scored, d)
     g["place"] = dh_all.sum(axis=0)
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], x.reshape(-1), dh_all.reshape(-1, d))
-    return loss, g
+    return loss, g, dh_all
 
 
 class Adam:
     """Weights and their moments, moved one batch of windows at a time."""
 
-    def __init__(self, weights: Weights):
-        self.weights, self.step = dict(weights), 0
+    def __init__(self, weights: Weights, part: int = 16):
+        self.part = part
+        self.weights, self.step = {k: v.copy() for k, v in weights.items()}, 0
         self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
 
-    def __call__(self, s: Shape, x: np.ndarray, target: np.ndarray, rate: float) -> float:
-        """Loss before the move."""
-        loss, g = gradients(self.weights, s, x, target)
+    def __call__(self, s: Shape, words: Words, x: np.ndarray, target: np.ndarray, rate: float) -> float:
+        """Loss before the move; x: places in words of each window's inputs, len(words) for the begin, one more for padding."""
+        used, at = np.unique(np.minimum(x, len(words)), return_inverse=True)
+        some = words.take(used[used < len(words)])
+        at = np.where(x.ravel() > len(words), len(some) + 1, np.where(x.ravel() == len(words), len(some), at.ravel()))
+        vectors, at = some.vectors(self.weights), at.reshape(x.shape)
+        g: Weights = {}
+        loss, real, flat = 0.0, max(1, int((target >= 0).sum())), np.empty((x.size, s.width), np.float32)
+        for i in range(0, len(x), self.part):  # parts that stay in the processor's cache
+            some_at, goal = at[i : i + self.part], target[i : i + self.part]
+            share = np.float32(max(1, int((goal >= 0).sum())) / real)
+            part, more, dv = gradients(self.weights, s, vectors[some_at], x[i : i + self.part] > len(words), goal)
+            flat[i * s.window : (i + len(goal)) * s.window] = dv.reshape(-1, s.width) * share
+            loss += part * float(share)
+            g = {k: v * share + g[k] if g else v * share for k, v in more.items()}
+        at = at.ravel()
+        by_word = np.stack([np.bincount(at, flat[:, k], len(some) + 2) for k in range(s.width)], axis=1).astype(np.float32)
+        g["embed"] = some.spread(by_word, s.inputs)
         self.step += 1
-        size = float(np.sqrt(sum(float((v**2).sum()) for v in g.values())))
+        size = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
-        now = np.float32(rate * min(1, self.step / 40))
-        w, first, second = self.weights, self.first, self.second
+        now = rate * min(1, self.step / 40) / (1 - 0.9**self.step)
+        root = np.float32((1 - 0.98**self.step) ** -0.5)
         for k, v in g.items():
-            v = v * scale
-            first[k] = np.float32(0.9) * first[k] + np.float32(0.1) * v
-            second[k] = np.float32(0.98) * second[k] + np.float32(0.02) * v * v
-            up = first[k] / np.float32(1 - 0.9**self.step)
-            w[k] = w[k] - now * up / (np.sqrt(second[k] / np.float32(1 - 0.98**self.step)) + np.float32(1e-8))
+            v *= scale
+            first, second = self.first[k], self.second[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * v
+            v *= v
+            v *= np.float32(0.02)
+            second *= np.float32(0.98)
+            second += v
+            low = np.sqrt(second, out=v)
+            low *= root
+            low += np.float32(1e-8)
+            np.divide(first, low, out=low)
+            low *= np.float32(now)
+            self.weights[k] -= low
         return loss
 
 
-def train(s: Shape, bias: np.ndarray, x: np.ndarray, target: np.ndarray, steps: int = 900, batch: int = 128, rate: float = 6e-3, seed: int = 5) -> tuple[Weights, list[float]]:
-    """Adam over random batches of windows."""
-    adam = Adam(new_weights(s, bias, seed))
-    r = np.random.default_rng(seed + 1)
-    losses = []
-    for step in range(1, steps + 1 if len(x) else 1):
-        pick = r.integers(0, len(x), min(batch, len(x)))
-        losses.append(adam(s, x[pick], target[pick], rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))))
-    return adam.weights, losses
-
-
 def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].ravel() for k in sorted(w)]).astype(np.float64)
 

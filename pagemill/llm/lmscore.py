@@ -1,235 +1,277 @@
 """LM scoring: a causal self-attention model on subword ids, and a word unigram base.
 
-Over all training texts the words and the subword ids are counted.  The network
-predicts the class of the next id from overlapping windows (each id is scored
-once, with at least half a window before it): frequent ids are classes of
-their own, the others share classes within which the corpus counts decide.
-As ids that begin a word never share a class with others, the network also
-gives the chance that a word ends, and so a distribution over whole words.
-A word's probability is the even mixture of that one and of the smoothed word
-counts of the corpus.
-The network learns from every window of every training text: each partition
-goes on from the same start by Adam over all of its windows, and the weights
-that come out are averaged, by the number of ids learned from.  Only the start
-is fitted on the driver, on a sample of training texts of bounded size.
+A token is a word or the end of a text.  A word's vector is the sum of the
+embeddings of its subword ids.  From overlapping windows of such vectors the
+network predicts the class of the next token: the most frequent words and the
+end are classes of their own, the other words share classes by their first
+subword id.  Which first ids go together follows from what stands before them
+in the corpus, by k-means.  A token's probability is that of its class by the
+network, times its share of the class by the smoothed counts of the corpus.
+Each token is scored once, with at least half a window before it.
+
+All training texts are counted, and the network learns from every window of
+all of them: each partition goes over its windows by Adam, and the weights that
+come out are averaged by the number of tokens learned from.  That is done
+twice, over the texts of one eighth (by a hash of text and id) from common
+drawn weights, and over the others from what comes of that.
 
 Base counts of the most frequent words are broadcast (a table of bounded
 size); the other words of each text are joined with the full counts.
 
 Defined results: a null text is empty and has one token, the end; repeated
-rows are scored each; without training texts all counts are 0, the model is
-uniform over ids and the base is 0; texts of any length are scored whole; a
-word of over max_word bytes is encoded in parts of that size.
+rows are scored each; without training texts all counts are 0, every token is
+in one class of its kind and the base is 0; texts of any length are scored
+whole; the ids of a word of over part_bytes bytes are those of its parts of
+that size.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
 from . import textbytes as tb
 from .storage import stored
-from .tokencount import VOCABULARY, cut_long
+from .tokencount import VOCABULARY
 
-LOG10 = np.log(10.0)
+LOG10 = float(np.log(10.0))
 #: A word boundary as the public byte-level vocabularies cut text.
 _SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
 @dataclass(frozen=True)
 class LmPlan:
-    """sample_docs, sample_ids, steps: texts, ids of each and batches that the start of the network is fitted on; batch, rate: of the pass over all training texts; head_words: size of the broadcast count table."""
+    """own_inputs, shared_inputs: rows of the embedding for frequent ids by rank, and for the others by hash; own_classes, shared_classes: of words; batch, rate: of the learning; head_words: size of the broadcast count table."""
 
     vocabulary: str = VOCABULARY
     own_inputs: int = 4096
-    own_classes: int = 96
+    shared_inputs: int = 1024
+    contexts: int = 32
+    own_classes: int = 31
     shared_classes: int = 32
-    sample_docs: int = 4000
-    sample_ids: int = 2048
     head_words: int = 1 << 18
-    max_word: int = 512
-    steps: int = 600
+    part_bytes: int = 512
     batch: int = 128
-    rate: float = 2e-3
-    kept_words: int = 500_000
-    count_share: float = 0.5
+    rate: float = 4e-3
+    kept_words: int = 200_000
+
+    @property
+    def inputs(self) -> int:
+        return self.own_inputs + self.shared_inputs
+
+    def row_of(self, ids: np.ndarray) -> np.ndarray:
+        """Row of the embedding, and kind of a word that begins with this id."""
+        return np.where(ids < self.own_inputs, ids, self.own_inputs + ids % self.shared_inputs)
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def read_ranks(plan: LmPlan) -> dict[bytes, int]:
+    with open(plan.vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class Encoder:
-    """Subword ids of words; a word is encoded once while it is kept."""
+    """Embedding rows of the subword ids of words; a word is encoded once while it is kept."""
 
-    def __init__(self, plan: LmPlan):
+    def __init__(self, plan: LmPlan, ranks: dict[bytes, int]):
         import tiktoken
 
-        with open(plan.vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plan, self.size = plan, len(ranks)
+        self.plan = plan
         self.bpe = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.begins = np.zeros(self.size + 1, bool)
-        self.begins[[r for p, r in ranks.items() if p.startswith(b" ")] + [self.size]] = True
-        self.one = {b: ranks[bytes([b])] for b in range(256)}
+        self.one = [ranks[bytes([b])] for b in range(256)]
         self.kept: dict[int, list[int]] = {}
 
-    def _encode(self, word: bytes) -> list[int]:
+    def _part(self, part: bytes) -> list[int]:
         try:
-            return self.bpe.encode_ordinary(" " + word.decode())
-        except UnicodeDecodeError:  # a part of a cut word
-            return [self.one[b] for b in b" " + word]
+            return self.bpe.encode_ordinary(part.decode())
+        except UnicodeDecodeError:  # a part that ends inside a character
+            return [self.one[b] for b in part]
+
+    def _encode(self, word: bytes) -> list[int]:
+        word, step = b" " + word, self.plan.part_bytes
+        ids = self._part(word) if len(word) <= step else [i for k in range(0, len(word), step) for i in self._part(word[k : k + step])]
+        return self.plan.row_of(np.array(ids)).tolist()
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets): ids of word i are ids[offsets[i]:offsets[i+1]]."""
-        h, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> attention.Words:
+        """The words at these spans; hashes are theirs."""
         if len(self.kept) > self.plan.kept_words:
             self.kept = {}
         kept, lists = self.kept, []
-        for x, a, z in zip(h.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+        for x, a, z in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
             ids = kept.get(x)
             if ids is None:
-                ids = kept[x] = self._encode(data[a:z].tobytes())
+                ids = self._encode(data[a:z].tobytes())
+                if len(ids) < 64:
+                    kept[x] = ids
             lists.append(ids)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int64, int(size.sum()))
-        begin = np.concatenate([[0], np.cumsum(size)])
-        each = size[inverse]
-        offsets = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(begin[inverse] - offsets[:-1], each) + np.arange(offsets[-1])
-        return flat[at], offsets
+        return attention.Words(np.fromiter((i for ids in lists for i in ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
 
 
 @dataclass
 class Encoded:
-    """Of some rows: word hashes and offsets; ids (each row with the end id last) and offsets; where each word's ids begin and end."""
+    """Of some rows: distinct words (hash, ids, kind by the first id), which of them stands at each place, and where each row's words begin."""
 
-    words: np.ndarray
+    hashes: np.ndarray
+    words: attention.Words
+    kind: np.ndarray
+    at: np.ndarray
     word_offsets: np.ndarray
-    ids: np.ndarray
-    offsets: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the rows, each row with its end (-1) last, and their offsets."""
+        offsets = self.word_offsets + np.arange(len(self.word_offsets))
+        out = np.full(len(self.at) + len(offsets) - 1, -1, np.int64)
+        keep = np.ones(len(out), bool)
+        keep[offsets[1:] - 1] = False
+        out[keep] = self.at
+        return out, offsets
 
 
 def encoded(texts: pa.Array, encoder: Encoder) -> Encoded:
     data, offsets = tb.buffers(texts)
     data = tb.lower_ascii(data)
     starts, ends, wo = tb.words(data, offsets)
-    h = tb.span_hashes(data, starts, ends)
-    s, e, po = cut_long(starts, ends, wo, encoder.plan.max_word)
-    ids, io = encoder(data, s, e, h if len(s) == len(h) else tb.span_hashes(data, s, e))
-    ro = io[po] + np.arange(len(po))
-    out = np.full(len(ids) + len(texts), encoder.size, np.int64)
-    keep = np.ones(len(out), bool)
-    keep[ro[1:] - 1] = False
-    out[keep] = ids
-    rows, part = tb.row_numbers(wo), np.append(np.searchsorted(s, starts), len(s))
-    return Encoded(h, wo, out, ro, io[part[:-1]] + rows, io[part[1:]] + rows)
-
-
-def windows(ids: np.ndarray, offsets: np.ndarray, s: attention.Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, row) of windows that score every id once; a window's targets are places in ids, -1 past the row's end."""
+    h, first, at = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    words = encoder(data, starts[first], ends[first], h)
+    return Encoded(h, words, words.ids[words.offsets[:-1]] if len(h) else np.zeros(0, np.int64), at.astype(np.int64), wo)
+
+
+def windows(tokens: np.ndarray, offsets: np.ndarray, s: attention.Shape, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of windows that have every token as target once: the tokens before each position (begin, and begin + 1 for padding), and places in tokens, -1 past the row's end."""
     n = np.diff(offsets)
     count = -(-n // s.scored)
     row = np.repeat(np.arange(len(n)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    size, base = n[row][:, None], offsets[:-1][row][:, None]
     target = nth[:, None] * s.scored + np.arange(s.scored)
-    target = np.where(target < n[row][:, None], target + offsets[row][:, None], -1)
-    place = (nth * s.scored + s.scored - s.window)[:, None] + np.arange(s.window) - 1  # of the id before each position
-    x = np.where(place >= 0, ids[np.clip(place + offsets[row][:, None], 0, max(0, len(ids) - 1))], 0)
-    x[place == -1] = s.inputs - 2
-    x[place < -1] = s.inputs - 1
-    x[(place >= 0) & (place >= n[row][:, None])] = s.inputs - 1
-    return x, target, row
+    target = np.where(target < size, target + base, -1)
+    place = (nth * s.scored + s.scored - s.window)[:, None] + np.arange(s.window) - 1  # of the token before each position
+    x = tokens[np.clip(place + base, 0, max(0, len(tokens) - 1))] if len(tokens) else place
+    x = np.where((place >= 0) & (place < size - 1), x, begin + 1)
+    x[place == -1] = begin
+    return x, target
 
 
 @dataclass
+class Classes:
+    """own: hashes of the words that are classes of their own, ascending, and own_class; by_kind: class of the other words; end: class of the end; size: log10 of a class's counts and words, what a shared class divides a count + 1 by."""
+
+    own: np.ndarray
+    own_class: np.ndarray
+    by_kind: np.ndarray
+    end: int
+    size: np.ndarray
+
+    def of(self, e: Encoded) -> np.ndarray:
+        """Class of each distinct word."""
+        out = self.by_kind[e.kind]
+        if len(self.own):
+            k = np.minimum(np.searchsorted(self.own, e.hashes), len(self.own) - 1)
+            hit = self.own[k] == e.hashes
+            out[hit] = self.own_class[k[hit]]
+        return out
+
+
+def grouped(profile: np.ndarray, mass: np.ndarray, groups: int, rounds: int = 20) -> np.ndarray:
+    """k-means of the rows of profile by the square roots of their shares, weighed by mass; rows without mass go where most mass is."""
+    some = np.flatnonzero(mass > 0)
+    out = np.zeros(len(mass), np.int64)
+    if not len(some):
+        return out
+    x = np.sqrt(profile[some] / np.maximum(profile[some].sum(axis=1, keepdims=True), 1))
+    m = mass[some].astype(float)
+    centers = [x[int(m.argmax())]]
+    gap = ((x - centers[0]) ** 2).sum(axis=1)
+    for _ in range(min(groups, len(some)) - 1):  # the next center is where most is left unexplained
+        centers.append(x[int((gap * m).argmax())])
+        gap = np.minimum(gap, ((x - centers[-1]) ** 2).sum(axis=1))
+    c = np.array(centers)
+    for _ in range(rounds):
+        near = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for g in range(len(c)):
+            mine = near == g
+            if mine.any():
+                c[g] = (x[mine] * m[mine, None]).sum(axis=0) / m[mine].sum()
+    out[:] = np.bincount(near, m).argmax()
+    out[some] = near
+    return out
+
+
+def build(plan: LmPlan, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], by_kind: dict[int, tuple[int, int]], profile: np.ndarray, ends: int) -> tuple[Classes, np.ndarray]:
+    """Classes and their starting bias, from the most frequent words (hash, count, kind), tokens and words of each kind, and what stands before kinds."""
+    own, count, kind = (a[: plan.own_classes] for a in frequent)
+    tokens, words = np.zeros(plan.inputs, np.int64), np.zeros(plan.inputs, np.int64)
+    for k, (n, v) in by_kind.items():
+        tokens[k], words[k] = n, v
+    np.subtract.at(tokens, kind, count)
+    np.subtract.at(words, kind, 1)
+    group = plan.own_classes + grouped(profile, tokens, plan.shared_classes)
+    end = plan.own_classes + plan.shared_classes
+    mass, distinct = np.bincount(group, tokens, end + 1), np.bincount(group, words, end + 1)
+    size = np.log10(mass + distinct + 1)
+    total = mass.copy()
+    total[: len(count)], total[end] = count, ends
+    bias = np.log(total + 0.5) - np.log((total + 0.5).sum())
+    order = np.argsort(own)
+    return Classes(own[order], order, group, end, size), bias
+
+
 class Model:
-    shape: attention.Shape
-    weights: attention.Weights
-    input_of: np.ndarray
-    class_of: np.ndarray
-    within: np.ndarray  # log probability of an id within its class
-    begin_classes: np.ndarray  # 1 for classes of ids that begin a word
-
-    def id_logs(self, ids: np.ndarray, offsets: np.ndarray, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each id, and that of any word beginning at its place."""
-        total, begin = np.zeros(len(ids)), np.zeros(len(ids))
-        goal, source = self.class_of[ids], self.input_of[ids]
-        x, target, _ = windows(source, offsets, self.shape)
+    def __init__(self, shape: attention.Shape, weights: attention.Weights, classes: Classes):
+        self.shape, self.weights, self.classes = shape, weights, classes
+
+    def class_logs(self, e: Encoded, step: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of the class of each token of the rows (ends included) by the network, the tokens' offsets, and the class of each distinct word."""
+        tokens, offsets = e.tokens()
+        mine = self.classes.of(e)
+        goal = np.append(mine, self.classes.end)[tokens]
+        x, target = windows(tokens, offsets, self.shape, len(e.words))
+        vectors, out = e.words.vectors(self.weights), np.zeros(len(tokens))
         for i in range(0, len(x), step):
-            y, c = attention.forward(self.weights, self.shape, x[i : i + step])
+            c = attention.forward(self.weights, self.shape, vectors[x[i : i + step]], x[i : i + step] == len(e.words) + 1)
             t = target[i : i + step].ravel()
-            real = np.flatnonzero(t >= 0)
-            total[t[real]] = y[real, goal[t[real]]]
-            begin[t[real]] = np.log(np.maximum((c["e"] @ self.begin_classes) / c["total"][:, 0], 1e-30))[real]
-        return total + self.within[ids], begin
-
-    def word_logs(self, e: Encoded) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word, and of each row's end, given that one of them comes."""
-        each, begin = self.id_logs(e.ids, e.offsets)
-        total = np.concatenate([[0.0], np.cumsum(each)])
-        stop = e.offsets[1:] - 1
-        return total[e.last] - total[e.first] - begin[e.first] + begin[e.last], each[stop] - begin[stop]
-
-
-def build(counts: np.ndarray, begins: np.ndarray, plan: LmPlan) -> tuple[attention.Shape, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shape, input and class of each id, log probability within the class, starting bias and begin classes, from the ids' counts."""
-    n = len(counts)
-    order = np.lexsort((np.arange(n), -counts))
-    input_of = np.full(n, plan.own_inputs, np.int64)
-    input_of[order[: plan.own_inputs]] = np.arange(min(n, plan.own_inputs))
-    class_of = np.empty(n, np.int64)
-    own = order[: plan.own_classes]
-    class_of[own] = np.arange(len(own))
-    classes, half = plan.own_classes + plan.shared_classes, plan.shared_classes // 2
-    begin_classes = np.zeros(classes, np.float32)
-    begin_classes[: len(own)] = begins[own]
-    begin_classes[plan.own_classes + half :] = 1
-    for side, base in ((False, plan.own_classes), (True, plan.own_classes + half)):
-        rest = order[plan.own_classes :]
-        rest = rest[begins[rest] == side]
-        if len(rest):  # classes of about equal mass
-            mass = np.cumsum(counts[rest] + 0.01)
-            class_of[rest] = base + np.minimum((mass / mass[-1] * half).astype(np.int64), half - 1)
-    total = np.bincount(class_of, counts + 0.01, classes)
-    within = np.log(counts + 0.01) - np.log(total[class_of])
-    shape = attention.Shape(inputs=plan.own_inputs + 3, classes=classes)
-    bias = np.log(np.maximum(total, 1e-9) / total.sum())
-    return shape, input_of, class_of, within, np.maximum(bias, -30), begin_classes
-
-
-def goals(e: Encoded, input_of: np.ndarray, class_of: np.ndarray, s: attention.Shape) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs and target classes of the windows over all ids."""
-    x, target, _ = windows(input_of[e.ids], e.offsets, s)
-    return x, np.where(target >= 0, class_of[e.ids[np.maximum(target, 0)]] if len(e.ids) else 0, -1)
-
-
-def learned_from_all(texts: DataFrame, start: attention.Weights, shape: attention.Shape, input_of: np.ndarray, class_of: np.ndarray, plan: LmPlan) -> tuple[attention.Weights, int]:
-    """Weights after a pass over every window of all texts, and the number of ids learned from."""
-    shared = texts.sparkSession.sparkContext.broadcast((start, input_of, class_of))
-    pieces = 64
+            log = attention.logs(c, goal[np.maximum(t, 0)])
+            real = t >= 0
+            out[t[real]] = log[real]
+        return out / LOG10, offsets, mine
+
+
+def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape, classes: Classes, plan: LmPlan, ranks: Broadcast) -> tuple[attention.Weights, int]:
+    """Weights after a pass over every window of all texts, and the number of tokens learned from."""
+    shared = texts.sparkSession.sparkContext.broadcast((start, classes))
+    pieces, fan = 64, 64
+    whole = attention.Shape(shape.inputs, shape.classes, shape.width, shape.heads, shape.hidden, shape.window, shape.window)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
-        start, input_of, class_of = shared.value
-        encoder, adam, seen = Encoder(plan), attention.Adam(start), 0
+        start, classes = shared.value
+        encoder, adam, seen = Encoder(plan, ranks.value), attention.Adam(start), 0
         r = np.random.default_rng(7)
         for b in batches:
             for lo, hi in tb.row_chunks(b.column(0), 1 << 21):
-                x, goal = goals(encoded(b.column(0).slice(lo, hi - lo), encoder), input_of, class_of, shape)
-                for pick in np.array_split(r.permutation(len(x)), -(-len(x) // plan.batch)):
-                    adam(shape, x[pick], goal[pick], plan.rate / np.sqrt(1 + adam.step / 200))
-                seen += int((goal >= 0).sum())
+                e = encoded(b.column(0).slice(lo, hi - lo), encoder)
+                tokens, offsets = e.tokens()
+                x, target = windows(tokens, offsets, whole, len(e.words))
+                goal = np.append(np.append(classes.of(e), classes.end)[tokens], -1)[target]
+                order, i = r.permutation(len(x)), 0
+                while i < len(x):
+                    pick = order[i : i + (plan.batch if adam.step >= 100 else plan.batch // 8)]  # small steps first
+                    adam(whole, e.words, x[pick], goal[pick], plan.rate / np.sqrt(1 + adam.step / 200))
+                    i += len(pick)
+                seen += len(tokens)
         if seen:
             parts = np.array_split(attention.flat(adam.weights) * seen, pieces)
             at, n = (pa.array(np.full(pieces, v, np.int64)) for v in (TaskContext.get().partitionId(), seen))
@@ -238,130 +280,170 @@ def learned_from_all(texts: DataFrame, start: attention.Weights, shape: attentio
     def add(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
         total = t.column("w").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(axis=0)
-        return pa.table({"piece": t.column("piece")[:1], "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total], pa.list_(pa.float64()))})
+        return pa.table({"piece": t.column("piece")[:1], "at": pa.array([t.column("at")[0].as_py() // fan]), "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total], pa.list_(pa.float64()))})
 
-    got = texts.mapInArrow(learn, "piece int, at long, n long, w array<double>").groupBy("piece").applyInArrow(add, "piece int, n long, w array<double>").collect()
+    kind = "piece int, at long, n long, w array<double>"
+    sums = texts.mapInArrow(learn, kind).groupBy("piece", F.expr(f"at div {fan}")).applyInArrow(add, kind)  # so no group holds the weights of all partitions
+    got = sums.groupBy("piece").applyInArrow(add, kind).collect()
+    shared.destroy()
     if not got:
         return start, 0
     total = np.concatenate([np.array(r["w"]) for r in sorted(got, key=lambda r: r["piece"])])
     return attention.shaped(total / got[0]["n"], start), got[0]["n"]
 
 
-def lm_scores(docs: DataFrame, plan: LmPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    plan = plan or LmPlan()
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
-    encoder = Encoder(plan)
-    ids, begins = encoder.size + 1, encoder.begins
+def counted(texts: DataFrame, plan: LmPlan, ranks: Broadcast) -> DataFrame:
+    """(what, code, n, kind), stored: words (0: hash, count, kind of the word), kinds by what stands before them (1: kind * contexts + context), texts (2)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(plan)
-        for b in batches:
-            hashes, ns, by_id, docs_seen = [], [], np.zeros(ids, np.int64), 0
-            for lo, hi in tb.row_chunks(b.column(0)):
-                e = encoded(b.column(0).slice(lo, hi - lo), encoder)
-                h, n = np.unique(e.words, return_counts=True)
-                hashes.append(h)
-                ns.append(n)
-                by_id += np.bincount(e.ids, minlength=ids)
-                docs_seen += hi - lo
-            h, inverse = np.unique(np.concatenate(hashes), return_inverse=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            n = np.bincount(inverse, np.concatenate(ns), len(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            some = np.flatnonzero(by_id)
-            kind = np.concatenate([np.zeros(len(h), np.int32), np.ones(len(some), np.int32), [2]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(np.concatenate([h.view(np.int64), some, [0]])), pa.array(np.concatenate([n, by_id[some], [docs_seen]]))], names=["kind", "code", "n"]
-            )
-
-    learned = rows.filter(~F.col("held_out"))
-    counts = stored(learned.select("text").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counts.filter("kind = 0").select("code", "n")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_all, v_all = size["n"] + ends, size["v"] + (1 if ends else 0)
-    by_id = np.zeros(ids, np.int64)
-    for r in counts.filter("kind = 1").collect():  # at most one row for each id of the vocabulary
-        by_id[r["code"]] = r["n"]
-    head = words.orderBy(F.desc("n"), "code").limit(plan.head_words).toArrow()
-    head_code = head.column("code").to_numpy().view(np.uint64)
-    order = np.argsort(head_code)
-    head_code, head_n = head_code[order], head.column("n").to_numpy()[order]
-
-    shape, input_of, class_of, within, bias, begin_classes = build(by_id, begins, plan)
-    sample = learned.orderBy(F.xxhash64("key", F.lit(5)), "key").limit(plan.sample_docs).select("text")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(plan)
+        encoder, rows = Encoder(plan, ranks.value), 0
+        before = np.zeros(plan.inputs * plan.contexts, np.int64)
+
+        def out(what: int, code: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), what, np.int32)), pa.array(code), pa.array(n), pa.array(kind.astype(np.int32))], names=["what", "code", "n", "kind"])
+
         for b in batches:
-            for lo, hi in tb.row_chunks(b.column(0)):
+            hashes, ns, kinds = [], [], []
+            for lo, hi in tb.row_chunks(b.column(0), 1 << 21):
                 e = encoded(b.column(0).slice(lo, hi - lo), encoder)
-                yield pa.RecordBatch.from_arrays([pa.array([e.ids[a:z][: plan.sample_ids].tolist() for a, z in zip(e.offsets, e.offsets[1:], strict=False)], pa.list_(pa.int64()))], names=["ids"])
-
-    lists = [np.array(r["ids"], np.int64) for r in sample.mapInArrow(take, "ids array<long>").collect()]
-    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    x, target, _ = windows(input_of[flat], np.concatenate([[0], np.cumsum([len(i) for i in lists])]).astype(np.int64), shape)
-    goal = np.where(target >= 0, class_of[flat[np.maximum(target, 0)]] if len(flat) else 0, -1)
-    start, _ = attention.train(shape, bias, x, goal, plan.steps if len(x) else 0)
-    weights, _ = learned_from_all(learned.select("text"), start, shape, input_of, class_of, plan)
-    model = Model(shape, weights, input_of, class_of, within, begin_classes)
-    shared = spark.sparkContext.broadcast((model, head_code, head_n))
-    size_log = float(np.log10(n_all + v_all + 1)) if ends else 0.0
-    share = plan.count_share if ends else 0.0
+                hashes.append(e.hashes)
+                ns.append(np.bincount(e.at, minlength=len(e.hashes)))
+                kinds.append(e.kind)
+                context = np.full(len(e.at), plan.contexts - 1)
+                context[1:] = e.kind[e.at[:-1]] % (plan.contexts - 1)
+                context[np.minimum(e.word_offsets[:-1], max(0, len(e.at) - 1))[np.diff(e.word_offsets) > 0]] = plan.contexts - 1
+                before += np.bincount(e.kind[e.at] * plan.contexts + context, minlength=len(before))
+                rows += hi - lo
+            h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(h):
+                yield out(0, h.view(np.int64), np.bincount(inverse, np.concatenate(ns)).astype(np.int64), np.concatenate(kinds)[first])
+        some = np.flatnonzero(before)
+        yield out(1, some, before[some], np.zeros(len(some)))
+        yield out(2, np.zeros(1, np.int64), np.array([rows]), np.zeros(1))
+
+    rows = texts.mapInArrow(count, "what int, code long, n long, kind int")
+    return stored(rows.groupBy("what", "code").agg(F.sum("n").alias("n"), F.max("kind").alias("kind")), "lm-counts")
+
+
+def most_frequent(words: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, count, kind) of the words from the least count on with which at most `most` words have it, most frequent first."""
+    step = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64) + 4096.0 - 768.0)
+    least, kept = None, 0
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect():
+        kept += r["words"]
+        if kept > most:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = words.filter(F.col("n") >= least).toArrow()
+    h, n, kind = head.column("code").to_numpy().view(np.uint64), head.column("n").to_numpy(), head.column("kind").to_numpy().astype(np.int64)
+    order = np.lexsort((h, -n))
+    return h[order], n[order], kind[order]
+
+
+@dataclass
+class Fitted:
+    """The model; counts of all words as a table (code, n) and of the most frequent ones, by ascending hash; tokens, distinct tokens and texts learned from."""
+
+    model: Model
+    words: DataFrame
+    head_code: np.ndarray
+    head_n: np.ndarray
+    n_all: int
+    v_all: int
+    ends: int
+
+
+def fit(train: DataFrame, plan: LmPlan, ranks: Broadcast) -> Fitted:
+    """What is learned from train (key, text, copy)."""
+    counts = counted(train.select("text"), plan, ranks)
+    words = counts.filter("what = 0").select("code", "n", "kind")
+    ends = counts.filter("what = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_kind = {r["kind"]: (r["n"], r["v"]) for r in words.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # at most one row for each kind
+    profile = np.zeros(plan.inputs * plan.contexts)
+    before = counts.filter("what = 1").select("code", "n").toArrow()  # at most one row for each kind and context
+    profile[before.column("code").to_numpy()] = before.column("n").to_numpy()
+    frequent = most_frequent(words, plan.head_words)
+    classes, bias = build(plan, frequent, by_kind, profile.reshape(plan.inputs, plan.contexts), ends)
+    shape = attention.Shape(inputs=plan.inputs + 1, classes=classes.end + 1)
+    weights = attention.new_weights(shape, bias)
+    eighth = F.pmod(F.xxhash64("copy", "key"), F.lit(8)) == 0
+    for some in (eighth, ~eighth):
+        weights, _ = learned(train.filter(some).select("text"), weights, shape, classes, plan, ranks)
+    order = np.argsort(frequent[0])
+    n_all, v_all = sum(n for n, _ in by_kind.values()) + ends, sum(v for _, v in by_kind.values()) + (1 if ends else 0)
+    return Fitted(Model(shape, weights, classes), words.select("code", "n"), frequent[0][order], frequent[1][order], n_all, v_all, ends)
+
+
+def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
+
+
+def lm_scores(docs: DataFrame, plan: LmPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    plan = plan or LmPlan()
+    context = docs.sparkSession.sparkContext
+    rows = rows_of(docs, key, text)
+    ranks = context.broadcast(read_ranks(plan))  # the vocabulary has a fixed size
+    fitted = fit(rows.filter(~F.col("held_out")), plan, ranks)
+    ends, size_log = fitted.ends, float(np.log10(fitted.n_all + fitted.v_all + 1)) if fitted.ends else 0.0
+    shared = context.broadcast((fitted.model, fitted.head_code, fitted.head_n))
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, copy long, n_tokens long, known long, base double, score double, codes array<long>"
+    scored = stored(rows.select("key", "held_out", "copy", "text").mapInArrow(scorer(shared, ranks, plan, ends), schema), "lm-scored")
+    for b in (shared, ranks):
+        b.destroy()
+    # Words outside the head table: their counts come by a join, once for rows that repeat an id and a text.
+    tails = scored.filter(F.size("codes") > 0).select("key", "copy", "codes")
+    if not tails.groupBy("key", "copy").count().filter("count > 1").isEmpty():
+        tails = tails.dropDuplicates(["key", "copy"])
+    tails = tails.select("key", "copy", F.explode("codes").alias("code"))
+    found = tails.join(fitted.words, "code").groupBy("key", "copy").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("extra"))
+    s, f = scored.drop("codes").alias("s"), found.alias("f")
+    both = s.join(f, (F.col("s.copy").eqNullSafe(F.col("f.copy"))) & F.col("s.key").eqNullSafe(F.col("f.key")), "left")
+    extra = F.coalesce("f.extra", F.lit(0.0))
+    return both.select(
+        F.col("s.key").alias(key),
+        "s.held_out",
+        "s.n_tokens",
+        (F.col("s.known") + F.coalesce("f.more", F.lit(0))).alias("n_known"),
+        F.lit(int(fitted.n_all)).cast("long").alias("train_tokens"),
+        (F.col("s.base") + extra - F.col("s.n_tokens") * F.lit(size_log) if ends else F.lit(0.0)).alias("base_score"),
+        (F.col("s.score") + extra).alias("score"),
+    )
+
+
+def scorer(shared: Broadcast, ranks: Broadcast, plan: LmPlan, ends: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (key, held_out, copy, text): sums over the words of the head table, and the hashes of the others.
+
+    A word that is a class of its own adds its class's log; another one also log10(count + 1) less the log of its class's
+    size, of which the count's part is added where the counts are.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
         model, head_code, head_n = shared.value
-        encoder = Encoder(plan)
-
-        def mixed(count: np.ndarray, log: np.ndarray) -> np.ndarray:
-            return np.log10(share * (count + 1.0) * 10**-size_log + (1 - share) * np.exp(log) + 1e-300)
-
+        encoder, classes = Encoder(plan, ranks.value), model.classes
         for b in batches:
-            for lo, hi in tb.row_chunks(b.column(2), 1 << 21):
-                e = encoded(b.column(2).slice(lo, hi - lo), encoder)
-                word, end = model.word_logs(e)
+            for lo, hi in tb.row_chunks(b.column(3), 1 << 21):
+                e = encoded(b.column(3).slice(lo, hi - lo), encoder)
                 wo = e.word_offsets
-                at = np.minimum(np.searchsorted(head_code, e.words), max(0, len(head_code) - 1))
-                common = head_code[at] == e.words if len(head_code) else np.zeros(len(e.words), bool)
-                n = np.where(common, head_n[at] if len(head_n) else 0, 0)
-                base = np.where(common, np.log10(n + 1.0), 0.0)
-                score = np.where(common, mixed(n, word), 0.0)
-                rest = np.flatnonzero(~common)
-                edge = pa.array(np.searchsorted(rest, wo).astype(np.int32))
+                logs, offsets, mine = model.class_logs(e)
+                k = np.minimum(np.searchsorted(head_code, e.hashes), max(0, len(head_code) - 1))
+                common = head_code[k] == e.hashes if len(head_code) else np.zeros(len(e.hashes), bool)
+                base = np.where(common, np.log10((head_n[k] if len(head_n) else 0) + 1.0), 0.0)
+                within = np.where(mine < plan.own_classes, 0.0, base - classes.size[mine])
+                rest = np.flatnonzero(~common[e.at])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(lo, hi - lo),
-                        b.column(1).slice(lo, hi - lo),
+                        *(b.column(i).slice(lo, hi - lo) for i in range(3)),
                         pa.array((np.diff(wo) + 1).astype(np.int64)),
-                        pa.array(tb.sums_by_row(common, wo) + int(ends > 0)),
-                        pa.array((tb.sums_by_row(base, wo) + float(np.log10(ends + 1)))),
-                        pa.array(tb.sums_by_row(score, wo) + mixed(np.full(hi - lo, ends), end)),
-                        pa.ListArray.from_arrays(edge, pa.array(e.words[rest].view(np.int64))),
-                        pa.ListArray.from_arrays(edge, pa.array(word[rest].astype(np.float32))),
+                        pa.array(tb.sums_by_row(common[e.at], wo) + int(ends > 0)),
+                        pa.array(tb.sums_by_row(base[e.at], wo) + float(np.log10(ends + 1))),
+                        pa.array(tb.sums_by_row(logs, offsets) + tb.sums_by_row(within[e.at], wo)),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, wo).astype(np.int32)), pa.array(e.hashes[e.at[rest]].view(np.int64))),
                     ],
-                    names=["key", "held_out", "n_tokens", "known", "base", "score", "codes", "logs"],
+                    names=["key", "held_out", "copy", "n_tokens", "known", "base", "score", "codes"],
                 )
 
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, score double, codes array<long>, logs array<float>"
-    scored = stored(rows.mapInArrow(score, schema), "lm-scored")
-    # Words outside the head table: their counts come by a join; rows are told apart by id and number.
-    uid = F.xxhash64("key", "n_tokens", "known", "base", "score")
-    # A word without a count here has count 0; its part of the score is settled where the counts are.
-    tails = scored.filter(F.size("codes") > 0).select("key", uid.alias("uid"), "codes", "logs").dropDuplicates(["key", "uid"])
-    tails = tails.select("key", "uid", F.explode(F.arrays_zip("codes", "logs")).alias("t")).select("key", "uid", F.col("t.codes").alias("code"), F.col("t.logs").cast("double").alias("log"))
-    n = F.coalesce("n", F.lit(0))
-    part = F.log10(F.lit(share) * (n + 1) * F.lit(10**-size_log) + F.lit(1 - share) * F.exp("log") + F.lit(1e-300))
-    found = tails.join(words, "code", "left").groupBy("key", "uid").agg(F.count("n").alias("more"), F.sum(F.log10(n + 1)).alias("extra"), F.sum(part).alias("rest"))
-    s, f = scored.withColumn("uid", uid).drop("codes", "logs").alias("s"), found.alias("f")
-    both = s.join(f, (F.col("s.uid") == F.col("f.uid")) & F.col("s.key").eqNullSafe(F.col("f.key")), "left")
-    base = F.col("s.base") + F.coalesce("f.extra", F.lit(0.0)) - F.col("s.n_tokens") * F.lit(size_log)
-    return both.select(
-        F.col("s.key").alias(key),
-        "s.held_out",
-        "s.n_tokens",
-        (F.col("s.known") + F.coalesce("f.more", F.lit(0))).alias("n_known"),
-        F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (base if ends else F.lit(0.0)).alias("base_score"),
-        (F.col("s.score") + F.coalesce("f.rest", F.lit(0.0))).alias("score"),
-    )
+    return score

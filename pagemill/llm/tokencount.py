@@ -206,17 +206,6 @@ class Counter:
         return n, score
 
 
-def cut_long(starts: np.ndarray, ends: np.ndarray, wo: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same word spans with those over most bytes cut into parts."""
-    parts = np.maximum(1, -(-(ends - starts) // most))
-    if not len(parts) or parts.max() == 1:
-        return starts, ends, wo
-    before = np.concatenate([[0], np.cumsum(parts)])
-    nth = np.arange(before[-1]) - np.repeat(before[:-1], parts)
-    s = np.repeat(starts, parts) + nth * most
-    return s, np.minimum(s + most, np.repeat(ends, parts)), before[wo]
-
-
 def token_counts(docs: DataFrame, plan: TokenPlan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: key, n_pretokens, n_tokens, log_score (natural log)."""
     plan = plan or TokenPlan()

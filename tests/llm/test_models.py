@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from pagemill.llm import attention, boosting, lmscore, toxicity
@@ -18,57 +17,138 @@ def test_attention_gradients():
     s = attention.Shape(inputs=20, classes=7, width=8, heads=2, hidden=6, window=8, scored=4)
     r = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in attention.new_weights(s, np.zeros(7)).items()}
-    x, t = r.integers(0, 19, (5, 8)), r.integers(-1, 7, (5, 4))
-    x[0, :4] = 19
-    _, g = attention.gradients(w, s, x, t)
+    words = attention.Words(r.integers(0, 19, 30), np.array([0, 1, 4, 6, 11, 20, 30]))
+    words.scale = words.scale.astype(np.float64)
+    x, t = r.integers(0, 7, (5, 8)), r.integers(-1, 7, (5, 4))
+    x[0, :4] = 7
+
+    def loss():
+        return attention.gradients(w, s, words.vectors(w)[x], x == 7, t)
+
+    _, g, dv = loss()
+    by_word = np.zeros((8, 8))
+    np.add.at(by_word, x.ravel(), dv.reshape(-1, 8))
+    g["embed"] = words.spread(by_word, 20)
     for k in w:
-        i = (int(x[1, 3]), 2) if k == "embed" else tuple(int(r.integers(0, n)) for n in w[k].shape)
-        w[k][i] += 1e-5
-        up = attention.gradients(w, s, x, t)[0]
-        w[k][i] -= 2e-5
-        down = attention.gradients(w, s, x, t)[0]
-        w[k][i] += 1e-5
-        assert (up - down) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-8)
-
-
-def test_windows_score_each_id_once():
+        for _ in range(4):
+            i = tuple(int(r.integers(0, n)) for n in w[k].shape)
+            w[k][i] += 1e-5
+            up = loss()[0]
+            w[k][i] -= 2e-5
+            down = loss()[0]
+            w[k][i] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(g[k][i], rel=1e-3, abs=1e-8)
+
+
+def test_adam_in_parts_is_adam():
+    s = attention.Shape(inputs=30, classes=5, window=8, scored=8)
+    r = np.random.default_rng(3)
+    start = attention.new_weights(s, np.zeros(5))
+    words = attention.Words(r.integers(0, 29, 40), np.arange(0, 41, 4))
+    x, t = r.integers(0, 10, (20, 8)), r.integers(-1, 5, (20, 8))
+    x[:3, 4:], x[4, 0] = 11, 10
+    whole, parts = attention.Adam(start, 100), attention.Adam(start, 3)
+    for _ in range(3):
+        assert whole(s, words, x, t, 1e-2) == pytest.approx(parts(s, words, x, t, 1e-2), rel=1e-4)
+    assert all(np.allclose(whole.weights[k], parts.weights[k], atol=2e-3) for k in start)
+
+
+def test_windows_score_each_token_once():
     s = attention.Shape(inputs=103, classes=4, window=8, scored=4)
-    ids, offsets = np.arange(30) % 100, np.array([0, 1, 1, 14, 30])
-    x, target, row = lmscore.windows(ids, offsets, s)
-    real = target[target >= 0]
-    assert sorted(real.tolist()) == list(range(30))
-    for w, t, r in zip(x, target, row, strict=True):
+    tokens, offsets = np.arange(30) % 100, np.array([0, 1, 2, 14, 30])
+    tokens[offsets[1:] - 1] = -1
+    x, target = lmscore.windows(tokens, offsets, s, 200)
+    assert sorted(target[target >= 0].tolist()) == list(range(30))
+    for w, t in zip(x, target, strict=True):
         for k, at in enumerate(t):
             if at >= 0:
-                before = w[4 + k]
-                assert before == (101 if at == offsets[r] else ids[at - 1])
+                row = np.searchsorted(offsets, at, "right") - 1
+                seen = [200, *tokens[offsets[row] : at].tolist()]
+                want = [201] * 8 + seen
+                assert w[: 5 + k].tolist() == want[len(want) - 5 - k :]
+
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _lm_rows(texts):
+    rows = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW)), None]) for i, t in texts]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
+    return rows, held, collections.Counter(w for i, ws in rows if not held[i] for w in ws)
 
 
 def test_lm_scores(spark, docs, texts):
-    plan = lmscore.LmPlan(steps=30, sample_docs=50, head_words=20)
+    plan = lmscore.LmPlan(head_words=40)
     got = collections.defaultdict(list)
     for r in lmscore.lm_scores(docs, plan).collect():
         got[r.doc_id].append(r)
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = [(i, [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]) for i, t in [*texts, (None, "no id here")]]
-    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
-    c = collections.Counter(w for i, ws in rows if not held[i] for w in ws)
+    rows, held, c = _lm_rows([*texts, (None, "no id here")])
     n, v = sum(c.values()), len(c)
     assert sum(map(len, got.values())) == len(rows)
     for i, ws in rows:
         r = got[i][0]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
-        assert -12 * len(ws) - 200 < r.score < 0 or i in (507, 508)
-    # Half of the mixture is the base, so no text can score much below it.
-    assert all(got[i][0].score >= got[i][0].base_score - math.log10(2) * len(ws) - 1e-6 for i, ws in rows)
+        assert r.score < 0
+
+
+def _plain_log(w, s, vectors, goal):
+    """log10 probability of class goal after these vectors, the last of a window, in float64."""
+    h = np.array(vectors) + w["place"][-len(vectors) :]
+    q, k, u = h[-1] @ w["wq"], h @ w["wk"], h @ w["wv"]
+    a = np.exp(k @ q / math.sqrt(s.width))
+    r = h[-1] + (a / a.sum()) @ u @ w["wo"]
+    y = (r + np.maximum(r @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]) @ w["out"] + w["bias"]
+    return math.log10(math.exp(y[goal]) / np.exp(y).sum())
+
+
+def test_lm_score_by_brute_force(spark, docs, texts):
+    plan, context = lmscore.LmPlan(head_words=40), spark.sparkContext
+    ranks = lmscore.read_ranks(plan)
+    rows = lmscore.rows_of(docs, "doc_id", "text")
+    fitted = lmscore.fit(rows.filter("NOT held_out"), plan, context.broadcast(ranks))
+    got = {r.doc_id: r.score for r in lmscore.lm_scores(docs, plan).collect()}
+    model, encoder = fitted.model, lmscore.Encoder(plan, ranks)
+    s, cl = model.shape, model.classes
+    w = {k: x.astype(np.float64) for k, x in model.weights.items()}
+    rows, _, c = _lm_rows([*texts, (None, "no id here")])
+    ids = {x: encoder._encode(x.encode()) for x in {x for _, ws in rows for x in ws if x is not None}}
+    own = dict(zip(cl.own.tolist(), cl.own_class.tolist(), strict=True))
+    class_of = {x: own.get(tb.hash_word(x.encode()), int(cl.by_kind[k[0]])) for x, k in ids.items()} | {None: cl.end}
+    tokens, words = collections.Counter(), collections.Counter()
+    for x, n in c.items():
+        tokens[class_of[x]] += n
+        words[class_of[x]] += 1
+    assert len(own) >= 20 and sum(x >= plan.own_classes for x in set(class_of.values())) > 4
+    for i, ws in rows:
+        if len(ws) < 2000:
+            vectors = [w["embed"][-1]] + [w["embed"][ids[x]].sum(axis=0) / math.sqrt(len(ids[x])) for x in ws[:-1]]
+            want = 0.0
+            for k, x in enumerate(ws):
+                # Token k is the (k % scored)-th of its window's scored ones; the window reaches back to its first position.
+                reach = s.window - s.scored + k % s.scored + 1
+                near = vectors[max(0, k + 1 - reach) : k + 1]
+                place = dict(w, place=w["place"][:reach])
+                want += _plain_log(place, s, near, class_of[x])
+                if class_of[x] >= plan.own_classes and x is not None:
+                    want += math.log10((c[x] + 1) / (tokens[class_of[x]] + words[class_of[x]] + 1))
+            assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_the_model_beats_the_base_on_held_out_texts(spark):
+    # Two languages with the same counts: only what stands before tells which words may come.
+    r = random.Random(4)
+    langs = [[" ".join("".join(r.choice(x) for _ in range(2)) for _ in range(1)) for _ in range(300)] for x in (["ka", "lo", "mi", "tu"], ["sch", "ber", "ung", "ein"])]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(langs[i % 2]) for _ in range(150))) for i in range(600)], "doc_id long, text string")
+    rows = [x for x in lmscore.lm_scores(docs).collect() if x.held_out]
+    assert sum(x.score for x in rows) > sum(x.base_score + 0.15 * x.n_tokens for x in rows)
 
 
 def test_lm_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
-    (r,) = lmscore.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), lmscore.LmPlan(steps=2)).collect()
+    (r,) = lmscore.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), lmscore.LmPlan()).collect()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and math.isfinite(r.score)
-    assert lmscore.lm_scores(spark.createDataFrame([], "doc_id long, text string"), lmscore.LmPlan(steps=2)).count() == 0
+    assert lmscore.lm_scores(spark.createDataFrame([], "doc_id long, text string"), lmscore.LmPlan()).count() == 0
 
 
 def test_boosting_and_calibration():
@@ -120,19 +200,15 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
 
 
-def test_lm_learns_from_all_training_texts(spark):
-    # The order of words shows only after the first ids and in texts beyond the sample.
-    docs = spark.createDataFrame([(i, "ka lo mi té ru ban " * 300) for i in range(240)], "doc_id long, text string")
-    rows = lmscore.lm_scores(docs, lmscore.LmPlan(steps=1, sample_docs=1, sample_ids=1)).filter("held_out").collect()
-    assert rows and all(r.score > r.base_score + 0.05 * r.n_tokens for r in rows)
-
-
-def test_lm_pass_counts_every_id(spark, docs, texts):
+def test_lm_learns_from_every_token(spark, docs, texts):
     plan = lmscore.LmPlan()
-    encoder, shape = lmscore.Encoder(plan), attention.Shape(inputs=20, classes=7)
-    start, zero = attention.new_weights(shape, np.zeros(7)), np.zeros(encoder.size + 1, np.int64)
-    weights, n = lmscore.learned_from_all(docs.select("text"), start, shape, zero, zero, plan)
-    assert n == len(lmscore.encoded(pa.array([t for _, t in texts] + ["no id here"]), encoder).ids)
+    rows = lmscore.rows_of(docs, "doc_id", "text")
+    ranks = spark.sparkContext.broadcast(lmscore.read_ranks(plan))
+    classes, bias = lmscore.build(plan, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), {}, np.zeros((plan.inputs, plan.contexts)), 0)
+    shape = attention.Shape(inputs=plan.inputs + 1, classes=classes.end + 1)
+    start = attention.new_weights(shape, bias)
+    weights, n = lmscore.learned(rows.select("text"), start, shape, classes, plan, ranks)
+    assert n == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for _, t in [*texts, (None, "no id here")])
     assert {k: v.shape for k, v in weights.items()} == {k: v.shape for k, v in start.items()}
     assert all((v == attention.shaped(attention.flat(start), start)[k]).all() for k, v in start.items())
 
