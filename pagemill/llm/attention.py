@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,7 +36,7 @@ def new_weights(s: Shape, bias: np.ndarray, seed: int = 5) -> Weights:
 
     return {
         "embed": draw(s.inputs, d, scale=0.3), "place": draw(s.window, d, scale=0.1),
-        "wq": draw(d, d, scale=d**-0.5), "wk": draw(d, d, scale=d**-0.5), "wv": draw(d, d, scale=d**-0.5), "wo": draw(d, d, scale=0.5 * d**-0.5),
+        "qkv": draw(d, 3 * d, scale=d**-0.5), "wo": draw(d, d, scale=0.5 * d**-0.5),
         "w1": draw(d, f, scale=d**-0.5), "b1": np.zeros(f, np.float32), "w2": draw(f, d, scale=0.5 * f**-0.5), "b2": np.zeros(d, np.float32),
         "out": np.zeros((d, s.classes), np.float32), "bias": bias.astype(np.float32),
     }
@@ -73,29 +74,35 @@ class Words:
         return out
 
 
+@lru_cache(8)
 def _mask(s: Shape) -> np.ndarray:
-    """Position i of the scored ones sees positions up to window - scored + i."""
-    return np.arange(s.window)[None, :] > np.arange(s.window - s.scored, s.window)[:, None]
+    """What hides later positions: position i of the scored ones sees positions up to window - scored + i."""
+    return np.where(np.arange(s.window)[None, :] > np.arange(s.window - s.scored, s.window)[:, None], np.float32(-1e9), np.float32(0))
 
 
 def forward(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray) -> dict[str, np.ndarray]:
     """Logits y of the classes, with e and total of their softmax, at the scored positions of each window; v: (windows, window, width), blank marks padding."""
     b, t, d, n, dh = len(v), s.window, s.width, s.heads, s.width // s.heads
-    h = v + w["place"]
-    hq = np.ascontiguousarray(h[:, t - s.scored :])
-    q = (hq.reshape(-1, d) @ (w["wq"] * w["wq"].dtype.type(dh**-0.5))).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
-    k = (h.reshape(-1, d) @ w["wk"]).reshape(b, t, n, dh).transpose(0, 2, 3, 1)
-    u = (h.reshape(-1, d) @ w["wv"]).reshape(b, t, n, dh).transpose(0, 2, 1, 3)
+    h = (v + w["place"]).reshape(-1, d)
+    if s.scored == t:
+        hq = h
+        q, k, u = ((h @ w["qkv"]).reshape(b, t, 3, n, dh)[:, :, i] for i in range(3))
+    else:
+        hq = np.ascontiguousarray(h.reshape(b, t, d)[:, t - s.scored :]).reshape(-1, d)
+        q = (hq @ w["qkv"][:, :d]).reshape(b, s.scored, n, dh)
+        k, u = ((h @ w["qkv"][:, d:]).reshape(b, t, 2, n, dh)[:, :, i] for i in range(2))
+    q, k, u = q.transpose(0, 2, 1, 3), k.transpose(0, 2, 3, 1), u.transpose(0, 2, 1, 3)
     a = np.matmul(q, k)
+    a *= a.dtype.type(dh**-0.5)
     np.clip(a, -LARGEST, LARGEST, out=a)
-    a += np.where(_mask(s), np.float32(-1e9), np.float32(0))
+    a += _mask(s)
     if blank.any():
         a += np.where(blank, np.float32(-1e9), np.float32(0))[:, None, None, :]
     np.exp(a, out=a)
     a /= a.sum(axis=-1, keepdims=True)
     o = np.matmul(a, u).transpose(0, 2, 1, 3).reshape(-1, d)
     r = o @ w["wo"]
-    r += hq.reshape(-1, d)
+    r += hq
     f = r @ w["w1"]
     f += w["b1"]
     np.maximum(f, 0, out=f)
@@ -139,14 +146,15 @@ def gradients(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray, target: np
     dv = np.matmul(c["a"].transpose(0, 1, 3, 2), do)
     da -= (da * c["a"]).sum(axis=-1, keepdims=True)
     da *= c["a"]
-    scale = w["wq"].dtype.type(dh**-0.5)
-    dq = np.matmul(da, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, d) * scale
+    da *= da.dtype.type(dh**-0.5)
+    dq = np.matmul(da, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, d)
     dk = np.matmul(da.transpose(0, 1, 3, 2), c["q"]).transpose(0, 2, 1, 3).reshape(-1, d)
     dv = dv.transpose(0, 2, 1, 3).reshape(-1, d)
-    h = c["h"].reshape(-1, d)
-    g["wq"], g["wk"], g["wv"] = c["hq"].reshape(-1, d).T @ dq, h.T @ dk, h.T @ dv
-    dh_all = (dk @ w["wk"].T + dv @ w["wv"].T).reshape(b, t, d)
-    dh_all[:, t - s.scored :] += (dq @ w["wq"].T + dr).reshape(b, s.scored, d)
+    dkv = np.concatenate([dk, dv], axis=1)
+    g["qkv"] = np.concatenate([c["hq"].T @ dq, c["h"].T @ dkv], axis=1)
+    dh_all = (dkv @ w["qkv"][:, d:].T).reshape(b, t, d)
+    dr += dq @ w["qkv"][:, :d].T
+    dh_all[:, t - s.scored :] += dr.reshape(b, s.scored, d)
     g["place"] = dh_all.sum(axis=0)
     return loss, g, dh_all
 

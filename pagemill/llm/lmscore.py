@@ -28,6 +28,7 @@ that size.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -47,6 +48,9 @@ LOG10 = float(np.log(10.0))
 #: A word boundary as the public byte-level vocabularies cut text.
 _SPLIT = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
+#: White space other than that which ends a word.
+_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 
 @dataclass(frozen=True)
 class LmPlan:
@@ -60,7 +64,7 @@ class LmPlan:
     shared_classes: int = 32
     head_words: int = 1 << 18
     part_bytes: int = 512
-    batch: int = 128
+    batch: int = 256
     rate: float = 4e-3
     kept_words: int = 200_000
 
@@ -83,7 +87,7 @@ def read_ranks(plan: LmPlan) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Embedding rows of the subword ids of words; a word is encoded once while it is kept."""
+    """Embedding rows of the subword ids of words; the first words met are kept, the others are encoded each time, all at once."""
 
     def __init__(self, plan: LmPlan, ranks: dict[bytes, int]):
         import tiktoken
@@ -91,7 +95,9 @@ class Encoder:
         self.plan = plan
         self.bpe = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.one = [ranks[bytes([b])] for b in range(256)]
-        self.kept: dict[int, list[int]] = {}
+        self.blank = np.zeros(max(ranks.values()) + 1, bool)
+        self.blank[[r for p, r in ranks.items() if p.startswith(b" ")]] = True
+        self.hashes, self.words = np.zeros(0, np.uint64), attention.Words(np.zeros(0, np.int64), np.zeros(1, np.int64))
 
     def _part(self, part: bytes) -> list[int]:
         try:
@@ -99,25 +105,44 @@ class Encoder:
         except UnicodeDecodeError:  # a part that ends inside a character
             return [self.one[b] for b in part]
 
-    def _encode(self, word: bytes) -> list[int]:
+    def ids_of(self, word: bytes) -> list[int]:
         word, step = b" " + word, self.plan.part_bytes
-        ids = self._part(word) if len(word) <= step else [i for k in range(0, len(word), step) for i in self._part(word[k : k + step])]
-        return self.plan.row_of(np.array(ids)).tolist()
+        return self._part(word) if len(word) <= step else [i for k in range(0, len(word), step) for i in self._part(word[k : k + step])]
+
+    def _encode(self, words: list[bytes]) -> attention.Words:
+        """A word is encoded behind a blank; as words hold none, the ids that begin with one tell where words begin."""
+        text = b" ".join(words).decode()
+        odd = [i for i, x in enumerate(words) if len(x) >= self.plan.part_bytes or _SPACE.search(x.decode())] if _SPACE.search(text) or max(map(len, words)) >= self.plan.part_bytes else []
+        if odd:  # long words, and such as would run into the next one's blank
+            lists = [self.ids_of(words[i]) for i in odd]
+            plain = sorted(set(range(len(words))) - set(odd))
+            rest = self._encode([words[i] for i in plain]) if plain else attention.Words(np.zeros(0, np.int64), np.zeros(1, np.int64))
+            ids = np.concatenate([rest.ids, self.plan.row_of(np.array([i for x in lists for i in x], np.int64))])
+            return attention.Words(ids, np.concatenate([rest.offsets, rest.offsets[-1] + np.cumsum([len(x) for x in lists])])).take(np.argsort(np.array(plain + odd)))
+        ids = np.array(self.bpe.encode_ordinary(" " + text), np.int64)
+        return attention.Words(self.plan.row_of(ids), np.append(np.flatnonzero(self.blank[ids]), len(ids)))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> attention.Words:
-        """The words at these spans; hashes are theirs."""
-        if len(self.kept) > self.plan.kept_words:
-            self.kept = {}
-        kept, lists = self.kept, []
-        for x, a, z in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            ids = kept.get(x)
-            if ids is None:
-                ids = self._encode(data[a:z].tobytes())
-                if len(ids) < 64:
-                    kept[x] = ids
-            lists.append(ids)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        return attention.Words(np.fromiter((i for ids in lists for i in ids), np.int64, int(size.sum())), np.concatenate([[0], np.cumsum(size)]))
+        """The words at these spans; hashes are theirs, ascending."""
+        known = np.zeros(len(hashes), bool)
+        if len(self.hashes):
+            k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[k] == hashes
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return self.words.take(k)
+        fresh = self._encode([data[a:z].tobytes() for a, z in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+        if not len(self.hashes):
+            both, place = fresh, np.arange(len(hashes))
+        else:
+            both = attention.Words(np.concatenate([self.words.ids, fresh.ids]), np.concatenate([self.words.offsets, self.words.offsets[-1] + fresh.offsets[1:]]))
+            place = k.copy()
+            place[new] = len(self.hashes) + np.arange(len(new))
+        if len(self.hashes) < self.plan.kept_words:
+            every = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(every)
+            self.hashes, self.words = every[order], both.take(order)
+        return both.take(place)
 
 
 @dataclass
@@ -239,13 +264,13 @@ class Model:
         mine = self.classes.of(e)
         goal = np.append(mine, self.classes.end)[tokens]
         x, target = windows(tokens, offsets, self.shape, len(e.words))
-        vectors, out = e.words.vectors(self.weights), np.zeros(len(tokens))
+        vectors, each, blank = e.words.vectors(self.weights), np.zeros(target.shape, np.float32), x == len(e.words) + 1
+        wanted = goal[np.maximum(target, 0)] if len(goal) else target
         for i in range(0, len(x), step):
-            c = attention.forward(self.weights, self.shape, vectors[x[i : i + step]], x[i : i + step] == len(e.words) + 1)
-            t = target[i : i + step].ravel()
-            log = attention.logs(c, goal[np.maximum(t, 0)])
-            real = t >= 0
-            out[t[real]] = log[real]
+            c = attention.forward(self.weights, self.shape, vectors[x[i : i + step]], blank[i : i + step])
+            each[i : i + step] = attention.logs(c, wanted[i : i + step].ravel()).reshape(-1, self.shape.scored)
+        out = np.zeros(len(tokens))
+        out[target[target >= 0]] = each[target >= 0]
         return out / LOG10, offsets, mine
 
 

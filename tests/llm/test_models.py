@@ -95,7 +95,8 @@ def test_lm_scores(spark, docs, texts):
 def _plain_log(w, s, vectors, goal):
     """log10 probability of class goal after these vectors, the last of a window, in float64."""
     h = np.array(vectors) + w["place"][-len(vectors) :]
-    q, k, u = h[-1] @ w["wq"], h @ w["wk"], h @ w["wv"]
+    q, k, u = (h @ m for m in np.split(w["qkv"], 3, axis=1))
+    q = q[-1]
     a = np.exp(k @ q / math.sqrt(s.width))
     r = h[-1] + (a / a.sum()) @ u @ w["wo"]
     y = (r + np.maximum(r @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]) @ w["out"] + w["bias"]
@@ -112,7 +113,7 @@ def test_lm_score_by_brute_force(spark, docs, texts):
     s, cl = model.shape, model.classes
     w = {k: x.astype(np.float64) for k, x in model.weights.items()}
     rows, _, c = _lm_rows([*texts, (None, "no id here")])
-    ids = {x: encoder._encode(x.encode()) for x in {x for _, ws in rows for x in ws if x is not None}}
+    ids = {x: plan.row_of(np.array(encoder.ids_of(x.encode()))).tolist() for x in {x for _, ws in rows for x in ws if x is not None}}
     own = dict(zip(cl.own.tolist(), cl.own_class.tolist(), strict=True))
     class_of = {x: own.get(tb.hash_word(x.encode()), int(cl.by_kind[k[0]])) for x, k in ids.items()} | {None: cl.end}
     tokens, words = collections.Counter(), collections.Counter()
@@ -135,12 +136,28 @@ def test_lm_score_by_brute_force(spark, docs, texts):
             assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
+def test_words_encoded_at_once_and_kept():
+    plan = lmscore.LmPlan(kept_words=30)
+    ranks = lmscore.read_ranks(plan)
+    encoder = lmscore.Encoder(plan, ranks)
+    r = random.Random(9)
+    for n in (1, 20, 60, 60, 60):
+        words = sorted({"".join(r.choice("abé日 \xa012.,-'A") for _ in range(r.randrange(1, 9))).replace(" ", "") or "x" for _ in range(n)} | ({"y" * 700, "é" * 400} if n == 20 else set()))
+        data = np.frombuffer("".join(words).encode(), np.uint8)
+        ends = np.cumsum([len(x.encode()) for x in words])
+        h = tb.span_hashes(data, ends - [len(x.encode()) for x in words], ends)
+        order = np.argsort(h)
+        got = encoder(data, (ends - [len(x.encode()) for x in words])[order], ends[order], h[order])
+        for i, k in enumerate(order.tolist()):
+            assert got.ids[got.offsets[i] : got.offsets[i + 1]].tolist() == plan.row_of(np.array(encoder.ids_of(words[k].encode()))).tolist()
+
+
 def test_the_model_beats_the_base_on_held_out_texts(spark):
     # Two languages with the same counts: only what stands before tells which words may come.
     r = random.Random(4)
     langs = [[" ".join("".join(r.choice(x) for _ in range(2)) for _ in range(1)) for _ in range(300)] for x in (["ka", "lo", "mi", "tu"], ["sch", "ber", "ung", "ein"])]
     docs = spark.createDataFrame([(i, " ".join(r.choice(langs[i % 2]) for _ in range(150))) for i in range(600)], "doc_id long, text string")
-    rows = [x for x in lmscore.lm_scores(docs).collect() if x.held_out]
+    rows = [x for x in lmscore.lm_scores(docs, lmscore.LmPlan(batch=16)).collect() if x.held_out]  # small batches, as the corpus is small
     assert sum(x.score for x in rows) > sum(x.base_score + 0.15 * x.n_tokens for x in rows)
 
 
