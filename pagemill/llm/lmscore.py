@@ -7,7 +7,7 @@ end are classes of their own, the other words share classes by their first
 subword id.  Which first ids go together follows from what stands before them
 in the corpus, by k-means.  A token's probability is that of its class by the
 network, times its share of the class by the smoothed counts of the corpus.
-Each token is scored once, with at least half a window before it.
+Each token is scored once, with at least a quarter of a window before it.
 
 All training texts are counted, and the network learns from every window of
 all of them: each partition goes over its windows by Adam, and the weights that
