@@ -57,14 +57,14 @@ class LmPlan:
     """own_inputs, shared_inputs: rows of the embedding for frequent ids by rank, and for the others by hash; own_classes, shared_classes: of words; batch, rate: of the learning; head_words: size of the broadcast count table."""
 
     vocabulary: str = VOCABULARY
-    own_inputs: int = 4096
-    shared_inputs: int = 1024
+    own_inputs: int = 2048
+    shared_inputs: int = 512
     contexts: int = 32
     own_classes: int = 31
     shared_classes: int = 32
     head_words: int = 1 << 18
     part_bytes: int = 512
-    batch: int = 256
+    batch: int = 512
     rate: float = 4e-3
     kept_words: int = 200_000
 
@@ -286,7 +286,7 @@ def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape,
         encoder, adam, seen = Encoder(plan, ranks.value), attention.Adam(start), 0
         r = np.random.default_rng(7)
         for b in batches:
-            for lo, hi in tb.row_chunks(b.column(0), 1 << 21):
+            for lo, hi in tb.row_chunks(b.column(0), 1 << 22):
                 e = encoded(b.column(0).slice(lo, hi - lo), encoder)
                 tokens, offsets = e.tokens()
                 x, target = windows(tokens, offsets, whole, len(e.words))
@@ -321,6 +321,7 @@ def counted(texts: DataFrame, plan: LmPlan, ranks: Broadcast) -> DataFrame:
     """(what, code, n, kind), stored: words (0: hash, count, kind of the word), kinds by what stands before them (1: kind * contexts + context), texts (2)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.reuse_memory()
         encoder, rows = Encoder(plan, ranks.value), 0
         before = np.zeros(plan.inputs * plan.contexts, np.int64)
 
@@ -329,7 +330,7 @@ def counted(texts: DataFrame, plan: LmPlan, ranks: Broadcast) -> DataFrame:
 
         for b in batches:
             hashes, ns, kinds = [], [], []
-            for lo, hi in tb.row_chunks(b.column(0), 1 << 21):
+            for lo, hi in tb.row_chunks(b.column(0), 1 << 22):
                 e = encoded(b.column(0).slice(lo, hi - lo), encoder)
                 hashes.append(e.hashes)
                 ns.append(np.bincount(e.at, minlength=len(e.hashes)))
@@ -450,7 +451,7 @@ def scorer(shared: Broadcast, ranks: Broadcast, plan: LmPlan, ends: int) -> Call
         model, head_code, head_n = shared.value
         encoder, classes = Encoder(plan, ranks.value), model.classes
         for b in batches:
-            for lo, hi in tb.row_chunks(b.column(3), 1 << 21):
+            for lo, hi in tb.row_chunks(b.column(3), 1 << 22):
                 e = encoded(b.column(3).slice(lo, hi - lo), encoder)
                 wo = e.word_offsets
                 logs, offsets, mine = model.class_logs(e)
