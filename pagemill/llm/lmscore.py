@@ -66,7 +66,7 @@ class LmPlan:
     part_bytes: int = 512
     batch: int = 512
     rate: float = 4e-3
-    kept_words: int = 200_000
+    kept_words: int = 600_000
 
     @property
     def inputs(self) -> int:
@@ -140,11 +140,22 @@ class Encoder:
             place[new] = len(self.hashes) + np.arange(len(new))
         if len(self.hashes) < self.plan.kept_words:
             every = np.concatenate([self.hashes, hashes[new]])
-            order = np.argsort(every)
+            order = np.argsort(every, kind="stable")  # two sorted runs
             self.hashes, self.words = every[order], both.take(order)
         return both.take(place)
 
 
+_encoders: dict[LmPlan, Encoder] = {}
+
+
+def encoder_for(plan: LmPlan, ranks: Broadcast) -> Encoder:
+    """The encoder of this worker, which keeps its words from task to task."""
+    if plan not in _encoders:
+        _encoders.clear()
+        _encoders[plan] = Encoder(plan, ranks.value)
+    return _encoders[plan]
+
+
 @dataclass
 class Encoded:
     """Of some rows: distinct words (hash, ids, kind by the first id), which of them stands at each place, and where each row's words begin."""
@@ -283,7 +294,7 @@ def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape,
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
         start, classes = shared.value
-        encoder, adam, seen = Encoder(plan, ranks.value), attention.Adam(start), 0
+        encoder, adam, seen = encoder_for(plan, ranks), attention.Adam(start), 0
         r = np.random.default_rng(7)
         for b in batches:
             for lo, hi in tb.row_chunks(b.column(0), 1 << 22):
@@ -322,7 +333,7 @@ def counted(texts: DataFrame, plan: LmPlan, ranks: Broadcast) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
-        encoder, rows = Encoder(plan, ranks.value), 0
+        encoder, rows = encoder_for(plan, ranks), 0
         before = np.zeros(plan.inputs * plan.contexts, np.int64)
 
         def out(what: int, code: np.ndarray, n: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
@@ -449,7 +460,7 @@ def scorer(shared: Broadcast, ranks: Broadcast, plan: LmPlan, ends: int) -> Call
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
         model, head_code, head_n = shared.value
-        encoder, classes = Encoder(plan, ranks.value), model.classes
+        encoder, classes = encoder_for(plan, ranks), model.classes
         for b in batches:
             for lo, hi in tb.row_chunks(b.column(3), 1 << 22):
                 e = encoded(b.column(3).slice(lo, hi - lo), encoder)
