@@ -97,9 +97,10 @@ def _plain_log(w, s, vectors, goal):
     h = np.array(vectors) + w["place"][-len(vectors) :]
     q, k, u = (h @ m for m in np.split(w["qkv"], 3, axis=1))
     q = q[-1]
-    a = np.exp(k @ q / math.sqrt(s.width))
+    a = np.exp(np.clip(k @ q / math.sqrt(s.width), -attention.LARGEST, attention.LARGEST))
     r = h[-1] + (a / a.sum()) @ u @ w["wo"]
     y = (r + np.maximum(r @ w["w1"] + w["b1"], 0) @ w["w2"] + w["b2"]) @ w["out"] + w["bias"]
+    y = np.clip(y, -attention.LARGEST, attention.LARGEST)
     return math.log10(math.exp(y[goal]) / np.exp(y).sum())
 
 
