@@ -38,6 +38,8 @@ SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vo
 
 @dataclass(frozen=True)
 class ToxicityPlan:
+    """train_rows: most labelled rows learned from; lexicon_size: most lexicon entries, a bound on features; the others shape lexicon, features and folds."""
+
     train_rows: int = 24_000
     lexicon_size: int = 8_192
     least_toxic_docs: int = 3
