@@ -43,28 +43,26 @@ def next_url(at: Column, location: Column) -> Column:
 def followed(urls: DataFrame, responses: DataFrame, most: int = 5) -> DataFrame:
     """(url, final_url, status, body, content_type, error_class, error_message) after at most `most` redirects.
 
-    Each round joins only the URLs that are still under way.  A URL that may not be fetched, the first or any that a
-    redirect leads to, is a blocked one; more than `most` redirects are a plain error.
+    A URL that may not be fetched, the first or any that a redirect leads to, is a blocked one; more than `most` redirects
+    are a plain error.  The hops are followed on URLs and statuses only; bodies are joined once, at the end.
     """
-    r = responses.select(F.col("url").alias("at"), "status", "location", "content_type", "body", "error_class", "error_message")
-    now = urls.select("url", F.col("url").alias("at"))
-    done: DataFrame | None = None
-
-    def failed(rows: DataFrame, kind: str, why: Column) -> DataFrame:
-        none = {c: F.lit(None).cast(t) for c, t in (("status", "int"), ("content_type", "string"), ("body", "binary"))}
-        return rows.withColumns({**none, "error_class": F.lit(kind), "error_message": why}).select("url", "at", "status", "content_type", "body", "error_class", "error_message")
-
+    hops = responses.select(F.col("url").alias("look"), "status", "location")
+    state = urls.select("url", F.col("url").alias("at"), F.lit(True).alias("moving"), F.lit(None).cast("string").alias("fault"))
     for hop in range(most + 1):
-        now = now.withColumn("problem", url_problem(F.col("at")))
-        blocked = failed(now.filter("problem IS NOT NULL"), "BlockedUrlError", F.concat(F.lit("address not allowed: "), F.col("problem")))
-        got = now.filter("problem IS NULL").drop("problem").join(r, "at", "left")
-        moves = F.coalesce(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.lit(False))
-        part = got.filter(~moves).drop("location").unionByName(blocked)
-        if hop == most:
-            part = part.unionByName(failed(got.filter(moves), "TooManyRedirectsError", F.lit("too many redirects")))
-        done = part if done is None else done.unionByName(part)
-        now = got.filter(moves).select("url", F.coalesce(next_url(F.col("at"), F.col("location")), F.lit("")).alias("at"))
-    return done.withColumnRenamed("at", "final_url")
+        problem = url_problem(F.col("at"))
+        state = state.withColumn("fault", F.when(F.col("moving") & problem.isNotNull(), F.concat(F.lit("address not allowed: "), problem)).otherwise(F.col("fault")))
+        on = F.col("moving") & F.col("fault").isNull()
+        # A URL that has arrived looks up a name of its own that no response has.
+        got = state.withColumn("look", F.when(on, F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url")))).join(hops, "look", "left")
+        goes = F.coalesce(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.lit(False))
+        if hop < most:
+            state = got.select("url", F.when(goes, F.coalesce(next_url(F.col("at"), F.col("location")), F.lit(""))).otherwise(F.col("at")).alias("at"), goes.alias("moving"), "fault")
+        else:
+            state = got.select("url", "at", F.when(goes, "too many redirects").otherwise(F.col("fault")).alias("fault"))
+    found = state.withColumn("look", F.when(F.col("fault").isNull(), F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url"))))
+    found = found.join(responses.drop("location").withColumnRenamed("url", "look"), "look", "left")
+    kind = F.when(F.col("fault") == "too many redirects", "TooManyRedirectsError").when(F.col("fault").isNotNull(), "BlockedUrlError").otherwise(F.col("error_class"))
+    return found.select("url", F.col("at").alias("final_url"), "status", "content_type", "body", kind.alias("error_class"), F.coalesce("fault", "error_message").alias("error_message"))
 
 
 def within_size(rows: DataFrame, most_bytes: int = 5_000_000) -> DataFrame:
