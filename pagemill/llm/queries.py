@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, licenses, lmscore, mixing, quality, secrets, sql, tokencount, toxicity, warc
+from . import decontaminate, fillmiddle, jaccard, licenses, lmscore, mixing, multiset, quality, secrets, sql, tokencount, toxicity, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,24 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op11_event_scan_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fillmiddle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+    def digest(text: Column) -> Column:
+        return F.sha2(text.cast("binary"), 256)
+
+    back = fillmiddle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op12_two_pass_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edited(table(spark, sf_dir, "documents"))
+
+
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("at").alias("captured_at"))
@@ -82,10 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_quality": op8_compression_quality,
     "op9_qgram_decontamination": op9_qgram_decontamination,
     "op10_systematic_mix": op10_systematic_mix,
+    "op11_event_scan_fim": op11_event_scan_fim,
+    "op12_two_pass_whitening": op12_two_pass_whitening,
+    "op13_multiset_fingerprints": op13_multiset_fingerprints,
 }
 
 SQL: dict[str, str] = {
     "op1_warc_index_merge": sql.OP1,
     "op4_blob_ledger_secrets": sql.OP4,
     "op10_systematic_mix": sql.OP10,
+    "op11_event_scan_fim": sql.OP11,
 }
