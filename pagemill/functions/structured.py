@@ -11,7 +11,7 @@ from .htmltree import TEXT, Node
 # Lower-cased schema.org type names that count.
 ARTICLE_TYPES = frozenset("article newsarticle blogposting report techarticle scholarlyarticle socialmediaposting advertisercontentarticle reviewarticle satiricalarticle opinionnewsarticle analysisnewsarticle".split())
 EVENT_TYPES = frozenset("event musicevent sportsevent theaterevent comedyevent festival exhibitionevent foodevent literaryevent socialevent educationevent businessevent childrensevent dancevent screeningevent visualartsevent broadcastevent courseinstance".split())
-_PLACE_PARTS = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
+PLACE_PARTS = ("streetAddress", "addressLocality", "addressRegion", "postalCode")
 
 
 def _refuse(name: str) -> Any:
@@ -100,7 +100,7 @@ def article(root: Node) -> dict[str, Any] | None:
 
 def _address(value: Any) -> str | None:
     if isinstance(value, dict):
-        return ", ".join(p for p in (_said(value.get(k), True) for k in _PLACE_PARTS) if p) or None
+        return ", ".join(p for p in (_said(value.get(k), True) for k in PLACE_PARTS) if p) or None
     return value if isinstance(value, str) else None
 
 

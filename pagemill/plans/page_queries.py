@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import links, policy, stopwords
 from ..functions.article import ArticleOptions
-from ..operators import export, pages
+from ..operators import export, metadata, pages, structured_data
 from ..sources import web
 
 LISTS = stopwords.short_lists()
@@ -206,32 +206,47 @@ def _json_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jsonld_events(spark: SparkSession, d: str) -> DataFrame:
-    e = pages.extract_events(_json_pages(spark, d))
+    e = structured_data.page_events(_json_pages(spark, d))
     return e.select("page_id", "title", "startDate", "eventStatus", F.col("location.name").alias("place"), F.col("location.address").alias("address"), F.col("offers")[0]["price"].alias("price"), "sourceUrl")
 
 
 def jsonld_articles(spark: SparkSession, d: str) -> DataFrame:
-    a = pages.extract_articles(_json_pages(spark, d))
+    a = structured_data.thin_articles(_json_pages(spark, d))
     return a.select("page_id", "title", "cleanedText", F.array_join("tags", "|").alias("tags"), F.array_join("authors", "|").alias("authors"), "fromJsonLd")
 
 
 _JSON_DOCS = "(SELECT *, split_part(body, ' ', 1) AS w FROM (SELECT doc_id, source, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS body FROM documents))"
 
 
+_LETTERS = "[^A-Za-z]+"
+
+
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata of pages with the markup that the table's own pages lack."""
-    p = _pages(spark, d)
-    head = F.concat(
-        F.lit('<meta property="og:title" content="'), F.concat(F.lit("T"), F.col("page_id").cast("string")), F.lit(' | Site"><meta property="og:site_name" content="Site"><meta property="og:image" content="/a.png">'),
-        F.lit('<meta property="og:image:width" content="300"><meta name="description" content=" about "><meta name="keywords" content="k,l"><link rel="shortcut icon" href="/i.ico">'),
-        F.lit('<link rel="canonical" href="/c/'), F.col("page_id").cast("string"), F.lit('"><meta itemprop="datePublished" datetime="2024-02-03">'),
-        F.lit('<a rel="tag" href="#">x</a><a rel="tag" href="#">x</a><a rel="tag" href="#">y</a><span itemprop="author"><b itemprop="name">Ann</b></span></head>'),
-    )
-    made = p.select("page_id", F.lit("https://www.Example.org:8443/p").alias("url"), F.concat(F.lit('<html lang="EN-us"><head>'), head, F.lit("<body></body></html>")).alias("html"))
-    a = pages.extract_articles(made)
+    """Metadata of a page for each document: its words, source and language in six kinds of head markup."""
+    words = F.split(F.trim(F.regexp_replace("text", _LETTERS, " ")), " ")
+    c, k = F.concat, F.col("doc_id") % 6
+    w = [F.coalesce(F.nullif(F.get(words, F.lit(i)), F.lit("")), F.lit("x")) for i in range(8)]
+    n, source = F.col("doc_id").cast("string"), F.col("source")
+
+    def s(text: str) -> Column:
+        return F.lit(text)
+
+    head = [
+        c(F.when(k % 2 == 0, c(s('<HTML lang="'), F.upper("lang"), s('-x"><head>'))).otherwise(c(s("<html><head><!-- <meta name='lang' content='xx'> --><meta http-equiv='Content-Language' content="), F.col("lang"), s(">")))),
+        c(s("<title>"), w[0], s(" &amp; "), w[1], s(" | "), source, s('</title><meta property="og:image" content="/a.png"><meta property="og:image:width" content="'), F.col("n_chars").cast("string"), s('"><meta property="og:x" content="">')),
+        F.when(k < 2, c(s('<meta property="og:site_name" content="'), source, s('"><meta content="'), source, s(": "), w[2], s("&nbsp;"), w[3], s(' |" property="og:title">'))).when(k == 2, c(s('<meta name="headline" content="» '), w[4], s(" - "), w[5], s('">'))).otherwise(""),
+        c(s('<meta name="description" content=" '), w[5], s(" &lt; "), w[6], s(' "><meta name="Description" content="no"><meta name=keywords content='), w[0], s(","), w[1], s(">")),
+        F.when(k % 3 > 0, c(s('<link rel="apple-touch-icon" href="/'), source, s('.ico"><link rel="icon" href="/no">'))).otherwise(""),
+        F.when(k > 0, c(s('<link rel="canonical" href=" '), F.when(k == 1, c(s("/c/"), n)).when(k == 2, c(s("http://"), source, s(".example.com/c?d="), n)).when(k == 3, c(s("../x/./"), n)).when(k == 4, c(s("a b?d="), n)).otherwise(c(s("//m.example.org/"), n)), s(' ">'))).otherwise(""),
+        F.when(k == 1, s('<meta property="article:published_time">')).when(k == 2, c(s('<meta property="rnews:datePublished" content="2024-'), n, s('">'))).otherwise(""),
+        c(s("</head><body><script>var a = '<a rel=\"tag\">no</a>';</script><time itemprop='datePublished' datetime='2023-"), n, s("'></time>")),
+        F.when(k < 4, c(s('<a rel="tag">'), w[0], s('</a><a rel="tag" href=#><b>'), w[1], s("</b>"), w[2], s('</a><a rel="tag"> '), w[0], s(" </a>"))).otherwise(""),
+        c(s('<p><a href="/tag/x">'), w[3], s('</a><a href="/topic/y?a=1&amp;b=2"> </a></p><div itemprop="author"><div><span itemprop="name">'), w[4], s(" <i>"), w[5], s('</i></span></div></div><b itemprop="author name">'), source, s("</b></body></html>")),
+    ]
+    made = _docs(spark, d).select(F.col("doc_id").alias("page_id"), c(s("https://"), source, s(".Example.org:8443/p/"), n).alias("url"), c(*head).alias("html"))
+    a = metadata.page_metadata(made)
     return a.select(
-        "page_id", "title", "domain", "publishDate", F.col("meta.lang").alias("lang"), F.col("meta.description").alias("description"), F.col("meta.keywords").alias("keywords"), F.col("meta.favicon").alias("favicon"),
-        F.col("meta.canonical").alias("canonical"), F.array_join("tags", ",").alias("tags"), F.array_join("authors", ",").alias("authors"), F.col("opengraph")["image"].alias("og_image"),
+        "page_id", "title", "domain", "publishDate", "lang", "description", "keywords", "favicon", "canonical", F.array_join("tags", ",").alias("tags"), F.array_join("authors", ",").alias("authors"), F.col("opengraph")["image"].alias("og_image"), F.size("opengraph").cast("long").alias("n_graph"),
     )
 
 
@@ -327,7 +342,12 @@ SQL: dict[str, str] = {
     "n AS (SELECT *, octet_length(encode(source)) + 4 + CASE WHEN k > 1 THEN 3 + length(CAST(k AS VARCHAR)) ELSE 0 END AS name FROM d) SELECT batch, count(*) AS entries, CAST(sum(30 + 46 + 2 * name + size) + 22 AS BIGINT) AS bytes FROM n GROUP BY batch",
     "page_referrer": f"SELECT page_id, CASE WHEN {_HOST} <> 'thther.example.org' THEN regexp_replace({_HOST}, '^www\\.', '') END AS ref FROM pages",
     "page_url_problems": "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'address' WHEN 1 THEN 'scheme' WHEN 2 THEN 'credentials' WHEN 3 THEN 'port' WHEN 4 THEN 'host' WHEN 5 THEN 'host' END AS problem FROM pages",
-    "page_metadata": "SELECT page_id, 'T' || page_id AS title, 'www.example.org' AS domain, '2024-02-03' AS \"publishDate\", 'en' AS lang, 'about' AS description, 'k,l' AS keywords, '/i.ico' AS favicon, 'https://www.example.org/c/' || page_id AS canonical, 'x,y' AS tags, 'Ann' AS authors, '300' AS og_image FROM pages",
+    "page_metadata": "WITH w AS (SELECT *, doc_id % 6 AS k, list_transform(range(1, 9), lambda i: coalesce(nullif(ws[i], ''), 'x')) AS w FROM (SELECT doc_id, source, lang, n_chars, string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ') AS ws FROM documents)) "
+    "SELECT doc_id AS page_id, CASE WHEN k < 2 THEN w[3] || ' ' || w[4] WHEN k = 2 THEN w[5] || ' - ' || w[6] ELSE w[1] || ' & ' || w[2] || ' | ' || source END AS title, source || '.example.org' AS domain, "
+    "CASE k WHEN 1 THEN NULL WHEN 2 THEN '2024-' || doc_id ELSE '2023-' || doc_id END AS \"publishDate\", lang, w[6] || ' < ' || w[7] AS description, w[1] || ',' || w[2] AS keywords, CASE WHEN k % 3 > 0 THEN '/' || source || '.ico' ELSE '' END AS favicon, "
+    "CASE k WHEN 0 THEN 'https://' || source || '.Example.org:8443/p/' || doc_id WHEN 1 THEN 'https://' || source || '.example.org/c/' || doc_id WHEN 2 THEN 'http://' || source || '.example.com/c?d=' || doc_id WHEN 3 THEN 'https://' || source || '.example.org/x/' || doc_id "
+    "WHEN 4 THEN 'https://' || source || '.example.org/a%20b?d=' || doc_id ELSE 'https://m.example.org/' || doc_id END AS canonical, CASE WHEN k < 4 THEN w[1] || CASE WHEN w[2] || ' ' || w[3] <> w[1] THEN ',' || w[2] || ' ' || w[3] ELSE '' END ELSE w[4] END AS tags, "
+    "w[5] || ' ' || w[6] || CASE WHEN w[5] || ' ' || w[6] <> source THEN ',' || source ELSE '' END AS authors, CAST(n_chars AS VARCHAR) AS og_image, CASE WHEN k < 2 THEN 3 ELSE 1 END::BIGINT AS n_graph FROM w",
     "page_images": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example.org/big.jpg' ELSE 'https://s.example.org/og.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'bigimage' ELSE 'opengraph' END AS type, CASE WHEN page_id % 2 = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS confidence, CASE WHEN page_id % 2 = 0 THEN 800 ELSE 0 END::BIGINT AS width FROM pages",
     "picture_catalog": "SELECT CAST(page_id AS VARCHAR) AS src, 24::BIGINT AS bytes, page_id % 1000 + 1 AS width, 2 * (page_id % 1000 + 1) AS height, '.png' AS ext FROM pages WHERE page_id % 3 <> 0",
     "page_fetch": _FETCHED + " SELECT url, CASE WHEN i IN (0, 3, 4) THEN url || '/b' WHEN i = 5 THEN 'ftp://s.example.org/x' WHEN i = 6 THEN 'http://127.0.0.1/x' ELSE url END AS final_url, CASE WHEN i IN (0, 3, 4, 8) AND NOT big THEN length(html) END AS chars, fetch_error, "
