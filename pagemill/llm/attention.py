@@ -18,7 +18,7 @@ class Shape:
     heads: int = 1
     hidden: int = 32
     window: int = 32
-    scored: int = 24
+    scored: int = 16
 
 
 Weights = dict[str, np.ndarray]

@@ -244,13 +244,20 @@ def match_batch(texts: pa.Array, index: GramIndex) -> list[tuple[int, int, int,
 
 def item_blocks(bench: DataFrame, budget: EditBudget, key: str, text: str) -> Iterator[GramIndex]:
     """The items as indexes of about block_chars characters each."""
-    items = bench.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0)
+    kind = item_kind(bench, key)
+    items = bench.select(F.col(key).cast(kind).alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // budget.block_chars)
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
-        rows = sorted(part.collect(), key=lambda r: (r.id is None, r.id or 0, r.text))
-        yield GramIndex(budget, np.array([-1 if r.id is None else r.id for r in rows], np.int64), [folded(r.text) for r in rows])
+        rows = sorted(part.collect(), key=lambda r: (r.id is None, r.id or (0 if kind == "long" else ""), r.text))
+        ids = [-1 if r.id is None and kind == "long" else r.id for r in rows]
+        yield GramIndex(budget, np.array(ids, np.int64 if kind == "long" else object), [folded(r.text) for r in rows])
+
+
+def item_kind(bench: DataFrame, key: str) -> str:
+    """Type of the items' ids in results: long for whole numbers, else string."""
+    return "long" if bench.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
 def contamination(docs: DataFrame, bench: DataFrame, budget: EditBudget | None = None, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -258,7 +265,8 @@ def contamination(docs: DataFrame, bench: DataFrame, budget: EditBudget | None =
     budget = budget or EditBudget()
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
-    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id long, edits int, start long, end long"
+    kind = item_kind(bench, item_key)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, item_id {kind}, edits int, start long, end long"
     result = None
     for index in item_blocks(bench, budget, item_key, item_text):
         shared = spark.sparkContext.broadcast(index)
@@ -271,7 +279,7 @@ def contamination(docs: DataFrame, bench: DataFrame, budget: EditBudget | None =
                 if hit:
                     row, item, edits, start, end = (np.array(x) for x in zip(*hit, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(row)), pa.array(index.ids[item]), pa.array(edits.astype(np.int32)), pa.array(start), pa.array(end)],
+                        [b.column(0).take(pa.array(row)), pa.array(index.ids[item], pa.int64() if kind == "long" else pa.string()), pa.array(edits.astype(np.int32)), pa.array(start), pa.array(end)],
                         names=[key, "item_id", "edits", "start", "end"],
                     )
 

@@ -7,22 +7,23 @@ end are classes of their own, the other words share classes by their first
 subword id.  Which first ids go together follows from what stands before them
 in the corpus, by k-means.  A token's probability is that of its class by the
 network, times its share of the class by the smoothed counts of the corpus.
-Each token is scored once, with at least a quarter of a window before it.
+Each token is scored once, with at least half a window before it.
 
 All training texts are counted, and the network learns from every window of
-all of them: each partition goes over its windows by Adam, and the weights that
-come out are averaged by the number of tokens learned from.  That is done
-twice, over the texts of one eighth (by a hash of text and id) from common
-drawn weights, and over the others from what comes of that.
+all of them, in rounds.  A round's texts are dealt by a hash into shards of
+about shard_tokens tokens, each in an order of its own; one task goes over a
+shard by Adam, and the weights and moments that come out are averaged by the number
+of tokens learned from, for the next round to start with.  So what is learned
+depends on the texts alone and not on files, splits or partitions, and a task's share
+of it does not shrink as the table grows.
 
 Base counts of the most frequent words are broadcast (a table of bounded
 size); the other words of each text are joined with the full counts.
 
 Defined results: a null text is empty and has one token, the end; repeated
 rows are scored each; without training texts all counts are 0, every token is
-in one class of its kind and the base is 0; texts of any length are scored
-whole; the ids of a word of over part_bytes bytes are those of its parts of
-that size.
+in one class of its kind and the base is 0; texts and words of any length are
+encoded and scored whole.  Rows that agree in key and text are in one shard.
 """
 
 from __future__ import annotations
@@ -54,18 +55,19 @@ _SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 @dataclass(frozen=True)
 class LmPlan:
-    """own_inputs, shared_inputs: rows of the embedding for frequent ids by rank, and for the others by hash; own_classes, shared_classes: of words; batch, rate: of the learning; head_words: size of the broadcast count table."""
+    """own_inputs, shared_inputs: rows of the embedding for frequent ids by rank, and for the others by hash; own_classes, shared_classes: of words; batch, rate: of the learning; rounds: eighths of the texts in each; head_words: size of the broadcast count table."""
 
     vocabulary: str = VOCABULARY
-    own_inputs: int = 2048
-    shared_inputs: int = 512
+    own_inputs: int = 4096
+    shared_inputs: int = 1024
     contexts: int = 32
     own_classes: int = 31
     shared_classes: int = 32
     head_words: int = 1 << 18
-    part_bytes: int = 512
     batch: int = 512
     rate: float = 4e-3
+    rounds: tuple[int, ...] = (1, 2, 5)
+    shard_tokens: int = 400_000
     kept_words: int = 600_000
 
     @property
@@ -94,26 +96,18 @@ class Encoder:
 
         self.plan = plan
         self.bpe = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.one = [ranks[bytes([b])] for b in range(256)]
         self.blank = np.zeros(max(ranks.values()) + 1, bool)
         self.blank[[r for p, r in ranks.items() if p.startswith(b" ")]] = True
         self.hashes, self.words = np.zeros(0, np.uint64), attention.Words(np.zeros(0, np.int64), np.zeros(1, np.int64))
 
-    def _part(self, part: bytes) -> list[int]:
-        try:
-            return self.bpe.encode_ordinary(part.decode())
-        except UnicodeDecodeError:  # a part that ends inside a character
-            return [self.one[b] for b in part]
-
     def ids_of(self, word: bytes) -> list[int]:
-        word, step = b" " + word, self.plan.part_bytes
-        return self._part(word) if len(word) <= step else [i for k in range(0, len(word), step) for i in self._part(word[k : k + step])]
+        return self.bpe.encode_ordinary(" " + word.decode("utf-8", "replace"))
 
     def _encode(self, words: list[bytes]) -> attention.Words:
         """A word is encoded behind a blank; as words hold none, the ids that begin with one tell where words begin."""
-        text = b" ".join(words).decode()
-        odd = [i for i, x in enumerate(words) if len(x) >= self.plan.part_bytes or _SPACE.search(x.decode())] if _SPACE.search(text) or max(map(len, words)) >= self.plan.part_bytes else []
-        if odd:  # long words, and such as would run into the next one's blank
+        text = b" ".join(words).decode("utf-8", "replace")
+        odd = [i for i, x in enumerate(words) if _SPACE.search(x.decode("utf-8", "replace"))] if _SPACE.search(text) else []
+        if odd:  # words that would run into the next one's blank
             lists = [self.ids_of(words[i]) for i in odd]
             plain = sorted(set(range(len(words))) - set(odd))
             rest = self._encode([words[i] for i in plain]) if plain else attention.Words(np.zeros(0, np.int64), np.zeros(1, np.int64))
@@ -285,16 +279,28 @@ class Model:
         return out / LOG10, offsets, mine
 
 
-def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape, classes: Classes, plan: LmPlan, ranks: Broadcast) -> tuple[attention.Weights, int]:
-    """Weights after a pass over every window of all texts, and the number of tokens learned from."""
-    shared = texts.sparkSession.sparkContext.broadcast((start, classes))
+def starting(weights: attention.Weights) -> dict[str, np.ndarray]:
+    """The state of a learning that begins: weights, their two moments and the number of steps."""
+    zero = {f"{m} {k}": np.zeros_like(v) for k, v in weights.items() for m in ("first", "second")}
+    return {f"weight {k}": v for k, v in weights.items()} | zero | {"step": np.zeros(1, np.float32)}
+
+
+def weights_of(state: dict[str, np.ndarray], what: str = "weight") -> attention.Weights:
+    return {k.partition(" ")[2]: v for k, v in state.items() if k.startswith(what + " ")}
+
+
+def learned(rows: DataFrame, start: dict[str, np.ndarray], shape: attention.Shape, classes: Classes, plan: LmPlan, ranks: Broadcast, shards: int) -> tuple[dict[str, np.ndarray], int]:
+    """The state after every window of all texts of rows (key, text, copy) in so many shards, averaged, and the number of tokens learned from."""
+    shared = rows.sparkSession.sparkContext.broadcast((start, classes))
     pieces, fan = 64, 64
     whole = attention.Shape(shape.inputs, shape.classes, shape.width, shape.heads, shape.hidden, shape.window, shape.window)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tb.reuse_memory()
         start, classes = shared.value
-        encoder, adam, seen = encoder_for(plan, ranks), attention.Adam(start), 0
+        encoder, adam, seen = encoder_for(plan, ranks), attention.Adam(weights_of(start)), 0
+        adam.first, adam.second = ({k: v.copy() for k, v in weights_of(start, m).items()} for m in ("first", "second"))
+        adam.step = round(float(start["step"][0]))
         r = np.random.default_rng(7)
         for b in batches:
             for lo, hi in tb.row_chunks(b.column(0), 1 << 22):
@@ -309,7 +315,8 @@ def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape,
                     i += len(pick)
                 seen += len(tokens)
         if seen:
-            parts = np.array_split(attention.flat(adam.weights) * seen, pieces)
+            state = {f"{m} {k}": v for m, w in (("weight", adam.weights), ("first", adam.first), ("second", adam.second)) for k, v in w.items()}
+            parts = np.array_split(attention.flat(state | {"step": np.array([adam.step], np.float32)}) * seen, pieces)
             at, n = (pa.array(np.full(pieces, v, np.int64)) for v in (TaskContext.get().partitionId(), seen))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), at, n, pa.array(list(parts), pa.list_(pa.float64()))], names=["piece", "at", "n", "w"])
 
@@ -319,7 +326,9 @@ def learned(texts: DataFrame, start: attention.Weights, shape: attention.Shape,
         return pa.table({"piece": t.column("piece")[:1], "at": pa.array([t.column("at")[0].as_py() // fan]), "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total], pa.list_(pa.float64()))})
 
     kind = "piece int, at long, n long, w array<double>"
-    sums = texts.mapInArrow(learn, kind).groupBy("piece", F.expr(f"at div {fan}")).applyInArrow(add, kind)  # so no group holds the weights of all partitions
+    # Partition and order of a text follow from the text and its key.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("copy", "key", F.lit(31)), F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("copy", "key").select("text")
+    sums = dealt.mapInArrow(learn, kind).groupBy("piece", F.expr(f"at div {fan}")).applyInArrow(add, kind)  # so no group holds the weights of all shards
     got = sums.groupBy("piece").applyInArrow(add, kind).collect()
     shared.destroy()
     if not got:
@@ -405,12 +414,14 @@ def fit(train: DataFrame, plan: LmPlan, ranks: Broadcast) -> Fitted:
     classes, bias = build(plan, frequent, by_kind, profile.reshape(plan.inputs, plan.contexts), ends)
     shape = attention.Shape(inputs=plan.inputs + 1, classes=classes.end + 1)
     weights = attention.new_weights(shape, bias)
-    eighth = F.pmod(F.xxhash64("copy", "key"), F.lit(8)) == 0
-    for some in (eighth, ~eighth):
-        weights, _ = learned(train.filter(some).select("text"), weights, shape, classes, plan, ranks)
-    order = np.argsort(frequent[0])
     n_all, v_all = sum(n for n, _ in by_kind.values()) + ends, sum(v for _, v in by_kind.values()) + (1 if ends else 0)
-    return Fitted(Model(shape, weights, classes), words.select("code", "n"), frequent[0][order], frequent[1][order], n_all, v_all, ends)
+    state, eighth, done = starting(weights), F.pmod(F.xxhash64("copy", "key"), F.lit(sum(plan.rounds))), 0
+    for share in plan.rounds if n_all else ():
+        shards = max(1, round(n_all * share / sum(plan.rounds) / plan.shard_tokens))
+        state, _ = learned(train.filter(eighth.between(done, done + share - 1)), state, shape, classes, plan, ranks, shards)
+        done += share
+    order = np.argsort(frequent[0])
+    return Fitted(Model(shape, weights_of(state), classes), words.select("code", "n"), frequent[0][order], frequent[1][order], n_all, v_all, ends)
 
 
 def rows_of(docs: DataFrame, key: str, text: str) -> DataFrame:

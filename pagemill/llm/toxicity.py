@@ -239,7 +239,9 @@ def fit(docs: DataFrame, labels: DataFrame, plan: ToxicityPlan, key: str, text:
     # train_rows bounds what is broadcast and numbered here.
     dealt = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("key", F.lit(2)), "key"))
     chosen = chosen.withColumn("fold", ((dealt - 1) % plan.folds).cast("int"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label", "fold")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    # An id that several rows bear gives one text, so no more rows than chosen ids are learned from.
+    rows = found.groupBy("key").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label", "fold")).alias("r")).select("key", "r.text", "r.label", "r.fold")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

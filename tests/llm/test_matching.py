@@ -209,3 +209,11 @@ def test_loser_tree():
 def test_a_broken_archive_raises():
     with pytest.raises(ValueError):
         list(warc.parse_archive(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"))
+
+
+def test_benchmark_ids_of_any_kind(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old stone bridge at noon while seven grey geese fly south"
+    docs = spark.createDataFrame([(1, f"so {item} it is"), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([("gsm-1", item), (None, None)], "item_id string, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, bench).collect()] == [(1, "gsm-1")]
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, bench).collect()] == [2]

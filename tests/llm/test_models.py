@@ -162,6 +162,14 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     assert sum(x.score for x in rows) > sum(x.base_score + 0.15 * x.n_tokens for x in rows)
 
 
+def test_lm_scores_do_not_depend_on_the_split(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["ka", "lo", "mi", "tu", "bera", "x" * r.randrange(1, 700)]) for _ in range(r.randrange(80)))) for i in range(300)]
+    docs, plan = spark.createDataFrame(rows, "doc_id long, text string"), lmscore.LmPlan(batch=16, shard_tokens=2000)
+    got = [{x.doc_id: x.score for x in lmscore.lm_scores(docs.repartition(n, "text"), plan).collect()} for n in (1, 4, 16)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
 def test_lm_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = lmscore.lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), lmscore.LmPlan()).collect()
@@ -224,8 +232,8 @@ def test_lm_learns_from_every_token(spark, docs, texts):
     ranks = spark.sparkContext.broadcast(lmscore.read_ranks(plan))
     classes, bias = lmscore.build(plan, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), {}, np.zeros((plan.inputs, plan.contexts)), 0)
     shape = attention.Shape(inputs=plan.inputs + 1, classes=classes.end + 1)
-    start = attention.new_weights(shape, bias)
-    weights, n = lmscore.learned(rows.select("text"), start, shape, classes, plan, ranks)
+    start = lmscore.starting(attention.new_weights(shape, bias))
+    weights, n = lmscore.learned(rows, start, shape, classes, plan, ranks, 3)
     assert n == sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for _, t in [*texts, (None, "no id here")])
     assert {k: v.shape for k, v in weights.items()} == {k: v.shape for k, v in start.items()}
     assert all((v == attention.shaped(attention.flat(start), start)[k]).all() for k, v in start.items())
@@ -250,3 +258,32 @@ def test_an_empty_span_at_the_end(monkeypatch):
     data = np.full(100_000, 97, np.uint8)
     h = tb.span_hashes(data, np.array([0, 100_000]), np.array([3, 100_000]))
     assert h[0] == tb.hash_word(b"aaa") and h[1] == tb.hash_word(b"")
+
+
+def test_toxicity_sends_no_more_rows_than_its_bound(spark):
+    toxic = lambda i: int(i % 3 == 0)
+    docs = spark.createDataFrame([(i % 40, f"{'vlarn' if toxic(i % 40) else 'stone'} number {i}") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic(i)) for i in range(40)], "doc_id long, toxic int")
+    plan, seen = toxicity.ToxicityPlan(train_rows=20), []
+    boost = toxicity.boosting.boost
+
+    def counting(x, *rest):
+        seen.append(len(x))
+        return boost(x, *rest)
+
+    toxicity.boosting.boost = counting
+    try:
+        assert toxicity.toxicity(docs, labels, plan).count() == 4000
+    finally:
+        toxicity.boosting.boost = boost
+    assert seen and sum(seen) <= 20
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pagemill.llm import storage
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        storage.shared_dir(cluster)
