@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import links, policy, stopwords
+from ..functions import links, markup, policy, stopwords
 from ..functions.article import ArticleOptions
-from ..operators import export, metadata, pages, structured_data
+from ..operators import export, metadata, pages, scoring, structured_data
 from ..sources import web
 
 LISTS = stopwords.short_lists()
@@ -69,6 +69,27 @@ def page_article(spark: SparkSession, d: str) -> DataFrame:
     return pages.extract_articles(_pages(spark, d))
 
 
+def page_top_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Where the main text is on pages of many paragraphs: each document's whole text in twelves of words, some as links or preformatted, seven to a box."""
+    words = F.split(F.trim(F.regexp_replace("text", r"[^A-Za-z]+", " ")), " ")
+
+    def paragraph(w: Column, j: Column) -> Column:
+        said = F.array_join(F.slice(w, j * 12 + 1, 12), " ")
+        return F.when(j % 5 == 4, F.concat(F.lit('<p><a href="/l">'), said, F.lit("</a></p>"))).when(j % 11 == 7, F.concat(F.lit("<pre>"), said, F.lit("</pre>"))).otherwise(F.concat(F.lit("<p>"), said, F.lit("</p>")))
+
+    def boxes(p: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 7).cast("int")), lambda b: F.concat(F.lit('<div id="b'), b.cast("string"), F.lit('">'), F.array_join(F.slice(p, b * 7 + 1, 7), ""), F.lit("</div>")))
+        return F.array_join(each, "")
+
+    # Bound, so that no step works the words or paragraphs of a text out again.
+    whole = markup.bound(words, lambda w: markup.bound(F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / 12).cast("int")), lambda j: paragraph(w, j)), boxes))
+    made = _docs(spark, d).select(F.col("doc_id").alias("page_id"), F.lit("https://e.example.org/").alias("url"), F.concat(F.lit('<html><body><div id="m">'), whole, F.lit("</div></body></html>")).alias("html"))
+    nodes = pages.html_nodes(made, LISTS["en"]).filter("kind = 'element'").drop("text")
+    tops = scoring.top_nodes(nodes)
+    named = nodes.select(F.col("page_id").alias("p"), F.col("node_id").alias("n"), F.col("attrs")["id"].alias("top"))
+    return tops.join(named, (F.col("page_id") == F.col("p")) & (F.col("node_id") == F.col("n"))).select("page_id", "top", F.col("score").cast("long").alias("score"), F.col("hits").cast("long").alias("hits"))
+
+
 _SAID = "this is what we all have been in and of the which they will not be with"
 
 
@@ -308,7 +329,7 @@ def picture_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "page_host_tally": page_host_tally, "page_title": page_title, "page_meta_lang": page_meta_lang, "page_nav_links": page_nav_links, "page_node_tally": page_node_tally, "page_article": page_article,
+    "page_host_tally": page_host_tally, "page_title": page_title, "page_meta_lang": page_meta_lang, "page_nav_links": page_nav_links, "page_node_tally": page_node_tally, "page_article": page_article, "page_top_nodes": page_top_nodes,
     "page_article_titles": page_article_titles, "page_article_text": page_article_text, "page_referrer": page_referrer, "page_url_problems": page_url_problems, "page_metadata": page_metadata, "page_images": page_images, "picture_catalog": picture_catalog,
     "page_fetch": fetched, "page_failure_texts": failure_texts, "page_robots": page_robots, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
     "doc_top_stopwords": doc_top_stopwords, "file_names": file_names, "article_texts": article_texts, "zip_export": zip_export, "jsonld_events": jsonld_events, "jsonld_articles": jsonld_articles,
@@ -329,7 +350,22 @@ _SQL_TITLE = (
     "a AS (SELECT page_id, regexp_replace(t, '^[|»:-]( |$)', '') AS t FROM c) SELECT page_id, regexp_replace(t, '(^| )[|»:-]$', '') AS title FROM a"
 )
 
+_SQL_TOPS = (
+    "WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ') AS ws FROM documents), "
+    "p AS (SELECT doc_id, j, j // 7 AS b, CASE WHEN j % 5 = 4 THEN 'a' WHEN j % 11 = 7 THEN 'pre' ELSE 'p' END AS kind, "
+    f"len(list_filter(list_slice(ws, j * 12 + 1, j * 12 + 12), lambda w: list_contains({_listed('en')}, lower(w)))) AS stops FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) - 1) // 12 + 1)) AS j FROM d)), "
+    "s AS (SELECT *, list(stops) FILTER (kind <> 'pre') OVER (PARTITION BY doc_id, b ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near FROM p), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind = 'pre', j) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, "
+    "CASE WHEN near IS NULL THEN 0 ELSE CAST(len(list_filter(list_slice(near, -3, len(near)), lambda x: x > 5)) > 0 AS INT) END AS held FROM s WHERE stops > 2 AND kind <> 'a'), "
+    "r AS (SELECT *, sum(held) OVER (PARTITION BY doc_id ORDER BY i) AS k, power(n * 0.25 - (n - i), 2) AS tail FROM c), "
+    "g AS (SELECT doc_id, b, i, CAST(trunc(stops + CASE WHEN n > 15 AND n - i <= n * 0.25 THEN CASE WHEN tail > 40 THEN 5 ELSE -tail END WHEN held = 1 THEN 50.0 / k ELSE 0 END) AS BIGINT) AS gain FROM r), "
+    "u AS (SELECT doc_id, 'b' || b AS top, gain, 2 * i AS seen FROM g UNION ALL SELECT doc_id, 'm', CAST(trunc(gain / 2.0) AS BIGINT), 2 * i + 1 FROM g), "
+    "t AS (SELECT doc_id, top, CAST(sum(gain) AS BIGINT) AS score, count(*) AS hits, min(seen) AS seen FROM u GROUP BY doc_id, top), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN score > 0 THEN score ELSE 0 END DESC, seen) AS place FROM t) SELECT doc_id AS page_id, top, score, hits FROM o WHERE place = 1"
+)
+
 SQL: dict[str, str] = {
+    "page_top_nodes": _SQL_TOPS,
     "page_host_tally": f"SELECT regexp_replace({_HOST}, '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY 1",
     "page_title": _SQL_TITLE,
     "page_meta_lang": "SELECT page_id, lower(nullif(regexp_extract(html, '<html[^>]*\\slang=\"([A-Za-z]{2})', 1), '')) AS lang FROM pages",
