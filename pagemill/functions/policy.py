@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import links
+from .markup import bound
+from .names import free_names
+
 RULES = T.ArrayType(T.StructType([T.StructField("allow", T.BooleanType()), T.StructField("pattern", T.StringType())]))
 #: Statuses by which sites commonly refuse programs.
 BLOCKING = (401, 403, 406, 429, 451)
 # Address ranges that are not public.
 IPV4_BLOCKS = "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3".split()
-IPV6_BLOCKS = "::/128 ::1/128 fe80::/10 fc00::/7 ff00::/8 ::/96 2001::/32 2001:db8::/32".split()
 _V4 = [ipaddress.ip_network(x) for x in IPV4_BLOCKS]
-_V6 = [ipaddress.ip_network(x) for x in IPV6_BLOCKS]
 
 
 def product_token(agent: Column) -> Column:
@@ -98,15 +100,25 @@ def robots_table(responses: DataFrame, token: str) -> DataFrame:
 
 def robots_checked(urls: DataFrame, table: DataFrame, now_ms: Column, url: str = "url") -> DataFrame:
     """urls with robots: allowed, disallowed, or fetch where the origin's robots.txt is missing or out of date."""
-    rows = urls.withColumn("_origin", origin(F.col(url)))
+    own, verdict, rules, expires = free_names(urls, "origin_of", "verdict", "rules", "expires")
+    rows = urls.withColumn(own, origin(F.col(url)))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
     path = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
-    t = table.select(F.col("origin").alias("_origin"), F.col("verdict").alias("_verdict"), F.col("rules").alias("_rules"), F.col("expires_ms").alias("_expires"))
+    t = table.select(F.col("origin").alias(own), F.col("verdict").alias(verdict), F.col("rules").alias(rules), F.col("expires_ms").alias(expires))
     said = (
-        F.when(F.col("_verdict").isNull() | (F.col("_expires") <= now_ms), "fetch").when(F.col("_verdict") == "allow-all", "allowed")
-        .when((F.col("_verdict") == "rules") & path_allowed(F.col("_rules"), path), "allowed").otherwise("disallowed")
+        F.when(F.col(verdict).isNull() | (F.col(expires) <= now_ms), "fetch").when(F.col(verdict) == "allow-all", "allowed")
+        .when((F.col(verdict) == "rules") & path_allowed(F.col(rules), path), "allowed").otherwise("disallowed")
     )
-    return rows.join(t, "_origin", "left").withColumn("robots", said).select(*urls.columns, "robots")
+    kept = [c for c in urls.columns if c != "robots"]
+    return rows.join(t, own, "left").withColumn("robots", said).select(*kept, "robots")
+
+
+def _v4_blocked(number: Column) -> Column:
+    """Whether an IPv4 address, as a number, is not public."""
+    inside = F.lit(False)
+    for net in _V4:
+        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
+    return inside
 
 
 def ipv4_blocked(ip: Column) -> Column:
@@ -114,50 +126,96 @@ def ipv4_blocked(ip: Column) -> Column:
     parts = F.split(ip, r"\.", -1)
     well = F.rlike(ip, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")) & F.forall(parts, lambda p: F.coalesce(p.try_cast("int"), F.lit(999)) <= 255)
     number = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, p: acc * 256 + F.coalesce(p.try_cast("long"), F.lit(0)))
-    inside = F.lit(False)
-    for net in _V4:
-        inside = inside | number.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(~F.coalesce(well, F.lit(False)), True).otherwise(inside)
+    return F.when(~F.coalesce(well, F.lit(False)), True).otherwise(_v4_blocked(number))
 
 
-def is_ipv6_blocked(ip: str | None) -> bool:
-    """Whether an IPv6 address is malformed or not public; addresses that carry an IPv4 one count as that one."""
-    try:
-        a = ipaddress.IPv6Address((ip or "").partition("%")[0])
-    except ValueError:
-        return True
-    n = int(a)
-    carried = n & 0xFFFFFFFF if n >> 32 in (0xFFFF, 0x64FF9B << 64) else (n >> 80) & 0xFFFFFFFF if n >> 112 == 0x2002 else None
-    if carried is not None:
-        v4 = ipaddress.IPv4Address(carried)
-        return any(v4 in net for net in _V4)
-    return any(a in net for net in _V6)
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address, with :: and a dotted tail where there are; null if it is malformed."""
+    text = F.lower(F.regexp_replace(ip, "%.*$", ""))
+
+    def hexed(v: Column) -> Column:
+        tail = F.regexp_extract(v, r":(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1)
+        four = F.transform(F.split(tail, r"\."), lambda x: x.try_cast("int"))
+        pairs = F.concat(F.lower(F.hex(F.get(four, F.lit(0)) * 256 + F.get(four, F.lit(1)))), F.lit(":"), F.lower(F.hex(F.get(four, F.lit(2)) * 256 + F.get(four, F.lit(3)))))
+        return F.when(tail == "", v).when(F.forall(four, lambda x: x <= 255), F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(tail)), pairs))
+
+    def parted(v: Column) -> Column:
+        halves = F.split(v, "::")
+        none = F.array().cast("array<string>")
+        head = F.when(F.get(halves, F.lit(0)) == "", none).otherwise(F.split(F.get(halves, F.lit(0)), ":"))
+        rest = F.when(F.coalesce(F.get(halves, F.lit(1)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(1)), ":"))
+        missing = 8 - F.size(head) - F.size(rest)
+        fits = F.when(F.size(halves) == 1, missing == 0).when(F.size(halves) == 2, missing >= 1).otherwise(False)
+        return F.when(fits, F.concat(head, F.array_repeat(F.lit("0"), missing), rest))
+
+    groups = bound(bound(text, hexed), parted)
+    return bound(groups, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")), F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
 
 
 def ipv6_blocked(ip: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def blocked(values: pd.Series) -> pd.Series:
-        return values.map(is_ipv6_blocked).astype(bool)
+    """Whether an IPv6 address is malformed or not public; addresses that carry an IPv4 one count as that one."""
 
-    return blocked(ip)
+    def of(g: Column) -> Column:
+        def all_zero(upto: int) -> Column:
+            return F.forall(F.slice(g, 1, upto), lambda x: x == 0)
+
+        def carried(i: int) -> Column:
+            return _v4_blocked(g[i].cast("long") * 65_536 + g[i + 1])
+
+        return (
+            F.when(g.isNull(), True)
+            .when(all_zero(6) | (g[0].bitwiseAND(0xFFC0) == 0xFE80) | (g[0].bitwiseAND(0xFE00) == 0xFC00) | (g[0].bitwiseAND(0xFF00) == 0xFF00), True)
+            .when(all_zero(5) & (g[5] == 0xFFFF), carried(6))
+            .when((g[0] == 0x64) & (g[1] == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0), carried(6))
+            .when(g[0] == 0x2002, carried(1))
+            .otherwise((g[0] == 0x2001) & g[1].isin(0, 0xDB8))
+        )
+
+    return bound(ipv6_groups(ip), of)
+
+
+def _host_number(name: Column) -> Column:
+    """The IPv4 address that browsers read in a host of one to four numbers (decimal, 0x or octal), -1 for a broken one; null for a name."""
+
+    def one(p: Column) -> Column:
+        return (
+            F.when(p.rlike("^0x[0-9a-f]{0,8}$"), F.conv(F.concat(F.lit("0"), F.substr(p, F.lit(3))), 16, 10).cast("long")).when(p.rlike("^0[0-7]{0,15}$"), F.conv(p, 8, 10).cast("long"))
+            .when(p.rlike("^[1-9]\\d{0,11}$"), p.try_cast("long"))
+        )
+
+    def of(parts: Column) -> Column:
+        n, values = F.size(parts), F.transform(parts, one)
+        head = F.aggregate(F.slice(values, 1, n - 1), F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
+        last, room = F.element_at(values, -1), F.pow(F.lit(256), 5 - n).cast("long")
+        well = (n <= 4) & F.forall(F.slice(values, 1, n - 1), lambda v: F.coalesce(v <= 255, F.lit(False))) & F.coalesce(last < room, F.lit(False))
+        return F.when(F.element_at(parts, -1).rlike("^(?:\\d+|0x[0-9a-f]*)$"), F.when(well, head * room + last).otherwise(-1))
+
+    return bound(F.split(name, r"\."), of)
 
 
 def url_problem(url: Column) -> Column:
-    """Why a URL may not be fetched, by its form alone; null if it may."""
-    scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), F.lower(F.try_parse_url(url, F.lit("HOST")))
-    port = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), r":(\d+)$", 1)
-    name = F.regexp_replace(host, r"\.$", "")
-    is_v4 = F.rlike(name, F.lit(r"^\d+(\.\d+){3}$"))
-    inside = ~F.contains(name, F.lit(".")) | F.rlike(name, F.lit(r"(^|\.)localhost$|\.internal$|\.local$"))
-    return (
-        F.when(scheme.isNull() | host.isNull(), "invalid")
-        .when(~scheme.isin("http", "https"), "scheme")
-        .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials")
-        .when(~port.isin("", "80", "443"), "port")
-        .when(F.startswith(name, F.lit("[")), F.lit(None).cast("string"))  # checked by ipv6_blocked
-        .when(is_v4, F.when(ipv4_blocked(name), "address"))
-        .when(inside, "host")
-    )
+    """Why a URL may not be fetched, by its form alone; null if it may.  Addresses count in every form in which browsers read them."""
+
+    def of(p: Column) -> Column:
+        scheme, host, authority = p["scheme"], p["host"], p["authority"]
+        port = F.regexp_extract(authority, r":(\d*)$", 1)
+        usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | port.isin("", "80", "443")
+        name = F.regexp_replace(host, r"\.$", "")
+        inside = ~F.contains(name, F.lit(".")) | F.rlike(name, F.lit(r"(^|\.)localhost$|\.internal$|\.local$"))
+        number = _host_number(name)
+        return (
+            F.when(scheme.isNull() | (scheme.isin("http", "https") & host.isNull()), "invalid")
+            .when(~scheme.isin("http", "https"), "scheme")
+            .when(F.contains(authority, F.lit("@")), "credentials")
+            .when(~usual, "port")
+            .when(F.startswith(name, F.lit("[")), F.when(ipv6_blocked(F.regexp_replace(name, r"[\[\]]", "")), "address"))
+            .when(number == -1, "invalid")
+            .when(number.isNotNull(), F.when(_v4_blocked(number), "address"))
+            .when(inside, "host")
+        )
+
+    authority = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\\\]{2}([^/\\\\?#]*)", 1)
+    return bound(F.struct(links.scheme(url).alias("scheme"), links.host(url).alias("host"), authority.alias("authority")), of)
 
 
 def on_list(host: Column, domains: Column) -> Column:
@@ -215,10 +273,28 @@ def fetch_error(exception: Column, message: Column, status: Column, reason: Colu
     return F.when(bad, F.trim(F.concat_ws(" ", F.lit("HTTP"), status.cast("string"), reason))).when(exception.isNotNull(), F.coalesce(F.nullif(message, F.lit("")), F.lit("network error")))
 
 
-def fetch_options(timeout_ms: Column, language: Column, images: Column, tier: Column) -> Column:
-    """struct(timeoutMs, language, images): what a request may ask for."""
+# What requests of each tier may cost: largest page in bytes.
+PAGE_BYTES = {"anon": 3_000_000, "member": 5_000_000, "owner": 5_000_000}
+
+
+def fetch_options(tier: Column, timeout_ms: Column, language: Column, use_meta_language: Column, images: Column) -> Column:
+    """What a request may ask for, within what its tier allows: a struct of all options of a fetch.
+
+    Missing or odd wishes get the default: all of the time, English, the page's own language, images for members.
+    """
+    wish = timeout_ms.cast("double")
+    most = F.lit(PAGE_BYTES["anon"])
+    for name, size in PAGE_BYTES.items():
+        most = F.when(tier == name, size).otherwise(most)
+    finite = wish.isNotNull() & ~F.isnan(wish) & (F.abs(wish) < float("inf"))
     return F.struct(
-        F.least(F.greatest(F.coalesce(timeout_ms, F.lit(12_000)), F.lit(1_000)), F.lit(12_000)).alias("timeoutMs"),
-        F.when(F.rlike(language, F.lit("^[a-z]{2}$")), language).alias("language"),
-        (F.coalesce(images, F.lit(False)) & tier.isin("member", "owner")).alias("images"),
+        (F.coalesce(tier == "member", F.lit(False)) & F.coalesce(images, F.lit(True))).alias("images"),
+        F.coalesce(use_meta_language, F.lit(True)).alias("useMetaLanguage"),
+        F.when(F.rlike(language, F.lit(r"^[a-z]{2}\z")), language).otherwise("en").alias("language"),
+        F.when(finite, F.least(F.greatest(wish, F.lit(1000.0)), F.lit(12_000.0))).otherwise(12_000.0).alias("timeoutMs"),
+        F.lit(20_000).alias("overallMs"),
+        most.alias("pageBytes"),
+        F.lit(8_000_000).alias("imageBytes"),
+        F.lit(5).alias("redirects"),
+        F.lit(True).alias("robots"),
     )

@@ -1,4 +1,8 @@
-"""Who may do what how often: limits, caps, members and invitations, as batch operators over request logs."""
+"""Who may do what how often: limits, caps, members and invitations, as batch operators over request logs.
+
+No request is lost: one whose time is null is in no window and on no day, so it is neither limited nor capped; a null key, tier or
+order is a value like any other, null first in order.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_names
+
 # Fixed values: (tier, hits, window in ms, hits a day or null) of extractions, and (action, hits, window in ms) of other actions.
 TIERS = (("anon", 10, 600_000, 300), ("member", 30, 600_000, 1000), ("owner", 120, 600_000, None))
 ACTIONS = (("export", 60, 600_000), ("beacon", 60, 60_000), ("login", 5, 600_000), ("verify", 20, 600_000), ("redeem", 10, 600_000), ("request", 3, 3_600_000))
@@ -18,19 +24,23 @@ DAY_MS = 86_400_000
 
 
 def rate_limited(requests: DataFrame, key: str, at_ms: str, order: str, most: int | Column, window_ms: int) -> DataFrame:
-    """requests with hits (of the key in the window up to this request, refused ones included) and allowed.
+    """requests with hits (of the key in the window up to this request, refused ones included; null without a time) and allowed.
 
     A key's time is cut into slots of one window, and each slot also gets the rows of the slot before, so a busy key is
     spread over its slots.  The frame is by time; hits at the same millisecond that come later in `order` are taken off.
+    Rows without a time stay out of the windows.  Columns hits and allowed of the caller's are replaced.
     """
+    own, at_slot = free_names(requests, "own", "slot")
     slot = F.floor(F.col(at_ms) / window_ms)
-    both = requests.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_slot", F.when(F.col("_own"), slot).otherwise(slot + 1))
-    span = Window.partitionBy(key, "_slot").orderBy(at_ms).rangeBetween(1 - window_ms, Window.currentRow)
-    peers = Window.partitionBy(key, "_slot", at_ms)
+    timed = requests.filter(F.col(at_ms).isNotNull())
+    both = timed.withColumn(own, F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(at_slot, F.when(F.col(own), slot).otherwise(slot + 1))
+    span = Window.partitionBy(key, at_slot).orderBy(at_ms).rangeBetween(1 - window_ms, Window.currentRow)
+    peers = Window.partitionBy(key, at_slot, at_ms)
     later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy(order))
     limit = F.lit(most) if isinstance(most, int) else most
-    hits = both.withColumn("hits", F.count(F.lit(1)).over(span) - later).filter("_own").drop("_own", "_slot")
-    return hits.withColumn("allowed", F.col("hits") <= limit)
+    hits = both.withColumn("hits", F.count(F.lit(1)).over(span) - later).filter(own).drop(own, at_slot)
+    hits = hits.unionByName(requests.filter(F.col(at_ms).isNull()).withColumn("hits", F.lit(None).cast("long")))
+    return hits.withColumn("allowed", F.coalesce(F.col("hits") <= limit, F.lit(True)))
 
 
 def tier_limits(requests: DataFrame, tier: str = "tier") -> DataFrame:
@@ -40,18 +50,20 @@ def tier_limits(requests: DataFrame, tier: str = "tier") -> DataFrame:
 
 
 def daily_capped(requests: DataFrame, at_ms: str, order: str, cap: int | Column, tier: str = "tier") -> DataFrame:
-    """requests with used (place within day and tier) and within_cap; no cap where it is null.
+    """requests with used (place within day and tier, null without a time) and within_cap; no cap where it is null.
 
     Places come from counts per (day, tier, minute) and a rank inside the minute, so a busy tier is spread over tasks.
     """
-    rows = requests.withColumn("_day", F.floor(F.col(at_ms) / DAY_MS)).withColumn("_slot", F.floor(F.col(at_ms) / 60_000))
-    slots = rows.groupBy(tier, "_day", "_slot").count()
-    before = Window.partitionBy(tier, "_day").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(tier, "_day", "_slot", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(tier, "_day", "_slot").orderBy(at_ms, order))
+    day, slot, nth, t, d, m, before = free_names(requests, "day", "slot", "nth", "tier_of", "day_of", "slot_of", "before")
+    rows = requests.withColumn(day, F.floor(F.col(at_ms) / DAY_MS)).withColumn(slot, F.floor(F.col(at_ms) / 60_000))
+    slots = rows.filter(F.col(at_ms).isNotNull()).groupBy(F.col(tier).alias(t), F.col(day).alias(d), F.col(slot).alias(m)).agg(F.count(F.lit(1)).alias(before))
+    earlier = Window.partitionBy(t, d).orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    place = F.when(F.col(at_ms).isNotNull(), F.row_number().over(Window.partitionBy(tier, day, slot).orderBy(at_ms, order)))
     limit = F.lit(cap) if isinstance(cap, int) else cap
-    out = rows.withColumn("_nth", nth).join(slots, [tier, "_day", "_slot"]).withColumn("used", F.col("_before") + F.col("_nth"))
-    return out.withColumn("within_cap", F.coalesce(F.col("used") <= limit, F.lit(True))).drop("_day", "_slot", "_before", "_nth")
+    same = F.col(tier).eqNullSafe(F.col(t)) & (F.col(day) == F.col(d)) & (F.col(slot) == F.col(m))
+    out = rows.withColumn(nth, place).join(slots, same, "left").withColumn("used", F.col(before) + F.col(nth))
+    return out.withColumn("within_cap", F.coalesce(F.col("used") <= limit, F.lit(True))).drop(day, slot, nth, t, d, m, before)
 
 
 def admitted(requests: DataFrame, key: str, at_ms: str, order: str, most: int, window_ms: int, valid: Column, cap: int, tier: str = "tier", busy: Column | None = None) -> DataFrame:
@@ -60,7 +72,7 @@ def admitted(requests: DataFrame, key: str, at_ms: str, order: str, most: int, w
     busy tells whether all places were taken when the request came; such a request uses nothing of the cap.
     """
     limited = rate_limited(requests, key, at_ms, order, most, window_ms)
-    stage = F.when(~F.col("allowed"), "limited").when(~valid, "invalid").when(F.lit(False) if busy is None else busy, "busy")
+    stage = F.when(~F.col("allowed"), "limited").when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.lit(False) if busy is None else busy, "busy")
     limited = limited.withColumn("decision", stage)
     passed = daily_capped(limited.filter("decision IS NULL"), at_ms, order, cap, tier).withColumn("decision", F.when(F.col("within_cap"), "run").otherwise("capped"))
     keep = [*requests.columns, "decision"]
@@ -70,16 +82,21 @@ def admitted(requests: DataFrame, key: str, at_ms: str, order: str, most: int, w
 def too_many_at_once(runs: DataFrame, start_ms: str, end_ms: str, most: int = 2) -> DataFrame:
     """runs with running (runs under way when this one starts, itself included) and busy, by hour of start.
 
-    Starts and ends are events of one series; a run may cross hours.
+    Starts and ends are events of one series; a run may cross hours, and one without an end goes on.  A run without a start
+    is never under way: its running is null and it is not busy.  Columns running and busy of the caller's are replaced.
     """
-    starts = runs.select(F.col(start_ms).alias("_t"), F.lit(1).alias("_d"))
-    ends = runs.select(F.col(end_ms).alias("_t"), F.lit(-1).alias("_d"))
-    step = starts.unionByName(ends).groupBy("_t").agg(F.sum("_d").alias("_d"))
-    hours = step.groupBy(F.floor(F.col("_t") / 3_600_000).alias("_h")).agg(F.sum("_d").alias("_sum"))
-    carried = hours.select("_h", F.coalesce(F.sum("_sum").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
-    inside = F.sum("_d").over(Window.partitionBy("_h").orderBy("_t"))
-    level = step.withColumn("_h", F.floor(F.col("_t") / 3_600_000)).withColumn("_in", inside).join(carried, "_h").select("_t", (F.col("_in") + F.col("_carry")).alias("running"))
-    return runs.join(level, runs[start_ms] == level["_t"]).drop("_t").withColumn("busy", F.col("running") > most)
+    begun = runs.filter(F.col(start_ms).isNotNull())
+    starts = begun.select(F.col(start_ms).alias("t"), F.lit(1).alias("d"))
+    ends = begun.filter(F.col(end_ms).isNotNull()).select(F.col(end_ms).alias("t"), F.lit(-1).alias("d"))
+    step = starts.unionByName(ends).groupBy("t").agg(F.sum("d").alias("d"))
+    hours = step.groupBy(F.floor(F.col("t") / 3_600_000).alias("h")).agg(F.sum("d").alias("sum"))
+    carried = hours.select("h", F.coalesce(F.sum("sum").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
+    inside = F.sum("d").over(Window.partitionBy("h").orderBy("t"))
+    level = step.withColumn("h", F.floor(F.col("t") / 3_600_000)).withColumn("in", inside).join(carried, "h")
+    at, now = free_names(runs, "at", "now")
+    level = level.select(F.col("t").alias(at), (F.col("in") + F.col("carry")).alias(now))
+    joined = runs.join(level, F.col(start_ms) == F.col(at), "left")
+    return joined.withColumn("running", F.col(now)).drop(at, now).withColumn("busy", F.coalesce(F.col("running") > most, F.lit(False)))
 
 
 # -- members, invitations, requests

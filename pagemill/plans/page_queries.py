@@ -272,27 +272,34 @@ def page_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fetched(spark: SparkSession, d: str) -> DataFrame:
-    """Pages over a table of responses: failures, and redirects of every form, some to where nothing may be fetched."""
+    """Pages over a table of responses: failures, older answers, and redirects of every form, some to where nothing may be fetched or robots.txt says no."""
     p = _pages(spark, d).select("page_id", "html")
-    i, n = F.col("page_id") % 9, F.col("page_id").cast("string")
+    i, n = F.col("page_id") % 11, F.col("page_id").cast("string")
     url = F.concat(F.lit("https://s.example.org/"), n)
     to = (
         F.when(i == 0, F.concat(url, F.lit("/b"))).when(i == 3, F.concat(F.lit("/"), n, F.lit("/b"))).when(i == 4, F.concat(F.lit("//s.example.org/"), n, F.lit("/b")))
-        .when(i == 5, "ftp://s.example.org/x").when(i == 6, "http://127.0.0.1/x").when(i == 7, url)
+        .when(i == 5, "ftp://s.example.org/x").when(i == 6, "http://127.0.0.1/x").when(i == 7, url).when(i == 9, "http://[::1]/x").when(i == 10, F.concat(F.lit("../no/"), n))
     )
     first = p.select(
         url.alias("url"), F.when(to.isNotNull(), 301).when(i == 1, 404).when(i == 2, F.lit(None).cast("int")).otherwise(200).alias("status"), to.alias("location"),
-        F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), F.when(i == 2, "TimeoutError").alias("error_class"), F.when(i == 2, "timed out").alias("error_message"),
+        F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"), F.when(i == 2, "TimeoutError").alias("error_class"), F.when(i == 2, "timed out").alias("error_message"), F.lit(2).alias("fetched_ms"),
     )
     none = F.lit(None).cast("string")
-    second = p.filter(i.isin(0, 3, 4)).select(F.concat(url, F.lit("/b")).alias("url"), F.lit(200).alias("status"), none.alias("location"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("error_class"), none.alias("error_message"))
-    got = web.fetched_pages(p.select(url.alias("url")), first.unionByName(second))
+
+    def page(at: Column) -> list[Column]:
+        return [at.alias("url"), F.lit(200).alias("status"), none.alias("location"), F.lit("text/html").alias("content_type"), F.encode("html", "UTF-8").alias("body"), none.alias("error_class"), none.alias("error_message")]
+
+    second = p.filter(i.isin(0, 3, 4)).select(*page(F.concat(url, F.lit("/b"))), F.lit(2).alias("fetched_ms"))
+    forbidden = p.filter(i == 10).select(*page(F.concat(F.lit("https://s.example.org/no/"), n)), F.lit(2).alias("fetched_ms"))
+    older = p.select(*page(url), F.lit(1).alias("fetched_ms"))
+    robots = policy.robots_table(spark.createDataFrame([("https://s.example.org", 200, "User-agent: *\nDisallow: /no/", 0)], "origin string, status int, body string, fetched_ms long"), "pagemill")
+    got = web.fetched_pages(p.select(url.alias("url")), first.unionByName(second).unionByName(forbidden).unionByName(older), robots=robots, now_ms=F.lit(1000))
     return got.select("url", "final_url", F.length("html").cast("long").alias("chars"), "fetch_error", "fetch_error_kind")
 
 
 _FETCHED = (
-    "WITH q AS (SELECT page_id % 9 AS i, 'https://s.example.org/' || page_id AS url, html, octet_length(encode(html)) > 5000000 AND page_id % 9 NOT IN (5, 6, 7) AS big FROM pages), "
-    "p AS (SELECT *, CASE WHEN i = 5 THEN 'address not allowed: scheme' WHEN i = 6 THEN 'address not allowed: address' WHEN i = 7 THEN 'too many redirects' WHEN i = 1 THEN 'HTTP 404' WHEN big THEN 'page too large' WHEN i = 2 THEN 'timed out' END AS fetch_error FROM q)"
+    "WITH q AS (SELECT page_id, page_id % 11 AS i, 'https://s.example.org/' || page_id AS url, html, octet_length(encode(html)) > 5000000 AND page_id % 11 NOT IN (5, 6, 7, 9, 10) AS big FROM pages), "
+    "p AS (SELECT *, CASE WHEN i = 5 THEN 'address not allowed: scheme' WHEN i IN (6, 9) THEN 'address not allowed: address' WHEN i = 10 THEN 'robots.txt of s.example.org does not allow this page.' WHEN i = 7 THEN 'too many redirects' WHEN i = 1 THEN 'HTTP 404' WHEN big THEN 'page too large' WHEN i = 2 THEN 'timed out' END AS fetch_error FROM q)"
 )
 
 
@@ -386,9 +393,9 @@ SQL: dict[str, str] = {
     "w[5] || ' ' || w[6] || CASE WHEN w[5] || ' ' || w[6] <> source THEN ',' || source ELSE '' END AS authors, CAST(n_chars AS VARCHAR) AS og_image, CASE WHEN k < 2 THEN 3 ELSE 1 END::BIGINT AS n_graph FROM w",
     "page_images": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example.org/big.jpg' ELSE 'https://s.example.org/og.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'bigimage' ELSE 'opengraph' END AS type, CASE WHEN page_id % 2 = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS confidence, CASE WHEN page_id % 2 = 0 THEN 800 ELSE 0 END::BIGINT AS width FROM pages",
     "picture_catalog": "SELECT CAST(page_id AS VARCHAR) AS src, 24::BIGINT AS bytes, page_id % 1000 + 1 AS width, 2 * (page_id % 1000 + 1) AS height, '.png' AS ext FROM pages WHERE page_id % 3 <> 0",
-    "page_fetch": _FETCHED + " SELECT url, CASE WHEN i IN (0, 3, 4) THEN url || '/b' WHEN i = 5 THEN 'ftp://s.example.org/x' WHEN i = 6 THEN 'http://127.0.0.1/x' ELSE url END AS final_url, CASE WHEN i IN (0, 3, 4, 8) AND NOT big THEN length(html) END AS chars, fetch_error, "
-    "CASE WHEN i IN (5, 6) THEN 'blocked-url' WHEN big THEN 'too-large' END AS fetch_error_kind FROM p",
-    "page_failure_texts": _FETCHED + " SELECT url, CASE WHEN i IN (5, 6) THEN 'Extraction refused. ' || fetch_error WHEN big THEN 'Extraction refused. The page is over the size limit.' "
+    "page_fetch": _FETCHED + " SELECT url, CASE WHEN i IN (0, 3, 4) THEN url || '/b' WHEN i = 5 THEN 'ftp://s.example.org/x' WHEN i = 6 THEN 'http://127.0.0.1/x' WHEN i = 9 THEN 'http://[::1]/x' WHEN i = 10 THEN 'https://s.example.org/no/' || page_id ELSE url END AS final_url, CASE WHEN i IN (0, 3, 4, 8) AND NOT big THEN length(html) END AS chars, fetch_error, "
+    "CASE WHEN i IN (5, 6, 9) THEN 'blocked-url' WHEN i = 10 THEN 'robots' WHEN big THEN 'too-large' END AS fetch_error_kind FROM p",
+    "page_failure_texts": _FETCHED + " SELECT url, CASE WHEN i IN (5, 6, 9) THEN 'Extraction refused. ' || fetch_error WHEN i = 10 THEN 'Extraction declined. ' || fetch_error || ' This engine only fetches pages a site''s robots.txt allows.' WHEN big THEN 'Extraction refused. The page is over the size limit.' "
     "WHEN i = 1 THEN 'Extraction failed. The site''s answer is a deliberate rejection (HTTP 404).' WHEN i IN (2, 7) THEN 'Extraction failed. The site couldn''t be reached (' || fetch_error || ').' END AS text FROM p",
     "page_robots": f"WITH p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)', 1) AS path FROM pages) SELECT page_id, CASE length(host) % 5 WHEN 0 THEN 'allowed' WHEN 1 THEN 'disallowed' WHEN 2 THEN 'fetch' WHEN 3 THEN 'fetch' "
     "ELSE CASE WHEN regexp_matches(path, '^/en/4') THEN 'allowed' WHEN regexp_matches(path, '^/en/') THEN 'disallowed' ELSE 'allowed' END END AS robots FROM p",

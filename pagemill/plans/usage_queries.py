@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import policy
 from ..operators import admission, usage
 
 SPAN = usage.Span(date(2024, 1, 30), 14)
@@ -118,6 +119,16 @@ def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.purged(requests(spark, sf_dir), 1_706_659_200_000, F.col("at_ms"), keep).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each event's user may ask of a fetch: the value as a time, the type's first letters as a language."""
+    u = F.col("user_id")
+    tier = F.when(u % 7 == 0, "member").when(u % 7 == 1, "owner").otherwise("anon")
+    lang = F.when(u % 2 == 0, F.substring("event_type", 1, 2)).when(u % 3 == 0, "ENG")
+    images = F.when(u % 5 == 0, F.lit(False)).when(u % 5 == 1, F.lit(True))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", policy.fetch_options(tier, F.when(u % 9 > 0, F.col("value") * 60), lang, u % 4 > 0, images).alias("o")).select("event_id", "o.images", "o.useMetaLanguage", "o.language", "o.timeoutMs", F.col("o.pageBytes").cast("long").alias("pageBytes"))
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(
@@ -174,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_member_removed": _removed,
     "events_purged": _purged,
     "events_request_facts": _facts,
+    "events_fetch_options": _options,
     "events_user_agents": _agents,
     "events_visitor_hash": lambda s, d: log(s, d).select("v", usage.visitor_hash(F.date_format("day", "yyyyMMdd"), F.col("v"), F.col("dev")).alias("hash")).distinct(),
 }
@@ -206,6 +218,8 @@ SQL: dict[str, str] = {
     "events_request_dedup": "WITH RECURSIVE r AS (SELECT CAST(user_id AS VARCHAR) AS email, epoch_us(ts) // 1000 AS at_ms FROM events), "
     "f AS (SELECT email, min(at_ms) AS at_ms FROM r GROUP BY email UNION ALL SELECT f.email, (SELECT min(r.at_ms) FROM r WHERE r.email = f.email AND r.at_ms - f.at_ms >= 604800000) FROM f WHERE f.at_ms IS NOT NULL) "
     "SELECT email, count(at_ms) AS n, min(at_ms) AS first_ms FROM f WHERE at_ms IS NOT NULL GROUP BY email",
+    "events_fetch_options": "SELECT event_id, user_id % 7 = 0 AND user_id % 5 <> 0 AS images, user_id % 4 > 0 AS \"useMetaLanguage\", CASE WHEN user_id % 2 = 0 THEN substr(event_type, 1, 2) ELSE 'en' END AS language, "
+    "CASE WHEN user_id % 9 > 0 THEN least(greatest(value * 60, 1000.0), 12000.0) ELSE 12000.0 END::DOUBLE AS \"timeoutMs\", CASE WHEN user_id % 7 IN (0, 1) THEN 5000000 ELSE 3000000 END::BIGINT AS \"pageBytes\" FROM events",
     "events_request_facts": "SELECT event_id, CASE WHEN w <= 0 OR w > 20000 OR isnan(w) THEN NULL WHEN w < 480 THEN '<480' WHEN w < 768 THEN '480-767' WHEN w < 1024 THEN '768-1023' WHEN w < 1440 THEN '1024-1439' ELSE '1440+' END AS vw, "
     "CASE event_id % 4 WHEN 0 THEN '/about' WHEN 1 THEN 'other' WHEN 2 THEN '/' ELSE '/login' END AS path, "
     "CASE event_id % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 3 THEN 'eng' END AS lang, "

@@ -10,12 +10,13 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.links import resolved
-from ..functions.policy import fetch_error, fetch_error_kind, url_problem
+from ..functions import links
+from ..functions.names import free_names
+from ..functions.policy import fetch_error, fetch_error_kind, robots_checked, url_problem
 
 REDIRECTS = (301, 302, 303, 307, 308)
 
@@ -32,25 +33,36 @@ def html_files(spark: SparkSession, path: str) -> DataFrame:
 
 def next_url(at: Column, location: Column) -> Column:
     """Where a redirect leads: location as it is, or taken from the present URL where it is relative; null where neither gives a URL."""
+    return F.when(links.scheme(location).isNotNull(), location).otherwise(links.resolve(location, at))
 
-    @F.pandas_udf("string")
-    def resolve(bases: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else resolved(p, b) for b, p in zip(bases, places, strict=True)], dtype=object)
 
-    return F.when(F.rlike(location, F.lit(r"^(?i)https?://")), location).when(F.rlike(location, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), location).otherwise(resolve(at, location))
+def latest_responses(responses: DataFrame) -> DataFrame:
+    """One response a URL: the latest by fetched_ms where the table has that, and of equal ones the same one each time."""
+    small = [F.col(c) for c in ("status", "location", "content_type", "error_class", "error_message")]
+    order = [F.desc_nulls_last("fetched_ms")] if "fetched_ms" in responses.columns else []
+    nth = F.row_number().over(Window.partitionBy("url").orderBy(*order, F.xxhash64(*small), F.xxhash64("body")))
+    (place,) = free_names(responses, "place")
+    return responses.withColumn(place, nth).filter(F.col(place) == 1).drop(place)
 
 
-def followed(urls: DataFrame, responses: DataFrame, most: int = 5) -> DataFrame:
+def followed(urls: DataFrame, responses: DataFrame, most: int = 5, robots: DataFrame | None = None, now_ms: Column | None = None) -> DataFrame:
     """(url, final_url, status, body, content_type, error_class, error_message) after at most `most` redirects.
 
     A URL that may not be fetched, the first or any that a redirect leads to, is a blocked one; more than `most` redirects
-    are a plain error.  The hops are followed on URLs and statuses only; bodies are joined once, at the end.
+    are a plain error.  With robots (a robots_table) each hop also needs the leave of its origin; one whose robots.txt is missing
+    or out of date gives none.  A URL with several responses has its latest.  Repeated URLs give a row each.  The hops are followed on URLs and statuses only;
+    bodies are joined once, at the end.
     """
-    hops = responses.select(F.col("url").alias("look"), "status", "location")
+    one = latest_responses(responses)
+    hops = one.select(F.col("url").alias("look"), "status", "location")
     state = urls.select("url", F.col("url").alias("at"), F.lit(True).alias("moving"), F.lit(None).cast("string").alias("fault"))
     for hop in range(most + 1):
         problem = url_problem(F.col("at"))
         state = state.withColumn("fault", F.when(F.col("moving") & problem.isNotNull(), F.concat(F.lit("address not allowed: "), problem)).otherwise(F.col("fault")))
+        if robots is not None:
+            checked = robots_checked(state, robots, now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()), "at")
+            refused = F.col("moving") & F.col("fault").isNull() & (F.col("robots") != "allowed")
+            state = checked.withColumn("fault", F.when(refused, F.concat(F.lit("robots.txt of "), F.coalesce(links.host(F.col("at")), F.lit("?")), F.lit(" does not allow this page."))).otherwise(F.col("fault"))).drop("robots")
         on = F.col("moving") & F.col("fault").isNull()
         # A URL that has arrived looks up a name of its own that no response has.
         got = state.withColumn("look", F.when(on, F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url")))).join(hops, "look", "left")
@@ -60,8 +72,8 @@ def followed(urls: DataFrame, responses: DataFrame, most: int = 5) -> DataFrame:
         else:
             state = got.select("url", "at", F.when(goes, "too many redirects").otherwise(F.col("fault")).alias("fault"))
     found = state.withColumn("look", F.when(F.col("fault").isNull(), F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url"))))
-    found = found.join(responses.drop("location").withColumnRenamed("url", "look"), "look", "left")
-    kind = F.when(F.col("fault") == "too many redirects", "TooManyRedirectsError").when(F.col("fault").isNotNull(), "BlockedUrlError").otherwise(F.col("error_class"))
+    found = found.join(one.select(F.col("url").alias("look"), "status", "content_type", "body", "error_class", "error_message"), "look", "left")
+    kind = F.when(F.col("fault") == "too many redirects", "TooManyRedirectsError").when(F.startswith("fault", F.lit("robots.txt of ")), "RobotsDisallowedError").when(F.col("fault").isNotNull(), "BlockedUrlError").otherwise(F.col("error_class"))
     return found.select("url", F.col("at").alias("final_url"), "status", "content_type", "body", kind.alias("error_class"), F.coalesce("fault", "error_message").alias("error_message"))
 
 
@@ -101,9 +113,9 @@ def decoded(body: Column, content_type: Column) -> Column:
     return text(body, content_type)
 
 
-def fetched_pages(urls: DataFrame, responses: DataFrame, most_bytes: int = 5_000_000, redirects: int = 5) -> DataFrame:
+def fetched_pages(urls: DataFrame, responses: DataFrame, most_bytes: int = 5_000_000, redirects: int = 5, robots: DataFrame | None = None, now_ms: Column | None = None) -> DataFrame:
     """(url, final_url, html, fetch_error, fetch_error_kind): html is null where the fetch failed."""
-    rows = within_size(followed(urls, responses, redirects), most_bytes)
+    rows = within_size(followed(urls, responses, redirects, robots, now_ms), most_bytes)
     exception = F.when(F.col("status").isNull() & F.col("error_class").isNull(), "NetworkError").otherwise(F.col("error_class"))
     error = fetch_error(exception, F.col("error_message"), F.col("status"), F.lit(None).cast("string"))
     rows = rows.withColumns({"fetch_error": error, "fetch_error_kind": fetch_error_kind(exception, F.col("status"))})

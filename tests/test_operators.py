@@ -67,8 +67,62 @@ def test_addresses(spark):
     v4 = {"8.8.8.8": False, "10.1.2.3": True, "172.32.0.1": False, "1.2.3": True, "256.1.1.1": True, "224.0.0.1": True, "100.63.255.255": False, "": True, "198.19.1.1": True}
     got = spark.createDataFrame([(k,) for k in v4], "ip string").select("ip", policy.ipv4_blocked(F.col("ip")).alias("b")).collect()
     assert {r.ip: r.b for r in got} == v4
-    v6 = {"::1": True, "fe80::1%eth0": True, "2606:4700::1": False, "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "64:ff9b::808:808": False, "64:ff9b::a00:1": True, "2002:a00:1::": True, "2001:db8::": True, "x": True, "fdaa::3": True}
-    assert {k: policy.is_ipv6_blocked(k) for k in v6} == v6
+    v6 = {"::1": True, "fe80::1%eth0": True, "2606:4700::1": False, "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "64:ff9b::808:808": False, "64:ff9b::a00:1": True, "2002:a00:1::": True, "2001:db8::": True, "x": True, "fdaa::3": True,
+          "::": True, "::8.8.8.8": True, "2001:0:1::": True, "1:2:3:4:5:6:7": True, "1:2:3:4:5:6:7:8": False, "1::2::3": True, "1:2:3:4:5:6:7::": False, ":1:2:3:4:5:6:7": True, "::ffff:1.2.3.256": True, "2606:4700::8.8.8.8": False, "ff02::1": True, "12345::": True, "": True, None: True}
+    got = spark.createDataFrame([(k,) for k in v6], "ip string").select("ip", policy.ipv6_blocked(F.col("ip")).alias("b")).collect()
+    assert {r.ip: r.b for r in got} == v6
+
+
+def test_urls_that_may_not_be_fetched(spark):
+    want = {
+        "http://a.org/": None, "https://A.org:443/x?y#z": None, "http://exa_mple.example.org/": None, "http://a.org:8080/": "port", "ftp://a.org/": "scheme", "mailto:a@b": "scheme", "x": "invalid", "": "invalid", None: "invalid",
+        "http://u:p@a.org/": "credentials", "http://@a.org/": "credentials", "http://[::1]/x": "address", "http://[2606:4700::1]/x": None, "http://[::ffff:7f00:1]:80/": "address", "http://127.0.0.1/": "address", "http://127.1/": "address",
+        "http://2130706433/": "address", "http://0x7f.0.0.1/": "address", "http://0177.0.0.1/": "address", "http://8.8.8.8/": None, "http://134744072/": None, "http://256.1.1.1/": "invalid", "http://1.2.3.4.5/": "invalid", "http://10.0.0.1./": "address",
+        "http://printer/": "host", "http://a.internal/": "host", "http://localhost./": "host", "http://x.localhost/": "host", "http://1.2.3.org/": None, "http://a b/": "invalid",
+    }
+    got = spark.createDataFrame([(k,) for k in want], "u string").select("u", policy.url_problem(F.col("u")).alias("p")).collect()
+    assert {r.u: r.p for r in got} == want
+
+
+def test_redirects_meet_the_guard_and_robots_on_every_hop(spark):
+    def row(url, status, location, body=b"secret", at=5):
+        return (url, status, location, "text/html", body, None, None, at)
+
+    responses = [
+        row("http://a.org/", 302, "http://[::1]/x"), row("http://[::1]/x", 200, None), row("http://b.org/", 302, "/no/1"), row("http://b.org/no/1", 200, None), row("http://c.org/", 301, "p"), row("http://c.org/p", 200, None, b"fine"),
+        row("http://c.org/p", 200, None, b"older", 1), row("http://c.org/", 404, None, b"", 1), row("http://d.org/", 200, None), row("http://e.org/", 200, None), row("http://e.org/", 200, None),
+    ]
+    table = spark.createDataFrame(responses, "url string, status int, location string, content_type string, body binary, error_class string, error_message string, fetched_ms long")
+    said = spark.createDataFrame([("http://a.org", 404, None, 90), ("http://b.org", 200, "User-agent: *\nDisallow: /no/", 90), ("http://c.org", 404, None, 90), ("http://e.org", 404, None, 90)], "origin string, status int, body string, fetched_ms long")
+    urls = spark.createDataFrame([(f"http://{x}.org/",) for x in "abcdee"], "url string")
+    got = sorted((r.url, r.html, r.fetch_error_kind) for r in web.fetched_pages(urls, table, robots=policy.robots_table(said, "me"), now_ms=F.lit(100)).collect())
+    assert got == [("http://a.org/", None, "blocked-url"), ("http://b.org/", None, "robots"), ("http://c.org/", "fine", None), ("http://d.org/", None, "robots"), ("http://e.org/", "secret", None), ("http://e.org/", "secret", None)]
+    free = {r.url: r.html for r in web.fetched_pages(urls, table).collect()}
+    assert (free["http://a.org/"], free["http://b.org/"], free["http://d.org/"]) == (None, "secret", "secret")
+
+
+def test_fetch_options(spark):
+    rows = [("member", None, None, None, None), ("member", 5.0, "fr", False, False), ("anon", 1e9, "FR", True, True), ("owner", float("nan"), "eng", None, None), (None, 2000.0, "de\n", None, True)]
+    table = spark.createDataFrame(rows, "tier string, ms double, lang string, meta boolean, img boolean")
+    got = [tuple(r)[:4] + (r.pageBytes,) for r in table.select(policy.fetch_options(*map(F.col, table.columns)).alias("o")).select("o.*").collect()]
+    assert got == [(True, True, "en", 12000.0, 5_000_000), (False, False, "fr", 1000.0, 5_000_000), (False, True, "en", 12000.0, 3_000_000), (False, True, "en", 12000.0, 5_000_000), (False, True, "en", 2000.0, 3_000_000)]
+
+
+NULLS = [(1, "a", 10, None, 1), (2, "a", None, "anon", 1), (3, None, 11, "anon", 1), (4, "a", 12, None, 1), (5, "a", 13, None, 1), (None, None, None, None, None), (6, None, 86_400_010, "anon", 1), (7, "a", 12, None, 1)]
+
+
+def test_no_request_is_lost_to_nulls(spark):
+    r = spark.createDataFrame([(*x, 0, 0, 0) for x in NULLS], "id long, k string, at long, tier string, running int, _slot int, own int, day int")
+    limited = admission.rate_limited(r, "k", "at", "id", 2, 100)
+    assert limited.columns == [*r.columns, "hits", "allowed"]
+    assert {x.id: (x.hits, x.allowed) for x in limited.collect()} == {1: (1, True), 4: (2, True), 7: (3, False), 5: (4, False), 2: (None, True), 3: (1, True), None: (None, True), 6: (1, True)}
+    capped = admission.daily_capped(r, "at", "id", 2)
+    assert {x.id: (x.used, x.within_cap) for x in capped.collect()} == {1: (1, True), 4: (2, True), 7: (3, False), 5: (4, False), 2: (None, True), 3: (1, True), None: (None, True), 6: (1, True)}
+    done = {x.id: x.decision for x in admission.admitted(r, "k", "at", "id", 3, 100, F.col("id") != 6, 2).collect()}
+    assert done == {1: "run", 4: "run", 7: "capped", 5: "limited", 2: "run", 3: "run", None: "invalid", 6: "invalid"}
+    runs = admission.too_many_at_once(r.withColumn("end", F.when(F.col("id") < 4, F.col("at") + 2)), "at", "end", 2)
+    assert {x.id: (x.running, x.busy) for x in runs.collect()} == {1: (1, False), 3: (2, False), 4: (3, True), 7: (3, True), 5: (3, True), 2: (None, False), None: (None, False), 6: (4, True)}
+    assert runs.columns.count("running") == 1
 
 
 def test_file_names(spark):
