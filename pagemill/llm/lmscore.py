@@ -316,16 +316,16 @@ def learned(rows: DataFrame, start: dict[str, np.ndarray], shape: attention.Shap
                 seen += len(tokens)
         if seen:
             state = {f"{m} {k}": v for m, w in (("weight", adam.weights), ("first", adam.first), ("second", adam.second)) for k, v in w.items()}
-            parts = np.array_split(attention.flat(state | {"step": np.array([adam.step], np.float32)}) * seen, pieces)
+            parts = np.array_split((attention.flat(state | {"step": np.array([adam.step], np.float32)}) * seen).astype(np.float32), pieces)
             at, n = (pa.array(np.full(pieces, v, np.int64)) for v in (TaskContext.get().partitionId(), seen))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), at, n, pa.array(list(parts), pa.list_(pa.float64()))], names=["piece", "at", "n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces, dtype=np.int32)), at, n, pa.array([x.tobytes() for x in parts], pa.binary())], names=["piece", "at", "n", "w"])
 
     def add(t: pa.Table) -> pa.Table:
         t = t.sort_by("at")
-        total = t.column("w").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(axis=0)
-        return pa.table({"piece": t.column("piece")[:1], "at": pa.array([t.column("at")[0].as_py() // fan]), "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total], pa.list_(pa.float64()))})
+        total = np.sum([np.frombuffer(w, np.float32) for w in t.column("w").to_pylist()], axis=0, dtype=np.float64).astype(np.float32)
+        return pa.table({"piece": t.column("piece")[:1], "at": pa.array([t.column("at")[0].as_py() // fan]), "n": pa.array([sum(t.column("n").to_pylist())]), "w": pa.array([total.tobytes()], pa.binary())})
 
-    kind = "piece int, at long, n long, w array<double>"
+    kind = "piece int, at long, n long, w binary"
     # Partition and order of a text follow from the text and its key.
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("copy", "key", F.lit(31)), F.lit(shards)).cast("int")).repartitionById(shards, "shard").sortWithinPartitions("copy", "key").select("text")
     sums = dealt.mapInArrow(learn, kind).groupBy("piece", F.expr(f"at div {fan}")).applyInArrow(add, kind)  # so no group holds the weights of all shards
@@ -333,7 +333,7 @@ def learned(rows: DataFrame, start: dict[str, np.ndarray], shape: attention.Shap
     shared.destroy()
     if not got:
         return start, 0
-    total = np.concatenate([np.array(r["w"]) for r in sorted(got, key=lambda r: r["piece"])])
+    total = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(got, key=lambda r: r["piece"])]).astype(np.float64)
     return attention.shaped(total / got[0]["n"], start), got[0]["n"]
 
 
