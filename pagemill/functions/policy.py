@@ -159,15 +159,13 @@ def ipv6_blocked(ip: Column) -> Column:
         def all_zero(upto: int) -> Column:
             return F.forall(F.slice(g, 1, upto), lambda x: x == 0)
 
-        def carried(i: int) -> Column:
-            return _v4_blocked(g[i].cast("long") * 65_536 + g[i + 1])
-
+        tunnel = g[0] == 0x2002
+        carries = tunnel | (all_zero(5) & (g[5] == 0xFFFF)) | ((g[0] == 0x64) & (g[1] == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0))
+        carried = F.when(tunnel, g[1].cast("long") * 65_536 + g[2]).otherwise(g[6].cast("long") * 65_536 + g[7])
         return (
             F.when(g.isNull(), True)
             .when(all_zero(6) | (g[0].bitwiseAND(0xFFC0) == 0xFE80) | (g[0].bitwiseAND(0xFE00) == 0xFC00) | (g[0].bitwiseAND(0xFF00) == 0xFF00), True)
-            .when(all_zero(5) & (g[5] == 0xFFFF), carried(6))
-            .when((g[0] == 0x64) & (g[1] == 0xFF9B) & F.forall(F.slice(g, 3, 4), lambda x: x == 0), carried(6))
-            .when(g[0] == 0x2002, carried(1))
+            .when(carries, bound(carried, _v4_blocked))
             .otherwise((g[0] == 0x2001) & g[1].isin(0, 0xDB8))
         )
 
@@ -199,19 +197,15 @@ def url_problem(url: Column) -> Column:
     def of(p: Column) -> Column:
         scheme, host, authority = p["scheme"], p["host"], p["authority"]
         port = F.regexp_extract(authority, r":(\d*)$", 1)
-        usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | port.isin("", "80", "443")
         name = F.regexp_replace(host, r"\.$", "")
         inside = ~F.contains(name, F.lit(".")) | F.rlike(name, F.lit(r"(^|\.)localhost$|\.internal$|\.local$"))
-        number = _host_number(name)
         return (
             F.when(scheme.isNull() | (scheme.isin("http", "https") & host.isNull()), "invalid")
             .when(~scheme.isin("http", "https"), "scheme")
             .when(F.contains(authority, F.lit("@")), "credentials")
-            .when(~usual, "port")
+            .when(~port.isin("", "80", "443"), "port")
             .when(F.startswith(name, F.lit("[")), F.when(ipv6_blocked(F.regexp_replace(name, r"[\[\]]", "")), "address"))
-            .when(number == -1, "invalid")
-            .when(number.isNotNull(), F.when(_v4_blocked(number), "address"))
-            .when(inside, "host")
+            .otherwise(bound(_host_number(name), lambda n: F.when(n == -1, "invalid").when(n.isNotNull(), F.when(_v4_blocked(n), "address")).when(inside, "host")))
         )
 
     authority = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\\\]{2}([^/\\\\?#]*)", 1)

@@ -19,6 +19,7 @@ from ..functions.names import free_names
 from ..functions.policy import fetch_error, fetch_error_kind, robots_checked, url_problem
 
 REDIRECTS = (301, 302, 303, 307, 308)
+_NO_LEAVE = "robots.txt of "
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -45,35 +46,38 @@ def latest_responses(responses: DataFrame) -> DataFrame:
     return responses.withColumn(place, nth).filter(F.col(place) == 1).drop(place)
 
 
+def _with_fault(rows: DataFrame, at: str, name: str, robots: DataFrame | None, now_ms: Column) -> DataFrame:
+    """rows with a column that says why the URL in another one may not be fetched; null where it may, or where there is no URL."""
+    (problem,) = free_names(rows, "problem")
+    rows = rows.withColumn(problem, F.when(F.col(at).isNotNull(), url_problem(F.col(at))))
+    fault = F.when(F.col(problem).isNotNull(), F.concat(F.lit("address not allowed: "), F.col(problem)))
+    if robots is not None:
+        rows = robots_checked(rows, robots, now_ms, at)
+        fault = fault.when(F.col(at).isNotNull() & (F.col("robots") != "allowed"), F.concat(F.lit(_NO_LEAVE), F.coalesce(links.host(F.col(at)), F.lit("?")), F.lit(" does not allow this page.")))
+    return rows.withColumn(name, fault).drop(problem, "robots")
+
+
 def followed(urls: DataFrame, responses: DataFrame, most: int = 5, robots: DataFrame | None = None, now_ms: Column | None = None) -> DataFrame:
     """(url, final_url, status, body, content_type, error_class, error_message) after at most `most` redirects.
 
     A URL that may not be fetched, the first or any that a redirect leads to, is a blocked one; more than `most` redirects
     are a plain error.  With robots (a robots_table) each hop also needs the leave of its origin; one whose robots.txt is missing
-    or out of date gives none.  A URL with several responses has its latest.  Repeated URLs give a row each.  The hops are followed on URLs and statuses only;
-    bodies are joined once, at the end.
+    or out of date gives none.  A URL with several responses has its latest; repeated URLs give a row each.  Where a response leads,
+    and whether one may go there, is worked out once a response; then the hops are joins on URLs alone, and bodies come in at the end.
     """
-    one = latest_responses(responses)
-    hops = one.select(F.col("url").alias("look"), "status", "location")
-    state = urls.select("url", F.col("url").alias("at"), F.lit(True).alias("moving"), F.lit(None).cast("string").alias("fault"))
+    one, now = latest_responses(responses), now_ms if now_ms is not None else F.unix_millis(F.current_timestamp())
+    hops = one.select(F.col("url").alias("look"), F.when(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.coalesce(next_url(F.col("url"), F.col("location")), F.lit(""))).alias("next"))
+    hops = _with_fault(hops.filter("next IS NOT NULL"), "next", "next_fault", robots, now)
+    state = _with_fault(urls.select("url", F.col("url").alias("at")), "at", "fault", robots, now)
     for hop in range(most + 1):
-        problem = url_problem(F.col("at"))
-        state = state.withColumn("fault", F.when(F.col("moving") & problem.isNotNull(), F.concat(F.lit("address not allowed: "), problem)).otherwise(F.col("fault")))
-        if robots is not None:
-            checked = robots_checked(state, robots, now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()), "at")
-            refused = F.col("moving") & F.col("fault").isNull() & (F.col("robots") != "allowed")
-            state = checked.withColumn("fault", F.when(refused, F.concat(F.lit("robots.txt of "), F.coalesce(links.host(F.col("at")), F.lit("?")), F.lit(" does not allow this page."))).otherwise(F.col("fault"))).drop("robots")
-        on = F.col("moving") & F.col("fault").isNull()
-        # A URL that has arrived looks up a name of its own that no response has.
-        got = state.withColumn("look", F.when(on, F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url")))).join(hops, "look", "left")
-        goes = F.coalesce(F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull(), F.lit(False))
-        if hop < most:
-            state = got.select("url", F.when(goes, F.coalesce(next_url(F.col("at"), F.col("location")), F.lit(""))).otherwise(F.col("at")).alias("at"), goes.alias("moving"), "fault")
-        else:
-            state = got.select("url", "at", F.when(goes, "too many redirects").otherwise(F.col("fault")).alias("fault"))
+        # A URL that may not be fetched looks up a name of its own that no response has.
+        look = F.when(F.col("fault").isNull(), F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url")))
+        got, goes = state.withColumn("look", look).join(hops, "look", "left"), F.col("next").isNotNull()
+        at, fault = (F.col("next"), F.col("next_fault")) if hop < most else (F.col("at"), F.lit("too many redirects"))
+        state = got.select("url", F.when(goes, at).otherwise(F.col("at")).alias("at"), F.when(goes, fault).otherwise(F.col("fault")).alias("fault"))
     found = state.withColumn("look", F.when(F.col("fault").isNull(), F.col("at")).otherwise(F.concat(F.lit("#"), F.col("url"))))
     found = found.join(one.select(F.col("url").alias("look"), "status", "content_type", "body", "error_class", "error_message"), "look", "left")
-    kind = F.when(F.col("fault") == "too many redirects", "TooManyRedirectsError").when(F.startswith("fault", F.lit("robots.txt of ")), "RobotsDisallowedError").when(F.col("fault").isNotNull(), "BlockedUrlError").otherwise(F.col("error_class"))
+    kind = F.when(F.col("fault") == "too many redirects", "TooManyRedirectsError").when(F.startswith("fault", F.lit(_NO_LEAVE)), "RobotsDisallowedError").when(F.col("fault").isNotNull(), "BlockedUrlError").otherwise(F.col("error_class"))
     return found.select("url", F.col("at").alias("final_url"), "status", "content_type", "body", kind.alias("error_class"), F.coalesce("fault", "error_message").alias("error_message"))
 
 
