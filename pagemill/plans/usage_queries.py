@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from ..operators import admission, usage
+from ..operators import admission, intake, usage
 
 SPAN = usage.Span(date(2024, 1, 30), 14)
 # How the table's event types read as usage events.
@@ -119,6 +119,39 @@ def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.purged(requests(spark, sf_dir), 1_706_659_200_000, F.col("at_ms"), keep).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Browsers of the log's users, one of them a program.
+BROWSERS = ("Mozilla/5.0 (Windows NT 10.0) Chrome/120.0", "Mozilla/5.0 (iPhone) Safari/604.1", "curl/8.0", "Mozilla/5.0 (X11; Linux x86_64) Firefox/121.0", "Mozilla/5.0 (iPad) Safari/604.1")
+
+
+def _request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as requests: addresses shared by users, some owners, members, programs and people who opted out."""
+    u, i = F.col("user_id"), F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.col("ts").cast("timestamp").alias("t"), F.when(F.col("event_type") == "view", "pageview").otherwise(F.col("event_type")).alias("type"), F.concat(F.lit("10.0.0."), (u % 40).cast("string")).alias("ip"),
+        F.element_at(F.array(*map(F.lit, BROWSERS)), (u % len(BROWSERS) + 1).cast("int")).alias("ua"), (u % 29 == 0).alias("owner"), (u % 7 == 0).alias("member"), F.when(i % 13 == 0, "1").alias("dnt"), F.when(i % 17 == 0, "1").otherwise("0").alias("gpc"),
+        F.when(i % 2 == 0, "/about?x").otherwise("/no").alias("path"), F.concat(F.lit("https://www.h"), (i % 5).cast("string"), F.lit(".org/")).alias("referrer"), F.lit("h3.org").alias("host"),
+        F.concat(F.substring("event_type", 1, 2), F.lit("-X")).alias("language"), (F.col("value") * 10).alias("width"), (u % 3 == 0).alias("dark"), (u % 2 == 0).alias("touch"),
+    )
+
+
+def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the log is recorded; days of even number have a salt."""
+    r = _request_log(spark, sf_dir)
+    salts = r.select(F.to_date("t").alias("day")).distinct().filter("day(day) % 2 = 0").withColumn("salt", F.date_format("day", "yyyyMMdd"))
+    e = intake.tracked(r, salts, "event_id", 4, 6 * 3_600_000)
+    return e.select("event_id", "type", "tier", "dev", "br", "path", "ref", "lang", "vw", "cs", "touch", "v")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as requests for access: some by programs that fill every field, without leave or with odd addresses."""
+    u, i = F.col("user_id"), F.col("event_id")
+    r = requests(spark, sf_dir).select(
+        "event_id", "at_ms", F.concat(F.lit("10.0.0."), (u % 40).cast("string")).alias("ip"), F.when(i % 19 == 0, "nobody").otherwise(F.concat(F.lit("u"), u.cast("string"), F.lit("@Example.org "))).alias("email"),
+        F.when(i % 11 == 0, "http://x").when(i % 11 == 1, " ").alias("website"), F.when(i % 5 > 0, "1").alias("agree"),
+    )
+    return intake.access_requests(r, "event_id", 2, 6 * 3_600_000, 20).select("event_id", "decision")
+
+
 def _options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each event's user may ask of a fetch: the value as a time, the type's first letters as a language."""
     u = F.col("user_id")
@@ -186,6 +219,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_purged": _purged,
     "events_request_facts": _facts,
     "events_fetch_options": _options,
+    "events_tracked": _tracked,
+    "events_access_requests": _asked,
     "events_user_agents": _agents,
     "events_visitor_hash": lambda s, d: log(s, d).select("v", usage.visitor_hash(F.date_format("day", "yyyyMMdd"), F.col("v"), F.col("dev")).alias("hash")).distinct(),
 }
@@ -226,6 +261,21 @@ SQL: dict[str, str] = {
     "CASE WHEN user_id % 5 = 0 THEN 'robots' WHEN user_id % 3 = 0 THEN 'blocking' WHEN user_id % 3 = 1 THEN 'http-error' WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'ok' END AS outcome "
     "FROM (SELECT *, value * 20 - 100 AS w FROM events)",
     "events_user_agents": _agents_sql(),
+    "events_tracked": "WITH r AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_type = 'view' THEN 'pageview' ELSE event_type END AS type, value * 10 AS w, '10.0.0.' || user_id % 40 AS ip, "
+    f"[{', '.join(repr(a) for a in BROWSERS)}][user_id % {len(BROWSERS)} + 1] AS ua, event_id % 13 = 0 OR event_id % 17 = 0 AS opted FROM events WHERE user_id % 29 <> 0), p AS (SELECT * FROM r WHERE type = 'pageview' AND NOT opted), "
+    "h AS (SELECT a.event_id, count(*) AS hits FROM p a JOIN p b ON a.ip = b.ip AND b.at_ms > a.at_ms - 21600000 AND (b.at_ms < a.at_ms OR (b.at_ms = a.at_ms AND b.event_id <= a.event_id)) GROUP BY 1), "
+    "k AS (SELECT r.*, hits IS NOT NULL AS seen FROM r LEFT JOIN h USING (event_id) WHERE (type IS DISTINCT FROM 'pageview' OR hits <= 4) AND user_id % 5 <> 2), m AS (SELECT *, strftime(day, '%Y%m%d') AS d FROM k), "
+    "n AS (SELECT *, array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 54))), '') || repeat('36', 56) AS a, "
+    "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 92))), '') || repeat('5c', 56) AS b FROM m) "
+    "SELECT event_id, type, CASE WHEN user_id % 7 = 0 THEN 'member' ELSE 'anon' END AS tier, CASE WHEN seen THEN CASE user_id % 5 WHEN 1 THEN 'mobile' WHEN 4 THEN 'tablet' ELSE 'desktop' END END AS dev, "
+    "CASE WHEN seen THEN CASE user_id % 5 WHEN 0 THEN 'Chrome' WHEN 3 THEN 'Firefox' ELSE 'Safari' END END AS br, CASE WHEN seen THEN CASE WHEN event_id % 2 = 0 THEN '/about' ELSE 'other' END END AS path, "
+    "CASE WHEN seen AND event_id % 5 <> 3 THEN 'h' || event_id % 5 || '.org' END AS ref, CASE WHEN seen THEN 'vi' END AS lang, "
+    "CASE WHEN NOT seen OR w <= 0 OR w > 20000 OR isnan(w) THEN NULL WHEN w < 480 THEN '<480' WHEN w < 768 THEN '480-767' WHEN w < 1024 THEN '768-1023' WHEN w < 1440 THEN '1024-1439' WHEN w >= 1440 THEN '1440+' END AS vw, "
+    "CASE WHEN seen THEN CASE WHEN user_id % 3 = 0 THEN 'dark' ELSE 'light' END END AS cs, CASE WHEN seen THEN user_id % 2 = 0 END AS touch, "
+    "CASE WHEN NOT opted AND day(day) % 2 = 0 THEN substr(sha256(unhex(b) || unhex(sha256(unhex(a) || encode(ip || '|' || ua)))), 1, 16) END AS v FROM n",
+    "events_access_requests": _REQ + ", q AS (SELECT *, user_id % 40 AS ip FROM r), h AS (SELECT a.event_id, count(*) AS hits FROM q a JOIN q b ON a.ip = b.ip AND b.at_ms > a.at_ms - 21600000 AND (b.at_ms < a.at_ms OR (b.at_ms = a.at_ms AND b.event_id <= a.event_id)) GROUP BY 1), "
+    "s AS (SELECT q.*, CASE WHEN hits > 2 THEN 'limited' WHEN event_id % 11 = 0 THEN 'pretended' WHEN event_id % 5 = 0 THEN 'terms' WHEN event_id % 19 = 0 THEN 'email' END AS said FROM q JOIN h USING (event_id)) "
+    "SELECT event_id, coalesce(said, CASE WHEN row_number() OVER (PARTITION BY said IS NULL, at_ms // 86400000 ORDER BY at_ms, event_id) <= 20 THEN 'taken' ELSE 'capped' END) AS decision FROM s",
     # HMAC by its definition: hash(outer key + hash(inner key + message)), the salt's bytes padded to 64 and combined with 0x36 and 0x5c.
     "events_visitor_hash": LOG + ", k AS (SELECT v, dev, strftime(day, '%Y%m%d') AS d FROM log), p AS (SELECT v, concat_ws('|', v, dev) AS m, "
     "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 54))), '') || repeat('36', 56) AS a, "
