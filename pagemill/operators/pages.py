@@ -37,7 +37,7 @@ EVENT = _struct(
 )
 NODE = _struct(
     node_id=T.IntegerType(), parent_id=T.IntegerType(), depth=T.IntegerType(), sib_ord=T.IntegerType(), kind=_S, tag=_S, attrs=T.MapType(_S, _S),
-    text=_S, stop_count=T.IntegerType(), word_count=T.IntegerType(), link_count=T.IntegerType(), link_words=T.IntegerType(),
+    text=_S, stop_count=T.IntegerType(), word_count=T.IntegerType(), link_count=T.IntegerType(), link_words=T.IntegerType(), last_id=T.IntegerType(),
 )
 _META = ("description", "lang", "keywords", "favicon", "canonical")
 
@@ -81,6 +81,8 @@ def extract_events(pages: DataFrame, key: str = "page_id", url: str = "url", bod
 def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key: str = "page_id", url: str = "url", body: str = "html", counts: bool = True) -> DataFrame:
     """One row per node of each page's tree, with the counts that scoring needs; without counts the text and counts of elements are null.
 
+    Nodes are numbered in document order; last_id is the number of the last one below a node, or its own.
+
     An element's text is that of all below it, so its cost grows with the depth of the tree.
     """
 
@@ -104,6 +106,11 @@ def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key:
                     "link_words": (len("".join(map(text_of, links)).split(" ")) if links else 0) if full else None,
                 }
             )
+        for row in reversed(out):
+            last = row["last_id"] = row.get("last_id", row["node_id"])
+            if row["parent_id"] is not None:
+                up = out[row["parent_id"]]
+                up["last_id"] = max(last, up.get("last_id", last))
         return out
 
     return _per_page(pages, make, NODE, key, url, body)

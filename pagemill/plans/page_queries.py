@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import links, markup, policy, stopwords
-from ..functions.article import ArticleOptions
-from ..operators import export, metadata, pages, scoring, structured_data
+from ..operators import export, lead_image, metadata, pages, scoring, structured_data
 from ..sources import web
 
 LISTS = stopwords.short_lists()
@@ -318,13 +317,18 @@ def failure_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_images(spark: SparkSession, d: str) -> DataFrame:
-    """Lead images over pages with pictures, their sizes from a table that is part of the options."""
-    sizes = {"https://s.example.org/big.jpg": (90_000, 800, 600), "https://s.example.org/wide.png": (50_000, 900, 100), "https://s.example.org/small.png": (500, 40, 40), "https://s.example.org/second.jpg": (60_000, 1000, 900)}
+    """Lead images over pages with five pictures each, whose sizes are in a catalog and follow from the page's number."""
     para = "<p>" + "this is what we all have been in and of the which they will not " * 2 + "</p>"
-    pictures = F.when(F.col("page_id") % 2 == 0, '<img src="/small.png"><img src="/wide.png"><img src="/big.jpg"><img src="second.jpg">').otherwise("")
-    made = _pages(spark, d).select("page_id", F.lit("https://s.example.org/a").alias("url"), F.concat(F.lit('<html><head><meta property="og:image" content="/og.png"></head><body><article>'), F.lit(para * 3), pictures, F.lit("</article></body></html>")).alias("html"))
-    a = pages.extract_articles(made, ArticleOptions(pictures=sizes.get))
-    return a.select("page_id", F.col("image.url").alias("src"), F.col("image.type").alias("type"), F.col("image.confidence").alias("confidence"), F.col("image.width").alias("width"))
+    p, n = _pages(spark, d).select("page_id"), F.col("page_id").cast("string")
+    shown = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.concat(F.lit("<img src='/p"), n, F.lit("-"), k.cast("string"), F.lit(".jpg'>"))), "")
+    made = p.select("page_id", F.lit("https://s.example.org/a").alias("url"), F.concat(F.lit('<html><head><meta property="og:image" content="/og.png"></head><body><article>'), F.lit(para * 3), shown, F.lit("</article></body></html>")).alias("html"))
+    k, i = F.col("k"), F.col("page_id")
+    catalog = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5)))).select(
+        F.concat(F.lit("https://s.example.org/p"), n, F.lit("-"), k.cast("string"), F.lit(".jpg")).alias("src"), (i * 7919 * k % 100_000).alias("bytes"), (i * 31 * k % 1200).cast("int").alias("width"), (i * 17 * k % 900).cast("int").alias("height")
+    )
+    nodes = pages.html_nodes(made, LISTS["en"])
+    got = lead_image.lead_images(nodes, scoring.top_nodes(nodes), made, catalog)
+    return got.select("page_id", "src", "type", "confidence", F.col("width").cast("long").alias("width"))
 
 
 def picture_catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -391,7 +395,12 @@ SQL: dict[str, str] = {
     "CASE k WHEN 0 THEN 'https://' || source || '.Example.org:8443/p/' || doc_id WHEN 1 THEN 'https://' || source || '.example.org/c/' || doc_id WHEN 2 THEN 'http://' || source || '.example.com/c?d=' || doc_id WHEN 3 THEN 'https://' || source || '.example.org/x/' || doc_id "
     "WHEN 4 THEN 'https://' || source || '.example.org/a%20b?d=' || doc_id ELSE 'https://m.example.org/' || doc_id END AS canonical, CASE WHEN k < 4 THEN w[1] || CASE WHEN w[2] || ' ' || w[3] <> w[1] THEN ',' || w[2] || ' ' || w[3] ELSE '' END ELSE w[4] END AS tags, "
     "w[5] || ' ' || w[6] || CASE WHEN w[5] || ' ' || w[6] <> source THEN ',' || source ELSE '' END AS authors, CAST(n_chars AS VARCHAR) AS og_image, CASE WHEN k < 2 THEN 3 ELSE 1 END::BIGINT AS n_graph FROM w",
-    "page_images": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://s.example.org/big.jpg' ELSE 'https://s.example.org/og.png' END AS src, CASE WHEN page_id % 2 = 0 THEN 'bigimage' ELSE 'opengraph' END AS type, CASE WHEN page_id % 2 = 0 THEN 50.0 ELSE 100.0 END::DOUBLE AS confidence, CASE WHEN page_id % 2 = 0 THEN 800 ELSE 0 END::BIGINT AS width FROM pages",
+    "page_images": "WITH c AS (SELECT page_id, k, page_id * 7919 * k % 100000 AS b, page_id * 31 * k % 1200 AS w, page_id * 17 * k % 900 AS h FROM pages, range(1, 6) AS r(k)), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS nth, count(*) OVER (PARTITION BY page_id) AS n, first_value(w * h) OVER (PARTITION BY page_id ORDER BY k) * 1.48::DOUBLE AS area "
+    "FROM c WHERE (b = 0 OR b > 4000) AND w > 50 AND NOT (w <> h AND greatest(w, h) > 5 * least(w, h))), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN nth = 1 OR area = 0 THEN 1.0::DOUBLE ELSE (w * h)::DOUBLE / area / nth END DESC, nth) AS place FROM f) "
+    "SELECT p.page_id, CASE WHEN k IS NULL THEN 'https://s.example.org/og.png' ELSE 'https://s.example.org/p' || p.page_id || '-' || k || '.jpg' END AS src, CASE WHEN k IS NULL THEN 'opengraph' ELSE 'bigimage' END AS type, "
+    "CASE WHEN k IS NULL THEN 100.0 ELSE 100.0 / n END::DOUBLE AS confidence, coalesce(w, 0)::BIGINT AS width FROM pages p LEFT JOIN s ON p.page_id = s.page_id AND place = 1",
     "picture_catalog": "SELECT CAST(page_id AS VARCHAR) AS src, 24::BIGINT AS bytes, page_id % 1000 + 1 AS width, 2 * (page_id % 1000 + 1) AS height, '.png' AS ext FROM pages WHERE page_id % 3 <> 0",
     "page_fetch": _FETCHED + " SELECT url, CASE WHEN i IN (0, 3, 4) THEN url || '/b' WHEN i = 5 THEN 'ftp://s.example.org/x' WHEN i = 6 THEN 'http://127.0.0.1/x' WHEN i = 9 THEN 'http://[::1]/x' WHEN i = 10 THEN 'https://s.example.org/no/' || page_id ELSE url END AS final_url, CASE WHEN i IN (0, 3, 4, 8) AND NOT big THEN length(html) END AS chars, fetch_error, "
     "CASE WHEN i IN (5, 6, 9) THEN 'blocked-url' WHEN i = 10 THEN 'robots' WHEN big THEN 'too-large' END AS fetch_error_kind FROM p",
