@@ -103,18 +103,25 @@ def too_many_at_once(runs: DataFrame, start_ms: str, end_ms: str, most: int = 2)
 
 
 def normal_email(email: Column) -> Column:
-    """Trimmed lower-case address, null if it does not look like one or is over 254 characters."""
-    e = F.lower(F.trim(email))
-    return F.when(F.rlike(e, F.lit(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")) & (F.length(e) <= 254), e)
+    """Trimmed lower-case address of 5 to 254 characters, null if it does not look like one."""
+    e = F.lower(F.regexp_replace(email, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    part = r"""[^\s\p{Z}@<>()\[\]\\,;:"]"""
+    return F.when(F.rlike(e, F.lit(rf"^{part}+@{part}+\.{part}{{2,}}\z")) & F.length(e).between(5, 254), e)
 
 
 def normal_code(code: Column) -> Column:
-    """An invitation code without blanks and hyphens, in upper case."""
-    return F.upper(F.regexp_replace(code, r"[\s-]", ""))
+    """An invitation code in upper case without what people type between its letters; null if what is left can't be one."""
+    c = F.regexp_replace(F.upper(code), "[^A-Z0-9]", "")
+    return F.when(F.rlike(c, F.lit(rf"^[{CODE_LETTERS}]{{10}}\z")), c)
+
+
+def shown_code(code: Column) -> Column:
+    """A code in two halves, as people read it."""
+    return F.concat(F.substring(code, 1, 5), F.lit("-"), F.substring(code, 6, 5))
 
 
 def code_well_formed(code: Column) -> Column:
-    return F.rlike(normal_code(code), F.lit(f"^[{CODE_LETTERS}]{{10}}$"))
+    return F.coalesce(normal_code(code).isNotNull(), F.lit(False))
 
 
 def without_member(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

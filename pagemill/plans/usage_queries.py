@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from ..operators import admission, intake, usage
+from ..operators import access, admission, intake, usage
 
 SPAN = usage.Span(date(2024, 1, 30), 14)
 # How the table's event types read as usage events.
@@ -201,6 +201,71 @@ def _agents_sql() -> str:
     return f"SELECT dev, br, os, count(*) AS n FROM events JOIN (VALUES {rows}) AS a(i, dev, br, os) ON event_id % {len(AGENTS)} = i GROUP BY ALL"
 
 
+#: What the events do as actions on the way in, by their number.
+WAYS = (*("touch",) * 3, *("extract",) * 2, *("redeem",) * 4, "ask", "ask", "decline", "approve", "invite", "accept", "sign_out", "remove", "peek")
+#: A log of days stands for one of months here, with a lock of two days.
+DOORS = access.Terms(touch_ms=admission.DAY_MS, lock_ms=2 * admission.DAY_MS)
+
+
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as actions of persons, with one of two codes and one of four versions of the terms."""
+    i = F.col("event_id")
+    way = F.element_at(F.array(*map(F.lit, WAYS)), (i * 7 % len(WAYS) + 1).cast("int"))
+    email = F.concat(F.lit("u"), (F.col("user_id") % 1000).cast("string"), F.lit("@example.org"))
+    return requests(spark, sf_dir).select(email.alias("email"), (F.col("at_ms") * 8).alias("at_ms"), "event_id", way.alias("action"), F.concat(F.lit("c"), (i % 2).cast("string")).alias("detail"), F.concat(F.lit("v"), (i % 4).cast("string")).alias("version"))
+
+
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.acted(access_log(spark, sf_dir), "event_id", DOORS).drop("at_ms")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.standings(access.acted(access_log(spark, sf_dir), "event_id", DOORS), "event_id")
+
+
+def _access_sql() -> str:
+    """The same rules action by action in a recursive query: lapses, then the result, then the standing."""
+    d = DOORS
+    ways = ", ".join(f"'{w}'" for w in WAYS)
+    return f"""
+WITH RECURSIVE a AS (
+  SELECT *, row_number() OVER (PARTITION BY email ORDER BY at_ms, event_id) AS rn FROM (
+    SELECT 'u' || user_id % 1000 || '@example.org' AS email, epoch_us(ts) // 1000 * 8 AS at_ms, event_id, list_extract([{ways}], event_id * 7 % {len(WAYS)} + 1) AS action,
+      'c' || event_id % 2 AS detail, 'v' || event_id % 4 AS version FROM events)
+), s AS (
+  SELECT email, 0::BIGINT AS rn, 0::BIGINT AS at_ms, NULL::BIGINT AS event_id, NULL::VARCHAR AS action, NULL::VARCHAR AS result, NULL::VARCHAR AS status, 0::BIGINT AS epoch, 0::BIGINT AS extractions, false AS pending, NULL::BIGINT AS seen_ms,
+    NULL::VARCHAR AS terms, NULL::VARCHAR AS code, 0::BIGINT AS expires, NULL::BIGINT AS asked, 0::BIGINT AS failures, 0::BIGINT AS failed, 0::BIGINT AS locked, NULL::BIGINT AS touched FROM (SELECT DISTINCT email FROM a)
+  UNION ALL
+  SELECT email, rn, at_ms, event_id, action, result,
+    CASE WHEN action = 'remove' THEN NULL WHEN result = 'ok' THEN 'active' WHEN result IN ('approved', 'invited') THEN coalesce(status, 'invited') ELSE status END,
+    CASE WHEN action = 'remove' THEN 0 WHEN result = 'signed-out' THEN epoch + 1 ELSE epoch END,
+    CASE WHEN action = 'remove' THEN 0 WHEN result = 'counted' THEN extractions + 1 ELSE extractions END,
+    CASE WHEN result = 'taken' THEN true WHEN action IN ('remove', 'decline', 'approve') THEN false ELSE open END,
+    CASE WHEN action = 'remove' THEN NULL WHEN result IN ('seen', 'counted') THEN at_ms ELSE seen_ms END,
+    CASE WHEN action = 'remove' THEN NULL WHEN result = 'ok' THEN version WHEN result = 'accepted' THEN detail ELSE terms END,
+    CASE WHEN action = 'remove' OR result = 'ok' THEN NULL WHEN result IN ('approved', 'invited') THEN detail ELSE code END,
+    CASE WHEN result IN ('approved', 'invited') THEN at_ms + {d.invite_ms} ELSE expires END,
+    CASE WHEN action = 'remove' THEN NULL WHEN result = 'taken' THEN at_ms WHEN pending AND NOT open THEN NULL ELSE asked END,
+    CASE WHEN result = 'ok' THEN 0 WHEN result <> 'invalid' THEN bad WHEN bad + 1 >= {d.most_failures} THEN 0 ELSE bad + 1 END,
+    CASE WHEN result = 'invalid' THEN at_ms ELSE failed END,
+    CASE WHEN result = 'ok' THEN 0 WHEN result <> 'invalid' THEN locked WHEN bad + 1 >= {d.most_failures} THEN at_ms + {d.lock_ms} ELSE 0 END,
+    CASE WHEN result IN ('seen', 'unknown') AND action = 'touch' THEN at_ms ELSE touched END
+  FROM (SELECT *, CASE
+      WHEN action = 'ask' THEN CASE WHEN open OR (NOT pending AND at_ms - asked < {d.quiet_ms}) THEN 'ignored' ELSE 'taken' END
+      WHEN action = 'decline' THEN CASE WHEN open THEN 'declined' ELSE 'not-found' END
+      WHEN action = 'approve' THEN CASE WHEN NOT open THEN 'not-found' WHEN status = 'active' THEN 'is-active' ELSE 'approved' END
+      WHEN action = 'invite' THEN CASE WHEN status = 'active' THEN 'is-active' ELSE 'invited' END
+      WHEN action = 'redeem' THEN CASE WHEN locked > at_ms THEN 'locked' WHEN status IS NOT NULL AND code = detail AND expires > at_ms THEN 'ok' ELSE 'invalid' END
+      WHEN action = 'touch' THEN CASE WHEN at_ms - touched < {d.touch_ms} THEN 'recent' WHEN status IS NULL THEN 'unknown' ELSE 'seen' END
+      WHEN action = 'remove' THEN CASE WHEN status IS NULL THEN 'not-found' ELSE 'removed' END
+      WHEN action NOT IN ('accept', 'extract', 'sign_out') THEN 'no-action'
+      WHEN status IS NULL THEN 'unknown' WHEN action = 'accept' THEN 'accepted' WHEN action = 'extract' THEN 'counted' ELSE 'signed-out' END AS result
+    FROM (SELECT a.*, s.status, s.epoch, s.extractions, s.pending, s.seen_ms, s.terms, s.code, s.expires, s.asked, s.failures, s.failed, s.locked, s.touched,
+        s.pending AND a.at_ms - s.asked < {d.pending_ms} AS open, CASE WHEN a.at_ms - s.failed >= {d.forget_ms} THEN 0 ELSE s.failures END AS bad
+      FROM s JOIN a ON a.email = s.email AND a.rn = s.rn + 1))
+)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_daily": lambda s, d: usage.daily(log(s, d), SPAN),
     "events_totals": lambda s, d: usage.totals(log(s, d), SPAN),
@@ -221,6 +286,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events_fetch_options": _options,
     "events_tracked": _tracked,
     "events_access_requests": _asked,
+    "events_access": _access,
+    "events_members": _members,
     "events_user_agents": _agents,
     "events_visitor_hash": lambda s, d: log(s, d).select("v", usage.visitor_hash(F.date_format("day", "yyyyMMdd"), F.col("v"), F.col("dev")).alias("hash")).distinct(),
 }
@@ -281,4 +348,6 @@ SQL: dict[str, str] = {
     "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 54))), '') || repeat('36', 56) AS a, "
     "array_to_string(list_transform(range(1, 9), lambda i: printf('%02x', xor(ascii(substr(d, CAST(i AS INT), 1)), 92))), '') || repeat('5c', 56) AS b FROM k) "
     "SELECT DISTINCT v, substr(sha256(unhex(b) || unhex(sha256(unhex(a) || encode(m)))), 1, 16) AS hash FROM p",
+    "events_access": _access_sql() + " SELECT email, event_id, action, result, status, epoch, extractions, pending, seen_ms, terms FROM s WHERE rn > 0",
+    "events_members": _access_sql() + " SELECT email, status, epoch, extractions, pending, seen_ms, terms FROM s WHERE status IS NOT NULL AND rn = (SELECT max(a.rn) FROM a WHERE a.email = s.email)",
 }
