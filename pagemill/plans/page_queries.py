@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import links, markup, policy, stopwords
+from ..functions import charsets, links, markup, policy, stopwords
 from ..operators import export, lead_image, metadata, pages, scoring, structured_data
 from ..sources import web
 
@@ -339,10 +339,20 @@ def picture_catalog(spark: SparkSession, d: str) -> DataFrame:
     return web.image_catalog(images).withColumns({"width": F.col("width").cast("long"), "height": F.col("height").cast("long")})
 
 
+def doc_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as undeclared bodies, UTF-8, ISO-8859-1 where their letters allow it, or UTF-16 either way round: the charset told and the text's digest."""
+    d, i = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), F.col("doc_id") % 4
+    narrow = F.rlike("text", F.lit(r"\A[\x00-\x7E\xA0-\xFF]*\z"))
+    body = F.when((i == 1) & narrow, F.encode(F.when(narrow, F.col("text")), "ISO-8859-1")).when((i == 2) & narrow, F.encode("text", "UTF-16LE")).when((i == 3) & narrow, F.encode("text", "UTF-16BE")).otherwise(F.encode("text", "UTF-8"))
+    rows = d.select("doc_id", body.alias("body"), F.lit("text/html").alias("content_type"))
+    told = web.with_text(rows.withColumn("charset", charsets.sniffed(F.col("body"))), "text")
+    return told.select("doc_id", "charset", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_host_tally": page_host_tally, "page_title": page_title, "page_meta_lang": page_meta_lang, "page_nav_links": page_nav_links, "page_node_tally": page_node_tally, "page_article": page_article, "page_top_nodes": page_top_nodes,
     "page_article_titles": page_article_titles, "page_article_text": page_article_text, "page_referrer": page_referrer, "page_url_problems": page_url_problems, "page_metadata": page_metadata, "page_images": page_images, "picture_catalog": picture_catalog,
-    "page_fetch": fetched, "page_failure_texts": failure_texts, "page_robots": page_robots, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
+    "page_fetch": fetched, "page_failure_texts": failure_texts, "page_robots": page_robots, "ip_blocks": ip_blocks, "robots_match": robots_match, "host_lists": host_lists, "doc_charsets": doc_charsets, "doc_stopwords": doc_stopwords, "stopwords_by_lang": stopwords_by_lang,
     "doc_top_stopwords": doc_top_stopwords, "file_names": file_names, "article_texts": article_texts, "zip_export": zip_export, "jsonld_events": jsonld_events, "jsonld_articles": jsonld_articles,
 }
 
@@ -423,4 +433,6 @@ SELECT doc_id, substr(CASE WHEN n = '' THEN 'article' ELSE n END, 1, 120) AS nam
     "article_texts": "SELECT doc_id, concat_ws(chr(10), CASE WHEN doc_id % 5 <> 0 THEN source ELSE '(no title found)' END, nullif(concat_ws(' — ', CASE WHEN doc_id % 3 = 0 THEN 'By A B, ' || source END, CASE WHEN doc_id % 2 = 0 THEN '2024-01-01' END), ''), 'doc ' || doc_id, '', CASE WHEN text = '' THEN '(no article text extracted)' ELSE text END) AS text FROM documents",
     "jsonld_events": f"SELECT doc_id AS page_id, nullif(trim(w), '') AS title, '2024-05-01' AS \"startDate\", 'scheduled' AS \"eventStatus\", trim('Hall ' || w) AS place, source || ', Town' AS address, CAST(doc_id % 50 AS VARCHAR) AS price, 'https://' || source || '.example.org/' AS \"sourceUrl\" FROM {_JSON_DOCS}, range(2)",
     "jsonld_articles": f"SELECT doc_id AS page_id, CASE WHEN w = '' THEN 'Loading' ELSE w END AS title, body AS \"cleanedText\", CASE WHEN w = '' THEN '' ELSE 'a|b|c' END AS tags, CASE WHEN w = '' THEN '' ELSE source END AS authors, w <> '' AS \"fromJsonLd\" FROM {_JSON_DOCS}",
+    "doc_charsets": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN text = '' OR NOT narrow OR doc_id % 4 = 0 THEN 'utf-8' WHEN doc_id % 4 = 2 THEN 'utf-16-le' WHEN doc_id % 4 = 3 THEN 'utf-16-be' "
+    "WHEN strlen(text) = length(text) THEN 'utf-8' ELSE 'windows-1252' END AS charset, sha256(text) AS text_sha256 FROM (SELECT doc_id, text, regexp_full_match(text, '[\\x00-\\x7E\\x{A0}-\\x{FF}]*', 's') AS narrow FROM documents)",
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import links
+from ..functions.charsets import sniffed
 from ..functions.names import free_names
 from ..functions.policy import fetch_error, fetch_error_kind, robots_checked, url_problem
 
@@ -96,25 +97,34 @@ def within_size(rows: DataFrame, most_bytes: int = 5_000_000) -> DataFrame:
 _META = re.compile(rb"<meta[^>]+charset=[\"']?\s*([\w-]+)", re.I)
 
 
-def decoded(body: Column, content_type: Column) -> Column:
-    """Text of a response: by the charset of its type, else by its own meta tag, else UTF-8; what cannot be decoded is read as UTF-8."""
+def decoded(body: Column, content_type: Column, guess: Column | None = None) -> Column:
+    """Text of a response: by the charset of its type, else by its own meta tag, else by the guess, else UTF-8; what cannot be decoded is read as UTF-8."""
 
     @F.pandas_udf("string")
-    def text(bodies: pd.Series, types: pd.Series) -> pd.Series:
-        def one(b: bytes | None, t: str | None) -> str | None:
+    def text(bodies: pd.Series, types: pd.Series, guesses: pd.Series) -> pd.Series:
+        def one(b: bytes | None, t: str | None, guess: str | None) -> str | None:
             if b is None:
                 return None
             said = re.search(r"charset=[\"']?([\w-]+)", t or "", re.I)
             inner = _META.search(b[:4096])
-            name = said[1] if said else inner[1].decode() if inner else "utf-8"
+            name = said[1] if said else inner[1].decode() if inner else guess or "utf-8"
             try:
-                return b.decode(name)
+                return b.decode(name).removeprefix("\ufeff")
             except (LookupError, UnicodeDecodeError):
                 return b.decode("utf-8", "replace")
 
-        return pd.Series([one(b, t) for b, t in zip(bodies, types, strict=True)], dtype=object)
+        return pd.Series([one(b, t, g) for b, t, g in zip(bodies, types, guesses, strict=True)], dtype=object)
 
-    return text(body, content_type)
+    return text(body, content_type, F.lit(None).cast("string") if guess is None else guess)
+
+
+def with_text(rows: DataFrame, name: str = "html", body: str = "body", content_type: str = "content_type") -> DataFrame:
+    """rows with the text of their bodies; where the type declares no charset and the body has no meta tag, its bytes decide."""
+    (guess,) = free_names(rows.withColumn(name, F.lit(None)), "guess")
+    declared = F.coalesce(F.rlike(content_type, F.lit("(?i)charset=")), F.lit(False))
+    guessed = rows.withColumn(guess, F.when(~declared, sniffed(F.col(body))))
+    # Named twice, so that the guess stays a column of its own: inside a Python function's arguments its nested lambdas are not worked out.
+    return guessed.withColumn(name, decoded(F.col(body), F.col(content_type), F.when(F.col(guess).isNotNull(), F.col(guess)))).drop(guess)
 
 
 def fetched_pages(urls: DataFrame, responses: DataFrame, most_bytes: int = 5_000_000, redirects: int = 5, robots: DataFrame | None = None, now_ms: Column | None = None) -> DataFrame:
@@ -123,7 +133,8 @@ def fetched_pages(urls: DataFrame, responses: DataFrame, most_bytes: int = 5_000
     exception = F.when(F.col("status").isNull() & F.col("error_class").isNull(), "NetworkError").otherwise(F.col("error_class"))
     error = fetch_error(exception, F.col("error_message"), F.col("status"), F.lit(None).cast("string"))
     rows = rows.withColumns({"fetch_error": error, "fetch_error_kind": fetch_error_kind(exception, F.col("status"))})
-    return rows.select("url", "final_url", F.when(F.col("fetch_error").isNull(), decoded(F.col("body"), F.col("content_type"))).alias("html"), "fetch_error", "fetch_error_kind")
+    good = rows.withColumn("body", F.when(F.col("fetch_error").isNull(), F.col("body")))
+    return with_text(good).select("url", "final_url", "html", "fetch_error", "fetch_error_kind")
 
 
 class _Part(InputPartition):
