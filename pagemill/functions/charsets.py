@@ -43,16 +43,38 @@ def _wide(x: Column) -> Column:
 
 
 def _wide_east(x: Column) -> Column:
-    """UTF-16 without zero bytes: one byte of each pair names a block of kana, characters, syllables or full-width forms, the other is any."""
+    """UTF-16 without zero bytes: one byte of each pair names a block of kana, characters, syllables or full-width forms, the other is any.
+
+    Any byte means control bytes and those of 7F to 9F too, which letters of a Latin text are not: one pair in twenty holds one.
+    """
     blocks = r"[\x30\x4E-\x9F\xAC-\xD7\xFF]"
 
     def of(n: Column) -> Column:
         le = (n["odd"] * 10 >= n["pairs"] * 9) & (n["even"] * 10 < n["pairs"] * 8)
         be = (n["even"] * 10 >= n["pairs"] * 9) & (n["odd"] * 10 < n["pairs"] * 8)
-        return F.when((F.length(x) % 2 == 1) | (n["pairs"] < 8), None).when(le, "utf-16-le").when(be, "utf-16-be")
+        return F.when((F.length(x) % 2 == 1) | (n["pairs"] < 8) | (n["odd_ones"] * 20 < n["pairs"]), None).when(le, "utf-16-le").when(be, "utf-16-be")
 
     evens, odds = F.regexp_replace(x, "(?s)(.).?", "$1"), F.regexp_replace(x, "(?s).(.?)", "$1")
-    return bound(F.struct(_count(evens, blocks).alias("even"), _count(odds, blocks).alias("odd"), F.floor(F.length(x) / 2).alias("pairs")), of)
+    return bound(F.struct(_count(evens, blocks).alias("even"), _count(odds, blocks).alias("odd"), F.floor(F.length(x) / 2).alias("pairs"), _count(x, r"[\x00-\x08\x0B\x0E-\x1F\x7F-\x9F]").alias("odd_ones")), of)
+
+
+def _latin(x: Column) -> Column:
+    """Whether the bytes above 7F are letters within Latin words.
+
+    They are where more than half of them stand alone between ASCII ones.  Else, read as characters of two bytes, hardly any stand three in a
+    row, as those of a text in characters do, and they touch ASCII letters or are few beside them.
+    """
+
+    def of(marked: Column) -> Column:
+        short = F.regexp_replace(marked, "\u0100{3,}", "")
+        counts = F.struct(
+            _count(marked, "\u0100").alias("all"), _count(short, "\u0100").alias("short"), _count(marked, "\u0100+").alias("runs"),
+            _count(marked, "(?<=[A-Za-z])\u0100|\u0100(?=[A-Za-z])").alias("touching"), _count(x, "[A-Za-z]").alias("letters"), _count(x, r"[\x80-\xFF]").alias("high"),
+        )
+        return bound(counts, lambda n: ((n["all"] - n["short"]) * 5 < n["all"]) & ((n["touching"] * 4 >= n["runs"]) | (n["letters"] > n["high"] * 8)))
+
+    alone = _count(x, r"(?<![\x80-\xFF])[\x80-\xFF](?![\x80-\xFF])") * 2 > _count(x, r"[\x80-\xFF]")
+    return alone | bound(F.regexp_replace(x, r"[\x81-\xFE][\x40-\x7E\x80-\xFE]", "\u0100"), of)
 
 
 def _single(x: Column) -> Column:
@@ -91,19 +113,17 @@ def _many(x: Column) -> Column:
 def sniffed(body: Column) -> Column:
     """The charset of a body by its bytes alone; utf-8 for ASCII, for an empty body and for what is valid as UTF-8; null for null.
 
-    Order: byte order marks, zero bytes, escape sequences, UTF-8, charsets of more bytes a unit, UTF-16 by its blocks, charsets of one.  Bytes above
-    7F that stand alone between ASCII ones, more than half of them, are letters of a Latin text.
+    Order: byte order marks, zero bytes, escape sequences, UTF-8, charsets of more bytes a unit, UTF-16 by its blocks, charsets of one.
     """
 
     def of(x: Column) -> Column:
-        alone = _count(x, r"(?<![\x80-\xFF])[\x80-\xFF](?![\x80-\xFF])") * 2 > _count(x, r"[\x80-\xFF]")
         return (
             F.when(x.isNull(), None)
             .when(F.startswith(x, F.lit("ï»¿")), "utf-8").when(F.startswith(x, F.lit("ÿþ")), "utf-16-le").when(F.startswith(x, F.lit("þÿ")), "utf-16-be")
             .when(F.contains(x, F.lit("\x00")), F.coalesce(_wide(x), F.lit("utf-8")))
             .when(F.rlike(x, F.lit(r"\x1B\$[@B]")) & ~F.rlike(x, F.lit(r"[\x80-\xFF]")), "iso2022_jp")
             .when(F.is_valid_utf8(body.cast("string")), "utf-8")
-            .otherwise(F.coalesce(F.when(~alone, _many(x)), _wide_east(x), _single(x)))
+            .otherwise(F.coalesce(F.when(~_latin(x), _many(x)), _wide_east(x), _single(x)))
         )
 
     return bound(F.decode(body, "ISO-8859-1"), of)

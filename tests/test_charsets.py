@@ -57,3 +57,18 @@ def test_declared_comes_first(spark):
     rows = [("text/html; charset=koi8-r", TEXTS["ru"].encode("koi8-r")), (None, b"<meta charset='windows-1251'>" + TEXTS["ru"].encode("cp1251")), (None, "﻿ok".encode("utf-16-le")), (None, None)]
     got = [r.guess_ for r in with_text(spark.createDataFrame(rows, "content_type string, body binary").withColumn("guess", F.lit(1)), "guess_").collect()]
     assert got == [TEXTS["ru"], "<meta charset='windows-1251'>" + TEXTS["ru"], "ok", None]
+
+
+@pytest.mark.parametrize("text", [
+    "Tz beungung und enützau lichtzach ieungte den der.iess", "Enung enäkeit schbekeit eingech schheit.", "Enä, die loweieu im loweizer ieein enenge sten geverheit enersch den enlichauge.", "Ükeit " * 11 + "enstauö " * 7,
+    "Ééon. Er le èêou the oningat reenth thanheea eranhatish", "Èéen " * 60 + "ançpa " * 30, "Ñí, " * 50 + "eciónke miie miie miie miie miie ja " * 25, "ENPFÄÄ!! SCHÜKEIT ERÄACH!! CHÖÜ.!! ERVERHEITGE!! ", "Éçonoi tre la de aiqueai euxment ier èeux lementque. Ier, le.",
+])
+def test_accents_side_by_side_are_latin(spark, text):
+    (r,) = spark.createDataFrame([(text.encode("latin-1"),)], "body binary").select(sniffed(F.col("body")).alias("s")).collect()
+    assert r.s == "windows-1252"
+
+
+@pytest.mark.parametrize(("text", "charset"), [("<ul>" + "<li><a href='/list/of/links'>中文</a></li>" * 9 + "</ul>", "gb18030"), ("使用Spark处理大规模数据，并与Hadoop比较。", "gb18030"), ("中文", "gb18030"), ("使用Spark處理大規模資料，並與Hadoop比較。", "big5")])
+def test_characters_among_ascii_stay(spark, text, charset):
+    (r,) = spark.createDataFrame([(text.encode(charset),)], "body binary").select(sniffed(F.col("body")).alias("s")).collect()
+    assert r.s == charset
