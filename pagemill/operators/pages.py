@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import structured
 from ..functions.article import ArticleOptions, extract
-from ..functions.htmltree import TEXT, parse, text_of
+from ..functions.htmltree import TEXT, parse, squeezed, text_of
 from ..functions.stopwords import count_words
 
 _S = T.StringType()
@@ -50,11 +50,18 @@ def _per_page(pages: DataFrame, make: Callable[[str, str | None], list[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500).to_pylist()
-                made = [{key: r[key], **m} for r in part for m in make(r["html"], r["url"])]
-                if made:
-                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+            made: list[dict[str, Any]] = []
+            size = 0
+            for lo in range(0, b.num_rows, 50):
+                for r in b.slice(lo, 50).to_pylist():
+                    found = make(r["html"], r["url"])
+                    made.extend({key: r[key], **m} for m in found)
+                    size += len(r["html"]) + 200 * len(found)
+                    if size > 4_000_000:  # bounds what a worker holds
+                        yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                        made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -78,39 +85,61 @@ def extract_events(pages: DataFrame, key: str = "page_id", url: str = "url", bod
     return _per_page(checked, lambda source, address: structured.events(parse(source), address or ""), EVENT, key, url, body)
 
 
-def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key: str = "page_id", url: str = "url", body: str = "html", counts: bool = True) -> DataFrame:
+def html_nodes(pages: DataFrame, stop_words: frozenset[str] = frozenset(), key: str = "page_id", url: str = "url", body: str = "html", counts: bool = True, texts: bool = True) -> DataFrame:
     """One row per node of each page's tree, with the counts that scoring needs; without counts the text and counts of elements are null.
 
     Nodes are numbered in document order; last_id is the number of the last one below a node, or its own.
 
-    An element's text is that of all below it, so its cost grows with the depth of the tree.
+    Counts are sums over runs of text, so their cost grows with the page alone.  An element's text is that of all below it, so its
+    cost grows with the depth of the tree; without texts it is null.
     """
 
     def make(source: str, _: str | None) -> list[dict[str, Any]]:
         numbers: dict[int, int] = {}
-        depth: dict[int, int] = {}
-        out = []
-        for n in parse(source).walk():
+        out: list[dict[str, Any]] = []
+        nodes = list(parse(source).walk())
+        for n in nodes:
             i = numbers[id(n)] = len(numbers)
-            up = n.up
-            depth[id(n)] = 0 if up is None else depth[id(up)] + 1
-            full = counts or not n.is_element
-            text = (text_of(n) if full else None) if n.is_element else n.text
-            stats = count_words(text, stop_words) if full else None
-            links = n.elements("a") if n.is_element and counts else []
-            out.append(
-                {
-                    "node_id": i, "parent_id": None if up is None else numbers[id(up)], "depth": depth[id(n)], "sib_ord": 0 if up is None else n.place(),
-                    "kind": "element" if n.is_element else "text" if n.tag == TEXT else "comment", "tag": n.tag, "attrs": list(n.attrs.items()), "text": text,
-                    "stop_count": stats.stop_words if full else None, "word_count": stats.words if full else None, "link_count": len(links) if full else None,
-                    "link_words": (len("".join(map(text_of, links)).split(" ")) if links else 0) if full else None,
-                }
-            )
-        for row in reversed(out):
-            last = row["last_id"] = row.get("last_id", row["node_id"])
-            if row["parent_id"] is not None:
-                up = out[row["parent_id"]]
-                up["last_id"] = max(last, up.get("last_id", last))
+            up = None if n.up is None else numbers[id(n.up)]
+            row = {
+                "node_id": i, "parent_id": up, "depth": 0 if up is None else out[up]["depth"] + 1, "sib_ord": 0,
+                "kind": "element" if n.is_element else "text" if n.tag == TEXT else "comment", "tag": n.tag, "attrs": list(n.attrs.items()), "text": n.text,
+                "stop_count": None, "word_count": None, "link_count": None, "link_words": None, "last_id": i,
+            }
+            if not n.is_element:
+                stats = count_words(n.text, stop_words)
+                row |= {"stop_count": stats.stop_words, "word_count": stats.words, "link_count": 0, "link_words": 0}
+            else:
+                row["text"] = text_of(n) if counts and texts else None
+            out.append(row)
+        # From the last node up, so that what is below a node is known before it.
+        blanks = [0] * len(out)
+        for n, row in zip(reversed(nodes), reversed(out), strict=True):
+            if not n.is_element:
+                continue
+            i = row["node_id"]
+            words = stops = links = 0
+            run: list[str] = []
+            for place, k in enumerate((*n.kids, None)):
+                if k is not None and k.tag == TEXT:
+                    out[numbers[id(k)]]["sib_ord"] = place
+                    run.append(k.text)
+                    row["last_id"] = numbers[id(k)]
+                    continue
+                if run and counts:
+                    stats = count_words(squeezed("".join(run)), stop_words)
+                    words, stops = words + stats.words, stops + stats.stop_words
+                run = []
+                if k is None:
+                    continue
+                low = out[numbers[id(k)]]
+                low["sib_ord"], row["last_id"] = place, low["last_id"]
+                if k.is_element and counts:
+                    own = k.tag == "a"
+                    words, stops, links = words + low["word_count"], stops + low["stop_count"], links + low["link_count"] + own
+                    blanks[i] += blanks[low["node_id"]] + (max(low["word_count"] - 1, 0) if own else 0)
+            if counts:
+                row |= {"stop_count": stops, "word_count": words, "link_count": links, "link_words": blanks[i] + 1 if links else 0}
         return out
 
     return _per_page(pages, make, NODE, key, url, body)

@@ -57,9 +57,14 @@ def supported(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
     The paragraphs among siblings are numbered; a candidate needs the number of the last strong one before it and that of the last one.
     """
+    return _supported(nodes.filter(F.col("tag").isin(*CANDIDATES)), key)
+
+
+def _supported(nodes: DataFrame, key: str) -> DataFrame:
+    """nodes with supported, which other rows than candidates may be among."""
     before = Window.partitionBy(key, "parent_id").orderBy("sib_ord").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(key, "parent_id").orderBy("sib_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = nodes.filter(F.col("tag").isin(*CANDIDATES)).withColumn("_nth", F.count(F.when(F.col("tag") == "p", 1)).over(upto))
+    rows = nodes.withColumn("_nth", F.count(F.when(F.col("tag") == "p", 1)).over(upto))
     last = F.count(F.when(F.col("tag") == "p", 1)).over(before)
     strong = F.max(F.when((F.col("tag") == "p") & (F.col("stop_count") > 5), F.col("_nth"))).over(before)
     return rows.withColumn("supported", F.coalesce(strong > last - 3, F.lit(False)) & F.col("parent_id").isNotNull()).drop("_nth")
@@ -76,34 +81,67 @@ def candidates(nodes: DataFrame, scope: DataFrame | None = None, key: str = "pag
         outside = nodes.select(key).distinct().join(scope.select(F.col(key).alias("_page")), F.col(key).eqNullSafe(F.col("_page")), "left_anti")
         free = rows.join(outside.select(F.col(key).alias("_page")), F.col(key).eqNullSafe(F.col("_page")), "left_semi")
         rows = free.unionByName(rows.join(inside, F.col(key).eqNullSafe(F.col("_page")) & (F.col("node_id") == F.col("_node")), "left_semi"))
-    rows = rows.filter((F.col("stop_count") > 2) & ~link_heavy())
+    return _gains(rows.filter(_substance()).withColumn("_counts", F.lit(True)), key).select(key, "node_id", "parent_id", "place", "total", "gain")
+
+
+def _substance() -> Column:
+    return F.col("tag").isin(*CANDIDATES) & F.coalesce((F.col("stop_count") > 2) & ~link_heavy(), F.lit(False))
+
+
+def _gains(rows: DataFrame, key: str) -> DataFrame:
+    """rows with place, total and gain among those with _counts; these columns mean nothing in the others."""
     tag_rank = F.array_position(F.array(*[F.lit(t) for t in CANDIDATES]), F.col("tag"))
-    order = Window.partitionBy(key).orderBy(tag_rank, "node_id")
-    rows = rows.withColumns({"place": F.row_number().over(order) - 1, "total": F.count(F.lit(1)).over(Window.partitionBy(key))})
-    boosts = F.sum(F.col("supported").cast("int")).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = Window.partitionBy(key, "_counts").orderBy(tag_rank, "node_id")
+    boosts = F.sum(F.col("supported").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumns({"place": F.row_number().over(order) - 1, "boosts": boosts, "total": F.count(F.lit(1)).over(Window.partitionBy(key, "_counts"))})
     left, quarter = F.col("total") - F.col("place"), F.col("total") * 0.25
     tail = F.pow(quarter - left, F.lit(2))
-    boost = F.when((F.col("total") > 15) & (left <= quarter), F.when(tail > 40, 5.0).otherwise(-tail)).when(F.col("supported"), 50.0 / F.col("boosts")).otherwise(0.0)
-    return rows.withColumn("boosts", boosts).select(key, "node_id", "parent_id", "place", "total", (F.col("stop_count") + boost).cast("int").alias("gain"))
-
-
-def scores(nodes: DataFrame, scope: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """(key, node_id, score, hits, seen) of the nodes that candidates score for: parents in full, grandparents by half."""
-    found = candidates(nodes, scope, key).filter("parent_id IS NOT NULL")
-    up = nodes.filter("kind = 'element'").select(F.col(key).alias("_page"), F.col("node_id").alias("_node"), F.col("parent_id").alias("_up"))
-    both = found.join(up, F.col(key).eqNullSafe(F.col("_page")) & (F.col("parent_id") == F.col("_node")))
-    half = (F.col("gain") / 2).cast("int")
-    share = F.array(F.struct(F.col("parent_id").alias("node_id"), F.col("gain").alias("share"), (F.col("place") * 2).alias("seen")), F.struct(F.col("_up").alias("node_id"), half.alias("share"), (F.col("place") * 2 + 1).alias("seen")))
-    each = both.select(key, F.explode(share).alias("s")).select(key, "s.*").filter("node_id IS NOT NULL")
-    return each.groupBy(key, "node_id").agg(F.sum("share").alias("score"), F.count(F.lit(1)).alias("hits"), F.min("seen").alias("seen"))
-
-
-def top_nodes(nodes: DataFrame, scope: DataFrame | None = None, key: str = "page_id") -> DataFrame:
-    """(key, node_id, score, hits) of each page's best node: of the highest scores the one met first; where none is positive, the first met of all."""
-    best = F.max(F.struct("score", (-F.col("seen")).alias("early"), "node_id", "hits")).alias("best")
-    first = F.min(F.struct("seen", "node_id", "score", "hits")).alias("first")
-    picked = scores(nodes, scope, key).groupBy(key).agg(best, first)
-    one = F.when(F.col("best.score") > 0, F.struct("best.node_id", "best.score", "best.hits")).otherwise(F.struct("first.node_id", "first.score", "first.hits"))
+    boost = F.when((F.col("total") > 15) & (left <= quarter), F.when(tail > 40, 5.0).otherwise(-tail)).when(F.col("supported"), 50.0 / F.nullif("boosts", F.lit(0))).otherwise(0.0)
+    return rows.withColumn("gain", (F.col("stop_count") + boost).cast("int"))
+
+
+def scores(nodes: DataFrame, scope: DataFrame | None = None, key: str = "page_id", label: Column | None = None) -> DataFrame:
+    """(key, node_id, score, hits, seen, label) of the nodes that candidates score for: parents in full, grandparents by half.
+
+    label is worked out on the nodes that are scored for.  All elements go through one exchange by page and are read once: a node's row meets those
+    of its children, and then what it hands on meets its parent's.
+    """
+    rows = nodes.filter("kind = 'element'").select(key, "node_id", "parent_id", "sib_ord", "tag", "stop_count", "word_count", "link_count", "link_words", (F.lit(None).cast("string") if label is None else label).alias("label"))
+    if scope is None:
+        rows = _gains(_supported(rows.repartition(key), key).withColumn("_counts", _substance()), key)
+        gain, place = F.when(F.col("_counts") & F.col("parent_id").isNotNull(), F.col("gain")), F.col("place")
+    else:
+        found = candidates(nodes, scope, key).select(F.col(key).alias("_page"), F.col("node_id").alias("_node"), "gain", "place")
+        rows = rows.join(found, F.col(key).eqNullSafe(F.col("_page")) & (F.col("node_id") == F.col("_node")), "left")
+        gain, place = F.when(F.col("parent_id").isNotNull(), F.col("gain")), F.col("place")
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def entry(node: Column, up: Column, label: Column, gain: Column, half: Column, seen: Column) -> Column:
+        return F.struct(node.alias("node_id"), up.alias("up"), label.alias("label"), gain.alias("gain"), half.alias("half"), seen.alias("seen"))
+
+    rows = rows.withColumns({"_gain": gain, "_seen": (place * 2).cast("int")})
+    own = entry(F.col("node_id"), F.col("parent_id"), F.col("label"), none, none, none)
+    said = F.when(F.col("_gain").isNull(), F.array(own)).otherwise(F.array(own, entry(F.col("parent_id"), none, text, F.col("_gain"), (F.col("_gain") / 2).cast("int"), F.col("_seen"))))
+    met = rows.select(key, F.explode(said).alias("s")).select(key, "s.*").groupBy(key, "node_id").agg(
+        F.max("up").alias("up"), F.max("label").alias("label"), F.sum("gain").alias("gain"), F.sum("half").alias("half"), F.count("gain").alias("hits"), F.min("seen").alias("seen")
+    )
+    full = F.struct("node_id", "label", F.col("gain").alias("share"), "hits", "seen")
+    part = F.struct(F.col("up").alias("node_id"), text.alias("label"), F.col("half").alias("share"), "hits", (F.col("seen") + 1).alias("seen"))
+    each = met.select(key, F.explode(F.when((F.col("hits") > 0) & F.col("up").isNotNull(), F.array(full, part)).otherwise(F.array(full))).alias("s")).select(key, "s.*")
+    return each.groupBy(key, "node_id").agg(F.sum("share").alias("score"), F.sum("hits").alias("hits"), F.min("seen").alias("seen"), F.max("label").alias("label")).filter("hits > 0")
+
+
+def top_nodes(nodes: DataFrame, scope: DataFrame | None = None, key: str = "page_id", label: Column | None = None) -> DataFrame:
+    """(key, node_id, score, hits) of each page's best node: of the highest scores the one met first; where none is positive, the first met of all.
+
+    With label, an expression over nodes, also what it is on that node.
+    """
+    more = [] if label is None else ["label"]
+    best = F.max(F.struct("score", (-F.col("seen")).alias("early"), "node_id", "hits", "label")).alias("best")
+    first = F.min(F.struct("seen", "node_id", "score", "hits", "label")).alias("first")
+    picked = scores(nodes, scope, key, label).groupBy(key).agg(best, first)
+    names = ["node_id", "score", "hits", *more]
+    one = F.when(F.col("best.score") > 0, F.struct(*[f"best.{n}" for n in names])).otherwise(F.struct(*[f"first.{n}" for n in names]))
     return picked.select(key, one.alias("n")).select(key, "n.*")
 
 
