@@ -63,8 +63,8 @@ def count_words(text: str | None, listed: frozenset[str], kind: str = "plain") -
         words = text.translate(_STRIP).split(" ")
     if kind == "korean":
         return WordStats(len(words) * len(listed), len(words), [])
-    found = [w for w in words if w.lower() in listed]
-    return WordStats(len(found), len(words), [w.lower() for w in found])
+    found = [w for w in map(str.lower, words) if w in listed]
+    return WordStats(len(found), len(words), found)
 
 
 def stat_columns(text: Column, listed: frozenset[str]) -> tuple[Column, Column]:

@@ -1,5 +1,6 @@
 """Counts of nodes against those of their whole texts; one read of the pages for a top node."""
 
+from pagemill.functions import article
 from pagemill.functions.htmltree import parse, text_of
 from pagemill.functions.stopwords import count_words, short_lists
 from pagemill.operators import pages, scoring
@@ -29,3 +30,11 @@ def test_top_nodes_read_pages_once(spark):
     tops = scoring.top_nodes(pages.html_nodes(table, EN), label=pages.F.col("attrs")["id"])
     assert [(r.label, r.hits) for r in tops.collect()] == [("d", 2)]
     assert tops._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_text_is_counted_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(article, "count_words", lambda text, *more: seen.append(text) or count_words(text, *more))
+    paragraphs = "".join(f"<p>this is what we all have been in and of the which they will {i}</p>" for i in range(30))
+    assert article.extract(f"<html><body><div>{paragraphs}</div></body></html>", "https://e.example.org/", article.ArticleOptions())["cleanedText"].count("\n\n") == 29
+    assert len(seen) == len(set(seen))
