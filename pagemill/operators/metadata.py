@@ -124,7 +124,8 @@ def said_title(stream: Column, graph: Column) -> Column:
 
 def page_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """key, title, domain, lang, description, keywords, favicon, canonical, opengraph, publishDate, tags, authors of each page with html."""
-    rows = pages.filter(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.col(url).alias("address"), markup.stream(F.col(body)).alias("stream"))
+    # The stream is null where html is.  Filtered behind a generator: else Spark works out html, however it is made, in the filter as well.
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("address"), F.explode_outer(F.array(markup.stream(F.col(body)))).alias("stream")).filter("stream IS NOT NULL")
     rows = rows.withColumns({"opengraph": open_graph(F.col("stream")), "domain": links.host(F.col("address"))})
     s = F.col("stream")
     return rows.select(
