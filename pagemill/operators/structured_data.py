@@ -237,9 +237,15 @@ def thin_articles(pages: DataFrame, least_text: int = 250, key: str = "page_id",
     what the page says about itself.  cleanedText is null where there is some text on the page but no record with one: such a page needs the whole extraction,
     as do those that show more.
     """
-    rows = pages.filter(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.col(url).alias("address"), F.col(body).alias("html"), markup.stream(F.col(body)).alias("stream"))
-    shown = F.filter("stream", lambda t: (t["tag"] == markup.TEXT) & (markup.squeezed(t["text"]) != ""))
-    rows = rows.withColumn("shown", F.length(markup.squeezed(F.array_join(F.transform(shown, lambda t: t["text"]), " ")))).filter(F.col("shown") < least_text)
+
+    def visible(stream: Column) -> Column:
+        shown = F.filter(stream, lambda t: (t["tag"] == markup.TEXT) & (markup.squeezed(t["text"]) != ""))
+        return F.length(markup.squeezed(F.array_join(F.transform(shown, lambda t: t["text"]), " ")))
+
+    # Filtered behind a generator: else Spark works out html and its stream, from where they are made, in the filter as well.
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("address"), F.col(body).alias("html"))
+    read = bound(markup.stream(F.col("html")), lambda s: F.struct(s.alias("stream"), visible(s).alias("shown")))
+    rows = rows.select("key", "address", "html", F.explode_outer(F.array(read)).alias("p")).select("key", "address", "html", "p.*").filter(F.col("shown") < least_text)
     rows = rows.withColumns({"graph": metadata.open_graph(F.col("stream")), "domain": links.host(F.col("address")), "r": article_record(F.col("html"))})
     s = F.col("stream")
     own = F.struct(
