@@ -115,7 +115,14 @@ def decoded(body: Column, content_type: Column, guess: Column | None = None) ->
 
         return pd.Series([one(b, t, g) for b, t, g in zip(bodies, types, guesses, strict=True)], dtype=object)
 
-    return text(body, content_type, F.lit(None).cast("string") if guess is None else guess)
+    # What is named UTF-8 and valid is text as it stands; Python gets the other bodies alone, as its batches hold thousands.
+    guess = F.lit(None).cast("string") if guess is None else guess
+    head = F.decode(F.substring(body, 1, 4096), "ISO-8859-1")
+    said = F.nullif(F.regexp_extract(content_type, r"(?iU)charset=[\"']?([\w-]+)", 1), F.lit(""))
+    inner = F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?\s*([\w-]+)", 1), F.lit(""))
+    plain = F.coalesce(F.lower(F.coalesce(said, inner, guess, F.lit("utf-8"))).isin("utf-8", "utf8") & F.is_valid_utf8(body.cast("string")), F.lit(False))
+    own = F.regexp_replace(F.when(plain, body.cast("string")), r"\A\x{FEFF}", "")
+    return F.coalesce(own, text(F.when(~plain, body), content_type, guess))
 
 
 def with_text(rows: DataFrame, name: str = "html", body: str = "body", content_type: str = "content_type") -> DataFrame:
