@@ -62,18 +62,37 @@ class Words:
         embed = w["embed"]
         out = np.zeros((len(self) + 2, embed.shape[1]), embed.dtype)
         if len(self):
-            np.multiply(np.add.reduceat(embed[self.ids], self.offsets[:-1], axis=0), self.scale, out=out[:-2])
+            size = np.diff(self.offsets)
+            order = np.argsort(-size, kind="stable")
+            longer, begin = np.cumsum(np.bincount(size)[::-1])[::-1], self.offsets[:-1][order]  # longer[k]: words of k ids or more
+            steps = max(1, int((longer >= 16).sum()) - 1)  # fewer words are longer than this: their further ids are added word by word
+            total = embed.take(self.ids[begin], axis=0)
+            for k in range(1, steps):
+                total[: longer[k + 1]] += embed.take(self.ids[begin[: longer[k + 1]] + k], axis=0)
+            for i in range(int((size > steps).sum())):
+                more = embed[self.ids[begin[i] + steps : begin[i] + size[order[i]]]]
+                total[i] = np.add.reduce(np.concatenate([total[i][None], more]))  # in order too, so that no sum depends on the other words
+            out[order] = total
+            out[:-2] *= self.scale
         out[-2] = embed[-1]
         return out
 
     def spread(self, dv: np.ndarray, rows: int) -> np.ndarray:
         """Gradient of the embedding from that of the vectors."""
-        each = np.repeat(dv[:-2] * self.scale, np.diff(self.offsets), axis=0)
-        out = np.stack([np.bincount(self.ids, each[:, k], rows) for k in range(dv.shape[1])], axis=1).astype(dv.dtype)
+        out = added(self.ids, np.repeat(dv[:-2] * self.scale, np.diff(self.offsets), axis=0), rows)
         out[-1] += dv[-2]
         return out
 
 
+def added(at: np.ndarray, values: np.ndarray, rows: int, step: int = 1 << 16) -> np.ndarray:
+    """Sums of the rows of values by their place at, in double precision within; step bounds the memory."""
+    d = values.shape[1]
+    out = np.zeros(rows * d)
+    for i in range(0, len(at), step):
+        out += np.bincount((at[i : i + step, None] * d + np.arange(d)).ravel(), values[i : i + step].ravel(), rows * d)
+    return out.reshape(rows, d).astype(values.dtype)
+
+
 @lru_cache(8)
 def _mask(s: Shape) -> np.ndarray:
     """What hides later positions: position i of the scored ones sees positions up to window - scored + i."""
@@ -91,26 +110,31 @@ def _sums(x: np.ndarray) -> np.ndarray:
 
 
 def forward(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray) -> dict[str, np.ndarray]:
-    """Logits y of the classes, with e and total of their softmax, at the scored positions of each window; v: (windows, window, width), blank marks padding."""
+    """Logits y of the classes, with e and total of their softmax, at the scored positions of each window; v: (windows, window, width), blank marks padding.
+
+    Attention is kept as a, not yet divided by its sums: rows of o are divided instead, being shorter.
+    """
     b, t, d, n, dh = len(v), s.window, s.width, s.heads, s.width // s.heads
     h = (v + w["place"]).reshape(-1, d)
     if s.scored == t:
-        hq = h
-        q, k, u = ((h @ w["qkv"]).reshape(b, t, 3, n, dh)[:, :, i] for i in range(3))
+        hq, p = h, h @ w["qkv"]
+        q, ku = p[:, :d], p.reshape(b, t, 3, n, dh)[:, :, 1:]
     else:
         hq = np.ascontiguousarray(h.reshape(b, t, d)[:, t - s.scored :]).reshape(-1, d)
-        q = (hq @ w["qkv"][:, :d]).reshape(b, s.scored, n, dh)
-        k, u = ((h @ w["qkv"][:, d:]).reshape(b, t, 2, n, dh)[:, :, i] for i in range(2))
-    q, k, u = q.transpose(0, 2, 1, 3), k.transpose(0, 2, 3, 1), u.transpose(0, 2, 1, 3)
+        q, ku = hq @ w["qkv"][:, :d], (h @ w["qkv"][:, d:]).reshape(b, t, 2, n, dh)
+    q = (q * q.dtype.type(dh**-0.5)).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
+    k, u = ku[:, :, 0].transpose(0, 2, 3, 1), ku[:, :, 1].transpose(0, 2, 1, 3)
     a = np.matmul(q, k)
-    a *= a.dtype.type(dh**-0.5)
     np.clip(a, -LARGEST, LARGEST, out=a)
     a += _mask(s)
     if blank.any():
-        a += np.where(blank, np.float32(-1e9), np.float32(0))[:, None, None, :]
+        some = np.flatnonzero(blank.any(axis=1))
+        a[some] += np.where(blank[some], np.float32(-1e9), np.float32(0))[:, None, None, :]
     np.exp(a, out=a)
-    a *= (1 / _sums(a))[..., None]
-    o = np.matmul(a, u).transpose(0, 2, 1, 3).reshape(-1, d)
+    share = 1 / _sums(a)
+    o = np.matmul(a, u)
+    o *= share[..., None]
+    o = o.transpose(0, 2, 1, 3).reshape(-1, d)
     r = o @ w["wo"]
     r += hq
     f = r @ w["w1"]
@@ -123,7 +147,7 @@ def forward(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray) -> dict[str,
     y += w["bias"]
     np.clip(y, -LARGEST, LARGEST, out=y)
     e = np.exp(y)
-    return {"y": y, "e": e, "total": _sums(e), "h": h, "hq": hq, "q": q, "k": k, "u": u, "a": a, "o": o, "r": r, "f": f, "z": z}
+    return {"y": y, "e": e, "total": _sums(e), "h": h, "hq": hq, "q": q, "k": k, "u": u, "a": a, "share": share, "o": o, "r": r, "f": f, "z": z}
 
 
 def logs(c: dict[str, np.ndarray], goal: np.ndarray) -> np.ndarray:
@@ -141,7 +165,7 @@ def gradients(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray, target: np
     loss = -float(logs(c, np.maximum(goal, 0))[real].sum()) / count
     dy = c["e"]
     dy *= (real / (c["total"] * count)).astype(dy.dtype)[:, None]
-    dy[np.arange(len(goal))[real], goal[real]] -= dy.dtype.type(1 / count)
+    dy.reshape(-1)[np.flatnonzero(real) * s.classes + goal[real]] -= dy.dtype.type(1 / count)
     ones = _ones(len(dy), dy.dtype)
     g: Weights = {"out": c["z"].T @ dy, "bias": ones @ dy}
     dz = dy @ w["out"].T
@@ -152,20 +176,31 @@ def gradients(w: Weights, s: Shape, v: np.ndarray, blank: np.ndarray, target: np
     dr = du @ w["w1"].T
     dr += dz
     g["wo"] = c["o"].T @ dr
-    do = (dr @ w["wo"].T).reshape(b, s.scored, n, dh).transpose(0, 2, 1, 3)
+    do = (dr @ w["wo"].T).reshape(b, s.scored, n, dh)
+    do *= c["share"].transpose(0, 2, 1)[..., None]
+    level = _sums(do * c["o"].reshape(do.shape)).transpose(0, 2, 1)
+    do = do.transpose(0, 2, 1, 3)
     da = np.matmul(do, c["u"].transpose(0, 1, 3, 2))
-    dv = np.matmul(c["a"].transpose(0, 1, 3, 2), do)
-    da -= np.einsum("bnij,bnij->bni", da, c["a"])[..., None]
+    da -= level[..., None]
     da *= c["a"]
-    da *= da.dtype.type(dh**-0.5)
-    dq = np.matmul(da, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3).reshape(-1, d)
-    dk = np.matmul(da.transpose(0, 1, 3, 2), c["q"]).transpose(0, 2, 1, 3).reshape(-1, d)
-    dv = dv.transpose(0, 2, 1, 3).reshape(-1, d)
-    dkv = np.concatenate([dk, dv], axis=1)
-    g["qkv"] = np.concatenate([c["hq"].T @ dq, c["h"].T @ dkv], axis=1)
-    dh_all = (dkv @ w["qkv"][:, d:].T).reshape(b, t, d)
-    dr += dq @ w["qkv"][:, :d].T
-    dh_all[:, t - s.scored :] += dr.reshape(b, s.scored, d)
+    dq = np.matmul(da, c["k"].transpose(0, 1, 3, 2)).transpose(0, 2, 1, 3)
+    dk = np.matmul(da.transpose(0, 1, 3, 2), c["q"]).transpose(0, 2, 1, 3)
+    dv = np.matmul(c["a"].transpose(0, 1, 3, 2), do).transpose(0, 2, 1, 3)
+    scale = dr.dtype.type(dh**-0.5)
+    if s.scored == t:
+        dp = np.empty((b, t, 3, n, dh), dr.dtype)
+        np.multiply(dq, scale, out=dp[:, :, 0])
+        dp[:, :, 1], dp[:, :, 2] = dk, dv
+        dp = dp.reshape(-1, 3 * d)
+        g["qkv"] = c["h"].T @ dp
+        dr += dp @ w["qkv"].T
+        dh_all = dr.reshape(b, t, d)
+    else:
+        dq, dkv = dq.reshape(-1, d) * scale, np.concatenate([dk.reshape(-1, d), dv.reshape(-1, d)], axis=1)
+        g["qkv"] = np.concatenate([c["hq"].T @ dq, c["h"].T @ dkv], axis=1)
+        dh_all = (dkv @ w["qkv"][:, d:].T).reshape(b, t, d)
+        dr += dq @ w["qkv"][:, :d].T
+        dh_all[:, t - s.scored :] += dr.reshape(b, s.scored, d)
     g["place"] = (_ones(b, dy.dtype) @ dh_all.reshape(b, -1)).reshape(t, d)
     return loss, g, dh_all
 
@@ -180,22 +215,22 @@ class Adam:
 
     def __call__(self, s: Shape, words: Words, x: np.ndarray, target: np.ndarray, rate: float) -> float:
         """Loss before the move; x: places in words of each window's inputs, len(words) for the begin, one more for padding."""
-        used, at = np.unique(np.minimum(x, len(words)), return_inverse=True)
-        some = words.take(used[used < len(words)])
-        at = np.where(x.ravel() > len(words), len(some) + 1, np.where(x.ravel() == len(words), len(some), at.ravel()))
-        vectors, at = some.vectors(self.weights), at.reshape(x.shape)
+        place = np.zeros(len(words) + 2, np.int64)
+        place[x] = 1
+        used = np.flatnonzero(place[: len(words)])
+        some = words.take(used)
+        place[used], place[len(words) :] = np.arange(len(used)), (len(used), len(used) + 1)
+        vectors, at, blank = some.vectors(self.weights), place[x], x > len(words)
         g: Weights = {}
         loss, real, flat = 0.0, max(1, int((target >= 0).sum())), np.empty((x.size, s.width), np.float32)
         for i in range(0, len(x), self.part):  # parts that stay in the processor's cache
             some_at, goal = at[i : i + self.part], target[i : i + self.part]
             share = np.float32(max(1, int((goal >= 0).sum())) / real)
-            part, more, dv = gradients(self.weights, s, vectors[some_at], x[i : i + self.part] > len(words), goal)
-            flat[i * s.window : (i + len(goal)) * s.window] = dv.reshape(-1, s.width) * share
+            part, more, dv = gradients(self.weights, s, vectors.take(some_at, axis=0), blank[i : i + self.part], goal)
+            np.multiply(dv.reshape(-1, s.width), share, out=flat[i * s.window : (i + len(goal)) * s.window])
             loss += part * float(share)
             g = {k: v * share + g[k] if g else v * share for k, v in more.items()}
-        at = at.ravel()
-        by_word = np.stack([np.bincount(at, flat[:, k], len(some) + 2) for k in range(s.width)], axis=1).astype(np.float32)
-        g["embed"] = some.spread(by_word, s.inputs)
+        g["embed"] = some.spread(added(at.ravel(), flat, len(some) + 2), s.inputs)
         self.step += 1
         size = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
         scale = np.float32(min(1.0, 1.0 / max(size, 1e-9)))

@@ -174,9 +174,9 @@ def encoded(texts: pa.Array, encoder: Encoder) -> Encoded:
     data, offsets = tb.buffers(texts)
     data = tb.lower_ascii(data)
     starts, ends, wo = tb.words(data, offsets)
-    h, first, at = np.unique(tb.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    h, first, at = tb.distinct(tb.span_hashes(data, starts, ends))
     words = encoder(data, starts[first], ends[first], h)
-    return Encoded(h, words, words.ids[words.offsets[:-1]] if len(h) else np.zeros(0, np.int64), at.astype(np.int64), wo)
+    return Encoded(h, words, words.ids[words.offsets[:-1]] if len(h) else np.zeros(0, np.int64), at, wo)
 
 
 def windows(tokens: np.ndarray, offsets: np.ndarray, s: attention.Shape, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +272,7 @@ class Model:
         vectors, each, blank = e.words.vectors(self.weights), np.zeros(target.shape, np.float32), x == len(e.words) + 1
         wanted = goal[np.maximum(target, 0)] if len(goal) else target
         for i in range(0, len(x), step):
-            c = attention.forward(self.weights, self.shape, vectors[x[i : i + step]], blank[i : i + step])
+            c = attention.forward(self.weights, self.shape, vectors.take(x[i : i + step], axis=0), blank[i : i + step])
             each[i : i + step] = attention.logs(c, wanted[i : i + step].ravel()).reshape(-1, self.shape.scored)
         out = np.zeros(len(tokens))
         out[target[target >= 0]] = each[target >= 0]

@@ -53,6 +53,73 @@ def test_adam_in_parts_is_adam():
     assert all(np.allclose(whole.weights[k], parts.weights[k], atol=2e-3) for k in start)
 
 
+class Counted(dict):
+    """Weights that count how often each is read."""
+
+    def __init__(self, w):
+        super().__init__(w)
+        self.reads = collections.Counter()
+
+    def __getitem__(self, k):
+        self.reads[k] += 1
+        return super().__getitem__(k)
+
+
+@pytest.mark.parametrize("scored", [8, 4])
+def test_attention_projects_each_position_once(scored):
+    s = attention.Shape(inputs=20, classes=7, width=8, heads=2, hidden=6, window=8, scored=scored)
+    r = np.random.default_rng(1)
+    w = Counted(attention.new_weights(s, np.zeros(7)))
+    attention.forward(w, s, r.standard_normal((3, 8, 8)).astype(np.float32), np.zeros((3, 8), bool))
+    assert w.reads["qkv"] == (1 if scored == 8 else 2)  # queries, keys and values were each a product of all three before
+
+
+def test_attention_gradients_of_whole_windows():
+    s = attention.Shape(inputs=20, classes=7, width=8, heads=2, hidden=6, window=8, scored=8)
+    r = np.random.default_rng(2)
+    w = {k: v.astype(np.float64) for k, v in attention.new_weights(s, r.standard_normal(7)).items()}
+    w["out"] = r.standard_normal(w["out"].shape)
+    v, blank, t = r.standard_normal((5, 8, 8)), np.zeros((5, 8), bool), r.integers(-1, 7, (5, 8))
+    blank[1, 5:], blank[3, 1:3] = True, True
+    _, g, dv = attention.gradients(w, s, v, blank, t)
+    for values, slope in [*((w[k], g[k]) for k in w if k != "embed"), (v, dv)]:
+        for _ in range(6):
+            i = tuple(int(r.integers(0, n)) for n in values.shape)
+            values[i] += 1e-5
+            up = attention.gradients(w, s, v, blank, t)[0]
+            values[i] -= 2e-5
+            down = attention.gradients(w, s, v, blank, t)[0]
+            values[i] += 1e-5
+            assert (up - down) / 2e-5 == pytest.approx(slope[i], rel=1e-3, abs=1e-8)
+
+
+@pytest.mark.parametrize("sizes", [[1], [3, 1], [1] * 40 + [5000, 2, 70] + [4] * 30, list(range(1, 60))])
+def test_vectors_and_their_gradient_sum_the_ids_of_each_word(sizes):
+    r = np.random.default_rng(4)
+    words, w = attention.Words(r.integers(0, 19, sum(sizes)), np.cumsum([0, *sizes])), {"embed": r.standard_normal((20, 8))}
+    got, dv = words.vectors(w), r.standard_normal((len(sizes) + 2, 8))
+    edges, slope = words.offsets, np.zeros((20, 8))
+    for i, n in enumerate(sizes):
+        ids = words.ids[edges[i] : edges[i + 1]]
+        assert got[i] == pytest.approx(w["embed"][ids].sum(axis=0) / math.sqrt(n), rel=1e-5, abs=1e-6)
+        np.add.at(slope, ids, dv[i] / math.sqrt(n))
+    assert (got[-2] == w["embed"][-1]).all() and not got[-1].any()
+    single = {"embed": w["embed"].astype(np.float32)}  # the same to the last bit, whatever the other words
+    alone = [attention.Words(words.ids[a:z], np.array([0, z - a])).vectors(single)[0] for a, z in zip(edges, edges[1:], strict=False)]
+    assert (words.vectors(single)[:-2] == np.array(alone)).all()
+    slope[-1] += dv[-2]
+    assert np.allclose(words.spread(dv, 20), slope, rtol=1e-5, atol=1e-5)
+    assert np.allclose(attention.added(words.ids, w["embed"][words.ids], 20, step=7), attention.added(words.ids, w["embed"][words.ids], 20))
+
+
+def test_distinct_hashes_are_those_of_unique():
+    r = np.random.default_rng(6)
+    low = r.integers(0, 40, 900).astype(np.uint64) | np.uint64(0xABCDEF0000000000)  # agree in their upper bits: sorted by np.unique
+    for h in (np.zeros(0, np.uint64), np.array([7], np.uint64), tb.mix(r.integers(0, 300, 5000).astype(np.uint64)), low, np.concatenate([low, tb.mix(low)])):
+        for got, want in zip(tb.distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert (got == want).all() and len(got) == len(want)
+
+
 def test_windows_score_each_token_once():
     s = attention.Shape(inputs=103, classes=4, window=8, scored=4)
     tokens, offsets = np.arange(30) % 100, np.array([0, 1, 2, 14, 30])
