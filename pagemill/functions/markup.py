@@ -90,6 +90,11 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACES))
 
 
+def trimmed_left(text: Column) -> Column:
+    """Text without white space at its beginning: tells a blank text at its first character, where an end is looked for from the whole."""
+    return F.ltrim(text, F.lit(_SPACES))
+
+
 def squeezed(text: Column) -> Column:
     """Text with each run of white space as one blank, and none at its ends."""
     return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
@@ -100,6 +105,26 @@ def tags_of(page: Column) -> Column:
     return F.regexp_extract_all(page, F.lit(_TAG), 0)
 
 
+def contents(page: Column, name: str) -> Column:
+    """Attributes and content (attrs, text) of a page's elements of one of the names whose content is text alone, in order; content is raw."""
+    found = F.filter(tags_of(page), lambda t: t.rlike(rf"(?i)^<{name}[\s/>]"))
+
+    def entry(t: Column) -> Column:
+        return bound(F.regexp_extract(t, rf"(?s)^(?:<[A-Za-z]{_INSIDE}>|<[A-Za-z][^>]*+>)", 0), lambda o: F.struct(given(o).alias("attrs"), inside(t, o).alias("text")))
+
+    def given(opening: Column) -> Column:
+        return F.when(opening.rlike(r"[\s=]"), attributes(opening)).otherwise(F.create_map().cast("map<string,string>"))
+
+    def inside(t: Column, opening: Column) -> Column:
+        # Most content has no end tag's beginning in it and one plain end tag behind it, which is told by searches for a fixed text; the pattern takes a step for each character.
+        close = f"</{name}>"
+        plain = F.when(F.endswith(t, F.lit(close)), F.substr(t, F.length(opening) + 1, F.length(t) - F.length(opening) - len(close)))
+        matched = F.regexp_extract(t, rf"(?is)^<{name}{_INSIDE}>([^<]*+(?:<(?!/{name}[\s/>])[^<]*+)*+)", 1)
+        return bound(plain, lambda p: F.when(F.contains(p, F.lit("</")) | p.isNull(), matched).otherwise(p))
+
+    return F.transform(found, entry)
+
+
 def tokens(page: Column) -> Column:
     """The page cut into tags (script, style, title and the like with their content) and runs of text."""
     return F.filter(F.regexp_extract_all(page, F.lit(_TOKEN), 0), lambda t: ~t.rlike(r"^<(?:[!?]|/(?![A-Za-z]))"))

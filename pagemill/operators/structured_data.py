@@ -9,6 +9,8 @@ set, those that name a member twice.  Pages without records give no events and a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,47 +39,60 @@ def _member(record: Column, name: str) -> Column:
 
 def parsed(raw: Column) -> Column:
     """The variant of a whole JSON text.  The parser stops behind the first value, so a mark that must follow it is parsed along."""
-    mark = F.md5(raw)
-    both = _items(F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"'), mark, F.lit('"]'))))
-    return bound(both, lambda b: F.when((F.size(b) == 2) & (F.get(b, F.lit(1)).try_cast("string") == mark), F.get(b, F.lit(0))))
+    read = F.struct(F.md5(raw).alias("mark"), raw.alias("raw"))
+    both = bound(read, lambda r: F.struct(r["mark"].alias("mark"), F.try_parse_json(F.concat(F.lit("["), r["raw"], F.lit(',"'), r["mark"], F.lit('"]'))).alias("value")))
+
+    def whole(b: Column) -> Column:
+        ends = F.try_variant_get(b["value"], F.lit("$[1]"), "string") == b["mark"]
+        return F.when(ends & F.try_variant_get(b["value"], F.lit("$[2]"), "variant").isNull(), F.try_variant_get(b["value"], F.lit("$[0]"), "variant"))
+
+    return bound(both, whole)
 
 
 def json_scripts(page: Column) -> Column:
     """Contents of a page's JSON-LD scripts that are not blank, as text, in order."""
-    scripts = markup.having(markup.entries(F.filter(markup.tags_of(page), lambda t: t.rlike(r"(?i)^<script[\s/>]"))), "type", r"^application/ld\+json\z")
-    return F.filter(F.transform(scripts, lambda s: s["text"]), lambda t: markup.trimmed(t) != "")
+    scripts = markup.having(markup.contents(page, "script"), "type", r"^application/ld\+json\z")
+    return F.filter(F.transform(scripts, lambda s: s["text"]), lambda t: markup.trimmed_left(t) != "")
 
 
-def records(scripts: Column, lists: tuple[str, ...], objects: tuple[str, ...] = ()) -> Column:
-    """All objects of JSON texts, through arrays, the members named in lists (arrays only) and in objects (arrays and objects).
+def records(scripts: Column, lists: tuple[str, ...], objects: tuple[str, ...] = (), wanted: Callable[[Column], Column] = lambda members: F.lit(True)) -> Column:
+    """The objects of JSON texts whose members are wanted, through arrays, the members named in lists (arrays only) and in objects (arrays and objects).
 
     Levels are taken one after another; each value has a path, and paths in order give the order of a walk from the top: an
-    object before what it holds.  There are no more levels than opening brackets in a text, which bounds the steps.
+    object before what it holds.  There are no more levels than opening brackets in a text, which bounds the steps.  Members and
+    items are copies of what a value holds, so each value is opened once: objects is false for a member that counts as an array only.
     """
+    kind = "array<struct<path:array<int>,objects:boolean,value:variant>>"
 
-    def child(path: Column, place: Column, value: Column) -> Column:
-        return F.struct(F.concat(path, F.array(place.cast("int"))).alias("path"), value.alias("value"))
+    def child(path: Column, place: Column, whole: bool, value: Column) -> Column:
+        return F.struct(F.concat(path, F.array(place.cast("int"))).alias("path"), F.lit(whole).alias("objects"), value.alias("value"))
 
-    def held(node: Column, members: Column) -> Column:
-        def one(i: int, name: str) -> Column:
-            return bound(_member(members, name), lambda v: F.when(_items(v).isNotNull() | (_members(v).isNotNull() if name in objects else F.lit(False)), child(node["path"], F.lit(i), v)))
+    def held(node: Column) -> Column:
+        inner = F.array(*[child(node["path"], F.lit(i), name in objects, _member(node["members"], name)) for i, name in enumerate(lists + objects)])
+        return F.when(node["members"].isNotNull(), F.filter(inner, lambda c: c["value"].isNotNull())).otherwise(F.transform(node["items"], lambda v, i: child(node["path"], i, True, v)))
 
-        return F.filter(F.array(*[one(i, name) for i, name in enumerate(lists + objects)]), lambda c: c.isNotNull())
-
-    def below(node: Column) -> Column:
-        own = bound(_members(node["value"]), lambda m: held(node, m))
-        return bound(_items(node["value"]), lambda items: F.when(items.isNotNull(), F.transform(items, lambda v, i: child(node["path"], i, v))).otherwise(own))
-
-    kind = "array<struct<path:array<int>,value:variant>>"
-    top = F.transform(scripts, lambda s, i: F.struct(F.array(i).alias("path"), parsed(s).alias("value")))
+    top = F.transform(scripts, lambda s, i: F.struct(F.array(i).alias("path"), F.lit(True).alias("objects"), parsed(s).alias("value")))
     start = F.struct(F.array().cast("array<struct<path:array<int>,value:map<string,variant>>>").alias("seen"), F.filter(top, lambda n: n["value"].isNotNull()).cast(kind).alias("open"))
 
+    def opened(n: Column) -> Column:
+        return F.struct(n["path"].alias("path"), F.when(n["objects"], _members(n["value"])).alias("members"), _items(n["value"]).alias("items"))
+
     def level(s: Column, _: Column) -> Column:
-        met = F.transform(s["open"], lambda n: F.struct(n["path"].alias("path"), _members(n["value"]).alias("value")))
-        return F.struct(F.concat(s["seen"], F.filter(met, lambda n: n["value"].isNotNull())).alias("seen"), F.flatten(F.transform(s["open"], below)).cast(kind).alias("open"))
+        def step(met: Column) -> Column:
+            records_met = F.transform(F.filter(met, lambda n: n["members"].isNotNull() & wanted(n["members"])), lambda n: F.struct(n["path"].alias("path"), n["members"].alias("value")))
+            return F.struct(F.concat(s["seen"], records_met).alias("seen"), F.flatten(F.filter(F.transform(met, held), lambda h: h.isNotNull())).cast(kind).alias("open"))
 
-    levels = F.coalesce(F.array_max(F.transform(scripts, lambda s: F.regexp_count(s, F.lit(r"[\[{]")))), F.lit(0))
-    seen = F.reduce(F.array_repeat(F.lit(0), levels), start, lambda s, x: F.when(F.size(s["open"]) == 0, s).otherwise(level(s, x)))["seen"]
+        return bound(F.transform(s["open"], opened), step)
+
+    def taken(s: Column, levels: Column) -> Column:
+        return F.reduce(F.array_repeat(F.lit(0), levels), s, lambda s, x: F.when(done(s), s).otherwise(level(s, x)))
+
+    def done(s: Column) -> Column:
+        return F.coalesce(F.size(s["open"]), F.lit(0)) == 0
+
+    # Brackets are counted only where some levels, which nearly all texts end within, are not enough.
+    most = F.coalesce(F.array_max(F.transform(scripts, lambda s: F.regexp_count(s, F.lit(r"[\[{]")))), F.lit(0))
+    seen = F.reduce(F.array(F.lit(False), F.lit(True)), start, lambda s, more: taken(s, F.when(done(s), 0).when(more, most).otherwise(12)))["seen"]
     ordered = F.array_sort(seen, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
     return F.transform(ordered, lambda n: n["value"])
 
@@ -117,11 +132,12 @@ def _written(number: Column) -> Column:
 def _said(value: Column, numbers: bool = False) -> Column:
     """A string that is not blank, trimmed; with numbers, also a number as scripts write it."""
 
-    def of(v: Column) -> Column:
-        text = F.when(_plain_kind(v) == "STRING", F.nullif(markup.trimmed(v.try_cast("string")), F.lit("")))
-        return F.when(_plain_kind(v).rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), bound(v.try_cast("double"), _written)).otherwise(text) if numbers else text
+    def of(known: Column) -> Column:
+        v, kind = known["v"], known["kind"]
+        text = F.when(kind == "STRING", bound(markup.trimmed(v.try_cast("string")), lambda t: F.when(t != "", t)))
+        return F.when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), bound(v.try_cast("double"), _written)).otherwise(text) if numbers else text
 
-    return bound(value, of)
+    return bound(bound(value, lambda v: F.struct(v.alias("v"), _plain_kind(v).alias("kind"))), of)
 
 
 def _is_type(value: Column, known: frozenset[str]) -> Column:
@@ -192,7 +208,7 @@ def page_events(pages: DataFrame, key: str = "page_id", url: str = "url", body:
     page = F.when(F.col(body).isNull(), F.raise_error(F.concat(F.lit("no page for "), F.coalesce(F.col(url), F.lit("?")))).cast("string")).otherwise(F.col(body))
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("address"), json_scripts(page).alias("scripts"))
     # The outer form, as for the other Spark adds a filter that works all records out a second time.
-    found = rows.select("key", "address", F.explode_outer(F.filter(records(F.col("scripts"), ("@graph", "itemListElement"), ("item",)), lambda r: _is_type(_member(r, "@type"), EVENT_TYPES))).alias("r")).filter("r IS NOT NULL")
+    found = rows.select("key", "address", F.explode_outer(records(F.col("scripts"), ("@graph", "itemListElement"), ("item",), lambda r: _is_type(_member(r, "@type"), EVENT_TYPES))).alias("r")).filter("r IS NOT NULL")
     r = F.col("r")
     said = {new: _said(_member(r, old), True) for new, old in (("title", "name"), ("description", "description"), ("startDate", "startDate"), ("endDate", "endDate"), ("url", "url"))}
     return found.select(
@@ -204,7 +220,7 @@ def page_events(pages: DataFrame, key: str = "page_id", url: str = "url", body:
 
 def article_record(page: Column) -> Column:
     """The members of a page's first schema.org article, null without one."""
-    return F.get(F.filter(bound(json_scripts(page), lambda s: records(s, ("@graph",))), lambda r: _is_type(_member(r, "@type"), ARTICLE_TYPES)), F.lit(0))
+    return F.get(bound(json_scripts(page), lambda s: records(s, ("@graph",), wanted=lambda r: _is_type(_member(r, "@type"), ARTICLE_TYPES))), F.lit(0))
 
 
 def article_fields(record: Column) -> Column:
